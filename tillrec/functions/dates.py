@@ -48,20 +48,32 @@ def layout_regex(layout: str) -> tuple[str, list[str]]:
     return "".join(out), order
 
 
-def _one_layout(s: Column, layout: str) -> Column:
+def _canonical(s: Column, layout: str) -> Column:
+    """``Y,m,d,H,M,S`` text when ``s`` has this layout, else null (one regex replace)."""
     pattern, order = layout_regex(layout)
-    part = {d: F.regexp_extract(s, pattern, n + 1) for n, d in enumerate(order)}
+    group = {d: f"${n + 1}" for n, d in enumerate(order)}
+    defaults = {"Y": "1", "m": "1", "d": "1", "H": "0", "M": "0", "S": "0"}
+    replacement = ",".join(group.get(d, defaults[d]) for d in "YmdHMS")
+    return F.when(s.rlike(pattern), F.regexp_replace(s, pattern, replacement))
 
-    def num(d: str, default: int) -> Column:
-        return F.trim(part[d]).cast("int") if d in part else F.lit(default)
 
-    sec = num("S", 0)
-    ts = F.try_make_timestamp_ntz(num("Y", 1), num("m", 1), num("d", 1), num("H", 0), num("M", 0),
-                                  sec.cast("decimal(8,6)"))
-    # strptime refuses second 60/61 when building the datetime; mirror that.
-    return F.when(s.rlike(pattern) & (sec < 60), ts)
+def timestamp_parts(s: Column, layouts: Sequence[str]) -> Column:
+    """array<int> [Y, m, d, H, M, S] from the first layout that matches, else null.
+
+    Materialise this in its own projection and feed ``parts_to_timestamp``;
+    the regex work then happens once per row.
+    """
+    canon = F.coalesce(*[_canonical(s, lay) for lay in layouts])
+    return F.transform(F.split(canon, ","), lambda x: F.trim(x).cast("int"))
+
+
+def parts_to_timestamp(parts: Column) -> Column:
+    """Timestamp (no zone) from parts; null for impossible dates (31/02) and second >= 60."""
+    sec = parts[5]
+    ts = F.try_make_timestamp_ntz(parts[0], parts[1], parts[2], parts[3], parts[4], sec.cast("decimal(8,6)"))
+    return F.when(sec < 60, ts)
 
 
 def parse_timestamp(s: Column, layouts: Sequence[str]) -> Column:
-    """First layout that parses wins; null when none does."""
-    return F.coalesce(*[_one_layout(s, lay) for lay in layouts])
+    """One-expression form (fine for a single use; prefer the two-step form in wide projections)."""
+    return parts_to_timestamp(timestamp_parts(s, layouts))

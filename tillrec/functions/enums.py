@@ -15,13 +15,21 @@ def literal_map(mapping: Mapping[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for x in chain.from_iterable(mapping.items())])
 
 
+def lookup(key: Column, mapping: Mapping[str, str]) -> Column:
+    """mapping[key] as a CASE chain (codegen'd; null when absent)."""
+    expr = None
+    for k, v in mapping.items():
+        expr = F.when(key == k, F.lit(v)) if expr is None else expr.when(key == k, F.lit(v))
+    return expr
+
+
 def normalise(raw: Column, mapping: Mapping[str, str]) -> Column:
     """lower(strip(v)) looked up in ``mapping``; an unmapped value passes through unchanged.
 
     The pass-through value then has to equal a canonical value exactly, so
     ``outro`` is accepted and ``Outro`` is not.
     """
-    return F.coalesce(F.try_element_at(literal_map(mapping), F.lower(py_strip(raw))), raw)
+    return F.coalesce(lookup(F.lower(py_strip(raw)), mapping), raw)
 
 
 def in_enum(c: Column, allowed: Sequence[str]) -> Column:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tillrec.config import Rates
 from tillrec.constants import SOURCE_MARKETPLACE, SOURCE_POS
-from tillrec.functions.enums import literal_map
+from tillrec.functions.enums import lookup
 from tillrec.functions.money import MONEY, rate_lit, round_money
 
 LEDGER_COLUMNS = ["source", "record_id", "date", "gross_value", "net_value", "mdr_fee",
@@ -62,8 +62,8 @@ def fee_lookup(settlements: DataFrame, order: Column | str = "row_order") -> Dat
 
 def fallback_fee(gross: Column, method: Column, rates: Rates = Rates()) -> Column:
     """round(gross x rate(method), 2); unknown methods pay the credit rate."""
-    rate_map = literal_map({m: str(r) for m, r in rates.fee_by_method().items()})
-    rate = F.coalesce(F.try_element_at(rate_map, method), F.lit(str(rates.credit_fee))).cast("decimal(5,4)")
+    rate = F.coalesce(lookup(method, {m: str(r) for m, r in rates.fee_by_method().items()}),
+                      F.lit(str(rates.credit_fee))).cast("decimal(5,4)")
     return round_money(gross * rate)
 
 

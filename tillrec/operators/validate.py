@@ -7,12 +7,10 @@ codegen'd expressions — no Python per row.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillrec.functions.dates import parse_timestamp
+from tillrec.functions.dates import parts_to_timestamp, timestamp_parts
 from tillrec.functions.enums import in_enum, normalise
 from tillrec.functions.money import MONEY, is_optional_blank, parse_money
 from tillrec.functions.text import py_strip
@@ -33,62 +31,75 @@ ERROR_COL = "validation_error"
 ROW_COL = "source_row_index"
 
 
-@dataclass
-class _Parsed:
-    value: Column
-    errors: list[Column]
-
-
 def _err(cond: Column, name: str, msg: str) -> Column:
     return F.when(cond, F.lit(f"{name}: {msg}"))
 
 
-def _rule(df_cols: set[str], rule: FieldRule) -> _Parsed:
+def _raw(name: str) -> Column:
+    return F.col(f"raw_{name}")
+
+
+def _value(rule: FieldRule, present: bool) -> Column:
+    """Typed value of a field, from stage-1 columns (``raw_<f>``, ``parts_<f>``)."""
     name = rule.name
-    if name not in df_cols:
-        if rule.default is not None:
-            lit = F.lit(rule.default)
-            value = {"money": lit.cast(MONEY), "opt_money": lit.cast(MONEY),
-                     "int_range": lit.cast("int")}.get(rule.kind, lit.cast("string"))
-            return _Parsed(value, [])
-        if rule.kind in ("req_str", "datetime", "money", "enum", "int_range"):
-            return _Parsed(F.lit(None), [F.lit(f"{name}: {MSG_REQUIRED}")])
-        return _Parsed(F.lit(None).cast(MONEY if rule.kind == "opt_money" else "string"), [])
-
-    raw = F.col(name)
+    if not present:
+        if rule.default is None:
+            return F.lit(None).cast({"money": MONEY, "opt_money": MONEY, "int_range": "int",
+                                     "datetime": "timestamp_ntz"}.get(rule.kind, "string"))
+        return F.lit(rule.default).cast({"money": MONEY, "opt_money": MONEY,
+                                         "int_range": "int"}.get(rule.kind, "string"))
+    raw = _raw(name)
+    if rule.kind in ("req_str", "opt_str"):
+        return raw
+    if rule.kind == "datetime":
+        return parts_to_timestamp(F.col(f"parts_{name}"))
+    if rule.kind == "money":
+        v = parse_money(raw)
+        if rule.blank_is_null:
+            v = F.when(raw.isNull() | (py_strip(raw) == ""), F.lit(None).cast(MONEY)).otherwise(v)
+        return v
+    if rule.kind == "opt_money":
+        return F.when(is_optional_blank(raw), F.lit(None).cast(MONEY)).otherwise(parse_money(raw))
+    if rule.kind == "enum":
+        return normalise(raw, rule.mapping)
+    if rule.kind == "int_range":
+        lo, hi = rule.bounds
+        ok_text = raw.rlike(INT_TEXT)
+        n = F.when(ok_text, F.trim(raw).cast("decimal(38,0)"))
+        return F.when(ok_text & n.between(lo, hi), n.cast("int"))
+    raise ValueError(f"unknown rule kind {rule.kind}")
+
+
+def _errors(rule: FieldRule, present: bool) -> list[Column]:
+    """Error messages of a field, from the typed value ``<f>`` and the raw text ``raw_<f>``."""
+    name = rule.name
+    if not present:
+        if rule.default is None and rule.kind in ("req_str", "datetime", "money", "enum", "int_range"):
+            return [F.lit(f"{name}: {MSG_REQUIRED}")]
+        return []
+    raw, v = _raw(name), F.col(name)
     missing = raw.isNull()
     if rule.kind == "req_str":
-        return _Parsed(raw, [_err(missing, name, MSG_REQUIRED), _err(F.length(raw) < 1, name, MSG_EMPTY)])
+        return [_err(missing, name, MSG_REQUIRED), _err(F.length(raw) < 1, name, MSG_EMPTY)]
     if rule.kind == "opt_str":
-        return _Parsed(raw, [])
+        return []
     if rule.kind == "datetime":
-        v = parse_timestamp(raw, rule.layouts)
-        return _Parsed(v, [_err(missing, name, MSG_REQUIRED), _err(~missing & v.isNull(), name, MSG_DATETIME)])
+        return [_err(missing, name, MSG_REQUIRED), _err(~missing & v.isNull(), name, MSG_DATETIME)]
     if rule.kind == "money":
-        v = parse_money(raw)
         if rule.blank_is_null:
-            blank = missing | (py_strip(raw) == "")
-            v = F.when(blank, F.lit(None).cast(MONEY)).otherwise(v)
-            errs = [_err(~blank & v.isNull(), name, MSG_NUMERIC)]
+            errs = [_err(~(missing | (py_strip(raw) == "")) & v.isNull(), name, MSG_NUMERIC)]
         else:
             errs = [_err(missing, name, MSG_REQUIRED), _err(~missing & v.isNull(), name, MSG_NUMERIC)]
         if rule.non_negative:
             errs.append(_err(v < 0, name, MSG_NEGATIVE))
-        return _Parsed(v, errs)
+        return errs
     if rule.kind == "opt_money":
-        blank = is_optional_blank(raw)
-        v = F.when(blank, F.lit(None).cast(MONEY)).otherwise(parse_money(raw))
-        return _Parsed(v, [_err(~blank & v.isNull(), name, MSG_NUMERIC)])
+        return [_err(~is_optional_blank(raw) & v.isNull(), name, MSG_NUMERIC)]
     if rule.kind == "enum":
-        v = normalise(raw, rule.mapping)
-        return _Parsed(v, [_err(missing, name, MSG_REQUIRED),
-                           _err(~missing & ~in_enum(v, rule.allowed), name, MSG_ENUM)])
+        return [_err(missing, name, MSG_REQUIRED), _err(~missing & ~in_enum(v, rule.allowed), name, MSG_ENUM)]
     if rule.kind == "int_range":
         lo, hi = rule.bounds
-        ok_text = raw.rlike(INT_TEXT)
-        n = F.when(ok_text, F.trim(raw).cast("decimal(38,0)"))
-        v = F.when(ok_text & n.between(lo, hi), n.cast("int"))
-        return _Parsed(v, [_err(v.isNull(), name, MSG_INT_RANGE.format(lo=lo, hi=hi))])
+        return [_err(v.isNull(), name, MSG_INT_RANGE.format(lo=lo, hi=hi))]
     raise ValueError(f"unknown rule kind {rule.kind}")
 
 
@@ -97,18 +108,28 @@ def validate(df: DataFrame, spec: SourceSpec) -> DataFrame:
 
     ``validation_error`` is null for valid rows. Input columns are the
     canonical field names as strings plus ``source_row_index``.
+
+    Three stacked projections: (1) raw text + date parts, (2) typed values,
+    (3) error text. Catalyst keeps them apart because the parsed values are
+    referenced several times, so each regex/parse runs once per row and the
+    generated code stays small enough for whole-stage codegen.
     """
     cols = set(df.columns)
-    parsed = {r.name: _rule(cols, r) for r in spec.fields}
-    field_errors = [e for r in spec.fields for e in parsed[r.name].errors]
+    present = {r.name: r.name in cols for r in spec.fields}
+    raw_cols = [F.col(r.name).alias(f"raw_{r.name}") for r in spec.fields if present[r.name]]
+    parts = [timestamp_parts(F.col(r.name), r.layouts).alias(f"parts_{r.name}")
+             for r in spec.fields if r.kind == "datetime" and present[r.name]]
+    stage1 = df.select(*raw_cols, *parts, F.col(ROW_COL))
+    raw_names = [f"raw_{r.name}" for r in spec.fields if present[r.name]]
+    stage2 = stage1.select(*[_value(r, present[r.name]).alias(r.name) for r in spec.fields],
+                           *raw_names, ROW_COL)
+    field_errors = [e for r in spec.fields for e in _errors(r, present[r.name])]
     joined = F.concat_ws("; ", *field_errors) if field_errors else F.lit("")
     if spec.net_le_gross:
-        net, gross = parsed["net_value"].value, parsed["gross_value"].value
-        cross = F.when((joined == "") & (net > gross + F.lit("0.01").cast(MONEY)), F.lit(MSG_NET_GT_GROSS))
+        cross = F.when((joined == "") & (F.col("net_value") > F.col("gross_value") + F.lit("0.01").cast(MONEY)),
+                       F.lit(MSG_NET_GT_GROSS))
         joined = F.concat_ws("; ", F.when(joined != "", joined), cross)
-    raw_cols = [F.col(r.name).alias(f"raw_{r.name}") for r in spec.fields if r.name in cols]
-    typed = [parsed[r.name].value.alias(r.name) for r in spec.fields]
-    return df.select(*typed, *raw_cols, F.col(ROW_COL), F.nullif(joined, F.lit("")).alias(ERROR_COL))
+    return stage2.select(*spec.field_names, *raw_names, ROW_COL, F.nullif(joined, F.lit("")).alias(ERROR_COL))
 
 
 def valid_rows(validated: DataFrame, spec: SourceSpec) -> DataFrame:

@@ -13,9 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillrec.config import Rates
-from tillrec.operators import enrich, reconcile, statement
+from tillrec.functions.enums import in_enum, normalise
+from tillrec.functions.money import is_optional_blank, parse_money
+from tillrec.functions.text import py_strip
+from tillrec.constants import (
+    ACQUIRER_PAYMENT_MAP, MARKETPLACE_PAYMENT_MAP, ORDER_STATUSES, PAYMENT_METHODS, POS_PAYMENT_MAP, STATUS_MAP,
+)
+from tillrec.operators import enrich, reconcile, statement, validate as V
 from tillrec.plans import oracle
-from tillrec.sources import derived
+from tillrec.sources import derived, spec as S
 
 REFERENCE_MONTH = "2026-03"
 RATES = Rates()
@@ -124,6 +130,154 @@ def q_gaps_all(spark, sf_dir):
     return Inputs(spark, sf_dir).gaps()
 
 
+# ------------------------------------------------------------------ parse / validate (raw export text)
+
+def stripped(df: DataFrame) -> DataFrame:
+    """Trim every string column (python strip semantics); keep the row order as row index."""
+    cols = [py_strip(F.col(c)).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes]
+    return df.select(*cols).withColumnRenamed("row_order", V.ROW_COL)
+
+
+class RawInputs:
+    def __init__(self, spark: SparkSession, sf_dir: str, rates: Rates = RATES):
+        self.spark, self.sf_dir, self.rates = spark, sf_dir, rates
+
+    def v_marketplace(self) -> DataFrame:
+        return V.validate(stripped(derived.raw_marketplace(self.spark, self.sf_dir)), S.MARKETPLACE)
+
+    def v_pos(self) -> DataFrame:
+        return V.validate(stripped(derived.raw_pos(self.spark, self.sf_dir)), S.POS)
+
+    def v_acquirer(self) -> DataFrame:
+        return V.validate(stripped(derived.raw_acquirer(self.spark, self.sf_dir)), S.ACQUIRER)
+
+    def valid(self):
+        mk = V.valid_rows(self.v_marketplace(), S.MARKETPLACE)
+        ps = V.valid_rows(self.v_pos(), S.POS)
+        aq = V.valid_rows(self.v_acquirer(), S.ACQUIRER)
+        return mk, ps, aq
+
+
+def q_parse_money(spark, sf_dir):
+    raw = derived.raw_pos(spark, sf_dir)
+    return raw.select("row_order", F.col("gross_value").alias("gross_text"),
+                      parse_money(F.col("gross_value")).cast("double").alias("gross_value"))
+
+
+def q_parse_optional_money(spark, sf_dir):
+    raw = stripped(derived.raw_marketplace(spark, sf_dir))
+    v = V.validate(raw, S.MARKETPLACE)
+    return v.select(F.col(V.ROW_COL).alias("row_order"), F.col("raw_ifood_commission").alias("commission_text"),
+                    F.col("ifood_commission").cast("double").alias("commission"),
+                    (is_optional_blank(F.col("raw_ifood_commission")) | F.col("ifood_commission").isNotNull())
+                    .alias("commission_ok"))
+
+
+def q_parse_dates(spark, sf_dir):
+    r = RawInputs(spark, sf_dir)
+    p = r.v_pos().select(F.lit("pos").alias("source"), F.col(V.ROW_COL).alias("row_order"),
+                         F.col("raw_transaction_date").alias("date_text"), F.col("transaction_date").alias("parsed"))
+    a = r.v_acquirer().select(F.lit("acquirer").alias("source"), F.col(V.ROW_COL).alias("row_order"),
+                              F.col("raw_settlement_date").alias("date_text"),
+                              F.col("settlement_date").alias("parsed"))
+    return p.unionByName(a)
+
+
+def q_normalise_payment(spark, sf_dir):
+    out = None
+    for source, fn, mapping in (("marketplace", derived.raw_marketplace, MARKETPLACE_PAYMENT_MAP),
+                                ("pos", derived.raw_pos, POS_PAYMENT_MAP),
+                                ("acquirer", derived.raw_acquirer, ACQUIRER_PAYMENT_MAP)):
+        raw = stripped(fn(spark, sf_dir))
+        norm = normalise(F.col("payment_method"), mapping)
+        part = raw.select(F.lit(source).alias("source"), F.col(V.ROW_COL).alias("row_order"),
+                          F.col("payment_method").alias("method_text"), norm.alias("payment_method"),
+                          in_enum(norm, PAYMENT_METHODS).alias("is_valid"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def q_normalise_status(spark, sf_dir):
+    raw = stripped(derived.raw_marketplace(spark, sf_dir))
+    norm = normalise(F.col("status"), STATUS_MAP)
+    return raw.select(F.col(V.ROW_COL).alias("row_order"), F.col("status").alias("status_text"),
+                      norm.alias("status"), in_enum(norm, ORDER_STATUSES).alias("is_valid"))
+
+
+def q_trim_strings(spark, sf_dir):
+    raw = derived.raw_pos(spark, sf_dir)
+    return raw.select("row_order", F.col("cashier_id").alias("cashier_text"),
+                      py_strip(F.col("cashier_id")).alias("cashier_id"))
+
+
+def q_validate_split(spark, sf_dir):
+    v = RawInputs(spark, sf_dir).v_marketplace()
+    return v.select(V.ROW_COL, F.col("raw_order_id").alias("order_id"),
+                    F.col(V.ERROR_COL).isNull().alias("is_valid"), V.ERROR_COL)
+
+
+def q_validate_installments(spark, sf_dir):
+    v = RawInputs(spark, sf_dir).v_acquirer()
+    return v.select(V.ROW_COL, F.col("raw_installments").alias("installments_text"), "installments",
+                    F.col("installments").isNotNull().alias("installments_ok"))
+
+
+def q_validate_net_le_gross(spark, sf_dir):
+    v = RawInputs(spark, sf_dir).v_acquirer()
+    only_cross = F.col(V.ERROR_COL).isNull() | (F.col(V.ERROR_COL) == V.MSG_NET_GT_GROSS)
+    return v.where(only_cross).select(
+        V.ROW_COL, _d("gross_value"), _d("net_value"),
+        (F.col(V.ERROR_COL).isNull()).alias("net_ok"))
+
+
+def q_quarantine_log(spark, sf_dir):
+    r = RawInputs(spark, sf_dir)
+    out = None
+    for source, v, sp in (("marketplace", r.v_marketplace(), S.MARKETPLACE), ("pos", r.v_pos(), S.POS),
+                          ("acquirer", r.v_acquirer(), S.ACQUIRER)):
+        q = V.quarantine_rows(v, sp).select(F.lit(source).alias("source"), F.col(sp.id_field).alias("record_id"),
+                                            V.ERROR_COL, V.ROW_COL)
+        out = q if out is None else out.unionByName(q)
+    return out
+
+
+def q_extraction_counts(spark, sf_dir):
+    r = RawInputs(spark, sf_dir)
+    return (V.counts(r.v_marketplace(), "marketplace")
+            .unionByName(V.counts(r.v_pos(), "pos"))
+            .unionByName(V.counts(r.v_acquirer(), "acquirer")))
+
+
+def run_tables(spark: SparkSession, sf_dir: str, rates: Rates = RATES):
+    """Valid rows of the three raw exports -> (ledger, gaps, counts)."""
+    r = RawInputs(spark, sf_dir, rates)
+    vm, vp, va = r.v_marketplace(), r.v_pos(), r.v_acquirer()
+    mk = V.valid_rows(vm, S.MARKETPLACE)
+    ps = V.valid_rows(vp, S.POS)
+    aq = V.valid_rows(va, S.ACQUIRER)
+    order = F.struct(F.col(V.ROW_COL), F.col("authorization_code"))
+    ledger = enrich.unified_ledger(enrich.marketplace_enriched(mk, rates),
+                                   enrich.pos_enriched(ps, aq, rates, order))
+    gaps = reconcile.gaps_all(ps, aq, mk, rates)
+    counts = (V.counts(vm, "marketplace").unionByName(V.counts(vp, "pos"))
+              .unionByName(V.counts(va, "acquirer")))
+    return ledger, gaps, counts
+
+
+def q_run_summary(spark, sf_dir):
+    ledger, gaps, counts = run_tables(spark, sf_dir)
+    st = statement.income_statement(ledger, gaps, REFERENCE_MONTH)
+    c = counts.agg(
+        F.sum(F.when(F.col("source") == "marketplace", F.col("valid_rows"))).alias("total_ifood_orders"),
+        F.sum(F.when(F.col("source") == "pos", F.col("valid_rows"))).alias("total_pdv_transactions"),
+        F.sum(F.when(F.col("source") == "acquirer", F.col("valid_rows"))).alias("total_acquirer_transactions"),
+        F.sum("quarantined_rows").alias("quarantined_rows"))
+    return st.join(c, how="inner").select(
+        "reference_month", "total_ifood_orders", "total_pdv_transactions", "total_acquirer_transactions",
+        "quarantined_rows", F.col("total_gross_revenue_brl").alias("gross_revenue_brl"),
+        F.col("total_deductions_brl").alias("total_fees_brl"), "net_revenue_brl", "gaps_detected")
+
+
 def queries() -> dict[str, Builder]:
     return {name[2:]: fn for name, fn in globals().items() if name.startswith("q_") and callable(fn)}
 
@@ -131,4 +285,5 @@ def queries() -> dict[str, Builder]:
 def oracle_sql() -> dict[str, str]:
     sql = {}
     sql.update(oracle.core_sql(REFERENCE_MONTH))
+    sql.update(oracle.raw_sql(REFERENCE_MONTH))
     return sql

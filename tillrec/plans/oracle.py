@@ -8,7 +8,7 @@ Money leaves every query as DOUBLE, as on the Spark side.
 from __future__ import annotations
 
 # ------------------------------------------------------------------ derived source tables
-DERIVED = """
+BASE = """
 li AS (
   SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_discount, l_shipdate,
          CAST(l_extendedprice AS DECIMAL(18,2)) AS price,
@@ -42,6 +42,9 @@ marketplace AS (
          CAST(o_custkey AS VARCHAR) AS customer_id,
          o_orderkey AS row_order
   FROM orders),
+"""
+
+CHAIN = """
 mk_enriched AS (
   SELECT 'ifood' AS source, order_id, order_date,
          CASE WHEN status = 'cancelado' THEN -gross_value ELSE gross_value END AS gross_value,
@@ -50,11 +53,11 @@ mk_enriched AS (
                    ELSE round(gross_value * CAST(0.23 AS DECIMAL(5,4)), 2) END AS DECIMAL(18,2))
            AS ifood_commission_computed,
          payment_method, status
-  FROM marketplace),
+  FROM {mk}),
 fee_lk AS (
   SELECT gross_value AS lk_gross, CAST(settlement_date AS DATE) AS lk_day,
          arg_max(coalesce(acquirer_fee, 0), (k, rid)) AS lk_fee
-  FROM acquirer GROUP BY ALL),
+  FROM {acq} GROUP BY ALL),
 pos_fees AS (
   SELECT p.*, lk.lk_day IS NOT NULL AS matched,
          CAST(CASE WHEN lk.lk_day IS NOT NULL THEN lk.lk_fee
@@ -62,7 +65,7 @@ pos_fees AS (
                      WHEN 'credito' THEN 0.0299 WHEN 'debito' THEN 0.0149 WHEN 'pix' THEN 0.0099
                      WHEN 'dinheiro' THEN 0.0 WHEN 'voucher' THEN 0.0149 ELSE 0.0299 END AS DECIMAL(5,4)), 2)
               END AS DECIMAL(18,2)) AS mdr_fee
-  FROM pos p LEFT JOIN fee_lk lk
+  FROM {pos} p LEFT JOIN fee_lk lk
     ON lk.lk_gross = p.gross_value AND lk.lk_day = CAST(p.transaction_date AS DATE)),
 ledger AS (
   SELECT source, order_id AS record_id, order_date AS date, gross_value,
@@ -80,10 +83,10 @@ gap_pos AS (
            || strftime(transaction_date, '%Y-%m-%d %H:%M:%S')
            || ' found in PDV but not in acquirer settlement.' AS detail,
          transaction_date AS gap_date, 1 AS gap_order
-  FROM pos p
+  FROM {pos} p
   WHERE payment_method IN ('credito','debito','voucher')
-    AND EXISTS (SELECT 1 FROM acquirer)
-    AND NOT EXISTS (SELECT 1 FROM acquirer a
+    AND EXISTS (SELECT 1 FROM {acq})
+    AND NOT EXISTS (SELECT 1 FROM {acq} a
                     WHERE CAST(a.settlement_date AS DATE) = CAST(p.transaction_date AS DATE)
                       AND abs(a.gross_value - p.gross_value) <= 0.05)),
 gap_acq AS (
@@ -93,9 +96,9 @@ gap_acq AS (
            || strftime(settlement_date, '%Y-%m-%d %H:%M:%S') || ' (auth: ' || authorization_code
            || ') but no matching PDV transaction found.' AS detail,
          settlement_date AS gap_date, 2 AS gap_order
-  FROM acquirer a
-  WHERE EXISTS (SELECT 1 FROM pos)
-    AND NOT EXISTS (SELECT 1 FROM pos p
+  FROM {acq} a
+  WHERE EXISTS (SELECT 1 FROM {pos})
+    AND NOT EXISTS (SELECT 1 FROM {pos} p
                     WHERE CAST(a.settlement_date AS DATE) = CAST(p.transaction_date AS DATE)
                       AND abs(a.gross_value - p.gross_value) <= 0.05)),
 gap_cancel AS (
@@ -104,11 +107,13 @@ gap_cancel AS (
          'iFood order ' || order_id || ' was cancelled (R$ ' || CAST(abs(gross_value) AS VARCHAR)
            || '). Verify it is not counted as revenue.' AS detail,
          order_date AS gap_date, 3 AS gap_order
-  FROM marketplace WHERE status = 'cancelado'),
+  FROM {mk} WHERE status = 'cancelado'),
 gaps AS (
   SELECT * FROM gap_pos UNION ALL SELECT * FROM gap_acq UNION ALL SELECT * FROM gap_cancel)
 """
 
+DERIVED = BASE.rstrip().rstrip(",") + ",\n" + CHAIN.format(pos="pos", acq="acquirer", mk="marketplace")
+
 
 def with_derived(body: str) -> str:
     return "WITH " + DERIVED.strip() + "\n" + body.strip()
@@ -175,3 +180,269 @@ FROM ledger WHERE gross_value > 0 GROUP BY payment_method""")
     q["gaps_amount_mismatch"] = with_derived(f"SELECT {cols} FROM gap_pos WHERE false")
     q["gaps_all"] = with_derived(f"SELECT {cols} FROM gaps")
     return q
+
+
+# ------------------------------------------------------------------ raw export text
+def _br(x: str) -> str:
+    return f"translate(format('{{:,.2f}}', {x}), ',.', '.,')"
+
+
+def _broken(k: str, kind: int) -> str:
+    return f"({k} % 19 = 0 AND ({k} // 19) % 5 = {kind})"
+
+
+def _shape(ts: str, idx: str, shapes: list[str]) -> str:
+    whens = " ".join(f"WHEN {idx} = {i} THEN strftime({ts}, '{s}')" for i, s in enumerate(shapes))
+    return f"CASE {whens} END"
+
+
+SALES_SHAPES = ["%Y-%m-%d %H:%M:%S", "%d/%m/%Y %H:%M:%S", "%-d/%-m/%Y", "%Y-%m-%dT%H:%M:%S"]
+SETTLE_SHAPES = ["%Y-%m-%d", "%d/%m/%Y", "%Y-%m-%d %H:%M:%S", "%d/%m/%Y %H:%M:%S"]
+
+RAW = f"""
+raw_pos AS (
+  SELECT CASE WHEN {_broken('k', 3)} THEN '' ELSE 'P' || rid END AS transaction_id,
+         CASE WHEN {_broken('k', 1)} THEN '31/02/' || CAST(year(l_shipdate) AS VARCHAR)
+              ELSE {_shape('l_shipdate', 'k % 4', SALES_SHAPES)} END AS transaction_date,
+         CASE WHEN {_broken('k', 0)} THEN 'abc' WHEN {_broken('k', 4)} THEN '-5,00'
+              ELSE (CASE WHEN k % 5 = 0 THEN 'R$ ' ELSE '' END) || {_br('price')} END AS gross_value,
+         CASE WHEN {_broken('k', 2)} THEN 'Outro'
+              ELSE (['Crédito','DEBITO','Pix','especie','voucher','outro'])[k % 6 + 1] END AS payment_method,
+         'op' || CAST(k % 7 AS VARCHAR) AS cashier_id,
+         CAST(l_linenumber AS VARCHAR) AS table_number, CAST(NULL AS VARCHAR) AS notes,
+         k AS row_order,
+         CASE WHEN k % 3 = 0 THEN ' op' || CAST(k % 7 AS VARCHAR) || chr(9)
+              ELSE 'op' || CAST(k % 7 AS VARCHAR) END AS cashier_text
+  FROM li2 WHERE k % 10 <> 0),
+raw_mk AS (
+  SELECT CAST(o_orderkey AS VARCHAR) AS order_id,
+         CASE WHEN {_broken('o_orderkey', 1)} THEN '31/02/2026'
+              ELSE {_shape('o_orderdate', 'o_orderkey % 4', SALES_SHAPES)} END AS order_date,
+         CASE WHEN {_broken('o_orderkey', 0)} THEN 'abc'
+              ELSE (CASE WHEN o_orderkey % 5 = 0 THEN 'R$ ' ELSE '' END)
+                   || {_br('CAST(o_totalprice AS DECIMAL(18,2))')} END AS gross_value,
+         CASE WHEN {_broken('o_orderkey', 4)} THEN 'xyz'
+              WHEN o_orderkey % 3 = 0
+                THEN {_br('round(CAST(o_totalprice AS DECIMAL(18,2)) * CAST(0.20 AS DECIMAL(5,4)), 2)')}
+              WHEN o_orderkey % 3 = 1 THEN '0,00'
+              ELSE ([NULL, '-', 'N/A'])[(o_orderkey // 3) % 3 + 1] END AS ifood_commission,
+         CASE WHEN {_broken('o_orderkey', 2)} THEN 'Outro'
+              ELSE (['Cartão de Crédito','Débito','PIX','Voucher','dinheiro'])
+                   [CAST(substr(o_orderpriority, 1, 1) AS INTEGER)] END AS payment_method,
+         CASE WHEN {_broken('o_orderkey', 3)} THEN 'cancelada'
+              WHEN o_orderstatus = 'F' THEN 'Concluído' WHEN o_orderstatus = 'P' THEN 'Cancelado'
+              ELSE 'pendente' END AS status,
+         CAST(o_custkey AS VARCHAR) AS customer_id,
+         {_br('CAST(o_custkey % 10 AS DECIMAL(18,2))')} AS delivery_fee,
+         o_orderkey AS row_order
+  FROM orders),
+raw_acq AS (
+  SELECT 'A' || rid AS authorization_code, CAST(k AS VARCHAR) AS nsu,
+         CASE WHEN {_broken('k', 3)} THEN '31/02/2026'
+              ELSE {_shape('l_shipdate', 'k % 4', SETTLE_SHAPES)} END AS settlement_date,
+         CASE WHEN {_broken('k', 4)} THEN 'N/A' ELSE {_br('a_gross')} END AS gross_value,
+         {_br('CASE WHEN ' + _broken('k', 0) + ' THEN a_gross + 0.02 ELSE a_gross - a_fee END')} AS net_value,
+         {_br('a_fee')} AS acquirer_fee,
+         (['credit','Debit','pix','','voucher',''])[k % 6 + 1] AS payment_method,
+         CASE WHEN {_broken('k', 1)} THEN '25' WHEN {_broken('k', 2)} THEN '3.5'
+              WHEN k % 7 = 0 THEN '3.0' ELSE CAST(k % 12 + 1 AS VARCHAR) END AS installments,
+         'stone' AS acquirer_name, k AS row_order
+  FROM (SELECT *,
+          CAST(price + CASE WHEN k % 11 = 0 THEN 0.04 WHEN k % 13 = 0 THEN 3.50 ELSE 0 END AS DECIMAL(18,2))
+            AS a_gross,
+          CAST(round(price * CAST(l_discount AS DECIMAL(5,4)), 2) AS DECIMAL(18,2)) AS a_fee
+        FROM li2 WHERE k % 6 IN (0,1,2,4) AND k % 17 <> 0)),
+"""
+
+
+def _money(x: str) -> str:
+    return f"TRY_CAST(trim(replace(replace(replace({x}, 'R$', ''), '.', ''), ',', '.')) AS DECIMAL(18,2))"
+
+
+def _opt_blank(x: str) -> str:
+    return f"({x} IS NULL OR trim({x}) IN ('', '-', 'N/A'))"
+
+
+def _ts(x: str, layouts: list[str]) -> str:
+    return "coalesce(" + ", ".join(f"try_strptime({x}, '{f}')" for f in layouts) + ")"
+
+
+SALES_LAYOUTS = ["%Y-%m-%d %H:%M:%S", "%d/%m/%Y %H:%M:%S", "%d/%m/%Y", "%Y-%m-%dT%H:%M:%S"]
+SETTLE_LAYOUTS = ["%Y-%m-%d", "%d/%m/%Y", "%Y-%m-%d %H:%M:%S", "%d/%m/%Y %H:%M:%S"]
+
+
+def _map(x: str, mapping: dict[str, str]) -> str:
+    whens = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in mapping.items())
+    return f"coalesce(CASE lower(trim({x})) {whens} END, {x})"
+
+
+def _validation_ctes() -> str:
+    from tillrec.constants import ACQUIRER_PAYMENT_MAP, MARKETPLACE_PAYMENT_MAP, POS_PAYMENT_MAP, STATUS_MAP
+    pm = "('credito','debito','pix','dinheiro','voucher','outro')"
+    return f"""
+v_mk AS (
+  SELECT *, nullif(concat_ws('; ',
+      CASE WHEN order_id IS NULL THEN 'order_id: field required' END,
+      CASE WHEN length(order_id) < 1 THEN 'order_id: should have at least 1 character' END,
+      CASE WHEN order_date IS NULL THEN 'order_date: field required' END,
+      CASE WHEN order_date IS NOT NULL AND p_date IS NULL THEN 'order_date: cannot parse datetime' END,
+      CASE WHEN gross_value IS NULL THEN 'gross_value: field required' END,
+      CASE WHEN gross_value IS NOT NULL AND p_gross IS NULL THEN 'gross_value: must be numeric' END,
+      CASE WHEN p_gross < 0 THEN 'gross_value: must be >= 0' END,
+      CASE WHEN NOT {_opt_blank('ifood_commission')} AND p_comm IS NULL THEN 'ifood_commission: must be numeric' END,
+      CASE WHEN payment_method IS NULL THEN 'payment_method: field required' END,
+      CASE WHEN payment_method IS NOT NULL AND p_method NOT IN {pm} THEN 'payment_method: not an allowed value' END,
+      CASE WHEN status IS NULL THEN 'status: field required' END,
+      CASE WHEN status IS NOT NULL AND p_status NOT IN ('concluido','cancelado','pendente')
+           THEN 'status: not an allowed value' END,
+      CASE WHEN NOT {_opt_blank('delivery_fee')} AND p_fee IS NULL THEN 'delivery_fee: must be numeric' END
+    ), '') AS validation_error
+  FROM (SELECT *, {_ts('order_date', SALES_LAYOUTS)} AS p_date, {_money('gross_value')} AS p_gross,
+               CASE WHEN {_opt_blank('ifood_commission')} THEN NULL ELSE {_money('ifood_commission')} END AS p_comm,
+               {_map('payment_method', MARKETPLACE_PAYMENT_MAP)} AS p_method,
+               {_map('status', STATUS_MAP)} AS p_status,
+               CASE WHEN {_opt_blank('delivery_fee')} THEN NULL ELSE {_money('delivery_fee')} END AS p_fee
+        FROM raw_mk)),
+v_pos AS (
+  SELECT *, nullif(concat_ws('; ',
+      CASE WHEN transaction_id IS NULL THEN 'transaction_id: field required' END,
+      CASE WHEN length(transaction_id) < 1 THEN 'transaction_id: should have at least 1 character' END,
+      CASE WHEN transaction_date IS NULL THEN 'transaction_date: field required' END,
+      CASE WHEN transaction_date IS NOT NULL AND p_date IS NULL THEN 'transaction_date: cannot parse datetime' END,
+      CASE WHEN gross_value IS NULL THEN 'gross_value: field required' END,
+      CASE WHEN gross_value IS NOT NULL AND p_gross IS NULL THEN 'gross_value: must be numeric' END,
+      CASE WHEN p_gross < 0 THEN 'gross_value: must be >= 0' END,
+      CASE WHEN payment_method IS NULL THEN 'payment_method: field required' END,
+      CASE WHEN payment_method IS NOT NULL AND p_method NOT IN {pm} THEN 'payment_method: not an allowed value' END
+    ), '') AS validation_error
+  FROM (SELECT *, {_ts('transaction_date', SALES_LAYOUTS)} AS p_date, {_money('gross_value')} AS p_gross,
+               {_map('payment_method', POS_PAYMENT_MAP)} AS p_method
+        FROM raw_pos)),
+v_acq0 AS (
+  SELECT *, concat_ws('; ',
+      CASE WHEN authorization_code IS NULL THEN 'authorization_code: field required' END,
+      CASE WHEN length(authorization_code) < 1 THEN 'authorization_code: should have at least 1 character' END,
+      CASE WHEN settlement_date IS NULL THEN 'settlement_date: field required' END,
+      CASE WHEN settlement_date IS NOT NULL AND p_date IS NULL THEN 'settlement_date: cannot parse datetime' END,
+      CASE WHEN gross_value IS NULL THEN 'gross_value: field required' END,
+      CASE WHEN gross_value IS NOT NULL AND p_gross IS NULL THEN 'gross_value: must be numeric' END,
+      CASE WHEN net_value IS NULL THEN 'net_value: field required' END,
+      CASE WHEN net_value IS NOT NULL AND p_net IS NULL THEN 'net_value: must be numeric' END,
+      CASE WHEN NOT (acquirer_fee IS NULL OR trim(acquirer_fee) = '') AND p_fee IS NULL
+           THEN 'acquirer_fee: must be numeric' END,
+      CASE WHEN payment_method IS NULL THEN 'payment_method: field required' END,
+      CASE WHEN payment_method IS NOT NULL AND p_method NOT IN {pm} THEN 'payment_method: not an allowed value' END,
+      CASE WHEN p_inst IS NULL THEN 'installments: must be an integer between 1 and 24' END,
+      CASE WHEN acquirer_name IS NULL THEN 'acquirer_name: field required' END,
+      CASE WHEN length(acquirer_name) < 1 THEN 'acquirer_name: should have at least 1 character' END
+    ) AS field_errors
+  FROM (SELECT *, {_ts('settlement_date', SETTLE_LAYOUTS)} AS p_date, {_money('gross_value')} AS p_gross,
+               {_money('net_value')} AS p_net,
+               CASE WHEN acquirer_fee IS NULL OR trim(acquirer_fee) = '' THEN NULL
+                    ELSE {_money('acquirer_fee')} END AS p_fee,
+               {_map('payment_method', ACQUIRER_PAYMENT_MAP)} AS p_method,
+               CASE WHEN regexp_full_match(installments, '\\s*[+-]?\\d+(\\.0+)?\\s*')
+                     AND CAST(trim(installments) AS DECIMAL(38,0)) BETWEEN 1 AND 24
+                    THEN CAST(CAST(trim(installments) AS DECIMAL(38,0)) AS INTEGER) END AS p_inst
+        FROM raw_acq)),
+v_acq AS (
+  SELECT *, nullif(concat_ws('; ', nullif(field_errors, ''),
+      CASE WHEN field_errors = '' AND p_net > p_gross + 0.01
+           THEN 'root: net_value cannot exceed gross_value' END), '') AS validation_error
+  FROM v_acq0),
+valid_pos AS (
+  SELECT transaction_id, p_date AS transaction_date, p_gross AS gross_value, p_method AS payment_method, row_order
+  FROM v_pos WHERE validation_error IS NULL),
+valid_acq AS (
+  SELECT authorization_code, p_date AS settlement_date, p_gross AS gross_value, p_net AS net_value,
+         p_fee AS acquirer_fee, p_method AS payment_method, row_order AS k, authorization_code AS rid
+  FROM v_acq WHERE validation_error IS NULL),
+valid_mk AS (
+  SELECT order_id, p_date AS order_date, p_gross AS gross_value, p_comm AS ifood_commission,
+         p_method AS payment_method, p_status AS status, row_order
+  FROM v_mk WHERE validation_error IS NULL),
+"""
+
+
+def with_raw(body: str, run_chain: bool = False) -> str:
+    head = BASE.rstrip() + "\n" + RAW.strip() + "\n" + _validation_ctes().strip()
+    if run_chain:
+        head = head + "\n" + CHAIN.format(pos="valid_pos", acq="valid_acq", mk="valid_mk").strip()
+    else:
+        head = head.rstrip().rstrip(",")
+    return "WITH " + head.strip() + "\n" + body.strip()
+
+
+def raw_sql(reference_month: str) -> dict[str, str]:
+    q: dict[str, str] = {}
+    q["parse_money"] = with_raw("""
+SELECT row_order, gross_value AS gross_text, CAST(TRY_CAST(trim(replace(replace(replace(gross_value, 'R$', ''),
+       '.', ''), ',', '.')) AS DECIMAL(18,2)) AS DOUBLE) AS gross_value
+FROM raw_pos""")
+    q["parse_optional_money"] = with_raw(f"""
+SELECT row_order, ifood_commission AS commission_text, CAST(p_comm AS DOUBLE) AS commission,
+       ({_opt_blank('ifood_commission')} OR p_comm IS NOT NULL) AS commission_ok
+FROM v_mk""")
+    q["parse_dates"] = with_raw("""
+SELECT 'pos' AS source, row_order, transaction_date AS date_text, p_date AS parsed FROM v_pos
+UNION ALL
+SELECT 'acquirer', row_order, settlement_date, p_date FROM v_acq""")
+    q["normalise_payment"] = with_raw("""
+SELECT 'marketplace' AS source, row_order, payment_method AS method_text, p_method AS payment_method,
+       p_method IN ('credito','debito','pix','dinheiro','voucher','outro') AS is_valid FROM v_mk
+UNION ALL
+SELECT 'pos', row_order, payment_method, p_method,
+       p_method IN ('credito','debito','pix','dinheiro','voucher','outro') FROM v_pos
+UNION ALL
+SELECT 'acquirer', row_order, payment_method, p_method,
+       p_method IN ('credito','debito','pix','dinheiro','voucher','outro') FROM v_acq""")
+    q["normalise_status"] = with_raw("""
+SELECT row_order, status AS status_text, p_status AS status,
+       p_status IN ('concluido','cancelado','pendente') AS is_valid
+FROM v_mk""")
+    q["trim_strings"] = with_raw("""
+SELECT row_order, cashier_text, regexp_replace(cashier_text, '^\\s+|\\s+$', '', 'g') AS cashier_id
+FROM raw_pos""")
+    q["validate_split"] = with_raw("""
+SELECT row_order AS source_row_index, order_id, validation_error IS NULL AS is_valid, validation_error
+FROM v_mk""")
+    q["validate_installments"] = with_raw("""
+SELECT row_order AS source_row_index, installments AS installments_text, p_inst AS installments,
+       p_inst IS NOT NULL AS installments_ok
+FROM v_acq""")
+    q["validate_net_le_gross"] = with_raw("""
+SELECT row_order AS source_row_index, CAST(p_gross AS DOUBLE) AS gross_value, CAST(p_net AS DOUBLE) AS net_value,
+       NOT (p_net > p_gross + 0.01) AS net_ok
+FROM v_acq0 WHERE field_errors = ''""")
+    q["quarantine_log"] = with_raw("""
+SELECT 'marketplace' AS source, order_id AS record_id, validation_error, row_order AS source_row_index
+FROM v_mk WHERE validation_error IS NOT NULL
+UNION ALL
+SELECT 'pos', transaction_id, validation_error, row_order FROM v_pos WHERE validation_error IS NOT NULL
+UNION ALL
+SELECT 'acquirer', authorization_code, validation_error, row_order FROM v_acq WHERE validation_error IS NOT NULL""")
+    q["extraction_counts"] = with_raw("""
+SELECT 'marketplace' AS source, count(*) AS raw_rows, count(*) FILTER (WHERE validation_error IS NULL) AS valid_rows,
+       count(*) FILTER (WHERE validation_error IS NOT NULL) AS quarantined_rows FROM v_mk
+UNION ALL
+SELECT 'pos', count(*), count(*) FILTER (WHERE validation_error IS NULL),
+       count(*) FILTER (WHERE validation_error IS NOT NULL) FROM v_pos
+UNION ALL
+SELECT 'acquirer', count(*), count(*) FILTER (WHERE validation_error IS NULL),
+       count(*) FILTER (WHERE validation_error IS NOT NULL) FROM v_acq""")
+    q["run_summary"] = with_raw(f"""
+, t AS (SELECT {TOTALS} FROM ledger)
+SELECT '{reference_month}' AS reference_month,
+       (SELECT count(*) FROM valid_mk) AS total_ifood_orders,
+       (SELECT count(*) FROM valid_pos) AS total_pdv_transactions,
+       (SELECT count(*) FROM valid_acq) AS total_acquirer_transactions,
+       (SELECT count(*) FROM v_mk WHERE validation_error IS NOT NULL)
+         + (SELECT count(*) FROM v_pos WHERE validation_error IS NOT NULL)
+         + (SELECT count(*) FROM v_acq WHERE validation_error IS NOT NULL) AS quarantined_rows,
+       CAST(round(round(pos_g, 2) + round(mk_g, 2), 2) AS DOUBLE) AS gross_revenue_brl,
+       CAST(round(round(comm, 2) + round(fees, 2), 2) AS DOUBLE) AS total_fees_brl,
+       CAST(round(round(round(pos_g, 2) + round(mk_g, 2), 2) - round(round(comm, 2) + round(fees, 2), 2), 2)
+            AS DOUBLE) AS net_revenue_brl,
+       (SELECT CAST(count(*) AS INTEGER) FROM gaps) AS gaps_detected
+FROM t""", run_chain=True)
+    return q
