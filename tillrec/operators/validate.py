@@ -7,6 +7,7 @@ codegen'd expressions — no Python per row.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -132,6 +133,17 @@ def validate(df: DataFrame, spec: SourceSpec) -> DataFrame:
     return stage2.select(*spec.field_names, *raw_names, ROW_COL, F.nullif(joined, F.lit("")).alias(ERROR_COL))
 
 
+def persisted(validated: DataFrame) -> DataFrame:
+    """Keep one parse for its three consumers (valid rows, quarantine, counts).
+
+    Without it each consumer re-parses, and a filter on ``validation_error``
+    is pushed below the projections with the whole parse substituted into
+    it. MEMORY_AND_DISK spills instead of failing; lost blocks are recomputed
+    from lineage, which is deterministic.
+    """
+    return validated.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def valid_rows(validated: DataFrame, spec: SourceSpec) -> DataFrame:
     return validated.where(F.col(ERROR_COL).isNull()).select(*spec.field_names, ROW_COL)
 

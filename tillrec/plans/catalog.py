@@ -143,13 +143,13 @@ class RawInputs:
         self.spark, self.sf_dir, self.rates = spark, sf_dir, rates
 
     def v_marketplace(self) -> DataFrame:
-        return V.validate(stripped(derived.raw_marketplace(self.spark, self.sf_dir)), S.MARKETPLACE)
+        return V.persisted(V.validate(stripped(derived.raw_marketplace(self.spark, self.sf_dir)), S.MARKETPLACE))
 
     def v_pos(self) -> DataFrame:
-        return V.validate(stripped(derived.raw_pos(self.spark, self.sf_dir)), S.POS)
+        return V.persisted(V.validate(stripped(derived.raw_pos(self.spark, self.sf_dir)), S.POS))
 
     def v_acquirer(self) -> DataFrame:
-        return V.validate(stripped(derived.raw_acquirer(self.spark, self.sf_dir)), S.ACQUIRER)
+        return V.persisted(V.validate(stripped(derived.raw_acquirer(self.spark, self.sf_dir)), S.ACQUIRER))
 
     def valid(self):
         mk = V.valid_rows(self.v_marketplace(), S.MARKETPLACE)
@@ -165,8 +165,7 @@ def q_parse_money(spark, sf_dir):
 
 
 def q_parse_optional_money(spark, sf_dir):
-    raw = stripped(derived.raw_marketplace(spark, sf_dir))
-    v = V.validate(raw, S.MARKETPLACE)
+    v = RawInputs(spark, sf_dir).v_marketplace()
     return v.select(F.col(V.ROW_COL).alias("row_order"), F.col("raw_ifood_commission").alias("commission_text"),
                     F.col("ifood_commission").cast("double").alias("commission"),
                     (is_optional_blank(F.col("raw_ifood_commission")) | F.col("ifood_commission").isNotNull())
