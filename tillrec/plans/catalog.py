@@ -19,7 +19,8 @@ from tillrec.functions.text import py_strip
 from tillrec.constants import (
     ACQUIRER_PAYMENT_MAP, MARKETPLACE_PAYMENT_MAP, ORDER_STATUSES, PAYMENT_METHODS, POS_PAYMENT_MAP, STATUS_MAP,
 )
-from tillrec.operators import enrich, reconcile, statement, validate as V
+from tillrec.operators import alerts as A, bursts, enrich, history as H, leads as L, reconcile, statement, \
+    validate as V
 from tillrec.plans import oracle
 from tillrec.sources import derived, spec as S
 
@@ -277,6 +278,112 @@ def q_run_summary(spark, sf_dir):
         F.col("total_deductions_brl").alias("total_fees_brl"), "net_revenue_brl", "gaps_detected")
 
 
+# ------------------------------------------------------------------ history, alerts, leads, bursts
+
+LOOKUP_MONTH = "1998-06"
+DRILL_MIN_AMOUNT = 1000.0
+TREND_N = 6
+RUN_STAMP = "20260401_000000"
+GENERATED_AT = "2026-04-01T00:00:00"
+LEAD_ID = "LEAD-00000042"
+PAGE_FROM, PAGE_TO, PAGE_SKIP, PAGE_LIMIT = "2026-01-15 00:00:00", "2026-02-15 00:00:00", 10, 100
+
+
+def _metrics(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    return H.period_metrics(H.artefacts_from_ledger(i.ledger(), i.gaps(), RUN_STAMP, GENERATED_AT))
+
+
+def q_period_metrics(spark, sf_dir):
+    return _metrics(spark, sf_dir).drop("file_name")
+
+
+def q_period_index(spark, sf_dir):
+    return H.period_index(_metrics(spark, sf_dir))
+
+
+def q_latest_period(spark, sf_dir):
+    return H.latest_period(_metrics(spark, sf_dir))
+
+
+def q_trend_last_n(spark, sf_dir):
+    return H.trend_last_n(_metrics(spark, sf_dir), TREND_N)
+
+
+def q_period_lookup(spark, sf_dir):
+    return H.period_lookup(_metrics(spark, sf_dir), LOOKUP_MONTH)
+
+
+def q_gap_drilldown(spark, sf_dir):
+    return H.gap_drilldown(Inputs(spark, sf_dir).gaps(), LOOKUP_MONTH, DRILL_MIN_AMOUNT)
+
+
+def _alerts(spark, sf_dir):
+    return A.alerts_from_gaps(Inputs(spark, sf_dir).gaps())
+
+
+def q_alerts_from_gaps(spark, sf_dir):
+    return _alerts(spark, sf_dir)
+
+
+def q_alert_routing(spark, sf_dir):
+    return A.alert_routing(_alerts(spark, sf_dir), derived.subscribers(spark, sf_dir)).select(
+        "alert_id", "severity", "subscriber_id", "channel")
+
+
+def q_alert_state(spark, sf_dir):
+    al = _alerts(spark, sf_dir)
+    return A.alert_state(al, derived.acknowledgements(al))
+
+
+def q_alerts_open(spark, sf_dir):
+    al = _alerts(spark, sf_dir)
+    return A.alerts_open(al, derived.acknowledgements(al)).select("alert_id", "severity", "amount_brl")
+
+
+def q_dashboard_totals(spark, sf_dir):
+    al = _alerts(spark, sf_dir)
+    return H.dashboard_totals(_metrics(spark, sf_dir), A.alerts_open(al, derived.acknowledgements(al)))
+
+
+def _lead_lines(spark, sf_dir):
+    return L.parse_lines(derived.lead_lines(spark, sf_dir))
+
+
+def q_lead_count(spark, sf_dir):
+    return L.lead_count(_lead_lines(spark, sf_dir))
+
+
+def q_lead_validate(spark, sf_dir):
+    return L.lead_validate(_lead_lines(spark, sf_dir))
+
+
+def q_lead_page(spark, sf_dir):
+    return L.lead_page(_lead_lines(spark, sf_dir), PAGE_FROM, PAGE_TO, PAGE_SKIP, PAGE_LIMIT)
+
+
+def q_lead_lookup(spark, sf_dir):
+    return L.lead_lookup(_lead_lines(spark, sf_dir), LEAD_ID)
+
+
+def q_lead_erase(spark, sf_dir):
+    parsed = _lead_lines(spark, sf_dir)
+    erase = (derived.table(spark, sf_dir, "customer").where(F.col("c_custkey") % 29 == 0)
+             .select(F.concat(F.lit("LEAD-"), F.lpad(F.col("c_custkey").cast("string"), 8, "0")).alias("id")))
+    return L.lead_erase(parsed, erase).select("line_no", "id")
+
+
+def q_clean_html_text(spark, sf_dir):
+    from tillrec.functions.text import clean_markup
+    pages = derived.table(spark, sf_dir, "pages")
+    text = clean_markup(F.col("html"))
+    return pages.select("page_id", text.alias("clean_text"), F.length(text).alias("n_chars"))
+
+
+def q_burst_counts(spark, sf_dir):
+    return bursts.burst_counts(derived.table(spark, sf_dir, "events"))
+
+
 def queries() -> dict[str, Builder]:
     return {name[2:]: fn for name, fn in globals().items() if name.startswith("q_") and callable(fn)}
 
@@ -285,4 +392,6 @@ def oracle_sql() -> dict[str, str]:
     sql = {}
     sql.update(oracle.core_sql(REFERENCE_MONTH))
     sql.update(oracle.raw_sql(REFERENCE_MONTH))
+    sql.update(oracle.more_sql(LOOKUP_MONTH, DRILL_MIN_AMOUNT, TREND_N, RUN_STAMP, GENERATED_AT, LEAD_ID,
+                               PAGE_FROM, PAGE_TO, PAGE_SKIP, PAGE_LIMIT))
     return sql

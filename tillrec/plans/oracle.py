@@ -446,3 +446,160 @@ SELECT '{reference_month}' AS reference_month,
        (SELECT CAST(count(*) AS INTEGER) FROM gaps) AS gaps_detected
 FROM t""", run_chain=True)
     return q
+
+
+# ------------------------------------------------------------------ history, alerts, leads, pages, bursts
+def _coalesced_money7() -> str:
+    out = []
+    for line in MONEY7.strip().split(",\n"):
+        expr, alias = line.rsplit(" AS ", 1)
+        out.append(f"coalesce({expr.strip()}, 0.0) AS {alias.strip()}")
+    return ",\n  ".join(out)
+
+
+def _py_space_class() -> str:
+    from tillrec.functions.text import _PY_SPACE
+    return "[" + "".join(f"\\x{{{ord(ch):04x}}}" for ch in _PY_SPACE) + "]"
+
+
+def more_sql(month: str, min_amount: float, trend_n: int, run_stamp: str, generated_at: str, lead_id: str,
+             page_from: str, page_to: str, skip: int, limit: int) -> dict[str, str]:
+    q: dict[str, str] = {}
+    art = f"""
+, mt AS (SELECT strftime(date, '%Y-%m') AS reference_month, {TOTALS} FROM ledger GROUP BY 1),
+gt AS (SELECT strftime(gap_date, '%Y-%m') AS reference_month, count(*) AS gaps_detected,
+              round(sum(CAST(amount_brl AS DECIMAL(18,2))), 2) AS gv FROM gaps GROUP BY 1),
+art AS (
+  SELECT coalesce(mt.reference_month, gt.reference_month) AS reference_month,
+         {_coalesced_money7()},
+         CAST(coalesce(gt.gaps_detected, 0) AS INTEGER) AS gaps_detected,
+         CAST(coalesce(gt.gv, 0) AS DOUBLE) AS gaps_value_brl,
+         '{generated_at}' AS generated_at,
+         'dataflow_' || coalesce(mt.reference_month, gt.reference_month) || '_{run_stamp}_dre.json' AS file_name
+  FROM mt FULL OUTER JOIN gt ON mt.reference_month = gt.reference_month),
+pm AS (
+  SELECT reference_month, total_gross_revenue_brl AS gross_revenue_brl, net_revenue_brl, total_deductions_brl,
+         total_ifood_commission_brl AS ifood_commission_brl, total_card_fees_brl AS card_fees_brl,
+         CASE WHEN total_gross_revenue_brl > 0 THEN round(net_revenue_brl / total_gross_revenue_brl * 100, 2)
+              ELSE 0.0 END AS net_margin_pct,
+         gaps_detected AS gaps_count, gaps_value_brl, generated_at, file_name
+  FROM art),
+alerts AS (
+  SELECT gap_type || ':' || transaction_id AS alert_id,
+         CASE WHEN amount_brl >= 5000 THEN 'critical' WHEN amount_brl >= 1000 THEN 'high'
+              WHEN amount_brl >= 100 THEN 'medium' ELSE 'low' END AS severity,
+         '[' || gap_type || '] Furo detectado - R$ ' || CAST(CAST(amount_brl AS DECIMAL(18,2)) AS VARCHAR) AS title,
+         detail AS message, transaction_id, amount_brl, strftime(gap_date, '%Y-%m') AS reference_month,
+         gap_date AS created_at
+  FROM gaps),
+subs AS (
+  SELECT 'SUB-' || CAST(n_nationkey AS VARCHAR) AS subscriber_id,
+         (['slack','telegram','whatsapp','email','generic_webhook'])[n_nationkey % 5 + 1] AS channel,
+         (['low','medium','high','critical'])[n_nationkey % 4 + 1] AS severity_filter,
+         n_nationkey % 6 <> 0 AS active
+  FROM nation),
+acks AS (
+  SELECT alert_id, created_at + INTERVAL 1 DAY AS ack_at FROM alerts
+  WHERE CAST(CAST(amount_brl * 100 AS DECIMAL(18,0)) AS BIGINT) % 4 = 0
+  UNION ALL
+  SELECT alert_id, created_at + INTERVAL 2 DAY FROM alerts
+  WHERE CAST(CAST(amount_brl * 100 AS DECIMAL(18,0)) AS BIGINT) % 8 = 0),
+open_alerts AS (SELECT * FROM alerts a WHERE NOT EXISTS (SELECT 1 FROM acks k WHERE k.alert_id = a.alert_id))
+"""
+    pm_cols = ("reference_month, gross_revenue_brl, net_revenue_brl, total_deductions_brl, ifood_commission_brl, "
+               "card_fees_brl, net_margin_pct, gaps_count, gaps_value_brl, generated_at")
+    q["period_metrics"] = with_derived(art + f"SELECT {pm_cols} FROM pm")
+    q["period_index"] = with_derived(art + "SELECT reference_month, gross_revenue_brl, net_revenue_brl, gaps_count "
+                                           "FROM pm ORDER BY reference_month")
+    q["latest_period"] = with_derived(art + f"SELECT {pm_cols} FROM pm ORDER BY reference_month DESC, "
+                                            "file_name DESC LIMIT 1")
+    q["trend_last_n"] = with_derived(art + f"""SELECT reference_month AS month, gross_revenue_brl AS gross_revenue,
+       net_revenue_brl AS net_revenue, gaps_count
+FROM (SELECT * FROM pm ORDER BY reference_month DESC, file_name DESC LIMIT {trend_n}) ORDER BY month""")
+    q["period_lookup"] = with_derived(art + f"SELECT {pm_cols} FROM pm WHERE reference_month = '{month}' "
+                                            "ORDER BY file_name LIMIT 1")
+    q["gap_drilldown"] = with_derived(f"""
+SELECT transaction_id, source, coalesce(gap_type, 'UNKNOWN') AS gap_type, round(amount_brl, 2) AS amount_brl,
+       detail, gap_order
+FROM gaps WHERE strftime(gap_date, '%Y-%m') = '{month}' AND round(amount_brl, 2) >= {min_amount}
+ORDER BY amount_brl DESC, gap_order, transaction_id""")
+    q["alerts_from_gaps"] = with_derived(art + "SELECT * FROM alerts")
+    q["alert_routing"] = with_derived(art + """
+SELECT a.alert_id, a.severity, s.subscriber_id, s.channel
+FROM alerts a JOIN subs s
+  ON s.active AND list_position(['low','medium','high','critical'], s.severity_filter)
+                  <= list_position(['low','medium','high','critical'], a.severity)""")
+    q["alert_state"] = with_derived(art + """
+SELECT a.alert_id, k.ack_at IS NOT NULL AS acknowledged, k.ack_at AS acknowledged_at
+FROM alerts a LEFT JOIN (SELECT alert_id, max(ack_at) AS ack_at FROM acks GROUP BY 1) k USING (alert_id)""")
+    q["alerts_open"] = with_derived(art + "SELECT alert_id, severity, amount_brl FROM open_alerts")
+    q["dashboard_totals"] = with_derived(art + """
+SELECT CAST(round(coalesce(sum(CAST(gaps_value_brl AS DECIMAL(18,2))), 0), 2) AS DOUBLE) AS total_recovered_brl,
+       CAST(round(coalesce(sum(gaps_count), 0) * 2.0, 1) AS DOUBLE) AS total_hours_saved,
+       (SELECT count(*) FROM open_alerts) AS alerts_open
+FROM pm""")
+
+    ws = _py_space_class()
+    leads = f"""
+WITH lines AS (
+  SELECT c_custkey AS line_no, c_custkey % 23 = 0 AS blank,
+         c_custkey % 23 <> 0 AND c_custkey % 17 = 0 AS malformed,
+         'LEAD-' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS id,
+         CASE WHEN c_custkey % 31 = 0 THEN NULL
+              ELSE TIMESTAMP '2026-01-01 00:00:00' + to_minutes(CAST(c_custkey * 37 AS BIGINT)) END AS received_ts,
+         CASE WHEN c_custkey % 11 = 0 THEN '<b>' || c_name || '</b>' ELSE c_name END AS name,
+         c_mktsegment AS restaurant,
+         (['50k-100k','100k-250k','250k-500k','500k+','unknown'])[c_custkey % 5 + 1] AS revenue,
+         CASE WHEN c_custkey % 7 = 0 THEN '' WHEN c_custkey % 7 = 1 THEN 'ifood' ELSE 'ifood,pdv,stone' END
+           AS systems,
+         CASE WHEN c_custkey % 9 = 0 THEN '12345'
+              ELSE '(' || lpad(CAST(c_custkey % 100 AS VARCHAR), 2, '0') || ') 9'
+                   || lpad(CAST(c_custkey AS VARCHAR), 8, '0') END AS phone,
+         CASE WHEN c_custkey % 13 = 0 THEN 'bad-email' WHEN c_custkey % 13 = 1 THEN NULL
+              ELSE 'c' || CAST(c_custkey AS VARCHAR) || '@example.com' END AS email,
+         (['landing_page','WhatsApp','unknown',' referral '])[c_custkey % 4 + 1] AS source,
+         c_custkey % 10 <> 0 AS lgpd_consent
+  FROM customer),
+good AS (SELECT * FROM lines WHERE NOT blank AND NOT malformed)
+"""
+
+    def clean(x: str) -> str:
+        return f"regexp_replace(regexp_replace({x}, '<[^>]+>', '', 'g'), '^{ws}+|{ws}+$', '', 'g')"
+
+    q["lead_count"] = leads + "SELECT count(*) AS lead_count FROM lines WHERE NOT blank"
+    q["lead_validate"] = leads + f"""
+SELECT line_no, id, {clean('name')} AS name, {clean('restaurant')} AS restaurant, systems,
+       regexp_replace(phone, '[^0-9]', '', 'g') AS phone,
+       CASE WHEN lower(trim(source)) IN ('landing_page','whatsapp','referral','google_ads','instagram','linkedin',
+                                         'organic','other') THEN lower(trim(source)) ELSE 'other' END AS source,
+       failed = '' AS is_valid, nullif(failed, '') AS failed_checks
+FROM (SELECT *, concat_ws(',',
+        CASE WHEN NOT length({clean('name')}) BETWEEN 3 AND 120 THEN 'name' END,
+        CASE WHEN NOT length({clean('restaurant')}) BETWEEN 2 AND 120 THEN 'restaurant' END,
+        CASE WHEN revenue NOT IN ('50k-100k','100k-250k','250k-500k','500k+') THEN 'revenue' END,
+        CASE WHEN systems = '' THEN 'systems' END,
+        CASE WHEN NOT (length(phone) BETWEEN 10 AND 20
+                       AND length(regexp_replace(phone, '[^0-9]', '', 'g')) BETWEEN 10 AND 11) THEN 'phone' END,
+        CASE WHEN email IS NOT NULL AND NOT regexp_matches(email, '^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$') THEN 'email' END,
+        CASE WHEN NOT lgpd_consent THEN 'lgpd_consent' END) AS failed
+      FROM good)"""
+    q["lead_page"] = leads + f"""
+SELECT line_no, id, received_ts FROM good
+WHERE (received_ts IS NULL OR received_ts >= TIMESTAMP '{page_from}')
+  AND (received_ts IS NULL OR received_ts <= TIMESTAMP '{page_to}')
+ORDER BY line_no LIMIT {limit} OFFSET {skip}"""
+    q["lead_lookup"] = leads + f"SELECT line_no, id, name FROM good WHERE id = '{lead_id}' ORDER BY line_no LIMIT 1"
+    q["lead_erase"] = leads + """
+SELECT line_no, CASE WHEN malformed THEN NULL ELSE id END AS id FROM lines
+WHERE NOT blank AND (malformed OR line_no % 29 <> 0)"""
+    q["clean_html_text"] = f"""
+SELECT page_id, t AS clean_text, length(t) AS n_chars
+FROM (SELECT page_id, regexp_replace(replace(regexp_replace(html, '<[^>]+>', '', 'g'), chr(0), ''),
+                                     '^{ws}+|{ws}+$', '', 'g') AS t FROM pages)"""
+    q["burst_counts"] = """
+SELECT event_id, user_id, ts, n_in_window, n_in_window > 5 AS over_limit
+FROM (SELECT event_id, user_id, ts,
+             count(*) OVER (PARTITION BY user_id ORDER BY ts
+                            RANGE BETWEEN INTERVAL 60 SECONDS PRECEDING AND CURRENT ROW) AS n_in_window
+      FROM events)"""
+    return q

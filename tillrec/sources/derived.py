@@ -199,3 +199,57 @@ def raw_acquirer(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("stone").alias("acquirer_name"),
         k.alias("row_order"),
     )
+
+
+# ----------------------------------------------------------------------------- alert and lead inputs
+
+def subscribers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alert subscribers derived from ``nation`` (one per row)."""
+    n = table(spark, sf_dir, "nation")
+    key = F.col("n_nationkey")
+    return n.select(
+        F.concat(F.lit("SUB-"), key.cast("string")).alias("id"),
+        _pick(key % 5, ["slack", "telegram", "whatsapp", "email", "generic_webhook"]).alias("channel"),
+        F.concat(F.lit("https://hooks.example.org/"), key.cast("string")).alias("webhook_url"),
+        _pick(key % 4, ["low", "medium", "high", "critical"]).alias("severity_filter"),
+        (key % 6 != 0).alias("active"),
+    )
+
+
+def acknowledgements(alerts: DataFrame) -> DataFrame:
+    """Ack log derived from alerts: a quarter acknowledged a day later, an eighth re-acknowledged."""
+    c = (F.col("amount_brl") * 100).cast("decimal(18,0)").cast("bigint")
+    first = alerts.where(c % 4 == 0).select("alert_id", (F.col("created_at") + F.expr("INTERVAL 1 DAY")).alias("ack_at"))
+    again = alerts.where(c % 8 == 0).select("alert_id", (F.col("created_at") + F.expr("INTERVAL 2 DAYS")).alias("ack_at"))
+    return first.unionByName(again)
+
+
+def lead_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lead store lines (``line_no``, ``value``) derived from ``customer``: JSON documents with
+    markup in names, bad brackets/systems/phones/e-mails, refused consent, malformed and blank lines."""
+    c = table(spark, sf_dir, "customer")
+    key = F.col("c_custkey")
+    lead = F.struct(
+        F.concat(F.lit("LEAD-"), F.lpad(key.cast("string"), 8, "0")).alias("id"),
+        F.when(key % 31 == 0, F.lit("not-a-date")).otherwise(
+            F.date_format(F.lit("2026-01-01 00:00:00").cast("timestamp_ntz")
+                          + F.make_dt_interval(F.lit(0), F.lit(0), (key * 37).cast("int")), "yyyy-MM-dd'T'HH:mm:ss"))
+         .alias("received_at"),
+        F.when(key % 11 == 0, F.concat(F.lit("<b>"), F.col("c_name"), F.lit("</b>"))).otherwise(F.col("c_name"))
+         .alias("name"),
+        F.col("c_mktsegment").alias("restaurant"),
+        _pick(key % 5, ["50k-100k", "100k-250k", "250k-500k", "500k+", "unknown"]).alias("revenue"),
+        F.when(key % 7 == 0, F.array(F.lit("fax"))).when(key % 7 == 1, F.array(F.lit("ifood"), F.lit("fax")))
+         .otherwise(F.array(F.lit("ifood"), F.lit("pdv"), F.lit("stone"))).alias("systems"),
+        F.when(key % 9 == 0, F.lit("12345")).otherwise(
+            F.concat(F.lit("("), F.lpad((key % 100).cast("string"), 2, "0"), F.lit(") 9"),
+                     F.lpad(key.cast("string"), 8, "0"))).alias("phone"),
+        F.when(key % 13 == 0, F.lit("bad-email")).when(key % 13 == 1, F.lit(None))
+         .otherwise(F.concat(F.lit("c"), key.cast("string"), F.lit("@example.com"))).alias("email"),
+        _pick(key % 4, ["landing_page", "WhatsApp", "unknown", " referral "]).alias("source"),
+        (key % 10 != 0).alias("lgpd_consent"),
+    )
+    value = (F.when(key % 23 == 0, F.lit(""))
+              .when(key % 17 == 0, F.concat(F.lit('{"id": "LEAD-'), key.cast("string"), F.lit('", broken')))
+              .otherwise(F.to_json(lead)))
+    return c.select(key.alias("line_no"), value.alias("value"))
