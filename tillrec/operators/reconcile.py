@@ -12,8 +12,9 @@ written naively Spark plans it as a nested-loop join. We make it an equi-join:
   a set holds at most ``4t + 1`` values whatever the data volume, and the
   reduction is partial-aggregated before the shuffle, so one hot amount on
   one day collapses to a single entry;
-* the left side joins LEFT ANTI on ``(day, bin)`` with the exact residual
-  ``exists(|cents - x| <= t)``.
+* the sets are exploded back to rows (still partitioned by ``(day, bin)``)
+  and the left side joins LEFT ANTI on ``(day, bin)`` with the exact,
+  codegen'd residual ``|cents - x| <= t``.
 
 The aggregated side is hash-partitioned on the join keys already, so only
 the left side is shuffled; AQE turns the join into a broadcast when the
@@ -52,23 +53,25 @@ def band_anti_join(left: DataFrame, right: DataFrame, left_day: Column, left_cen
                     .where(F.col("_r_day").isNotNull() & F.col("_r_cents").isNotNull())
                     .select("_r_day", F.explode(bins.cast("array<bigint>")).alias("_r_bin"), "_r_cents")
                     .groupBy("_r_day", "_r_bin")
-                    .agg(F.collect_set("_r_cents").alias("_r_set")))
+                    .agg(F.collect_set("_r_cents").alias("_r_set"))
+                    # back to rows: Generate keeps the (day, bin) hash partitioning,
+                    # so the join needs no second shuffle of this side
+                    .select("_r_day", "_r_bin", F.explode("_r_set").alias("_r_cents")))
     probe = left.select("*", left_day.alias("_l_day"), left_cents.alias("_l_cents"),
                         F.floor(left_cents / w).cast("bigint").alias("_l_bin"))
     cond = ((probe["_l_day"] == reduced["_r_day"]) & (probe["_l_bin"] == reduced["_r_bin"])
-            & F.exists(reduced["_r_set"], lambda x: F.abs(x - probe["_l_cents"]) <= t))
+            & (F.abs(reduced["_r_cents"] - probe["_l_cents"]) <= t))
     return probe.join(reduced, cond, "left_anti").drop("_l_day", "_l_cents", "_l_bin")
 
 
 def _only_if_nonempty(rows: DataFrame, other: DataFrame) -> DataFrame:
-    """Keep ``rows`` only when ``other`` has at least one row (no driver-side count).
+    """Keep ``rows`` only when ``other`` has at least one row.
 
-    The flag side is ``limit(1)``: its size is bounded by construction.
+    An uncorrelated scalar subquery (``limit(1)``, so one value at most) —
+    a filter, not a join, and no driver-side ``count()``.
     """
-    flag = other.select(F.lit(1).alias("_nonempty")).limit(1)
-    return (rows.withColumn("_nonempty", F.lit(1))
-                .join(F.broadcast(flag), "_nonempty", "left_semi")
-                .drop("_nonempty"))
+    flag = other.select(F.lit(1).alias("_one")).limit(1).scalar()
+    return rows.where(flag.isNotNull())
 
 
 def gaps_pos_missing(sales: DataFrame, settlements: DataFrame, rates: Rates = Rates()) -> DataFrame:

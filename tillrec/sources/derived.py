@@ -20,7 +20,23 @@ from tillrec.functions.money import MONEY, RATE
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Re-spread a scan that has fewer splits than the cluster has cores.
+
+    A file with one row group is one task however many cores there are; a
+    round-robin repartition then lets the per-row derivation run in parallel.
+    On large inputs the scan already has many splits and this is a no-op
+    (the check only plans the scan, it runs no job).
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        # hash on the leading key: deterministic on retry without the sort
+        # a round-robin repartition needs for that
+        return df.repartition(cores, df.columns[0])
+    return df
 
 
 def _pick(index: Column, values: list[str]) -> Column:
