@@ -26,6 +26,8 @@ MSG_NEGATIVE = "must be >= 0"
 MSG_ENUM = "not an allowed value"
 MSG_INT_RANGE = "must be an integer between {lo} and {hi}"
 MSG_NET_GT_GROSS = "root: net_value cannot exceed gross_value"
+MSG_MALFORMED = "row: malformed line"
+CORRUPT_COL = "_corrupt"
 
 INT_TEXT = r"^\s*[+-]?\d+(\.0+)?\s*$"
 ERROR_COL = "validation_error"
@@ -120,11 +122,14 @@ def validate(df: DataFrame, spec: SourceSpec) -> DataFrame:
     raw_cols = [F.col(r.name).alias(f"raw_{r.name}") for r in spec.fields if present[r.name]]
     parts = [timestamp_parts(F.col(r.name), r.layouts).alias(f"parts_{r.name}")
              for r in spec.fields if r.kind == "datetime" and present[r.name]]
-    stage1 = df.select(*raw_cols, *parts, F.col(ROW_COL))
+    carry = [ROW_COL] + ([CORRUPT_COL] if CORRUPT_COL in cols else [])
+    stage1 = df.select(*raw_cols, *parts, *carry)
     raw_names = [f"raw_{r.name}" for r in spec.fields if present[r.name]]
     stage2 = stage1.select(*[_value(r, present[r.name]).alias(r.name) for r in spec.fields],
-                           *raw_names, ROW_COL)
+                           *raw_names, *carry)
     field_errors = [e for r in spec.fields for e in _errors(r, present[r.name])]
+    if CORRUPT_COL in cols:
+        field_errors.insert(0, F.when(F.col(CORRUPT_COL).isNotNull(), F.lit(MSG_MALFORMED)))
     joined = F.concat_ws("; ", *field_errors) if field_errors else F.lit("")
     if spec.net_le_gross:
         cross = F.when((joined == "") & (F.col("net_value") > F.col("gross_value") + F.lit("0.01").cast(MONEY)),

@@ -384,6 +384,41 @@ def q_burst_counts(spark, sf_dir):
     return bursts.burst_counts(derived.table(spark, sf_dir, "events"))
 
 
+# ------------------------------------------------------------------ sinks (the tables a run writes)
+
+def q_ledger_export(spark, sf_dir):
+    from tillrec.sinks.writers import ledger_sheet
+    led = enrich.ledger_net(Inputs(spark, sf_dir).ledger())
+    money = ["gross_value", "net_value", "mdr_fee", "ifood_commission_computed", "net_value_final"]
+    return ledger_sheet(led.select(*[_d(c) if c in money else F.col(c) for c in led.columns]))
+
+
+def q_gap_export(spark, sf_dir):
+    from tillrec.sinks.writers import gap_sheet
+    return gap_sheet(Inputs(spark, sf_dir).gaps())
+
+
+def _monthly(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    ledger, gaps = i.ledger(), i.gaps()
+    return statement.monthly_statements(ledger, gaps), statement.revenue_by_payment(ledger, "reference_month")
+
+
+def q_income_statement_json(spark, sf_dir):
+    from tillrec.sinks.writers import statement_records
+    st, byp = _monthly(spark, sf_dir)
+    rec = statement_records(st, statement.revenue_map(byp, "reference_month"), GENERATED_AT)
+    entries = F.array_sort(F.map_entries("revenue_by_payment"))
+    text = F.array_join(F.transform(entries, lambda e: F.concat(
+        e["key"], F.lit("="), e["value"].cast("decimal(18,2)").cast("string"))), ";")
+    return rec.withColumn("revenue_by_payment", text)
+
+
+def q_statement_rows(spark, sf_dir):
+    st, byp = _monthly(spark, sf_dir)
+    return statement.statement_rows(st, byp, GENERATED_AT, str(RATES.commission_rate))
+
+
 def queries() -> dict[str, Builder]:
     return {name[2:]: fn for name, fn in globals().items() if name.startswith("q_") and callable(fn)}
 
@@ -392,6 +427,7 @@ def oracle_sql() -> dict[str, str]:
     sql = {}
     sql.update(oracle.core_sql(REFERENCE_MONTH))
     sql.update(oracle.raw_sql(REFERENCE_MONTH))
+    sql.update(oracle.sink_sql(GENERATED_AT))
     sql.update(oracle.more_sql(LOOKUP_MONTH, DRILL_MIN_AMOUNT, TREND_N, RUN_STAMP, GENERATED_AT, LEAD_ID,
                                PAGE_FROM, PAGE_TO, PAGE_SKIP, PAGE_LIMIT))
     return sql

@@ -603,3 +603,70 @@ FROM (SELECT event_id, user_id, ts,
                             RANGE BETWEEN INTERVAL 60 SECONDS PRECEDING AND CURRENT ROW) AS n_in_window
       FROM events)"""
     return q
+
+
+# ------------------------------------------------------------------ sinks
+def sink_sql(generated_at: str) -> dict[str, str]:
+    from tillrec.constants import GAP_HEADINGS, LEDGER_HEADINGS
+    from tillrec.operators.statement import _layout
+    q: dict[str, str] = {}
+    lh = LEDGER_HEADINGS
+    q["ledger_export"] = with_derived(f"""
+SELECT source AS "{lh['source']}", record_id AS "{lh['record_id']}", date AS "{lh['date']}",
+       CAST(gross_value AS DOUBLE) AS "{lh['gross_value']}", CAST(net_value AS DOUBLE) AS net_value,
+       CAST(mdr_fee AS DOUBLE) AS "{lh['mdr_fee']}",
+       CAST(ifood_commission_computed AS DOUBLE) AS "{lh['ifood_commission_computed']}",
+       payment_method AS "{lh['payment_method']}", status AS "{lh['status']}",
+       CAST(round(gross_value - mdr_fee - ifood_commission_computed, 2) AS DOUBLE) AS "{lh['net_value_final']}"
+FROM ledger""")
+    q["gap_export"] = with_derived("SELECT " + ", ".join(f'{k} AS "{v}"' for k, v in GAP_HEADINGS.items())
+                                   + " FROM gaps")
+    monthly = f"""
+, mt AS (SELECT strftime(date, '%Y-%m') AS reference_month, {TOTALS} FROM ledger GROUP BY 1),
+gt AS (SELECT strftime(gap_date, '%Y-%m') AS reference_month, count(*) AS gaps_detected,
+              round(sum(CAST(amount_brl AS DECIMAL(18,2))), 2) AS gv FROM gaps GROUP BY 1),
+st AS (
+  SELECT coalesce(mt.reference_month, gt.reference_month) AS reference_month,
+         {_coalesced_money7()},
+         CAST(coalesce(gt.gaps_detected, 0) AS INTEGER) AS gaps_detected,
+         CAST(coalesce(gt.gv, 0) AS DOUBLE) AS gaps_value_brl
+  FROM mt FULL OUTER JOIN gt ON mt.reference_month = gt.reference_month),
+byp AS (
+  SELECT strftime(date, '%Y-%m') AS reference_month, payment_method,
+         CAST(round(sum(gross_value), 2) AS DOUBLE) AS revenue_brl
+  FROM ledger WHERE gross_value > 0 GROUP BY 1, 2)
+"""
+    q["income_statement_json"] = with_derived(monthly + f"""
+SELECT st.*, m.revenue_by_payment, '{generated_at}' AS generated_at
+FROM st LEFT JOIN (
+  SELECT reference_month,
+         string_agg(payment_method || '=' || CAST(CAST(revenue_brl AS DECIMAL(18,2)) AS VARCHAR), ';'
+                    ORDER BY payment_method) AS revenue_by_payment
+  FROM byp GROUP BY 1) m USING (reference_month)""")
+
+    def fmt(col: str) -> str:
+        return f"'R$ ' || format('{{:,.2f}}', CAST({col} AS DECIMAL(18,2)))"
+
+    parts = []
+    for n, (label, col, negative) in enumerate(_layout("23")):
+        if col is None:
+            value = "''"
+        elif col == "reference_month":
+            value = "reference_month"
+        elif col == "generated_at":
+            value = f"'{generated_at}'"
+        elif col == "gaps_detected":
+            value = "CAST(gaps_detected AS VARCHAR)"
+        else:
+            value = fmt(col)
+            if negative:
+                value = "'- ' || " + value
+        safe = label.replace("'", "''")
+        parts.append(f"SELECT reference_month, {n} AS line_no, '{safe}' AS item, {value} AS value FROM st")
+    n_fixed = len(_layout("23"))
+    q["statement_rows"] = with_derived(monthly + "\n" + "\nUNION ALL\n".join(parts) + f"""
+UNION ALL
+SELECT reference_month, {n_fixed - 1} + dense_rank() OVER (PARTITION BY reference_month ORDER BY payment_method),
+       '  ' || upper(substr(payment_method, 1, 1)) || lower(substr(payment_method, 2)), {fmt('revenue_brl')}
+FROM byp""")
+    return q
