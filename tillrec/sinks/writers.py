@@ -41,7 +41,8 @@ def write_run(out_dir: str, run_stamp: str, statements: DataFrame, gaps: DataFra
         "quarantine": f"{out_dir}/quarantine/run={run_stamp}",
         "statement_rows": f"{out_dir}/statement_rows/run={run_stamp}",
     }
-    statements.write.mode(mode).partitionBy("reference_month").json(paths["statement"])
+    # one small record per month of the run; kept whole so readers see reference_month in it
+    statements.write.mode(mode).json(paths["statement"])
     (gaps.withColumn("reference_month", F.date_format("gap_date", "yyyy-MM"))
          .write.mode(mode).partitionBy("reference_month").option("header", True).csv(paths["gaps"]))
     (ledger.withColumn("reference_month", F.date_format("date", "yyyy-MM"))

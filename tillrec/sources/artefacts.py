@@ -45,8 +45,9 @@ def read_artefacts(spark: SparkSession, pattern: str, multi_line: bool = True) -
           .json(pattern))
     df = df.where(F.col("_corrupt").isNull() & F.col("reference_month").isNotNull())
     from_array = F.aggregate(F.coalesce(F.col("gaps"), F.array().cast(T.ArrayType(GAP_STRUCT))),
-                             F.lit(0).cast("decimal(18,2)"),
-                             lambda acc, g: acc + F.coalesce(g["amount_brl"], F.lit(0.0)).cast("decimal(18,2)"))
+                             F.lit(0).cast("decimal(38,2)"),
+                             lambda acc, g: (acc + F.coalesce(g["amount_brl"], F.lit(0.0)).cast("decimal(18,2)"))
+                             .cast("decimal(38,2)"))
     value = F.when(F.col("gaps").isNotNull(), F.round(from_array, 2).cast("double")) \
              .otherwise(F.coalesce(F.col("gaps_value_brl"), F.lit(0.0)))
     return df.select(

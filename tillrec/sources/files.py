@@ -121,8 +121,10 @@ def normalise_cells(rows: DataFrame, spec: SourceSpec) -> DataFrame:
         return F.when(v.isin(*NA_WORDS), na).otherwise(v)
 
     df = rows.select(cells.alias("_cells"), "_file", F.col("_row").alias("_block"))
-    ambiguous = F.greatest(*[F.size(F.filter(F.map_keys("_cells"), lambda k, a=a: k.isin(*a)))
-                             for a in aliases.values()]) > 1
+    def among(names: list[str]):
+        return lambda k: k.isin(*names)
+
+    ambiguous = F.greatest(*[F.size(F.filter(F.map_keys("_cells"), among(a))) for a in aliases.values()]) > 1
     fields = {f: F.coalesce(*[cell(a) for a in aliases[f]]) for f in spec.field_names}
     for name, value in spec.injected.items():
         fields[name] = F.lit(value)
