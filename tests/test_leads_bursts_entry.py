@@ -68,6 +68,35 @@ def test_burst_counts_edges_and_brute_force(spark):
     assert got[5] == 6 and got[6] == 1
 
 
+def _brute_flags(ev, limit=5, window=60):
+    out = {}
+    by_key = {}
+    for eid, ts, uid in sorted(ev, key=lambda e: (e[2], e[1], e[0])):
+        acc = by_key.setdefault(uid, [])
+        acc[:] = [t for t in acc if t >= ts - dt.timedelta(seconds=window)]
+        if len(acc) >= limit:
+            out[eid] = False
+        else:
+            acc.append(ts)
+            out[eid] = True
+    return out
+
+
+def test_burst_flags_exact(spark):
+    t0 = dt.datetime(2026, 1, 1, 0, 0, 0)
+    # five in the first 48 s, a sixth at exactly 60 s (rejected: the first is still in the window),
+    # a seventh at 60.001 s after the first (accepted: the first has left), rejected ones never count
+    ev = [(i, t0 + dt.timedelta(seconds=12 * i), 1) for i in range(5)]
+    ev.append((5, t0 + dt.timedelta(seconds=60), 1))
+    ev.append((6, t0 + dt.timedelta(seconds=60, milliseconds=1), 1))
+    rnd = random.Random(11)
+    ev += [(100 + i, t0 + dt.timedelta(seconds=rnd.randint(0, 300)), rnd.randint(2, 5)) for i in range(400)]
+    df = spark.createDataFrame(ev, "event_id long, ts timestamp_ntz, user_id long")
+    got = {r["event_id"]: r["accepted"] for r in bursts.burst_flags(df).collect()}
+    assert got[5] is False and got[6] is True
+    assert got == _brute_flags(ev)
+
+
 def test_entry_and_registry(spark):
     import __spark_entry__ as E
     df = E.entry(spark)

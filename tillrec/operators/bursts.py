@@ -44,3 +44,54 @@ def burst_counts(events: DataFrame, key: str = "user_id", ts: str = "ts", id_col
     return counted.where(F.col("_self") == 1).select(
         id_col, key, ts, F.col("n_in_window").cast("bigint").alias("n_in_window"),
         (F.col("n_in_window") > limit).alias("over_limit"))
+
+
+def _fold_accepts(limit: int, window_us: int, key: str, id_col: str):
+    """mapInPandas body: rows arrive sorted by (key, time, id) within the partition.
+
+    State per key is the accepted times of the last window — never more than
+    ``limit`` values — and it carries across Arrow batches, so a key spanning
+    batches is handled exactly and memory stays bounded.
+    """
+    import collections
+
+    import pandas as pd
+
+    def run(batches):
+        current, accepted = None, collections.deque()
+        for pdf in batches:
+            keys, times = pdf[key].to_numpy(), pdf["_us"].to_numpy()
+            flags = []
+            for k, t in zip(keys, times):
+                if k != current:
+                    current, accepted = k, collections.deque()
+                while accepted and accepted[0] < t - window_us:   # exactly `window` old still counts
+                    accepted.popleft()
+                if len(accepted) >= limit:
+                    flags.append(False)                            # rejected: not remembered
+                else:
+                    accepted.append(t)
+                    flags.append(True)
+            yield pd.DataFrame({id_col: pdf[id_col], "accepted": flags})
+
+    return run
+
+
+def burst_flags(events: DataFrame, key: str = "user_id", ts: str = "ts", id_col: str = "event_id",
+                window_seconds: int = 60, limit: int = 5) -> DataFrame:
+    """Exact admission flags: an event is accepted when fewer than ``limit`` accepted events of
+    its key lie in ``[ts - window, ts]``; rejected events do not count later.
+
+    The fold is sequential per key by definition. Keys are hash-partitioned and
+    each partition is sorted by (key, time, id); the fold streams over the
+    sorted rows with O(limit) state per key, so no key's events are gathered
+    into memory. A key with a third of all events costs one task's time, not
+    its memory.
+    """
+    width = window_seconds * 1_000_000
+    base = events.select(F.col(id_col), F.col(key), F.col(ts), _micros(ts).alias("_us"))
+    parts = base.sparkSession.sparkContext.defaultParallelism
+    ordered = base.repartition(parts, key).sortWithinPartitions(key, "_us", id_col)
+    flags = ordered.select(id_col, key, "_us").mapInPandas(
+        _fold_accepts(limit, width, key, id_col), f"{id_col} long, accepted boolean")
+    return base.join(flags, id_col).select(id_col, key, ts, "accepted")

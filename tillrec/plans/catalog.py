@@ -384,6 +384,11 @@ def q_burst_counts(spark, sf_dir):
     return bursts.burst_counts(derived.table(spark, sf_dir, "events"))
 
 
+def q_burst_flags(spark, sf_dir):
+    """Exact admission flags (sequential fold; rows-only check, brute-force tested)."""
+    return bursts.burst_flags(derived.table(spark, sf_dir, "events"))
+
+
 # ------------------------------------------------------------------ sinks (the tables a run writes)
 
 def q_ledger_export(spark, sf_dir):
