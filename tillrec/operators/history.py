@@ -92,8 +92,8 @@ def dashboard_totals(metrics: DataFrame, open_alerts: DataFrame) -> DataFrame:
         F.round(F.coalesce(F.sum(F.col("gaps_value_brl").cast("decimal(18,2)")), F.lit(0)), 2)
          .cast("double").alias("total_recovered_brl"),
         F.round(F.coalesce(F.sum("gaps_count"), F.lit(0)) * F.lit(HOURS_PER_GAP), 1).alias("total_hours_saved"))
-    opened = open_alerts.agg(F.count(F.lit(1)).alias("alerts_open"))
-    return totals.join(opened, how="inner")
+    opened = open_alerts.agg(F.count(F.lit(1))).scalar()
+    return totals.select("*", opened.alias("alerts_open"))
 
 
 def latest_run_only(artefacts: DataFrame) -> DataFrame:

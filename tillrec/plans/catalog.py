@@ -267,14 +267,15 @@ def run_tables(spark: SparkSession, sf_dir: str, rates: Rates = RATES):
 def q_run_summary(spark, sf_dir):
     ledger, gaps, counts = run_tables(spark, sf_dir)
     st = statement.income_statement(ledger, gaps, REFERENCE_MONTH)
-    c = counts.agg(
-        F.sum(F.when(F.col("source") == "marketplace", F.col("valid_rows"))).alias("total_ifood_orders"),
-        F.sum(F.when(F.col("source") == "pos", F.col("valid_rows"))).alias("total_pdv_transactions"),
-        F.sum(F.when(F.col("source") == "acquirer", F.col("valid_rows"))).alias("total_acquirer_transactions"),
-        F.sum("quarantined_rows").alias("quarantined_rows"))
-    return st.join(c, how="inner").select(
-        "reference_month", "total_ifood_orders", "total_pdv_transactions", "total_acquirer_transactions",
-        "quarantined_rows", F.col("total_gross_revenue_brl").alias("gross_revenue_brl"),
+
+    def valid_of(source: str):
+        return counts.where(F.col("source") == source).agg(F.sum("valid_rows")).scalar()
+
+    return st.select(
+        "reference_month", valid_of("marketplace").alias("total_ifood_orders"),
+        valid_of("pos").alias("total_pdv_transactions"), valid_of("acquirer").alias("total_acquirer_transactions"),
+        counts.agg(F.sum("quarantined_rows")).scalar().alias("quarantined_rows"),
+        F.col("total_gross_revenue_brl").alias("gross_revenue_brl"),
         F.col("total_deductions_brl").alias("total_fees_brl"), "net_revenue_brl", "gaps_detected")
 
 

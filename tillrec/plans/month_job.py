@@ -1,7 +1,8 @@
 """One monthly run: three export files in, statement, gaps, ledger and quarantine out.
 
 Stages, all lazy until the writes:
-  read + normalise (per source) -> validate (persisted once, three consumers)
+  read + normalise (per source) -> validate (materialised once for three consumers:
+  checkpointed into spark.checkpoint.dir, or persisted)
   -> valid rows -> commission / fee lookup / ledger -> gaps
   -> statement (one row, month as label) + per-method revenue -> sinks.
 """
@@ -32,11 +33,23 @@ class RunOutputs:
     summary: DataFrame
 
 
-def build_run(spark: SparkSession, args: JobArgs, filter_month: bool = False) -> RunOutputs:
+def _materialise(df: DataFrame, reliable: bool) -> DataFrame:
+    """Parse once for three consumers. ``reliable``: write it to the shared checkpoint folder
+    (``spark.checkpoint.dir``) so a lost executor never forces a re-read and re-parse of the
+    exports; otherwise keep it persisted (lost blocks recompute from lineage)."""
+    if reliable:
+        from tillrec.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(df.sparkSession)
+        return df.checkpoint(eager=True)
+    return V.persisted(df)
+
+
+def build_run(spark: SparkSession, args: JobArgs, filter_month: bool = False,
+              reliable: bool = True) -> RunOutputs:
     rates = args.rates
     specs = {"marketplace": MARKETPLACE, "pos": POS, "acquirer": acquirer_spec(args.acquirer_name)}
     paths = {"marketplace": args.marketplace_path, "pos": args.pos_path, "acquirer": args.acquirer_path}
-    validated = {k: V.persisted(V.validate(files.read_export(spark, paths[k], specs[k]), specs[k]))
+    validated = {k: _materialise(V.validate(files.read_export(spark, paths[k], specs[k]), specs[k]), reliable)
                  for k in specs}
     valid = {k: V.valid_rows(validated[k], specs[k]) for k in specs}
     if filter_month:
@@ -60,27 +73,27 @@ def build_run(spark: SparkSession, args: JobArgs, filter_month: bool = False) ->
     gaps = reconcile.gaps_all(valid["pos"], valid["acquirer"], valid["marketplace"], rates)
     st = statement.income_statement(ledger, gaps, args.reference_month)
     by_payment = statement.revenue_by_payment(ledger).withColumn("reference_month", F.lit(args.reference_month))
-    c = counts.agg(
-        F.sum(F.when(F.col("source") == "marketplace", F.col("valid_rows"))).alias("total_ifood_orders"),
-        F.sum(F.when(F.col("source") == "pos", F.col("valid_rows"))).alias("total_pdv_transactions"),
-        F.sum(F.when(F.col("source") == "acquirer", F.col("valid_rows"))).alias("total_acquirer_transactions"),
-        F.sum("quarantined_rows").alias("quarantined_rows"))
-    summary = st.join(c, how="inner").select(
-        F.lit("success").alias("status"), "reference_month", "total_ifood_orders", "total_pdv_transactions",
-        "total_acquirer_transactions", "quarantined_rows",
+
+    def valid_of(source: str):
+        return counts.where(F.col("source") == source).agg(F.sum("valid_rows")).scalar()
+
+    summary = st.select(
+        F.lit("success").alias("status"), "reference_month", valid_of("marketplace").alias("total_ifood_orders"),
+        valid_of("pos").alias("total_pdv_transactions"), valid_of("acquirer").alias("total_acquirer_transactions"),
+        counts.agg(F.sum("quarantined_rows")).scalar().alias("quarantined_rows"),
         F.col("total_gross_revenue_brl").alias("gross_revenue_brl"),
         F.col("total_deductions_brl").alias("total_fees_brl"), "net_revenue_brl", "gaps_detected")
     return RunOutputs(ledger, gaps, quarantine, counts, st, by_payment, summary)
 
 
 def run_month(spark: SparkSession, args: JobArgs, out_dir: str, run_stamp: str | None = None,
-              filter_month: bool = False) -> tuple[RunOutputs, dict[str, str]]:
+              filter_month: bool = False, reliable: bool = True) -> tuple[RunOutputs, dict[str, str]]:
     """Build and write one run; returns the outputs (lazy) and the written paths."""
     run_stamp = run_stamp or dt.datetime.now(dt.timezone.utc).strftime("%Y%m%d_%H%M%S")
     generated_at = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None).isoformat()
-    out = build_run(spark, args, filter_month)
-    gap_totals = statement.gap_totals(out.gaps).select("gaps_value_brl")
-    st = out.statement.join(gap_totals, how="inner")
+    out = build_run(spark, args, filter_month, reliable)
+    gaps_value = statement.gap_totals(out.gaps).select("gaps_value_brl").scalar()
+    st = out.statement.withColumn("gaps_value_brl", gaps_value)
     records = writers.statement_records(st, statement.revenue_map(out.by_payment, "reference_month"),
                                         generated_at)
     rows = statement.statement_rows(out.statement, out.by_payment,
