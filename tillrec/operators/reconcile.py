@@ -24,7 +24,9 @@ Matches are not consumed: one settlement can clear many sales.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillrec.config import Rates
@@ -74,7 +76,7 @@ def _only_if_nonempty(rows: DataFrame, other: DataFrame) -> DataFrame:
     return rows.where(flag.isNotNull())
 
 
-def gaps_pos_missing(sales: DataFrame, settlements: DataFrame, rates: Rates = Rates()) -> DataFrame:
+def pos_missing_rows(sales: DataFrame, settlements: DataFrame, rates: Rates = Rates()) -> DataFrame:
     """Card sales (credit, debit, voucher) with no settlement on the same day within tolerance."""
     card = sales.where(F.col("payment_method").isin(*CARD_METHODS))
     missing = band_anti_join(
@@ -82,7 +84,22 @@ def gaps_pos_missing(sales: DataFrame, settlements: DataFrame, rates: Rates = Ra
         F.to_date(card["transaction_date"]), cents(card["gross_value"]),
         F.to_date(settlements["settlement_date"]), cents(settlements["gross_value"]),
         rates.tolerance_cents)
-    missing = _only_if_nonempty(missing, settlements)
+    return _only_if_nonempty(missing, settlements)
+
+
+def acquirer_missing_rows(settlements: DataFrame, sales: DataFrame, rates: Rates = Rates()) -> DataFrame:
+    """Settlements with no pos sale (any method) on the same day within tolerance."""
+    missing = band_anti_join(
+        settlements, sales,
+        F.to_date(settlements["settlement_date"]), cents(settlements["gross_value"]),
+        F.to_date(sales["transaction_date"]), cents(sales["gross_value"]),
+        rates.tolerance_cents)
+    return _only_if_nonempty(missing, sales)
+
+
+def gaps_pos_missing(sales: DataFrame, settlements: DataFrame, rates: Rates = Rates()) -> DataFrame:
+    """Card sales (credit, debit, voucher) with no settlement on the same day within tolerance."""
+    missing = pos_missing_rows(sales, settlements, rates)
     amt = F.col("gross_value")
     return missing.select(
         F.col("transaction_id").alias("transaction_id"),
@@ -99,12 +116,7 @@ def gaps_pos_missing(sales: DataFrame, settlements: DataFrame, rates: Rates = Ra
 
 def gaps_acquirer_missing(settlements: DataFrame, sales: DataFrame, rates: Rates = Rates()) -> DataFrame:
     """Settlements with no pos sale (any method) on the same day within tolerance."""
-    missing = band_anti_join(
-        settlements, sales,
-        F.to_date(settlements["settlement_date"]), cents(settlements["gross_value"]),
-        F.to_date(sales["transaction_date"]), cents(sales["gross_value"]),
-        rates.tolerance_cents)
-    missing = _only_if_nonempty(missing, sales)
+    missing = acquirer_missing_rows(settlements, sales, rates)
     amt = F.col("gross_value")
     return missing.select(
         F.col("authorization_code").alias("transaction_id"),
@@ -137,14 +149,86 @@ def gaps_cancelled(orders: DataFrame) -> DataFrame:
     )
 
 
-def gaps_amount_mismatch(sales: DataFrame, settlements: DataFrame, rates: Rates = Rates()) -> DataFrame:
+def _nearest(own: DataFrame, other: DataFrame, width: int) -> DataFrame:
+    """For each ``own`` row (id, day, method, c): the nearest ``other`` row of the same day and
+    method within the bin neighbourhood, ties to the lower amount, then the lower id.
+
+    ``other`` rows are copied into their bin and both neighbours, so every
+    counterpart within ``width - 1`` cents shares a (day, method, bin) group
+    with the row; two running windows (previous / next counterpart in amount
+    order) pick the nearest without forming candidate pairs.
+    """
+    mine = own.select("id", "day", "method", "c", F.floor(F.col("c") / width).cast("bigint").alias("bin"),
+                      F.lit(None).cast("bigint").alias("oc"), F.lit(None).cast("string").alias("oid"))
+    theirs = other.select(F.lit(None).cast("string").alias("id"), "day", "method", F.lit(None).cast("bigint").alias("c"),
+                          F.explode(F.array(*[F.floor(F.col("c") / width).cast("bigint") + d for d in (-1, 0, 1)]))
+                          .alias("bin"), F.col("c").alias("oc"), F.col("id").alias("oid"))
+    both = mine.unionByName(theirs).withColumn("amt", F.coalesce("c", "oc"))
+    grp = Window.partitionBy("day", "method", "bin")
+    below = grp.orderBy(F.col("amt"), F.col("oid").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    above = grp.orderBy(F.col("amt"), F.col("oid").asc_nulls_last()).rowsBetween(0, Window.unboundedFollowing)
+    cand = F.struct(F.col("oc").alias("c"), F.col("oid").alias("id"))
+    tagged = both.select("*",
+                         F.last(F.when(F.col("oid").isNotNull(), cand), ignorenulls=True).over(below).alias("prev"),
+                         F.first(F.when(F.col("oid").isNotNull(), cand), ignorenulls=True).over(above).alias("next"))
+    mine_rows = tagged.where(F.col("id").isNotNull())
+    d_prev = F.col("c") - F.col("prev.c")
+    d_next = F.col("next.c") - F.col("c")
+    pick_prev = F.col("prev").isNotNull() & (F.col("next").isNull() | (d_prev <= d_next))
+    best = F.when(pick_prev, F.col("prev")).otherwise(F.col("next"))
+    return mine_rows.select("id", "day", "method", "c", best.alias("best")).where(F.col("best").isNotNull())
+
+
+def amount_mismatch_pairs(sales: DataFrame, settlements: DataFrame, rates: Rates = Rates(),
+                          max_mismatch: str = "5.00") -> DataFrame:
+    """Documented reading: leftover card sales and leftover settlements of the same day and
+    method, paired when each is the other's nearest amount and tolerance < diff <= max."""
+    m = int((Decimal(max_mismatch) * 100).to_integral_value())
+    width = m + 1
+    left = pos_missing_rows(sales, settlements, rates).select(
+        F.col("transaction_id").alias("id"), F.to_date("transaction_date").alias("day"),
+        F.col("payment_method").alias("method"), cents(F.col("gross_value")).alias("c"),
+        F.col("transaction_date").alias("ts"))
+    right = acquirer_missing_rows(settlements, sales, rates).select(
+        F.col("authorization_code").alias("id"), F.to_date("settlement_date").alias("day"),
+        F.col("payment_method").alias("method"), cents(F.col("gross_value")).alias("c"))
+    l_best = _nearest(left.drop("ts"), right, width).select(
+        F.col("id").alias("l_id"), F.col("c").alias("l_c"), F.col("best.id").alias("r_id"),
+        F.col("best.c").alias("r_c"))
+    r_best = _nearest(right, left.drop("ts"), width).select(
+        F.col("id").alias("r_id2"), F.col("best.id").alias("l_id2"))
+    pairs = l_best.join(r_best, (F.col("l_id") == F.col("l_id2")) & (F.col("r_id") == F.col("r_id2")))
+    diff = F.abs(F.col("l_c") - F.col("r_c"))
+    t = rates.tolerance_cents
+    return (pairs.where((diff > t) & (diff <= m))
+                 .join(left.select(F.col("id").alias("l_id"), "ts"), "l_id")
+                 .select("l_id", "r_id", "l_c", "r_c", "ts"))
+
+
+def gaps_amount_mismatch(sales: DataFrame, settlements: DataFrame, rates: Rates = Rates(),
+                         mode: str = "as_executed", max_mismatch: str = "5.00") -> DataFrame:
     """Matched pairs whose difference exceeds the tolerance.
 
-    As executed, the pair is looked for only among settlements already within
-    the tolerance, so the predicate "difference > tolerance" never holds and
-    the result is empty by construction; we return the empty gap relation
-    (Catalyst folds it to an empty LocalRelation, no scan).
+    ``as_executed``: the pair is looked for only among settlements already
+    within the tolerance, so "difference > tolerance" never holds and the
+    result is empty by construction (Catalyst folds it to an empty relation).
+    ``documented``: see ``amount_mismatch_pairs``.
     """
+    if mode == "documented":
+        p = amount_mismatch_pairs(sales, settlements, rates, max_mismatch)
+        to_money = lambda c: (F.col(c) / 100).cast("decimal(18,2)")
+        diff = (F.abs(F.col("l_c") - F.col("r_c")) / 100).cast("decimal(18,2)")
+        return p.select(
+            F.col("l_id").alias("transaction_id"),
+            F.lit(GAP_SOURCE_PAIR).alias("source"),
+            diff.cast("double").alias("amount_brl"),
+            F.lit(GAP_AMOUNT_MISMATCH).alias("gap_type"),
+            # FIXED VALUES: gap detail wording
+            F.concat(F.lit("PDV recorded "), brl(to_money("l_c")), F.lit(" but acquirer settled "),
+                     brl(to_money("r_c")), F.lit(". Difference: "), brl(diff), F.lit(".")).alias("detail"),
+            F.col("ts").alias("gap_date"),
+            F.lit(GAP_ORDER[GAP_AMOUNT_MISMATCH]).alias("gap_order"),
+        )
     card = sales.where(F.col("payment_method").isin(*CARD_METHODS))
     amt = F.col("gross_value")
     return card.where(F.lit(False)).select(

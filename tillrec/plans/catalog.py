@@ -127,6 +127,14 @@ def q_gaps_amount_mismatch(spark, sf_dir):
     return reconcile.gaps_amount_mismatch(i.pos(), i.acquirer(), i.rates)
 
 
+MAX_MISMATCH = "5.00"
+
+
+def q_gaps_amount_mismatch_documented(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    return reconcile.gaps_amount_mismatch(i.pos(), i.acquirer(), i.rates, "documented", MAX_MISMATCH)
+
+
 def q_gaps_all(spark, sf_dir):
     return Inputs(spark, sf_dir).gaps()
 
@@ -432,6 +440,7 @@ def queries() -> dict[str, Builder]:
 def oracle_sql() -> dict[str, str]:
     sql = {}
     sql.update(oracle.core_sql(REFERENCE_MONTH))
+    sql.update(oracle.mismatch_sql(MAX_MISMATCH))
     sql.update(oracle.raw_sql(REFERENCE_MONTH))
     sql.update(oracle.sink_sql(GENERATED_AT))
     sql.update(oracle.more_sql(LOOKUP_MONTH, DRILL_MIN_AMOUNT, TREND_N, RUN_STAMP, GENERATED_AT, LEAD_ID,

@@ -670,3 +670,34 @@ SELECT reference_month, {n_fixed - 1} + dense_rank() OVER (PARTITION BY referenc
        '  ' || upper(substr(payment_method, 1, 1)) || lower(substr(payment_method, 2)), {fmt('revenue_brl')}
 FROM byp""")
     return q
+
+
+# ------------------------------------------------------------------ documented amount mismatch
+def mismatch_sql(max_mismatch: str) -> dict[str, str]:
+    m = int(round(float(max_mismatch) * 100))
+    body = f"""
+, lo AS (SELECT transaction_id AS id, CAST(transaction_date AS DATE) AS day, payment_method AS method,
+                CAST(gross_value * 100 AS BIGINT) AS c, transaction_date AS ts
+         FROM pos p
+         WHERE payment_method IN ('credito','debito','voucher') AND EXISTS (SELECT 1 FROM acquirer)
+           AND NOT EXISTS (SELECT 1 FROM acquirer a WHERE CAST(a.settlement_date AS DATE) = CAST(p.transaction_date AS DATE)
+                           AND abs(a.gross_value - p.gross_value) <= 0.05)),
+ro AS (SELECT authorization_code AS id, CAST(settlement_date AS DATE) AS day, payment_method AS method,
+              CAST(gross_value * 100 AS BIGINT) AS c
+       FROM acquirer a
+       WHERE EXISTS (SELECT 1 FROM pos)
+         AND NOT EXISTS (SELECT 1 FROM pos p WHERE CAST(a.settlement_date AS DATE) = CAST(p.transaction_date AS DATE)
+                         AND abs(a.gross_value - p.gross_value) <= 0.05)),
+cand AS (SELECT lo.id AS lid, ro.id AS rid, lo.c AS lc, ro.c AS rc, abs(lo.c - ro.c) AS d, lo.ts
+         FROM lo JOIN ro ON lo.day = ro.day AND lo.method = ro.method AND abs(lo.c - ro.c) <= {m}),
+bl AS (SELECT lid, arg_min(rid, (d, rc, rid)) AS rid FROM cand GROUP BY lid),
+br AS (SELECT rid, arg_min(lid, (d, lc, lid)) AS lid FROM cand GROUP BY rid),
+pairs AS (SELECT c.* FROM cand c JOIN bl USING (lid, rid) JOIN br USING (lid, rid) WHERE c.d > 5)
+SELECT lid AS transaction_id, 'PDV vs Acquirer' AS source, CAST(CAST(d AS DECIMAL(18,2)) / 100 AS DOUBLE) AS amount_brl,
+       'AMOUNT_MISMATCH' AS gap_type,
+       'PDV recorded R$ ' || CAST(CAST(lc / 100 AS DECIMAL(18,2)) AS VARCHAR) || ' but acquirer settled R$ '
+         || CAST(CAST(rc / 100 AS DECIMAL(18,2)) AS VARCHAR) || '. Difference: R$ '
+         || CAST(CAST(d / 100 AS DECIMAL(18,2)) AS VARCHAR) || '.' AS detail,
+       ts AS gap_date, 1 AS gap_order
+FROM pairs"""
+    return {"gaps_amount_mismatch_documented": with_derived(body)}
