@@ -102,3 +102,12 @@ def test_entry_and_registry(spark):
     df = E.entry(spark)
     assert df.count() == 1
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_append_and_read_lead_store(spark, tmp_path):
+    store = str(tmp_path / "leads")
+    recs = spark.createDataFrame([("LEAD-1", "Ana"), ("LEAD-2", "Bia")], "id string, name string")
+    L.append_leads(recs, store)
+    L.append_leads(recs.limit(1), store)
+    p = L.parse_lines(L.read_lead_lines(spark, store))
+    assert L.lead_count(p).collect()[0]["lead_count"] == 3

@@ -116,3 +116,16 @@ def lead_erase(parsed: DataFrame, erase_ids: DataFrame) -> DataFrame:
     ids = erase_ids.select(F.col("id").alias("_erase_id")).distinct()
     return (keep.join(ids, F.col("lead.id") == F.col("_erase_id"), "left_anti")
                 .select("line_no", "value", F.col("lead.id").alias("id")))
+
+
+def append_leads(records: DataFrame, path: str) -> None:
+    """Append lead records (LEAD_SCHEMA columns) to the line store, one JSON document per line."""
+    cols = [f.name for f in LEAD_SCHEMA.fields if f.name in records.columns]
+    records.select(F.to_json(F.struct(*cols)).alias("value")).write.mode("append").text(path)
+
+
+def read_lead_lines(spark, path: str) -> DataFrame:
+    """Line store -> (line_no, value); line_no orders lines by file, split and position."""
+    return spark.read.text(path).select(
+        F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"),
+                 F.monotonically_increasing_id()).alias("line_no"), "value")
