@@ -138,3 +138,11 @@ def test_artefacts_skip_corrupt_and_rank_runs(spark, tmp_path):
     feb = m.where("reference_month = '2026-02'").collect()[0]
     assert feb["net_margin_pct"] == 0.0
     assert H.dashboard_totals(m, spark.range(2)).collect()[0]["total_hours_saved"] == 12.0
+
+
+def test_header_alias_override(spark, tmp_path):
+    path = write(tmp_path, "vendor.csv", "num_trans;quando;valor;pagto\nT1;2026-03-05 10:00:00;1,00;pix\n")
+    spec = POS.with_aliases({"num_trans": "transaction_id", "quando": "transaction_date",
+                             "pagto": "payment_method"})
+    v = V.validate(files.read_export(spark, path, spec), spec).collect()[0]
+    assert v["transaction_id"] == "T1" and v[V.ERROR_COL] is None

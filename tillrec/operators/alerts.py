@@ -64,3 +64,8 @@ def alert_state(alerts: DataFrame, acks: DataFrame) -> DataFrame:
 
 def alerts_open(alerts: DataFrame, acks: DataFrame) -> DataFrame:
     return alerts.join(acks.select("alert_id"), "alert_id", "left_anti")
+
+
+def alert_lookup(alerts: DataFrame, alert_id: str) -> DataFrame:
+    """One alert by id (empty when unknown)."""
+    return alerts.where(F.col("alert_id") == alert_id)

@@ -335,6 +335,13 @@ def q_alerts_from_gaps(spark, sf_dir):
     return _alerts(spark, sf_dir)
 
 
+ALERT_ID = "IFOOD_ORDER_CANCELLED:0"
+
+
+def q_alert_lookup(spark, sf_dir):
+    return A.alert_lookup(_alerts(spark, sf_dir), ALERT_ID)
+
+
 def q_alert_routing(spark, sf_dir):
     return A.alert_routing(_alerts(spark, sf_dir), derived.subscribers(spark, sf_dir)).select(
         "alert_id", "severity", "subscriber_id", "channel")
@@ -443,6 +450,7 @@ def oracle_sql() -> dict[str, str]:
     sql.update(oracle.mismatch_sql(MAX_MISMATCH))
     sql.update(oracle.raw_sql(REFERENCE_MONTH))
     sql.update(oracle.sink_sql(GENERATED_AT))
+    sql.update(oracle.alert_lookup_sql(ALERT_ID))
     sql.update(oracle.more_sql(LOOKUP_MONTH, DRILL_MIN_AMOUNT, TREND_N, RUN_STAMP, GENERATED_AT, LEAD_ID,
                                PAGE_FROM, PAGE_TO, PAGE_SKIP, PAGE_LIMIT))
     return sql

@@ -701,3 +701,10 @@ SELECT lid AS transaction_id, 'PDV vs Acquirer' AS source, CAST(CAST(d AS DECIMA
        ts AS gap_date, 1 AS gap_order
 FROM pairs"""
     return {"gaps_amount_mismatch_documented": with_derived(body)}
+
+
+def alert_lookup_sql(alert_id: str) -> dict[str, str]:
+    sql = more_sql("0000-00", 0.0, 1, "x", "x", "x", "2000-01-01 00:00:00", "2000-01-01 00:00:00", 0, 1)
+    head, _ = sql["alerts_from_gaps"].rsplit("SELECT * FROM alerts", 1)
+    body = head + f"SELECT * FROM alerts WHERE alert_id = '{alert_id}'"
+    return {"alert_lookup": body}
