@@ -77,3 +77,25 @@ def parts_to_timestamp(parts: Column) -> Column:
 def parse_timestamp(s: Column, layouts: Sequence[str]) -> Column:
     """One-expression form (fine for a single use; prefer the two-step form in wide projections)."""
     return parts_to_timestamp(timestamp_parts(s, layouts))
+
+
+def ntz_text(ts: Column, layout: str) -> Column:
+    """Text of a zone-less timestamp in one of the export layouts, without the session zone.
+
+    ``date_format`` goes through the session time zone, so a wall-clock time
+    that does not exist there (a DST gap at midnight) comes out shifted; the
+    cast of TIMESTAMP_NTZ to string does not, and every layout is cut from it.
+    """
+    s = ts.cast("timestamp_ntz").cast("string")
+    y, m, d, t = F.substring(s, 1, 4), F.substring(s, 6, 2), F.substring(s, 9, 2), F.substring(s, 12, 8)
+    t = F.when(F.length(t) == 8, t).otherwise(F.lit("00:00:00"))
+    parts = {
+        "yyyy-MM-dd HH:mm:ss": F.concat_ws(" ", F.concat_ws("-", y, m, d), t),
+        "dd/MM/yyyy HH:mm:ss": F.concat_ws(" ", F.concat_ws("/", d, m, y), t),
+        "d/M/yyyy": F.concat_ws("/", d.cast("int").cast("string"), m.cast("int").cast("string"), y),
+        "yyyy-MM-dd'T'HH:mm:ss": F.concat(F.concat_ws("-", y, m, d), F.lit("T"), t),
+        "yyyy-MM-dd": F.concat_ws("-", y, m, d),
+        "dd/MM/yyyy": F.concat_ws("/", d, m, y),
+        "yyyy-MM": F.concat_ws("-", y, m),
+    }
+    return F.when(ts.isNotNull(), parts[layout])

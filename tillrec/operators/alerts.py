@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillrec.constants import SEVERITY_RANK, SEVERITY_THRESHOLDS
+from tillrec.functions.dates import ntz_text
 from tillrec.functions.enums import lookup
 
 
@@ -39,7 +40,7 @@ def alerts_from_gaps(gaps: DataFrame) -> DataFrame:
         F.col("detail").alias("message"),
         "transaction_id",
         amount.alias("amount_brl"),
-        F.date_format("gap_date", "yyyy-MM").alias("reference_month"),
+        ntz_text(F.col("gap_date"), "yyyy-MM").alias("reference_month"),
         F.col("gap_date").alias("created_at"),
     )
 

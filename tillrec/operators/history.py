@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillrec.constants import HOURS_PER_GAP
+from tillrec.functions.dates import ntz_text
 from tillrec.operators.statement import monthly_statements
 
 
@@ -79,7 +80,7 @@ def period_lookup(metrics: DataFrame, month: str) -> DataFrame:
 
 def gap_drilldown(gaps: DataFrame, month: str, min_amount: float = 0.0) -> DataFrame:
     """Gaps of one month with amount >= min_amount, largest first (distributed range sort)."""
-    g = gaps.where((F.date_format("gap_date", "yyyy-MM") == month)
+    g = gaps.where((ntz_text(F.col("gap_date"), "yyyy-MM") == month)
                    & (F.round(F.col("amount_brl"), 2) >= F.lit(min_amount)))
     return (g.select("transaction_id", "source", F.coalesce("gap_type", F.lit("UNKNOWN")).alias("gap_type"),
                      F.round(F.col("amount_brl"), 2).alias("amount_brl"), "detail", "gap_order")

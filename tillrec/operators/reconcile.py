@@ -34,6 +34,7 @@ from tillrec.constants import (
     CARD_METHODS, GAP_ACQUIRER_MISSING, GAP_AMOUNT_MISMATCH, GAP_CANCELLED, GAP_ORDER,
     GAP_POS_MISSING, GAP_SOURCE_ACQUIRER, GAP_SOURCE_MARKETPLACE, GAP_SOURCE_PAIR, GAP_SOURCE_POS,
 )
+from tillrec.functions.dates import ntz_text
 from tillrec.functions.money import cents
 from tillrec.functions.text import brl
 
@@ -41,7 +42,7 @@ GAP_COLUMNS = ["transaction_id", "source", "amount_brl", "gap_type", "detail", "
 
 
 def _stamp(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
+    return ntz_text(ts, "yyyy-MM-dd HH:mm:ss")
 
 
 def band_anti_join(left: DataFrame, right: DataFrame, left_day: Column, left_cents: Column,

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillrec.constants import SOURCE_MARKETPLACE, SOURCE_POS
+from tillrec.functions.dates import ntz_text
 from tillrec.functions.money import MONEY
 from tillrec.functions.text import brl_grouped, capitalize
 
@@ -20,7 +21,7 @@ STATEMENT_MONEY = ["gross_revenue_pdv_brl", "gross_revenue_ifood_brl", "total_gr
 
 
 def month_of(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM")
+    return ntz_text(ts, "yyyy-MM")
 
 
 def _r2(c: Column) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillrec.config import JobArgs
+from tillrec.functions.dates import ntz_text
 from tillrec.operators import enrich, reconcile, statement, validate as V
 from tillrec.sinks import writers
 from tillrec.sources import files
@@ -54,7 +55,7 @@ def build_run(spark: SparkSession, args: JobArgs, filter_month: bool = False,
     valid = {k: V.valid_rows(validated[k], specs[k]) for k in specs}
     if filter_month:
         date_col = {"marketplace": "order_date", "pos": "transaction_date", "acquirer": "settlement_date"}
-        valid = {k: v.where(F.date_format(date_col[k], "yyyy-MM") == args.reference_month)
+        valid = {k: v.where(ntz_text(F.col(date_col[k]), "yyyy-MM") == args.reference_month)
                  for k, v in valid.items()}
     quarantine = None
     for k in specs:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillrec.constants import GAP_HEADINGS, LEDGER_HEADINGS
+from tillrec.functions.dates import ntz_text
 
 
 def ledger_sheet(ledger: DataFrame) -> DataFrame:
@@ -43,9 +44,9 @@ def write_run(out_dir: str, run_stamp: str, statements: DataFrame, gaps: DataFra
     }
     # one small record per month of the run; kept whole so readers see reference_month in it
     statements.write.mode(mode).json(paths["statement"])
-    (gaps.withColumn("reference_month", F.date_format("gap_date", "yyyy-MM"))
+    (gaps.withColumn("reference_month", ntz_text(F.col("gap_date"), "yyyy-MM"))
          .write.mode(mode).partitionBy("reference_month").option("header", True).csv(paths["gaps"]))
-    (ledger.withColumn("reference_month", F.date_format("date", "yyyy-MM"))
+    (ledger.withColumn("reference_month", ntz_text(F.col("date"), "yyyy-MM"))
            .write.mode(mode).partitionBy("reference_month").parquet(paths["ledger"]))
     quarantine.write.mode(mode).partitionBy("source").parquet(paths["quarantine"])
     rows.write.mode(mode).partitionBy("reference_month").option("header", True).csv(paths["statement_rows"])

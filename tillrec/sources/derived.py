@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillrec.functions.dates import ntz_text
 from tillrec.functions.money import MONEY, RATE
 
 
@@ -31,8 +32,12 @@ def spread(df: DataFrame) -> DataFrame:
     On large inputs the scan already has many splits and this is a no-op
     (the check only plans the scan, it runs no job).
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - e.g. a remote session without RDD access: leave the scan as is
+        return df
+    if splits < cores:
         # hash on the leading key: deterministic on retry without the sort
         # a round-robin repartition needs for that
         return df.repartition(cores, df.columns[0])
@@ -134,8 +139,8 @@ SETTLE_SHAPES = ["yyyy-MM-dd", "dd/MM/yyyy", "yyyy-MM-dd HH:mm:ss", "dd/MM/yyyy
 def _shape(ts: Column, idx: Column, shapes: list[str]) -> Column:
     expr = None
     for i, s in enumerate(shapes):
-        expr = (F.when(idx == i, F.date_format(ts, s)) if expr is None
-                else expr.when(idx == i, F.date_format(ts, s)))
+        expr = (F.when(idx == i, ntz_text(ts, s)) if expr is None
+                else expr.when(idx == i, ntz_text(ts, s)))
     return expr
 
 
@@ -248,8 +253,8 @@ def lead_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lead = F.struct(
         F.concat(F.lit("LEAD-"), F.lpad(key.cast("string"), 8, "0")).alias("id"),
         F.when(key % 31 == 0, F.lit("not-a-date")).otherwise(
-            F.date_format(F.lit("2026-01-01 00:00:00").cast("timestamp_ntz")
-                          + F.make_dt_interval(F.lit(0), F.lit(0), (key * 37).cast("int")), "yyyy-MM-dd'T'HH:mm:ss"))
+            ntz_text(F.lit("2026-01-01 00:00:00").cast("timestamp_ntz")
+                     + F.make_dt_interval(F.lit(0), F.lit(0), (key * 37).cast("int")), "yyyy-MM-dd'T'HH:mm:ss"))
          .alias("received_at"),
         F.when(key % 11 == 0, F.concat(F.lit("<b>"), F.col("c_name"), F.lit("</b>"))).otherwise(F.col("c_name"))
          .alias("name"),
