@@ -92,7 +92,9 @@ def test_burst_flags_exact(spark):
     rnd = random.Random(11)
     ev += [(100 + i, t0 + dt.timedelta(seconds=rnd.randint(0, 300)), rnd.randint(2, 5)) for i in range(400)]
     df = spark.createDataFrame(ev, "event_id long, ts timestamp_ntz, user_id long")
-    got = {r["event_id"]: r["accepted"] for r in bursts.burst_flags(df).collect()}
+    out = bursts.burst_flags(df).collect()
+    got = {r["event_id"]: r["accepted"] for r in out}
+    assert {(r["event_id"], r["ts"], r["user_id"]) for r in out} == set(ev)
     assert got[5] is False and got[6] is True
     assert got == _brute_flags(ev)
 

@@ -72,7 +72,7 @@ def _fold_accepts(limit: int, window_us: int, key: str, id_col: str):
                 else:
                     accepted.append(t)
                     flags.append(True)
-            yield pd.DataFrame({id_col: pdf[id_col], "accepted": flags})
+            yield pd.DataFrame({id_col: pdf[id_col], key: pdf[key], "_us": pdf["_us"], "accepted": flags})
 
     return run
 
@@ -92,6 +92,9 @@ def burst_flags(events: DataFrame, key: str = "user_id", ts: str = "ts", id_col:
     base = events.select(F.col(id_col), F.col(key), F.col(ts), _micros(ts).alias("_us"))
     parts = base.sparkSession.sparkContext.defaultParallelism
     ordered = base.repartition(parts, key).sortWithinPartitions(key, "_us", id_col)
+    key_type = dict(base.dtypes)[key]
     flags = ordered.select(id_col, key, "_us").mapInPandas(
-        _fold_accepts(limit, width, key, id_col), f"{id_col} long, accepted boolean")
-    return base.join(flags, id_col).select(id_col, key, ts, "accepted")
+        _fold_accepts(limit, width, key, id_col), f"{id_col} long, {key} {key_type}, _us long, accepted boolean")
+    # the time comes back from its microsecond count: no join back to the events
+    back = F.timestamp_add("MICROSECOND", F.col("_us"), F.lit(EPOCH).cast("timestamp_ntz"))
+    return flags.select(id_col, key, back.alias(ts), "accepted")

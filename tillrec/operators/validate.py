@@ -122,7 +122,8 @@ def validate(df: DataFrame, spec: SourceSpec) -> DataFrame:
     raw_cols = [F.col(r.name).alias(f"raw_{r.name}") for r in spec.fields if present[r.name]]
     parts = [timestamp_parts(F.col(r.name), r.layouts).alias(f"parts_{r.name}")
              for r in spec.fields if r.kind == "datetime" and present[r.name]]
-    carry = [ROW_COL] + ([CORRUPT_COL] if CORRUPT_COL in cols else [])
+    # order keys of file sources (file, split start) ride along for file-order rules
+    carry = [ROW_COL] + [c for c in (CORRUPT_COL, "_file", "_block") if c in cols]
     stage1 = df.select(*raw_cols, *parts, *carry)
     raw_names = [f"raw_{r.name}" for r in spec.fields if present[r.name]]
     stage2 = stage1.select(*[_value(r, present[r.name]).alias(r.name) for r in spec.fields],
@@ -150,7 +151,18 @@ def persisted(validated: DataFrame) -> DataFrame:
 
 
 def valid_rows(validated: DataFrame, spec: SourceSpec) -> DataFrame:
-    return validated.where(F.col(ERROR_COL).isNull()).select(*spec.field_names, ROW_COL)
+    order = [c for c in ("_file", "_block") if c in validated.columns]
+    return validated.where(F.col(ERROR_COL).isNull()).select(*spec.field_names, ROW_COL, *order)
+
+
+def file_order(df: DataFrame) -> F.Column:
+    """Row order in the export: (file, split start, position in split) when read from files.
+
+    Spark packs splits into tasks by size, so the generated row id alone does
+    not follow the file; the split start does.
+    """
+    keys = [F.col(c) for c in ("_file", "_block") if c in df.columns]
+    return F.struct(*keys, F.col(ROW_COL))
 
 
 def quarantine_rows(validated: DataFrame, spec: SourceSpec) -> DataFrame:

@@ -67,7 +67,7 @@ def build_run(spark: SparkSession, args: JobArgs, filter_month: bool = False,
         c = V.counts(validated[k], k)
         counts = c if counts is None else counts.unionByName(c)
 
-    order = F.struct(F.col(V.ROW_COL), F.col("authorization_code"))
+    order = V.file_order(valid["acquirer"])
     ledger = enrich.ledger_net(enrich.unified_ledger(
         enrich.marketplace_enriched(valid["marketplace"], rates),
         enrich.pos_enriched(valid["pos"], valid["acquirer"], rates, order)))
