@@ -146,3 +146,18 @@ def test_header_alias_override(spark, tmp_path):
                              "pagto": "payment_method"})
     v = V.validate(files.read_export(spark, path, spec), spec).collect()[0]
     assert v["transaction_id"] == "T1" and v[V.ERROR_COL] is None
+
+
+def test_last_wins_across_files_in_name_order(spark, tmp_path):
+    d = tmp_path / "acq"
+    d.mkdir()
+    head = "Codigo de Autorizacao;Data de Liquidacao;Valor Bruto;Valor Liquido;Taxa MDR;Tipo de Pagamento\n"
+    (d / "a.csv").write_text(head + "A1;2026-03-05;100,00;98,00;2,00;credit\n", encoding="utf-8")
+    (d / "b.csv").write_text(head + "B1;2026-03-05;100,00;97,00;3,00;credit\n"
+                             + "".join(f"B{i};2026-03-0{1 + i % 4};{i},00;{i},00;0,00;debit\n" for i in range(2, 300)),
+                             encoding="utf-8")
+    spec = acquirer_spec("stone")
+    acq = V.valid_rows(V.validate(files.read_export(spark, str(d / "*.csv"), spec), spec), spec)
+    from tillrec.operators import enrich
+    lk = enrich.fee_lookup(acq, V.file_order(acq)).where("lk_gross = 100 AND lk_day = DATE'2026-03-05'").collect()
+    assert [str(r["lk_fee"]) for r in lk] == ["3.00"]

@@ -136,7 +136,7 @@ def validate(df: DataFrame, spec: SourceSpec) -> DataFrame:
         cross = F.when((joined == "") & (F.col("net_value") > F.col("gross_value") + F.lit("0.01").cast(MONEY)),
                        F.lit(MSG_NET_GT_GROSS))
         joined = F.concat_ws("; ", F.when(joined != "", joined), cross)
-    return stage2.select(*spec.field_names, *raw_names, ROW_COL, F.nullif(joined, F.lit("")).alias(ERROR_COL))
+    return stage2.select(*spec.field_names, *raw_names, *carry, F.nullif(joined, F.lit("")).alias(ERROR_COL))
 
 
 def persisted(validated: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ looked at on the driver, to pick the delimiter — a bounded read of one line.
 
 from __future__ import annotations
 
+import glob
 import os
 from pathlib import PurePath
 
@@ -46,7 +47,12 @@ def sniff_delimiter(header: str, delimiters: tuple[str, ...]) -> str:
 
 
 def _check_path(path: str) -> None:
-    if not os.path.exists(path) and "://" not in path:
+    """Local paths and globs must match something; remote URIs are left to Spark."""
+    if "://" in path:
+        return
+    if any(ch in path for ch in "*?[") and glob.glob(path):
+        return
+    if not os.path.exists(path):
         raise FileNotFoundError(path)
 
 
