@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +35,13 @@ def _d(col: str) -> F.Column:
     return F.col(col).cast("double").alias(col)
 
 
+def _shared(df: DataFrame) -> DataFrame:
+    """A source read by several branches of one plan (fee lookup, both anti-joins, the
+    empty-side checks): derive it once and keep it (MEMORY_AND_DISK; lost blocks recompute
+    from lineage) instead of rescanning and re-deriving it per branch."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 class Inputs:
     """Lazily built, per-call source tables for one (spark, sf_dir)."""
 
@@ -41,13 +49,13 @@ class Inputs:
         self.spark, self.sf_dir, self.rates = spark, sf_dir, rates
 
     def pos(self) -> DataFrame:
-        return derived.pos(self.spark, self.sf_dir)
+        return _shared(derived.pos(self.spark, self.sf_dir))
 
     def acquirer(self) -> DataFrame:
-        return derived.acquirer(self.spark, self.sf_dir)
+        return _shared(derived.acquirer(self.spark, self.sf_dir))
 
     def marketplace(self) -> DataFrame:
-        return derived.marketplace(self.spark, self.sf_dir)
+        return _shared(derived.marketplace(self.spark, self.sf_dir))
 
     def mk_enriched(self) -> DataFrame:
         return enrich.marketplace_enriched(self.marketplace(), self.rates)
