@@ -1,10 +1,8 @@
 import io
 import json
-import os
 import zipfile
 
 import pytest
-from pyspark.sql import functions as F
 
 from tillrec.config import JobArgs
 from tillrec.operators import history as H, validate as V
@@ -161,3 +159,22 @@ def test_last_wins_across_files_in_name_order(spark, tmp_path):
     from tillrec.operators import enrich
     lk = enrich.fee_lookup(acq, V.file_order(acq)).where("lk_gross = 100 AND lk_day = DATE'2026-03-05'").collect()
     assert [str(r["lk_fee"]) for r in lk] == ["3.00"]
+
+
+def test_structure_edges(spark, tmp_path):
+    # extra column dropped silently; a ragged line (too many fields) is quarantined as malformed
+    text = ("ID Transacao;Data/Hora;Valor Total;Forma de Pagamento;Extra\n"
+            "P1;2026-03-05 10:00:00;10,00;pix;x\n"
+            "P2;2026-03-05 10:00:00;10,00;pix;x;y;z\n")
+    v = V.validate(files.read_export(spark, write(tmp_path, "ragged.csv", text), POS), POS)
+    errs = {r["transaction_id"]: r[V.ERROR_COL] for r in v.collect()}
+    assert errs["P1"] is None
+    assert errs["P2"].startswith(V.MSG_MALFORMED)
+    assert "Extra" not in v.columns and "extra" not in v.columns
+    # wrong delimiter: the header does not split with any accepted delimiter
+    with pytest.raises(ValueError):
+        files.read_export(spark, write(tmp_path, "pipe.csv", "a|b|c\n1|2|3\n"), POS)
+    # missing id column: every row quarantined with "field required"
+    v2 = V.validate(files.read_export(spark, write(tmp_path, "noid.csv", "Data;Valor;Forma Pagamento\n"
+                                                  "2026-03-05 10:00:00;1,00;pix\n"), POS), POS)
+    assert v2.collect()[0][V.ERROR_COL] == "transaction_id: field required"

@@ -2,6 +2,7 @@ import datetime as dt
 import random
 from decimal import Decimal
 
+from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from tillrec.functions.money import cents
@@ -84,3 +85,37 @@ def test_band_anti_join_plan_is_equi_join(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoopJoin" not in plan
     assert "LeftAnti" in plan
+
+
+@settings(max_examples=8, deadline=None)
+@given(t=st.integers(0, 40),
+       left=st.lists(st.tuples(st.integers(0, 2), st.integers(-500, 500)), min_size=1, max_size=60),
+       right=st.lists(st.tuples(st.integers(0, 2), st.integers(-500, 500)), max_size=60))
+def test_band_anti_join_property(spark, t, left, right):
+    days = [dt.datetime(2026, 3, d + 1) for d in range(3)]
+    lrows = [(f"L{i}", days[d], c) for i, (d, c) in enumerate(left)]
+    rrows = [(f"R{i}", days[d], c) for i, (d, c) in enumerate(right)]
+    expected = {i for i, d, c in lrows if not any(rd == d and abs(rc - c) <= t for _, rd, rc in rrows)}
+    lf = spark.createDataFrame(lrows, "id string, day timestamp_ntz, c long")
+    rf = spark.createDataFrame(rrows, "rid string, rday timestamp_ntz, rc long")
+    got = {r["id"] for r in reconcile.band_anti_join(
+        lf, rf, F.to_date(lf["day"]), lf["c"], F.to_date(rf["rday"]), rf["rc"], t).collect()}
+    assert got == expected
+
+
+def test_ledger_identities_on_test_tables(spark):
+    from tillrec.operators import enrich, statement
+    from tillrec.plans.catalog import Inputs
+    i = Inputs(spark, "/root/testdata/sf0.001")
+    led = enrich.ledger_net(i.ledger())
+    bad = led.where(F.col("net_value_final") != F.col("gross_value") - F.col("mdr_fee")
+                    - F.col("ifood_commission_computed")).count()
+    assert bad == 0
+    s = statement.income_statement(i.ledger(), i.gaps(), "2026-03").collect()[0]
+    assert round(s["total_gross_revenue_brl"] - s["total_deductions_brl"], 2) == s["net_revenue_brl"]
+    # every pos gap really has no settlement within tolerance on its day (disjoint from matches)
+    gaps = reconcile.gaps_pos_missing(i.pos(), i.acquirer()).select("transaction_id")
+    p = i.pos().join(gaps, "transaction_id").select("transaction_id", F.to_date("transaction_date").alias("d"),
+                                                    cents(F.col("gross_value")).alias("c"))
+    a = i.acquirer().select(F.to_date("settlement_date").alias("d"), cents(F.col("gross_value")).alias("ac"))
+    assert p.join(a, "d").where(F.abs(F.col("c") - F.col("ac")) <= 5).count() == 0

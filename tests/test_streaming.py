@@ -1,6 +1,5 @@
 import datetime as dt
 
-from pyspark.sql import functions as F
 
 from tillrec.sources.spec import POS
 from tillrec.streaming import bursts_stream, landing

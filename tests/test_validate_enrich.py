@@ -1,7 +1,6 @@
 import datetime as dt
 from decimal import Decimal
 
-from pyspark.sql import functions as F
 
 from tillrec.config import Rates
 from tillrec.operators import enrich, validate as V

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from itertools import chain
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,10 +10,6 @@ from pyspark.sql import functions as F
 from tillrec.functions.text import py_strip
 
 
-def literal_map(mapping: Mapping[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for x in chain.from_iterable(mapping.items())])
-
-
 def lookup(key: Column, mapping: Mapping[str, str]) -> Column:
     """mapping[key] as a CASE chain (codegen'd; null when absent)."""
     expr = None

@@ -21,10 +21,6 @@ from tillrec.constants import SOURCE_MARKETPLACE, SOURCE_POS
 from tillrec.functions.enums import lookup
 from tillrec.functions.money import MONEY, rate_lit, round_money
 
-LEDGER_COLUMNS = ["source", "record_id", "date", "gross_value", "net_value", "mdr_fee",
-                  "ifood_commission_computed", "payment_method", "status"]
-
-
 def marketplace_enriched(orders: DataFrame, rates: Rates = Rates()) -> DataFrame:
     """Listed commission if > 0 else round(gross x rate, 2); cancelled orders negate gross
     and carry no commission; net = gross - commission (delivery fee not deducted)."""

@@ -12,7 +12,6 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUT_SCHEMA = "event_id long, user_id long, ts timestamp, accepted boolean"
