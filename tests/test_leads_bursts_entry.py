@@ -113,3 +113,26 @@ def test_append_and_read_lead_store(spark, tmp_path):
     L.append_leads(recs.limit(1), store)
     p = L.parse_lines(L.read_lead_lines(spark, store))
     assert L.lead_count(p).collect()[0]["lead_count"] == 3
+
+
+def test_alert_fanout_outbox(spark, tmp_path):
+    from tillrec.operators import alerts as A
+    from tillrec.sinks.writers import append_outbox
+    gaps = spark.createDataFrame(
+        [("T1", "PDV", 6000.0, "PDV_MISSING_IN_ACQUIRER", "d1", dt.datetime(2026, 3, 5), 1),
+         ("T2", "iFood", 50.0, "IFOOD_ORDER_CANCELLED", "d2", dt.datetime(2026, 3, 6), 3)],
+        "transaction_id string, source string, amount_brl double, gap_type string, detail string, "
+        "gap_date timestamp_ntz, gap_order int")
+    subs = spark.createDataFrame(
+        [("S1", "slack", "https://h/1", "low", True), ("S2", "email", "https://h/2", "critical", True),
+         ("S3", "telegram", "https://h/3", "medium", False)],
+        "id string, channel string, webhook_url string, severity_filter string, active boolean")
+    al = A.alerts_from_gaps(gaps)
+    sev = {r["transaction_id"]: r["severity"] for r in al.collect()}
+    assert sev == {"T1": "critical", "T2": "low"}
+    routed = A.alert_routing(al, subs)
+    pairs = {(r["alert_id"], r["subscriber_id"]) for r in routed.collect()}
+    assert pairs == {("PDV_MISSING_IN_ACQUIRER:T1", "S1"), ("PDV_MISSING_IN_ACQUIRER:T1", "S2"),
+                     ("IFOOD_ORDER_CANCELLED:T2", "S1")}
+    append_outbox(A.delivery_outbox(routed, al), str(tmp_path / "outbox"))
+    assert spark.read.parquet(str(tmp_path / "outbox")).count() == 3

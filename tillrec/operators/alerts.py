@@ -70,3 +70,15 @@ def alerts_open(alerts: DataFrame, acks: DataFrame) -> DataFrame:
 def alert_lookup(alerts: DataFrame, alert_id: str) -> DataFrame:
     """One alert by id (empty when unknown)."""
     return alerts.where(F.col("alert_id") == alert_id)
+
+
+def delivery_outbox(routing: DataFrame, alerts: DataFrame) -> DataFrame:
+    """One outbox row per (alert, subscriber): the JSON payload a webhook sender would post.
+
+    Delivery itself (HTTP) is outside the data job; a sender drains this table.
+    """
+    payload = F.to_json(F.struct("alert_id", "severity", "title", "message", "transaction_id", "amount_brl",
+                                 "reference_month", F.col("created_at").cast("string").alias("created_at")))
+    return (routing.join(alerts.select("alert_id", "title", "message", "transaction_id", "amount_brl",
+                                       "reference_month", "created_at"), "alert_id")
+                   .select("alert_id", "subscriber_id", "channel", "webhook_url", payload.alias("payload")))

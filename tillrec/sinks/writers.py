@@ -51,3 +51,15 @@ def write_run(out_dir: str, run_stamp: str, statements: DataFrame, gaps: DataFra
     quarantine.write.mode(mode).partitionBy("source").parquet(paths["quarantine"])
     rows.write.mode(mode).partitionBy("reference_month").option("header", True).csv(paths["statement_rows"])
     return paths
+
+
+def append_outbox(outbox: DataFrame, path: str) -> None:
+    """Append routed alerts to the delivery outbox (partitioned by channel)."""
+    outbox.write.mode("append").partitionBy("channel").parquet(path)
+
+
+def stream_outbox(routing_stream: DataFrame, path: str, checkpoint_dir: str):
+    """Streamed variant: each micro-batch of routed alerts is appended exactly once."""
+    return (routing_stream.writeStream
+            .foreachBatch(lambda batch, _epoch: append_outbox(batch, path))
+            .option("checkpointLocation", checkpoint_dir).start())
