@@ -119,14 +119,14 @@ def test_artefacts_skip_corrupt_and_rank_runs(spark, tmp_path):
     base = {"total_gross_revenue_brl": 100.0, "net_revenue_brl": 90.0, "total_deductions_brl": 10.0,
             "total_ifood_commission_brl": 5.0, "total_card_fees_brl": 5.0, "gaps_detected": 2,
             "generated_at": "x"}
-    (d / "dataflow_2026-03_20260401_000000_dre.json").write_text(json.dumps(
+    (d / "statement_2026-03_20260401_000000.json").write_text(json.dumps(
         {**base, "reference_month": "2026-03", "gaps": [{"amount_brl": 10.5}, {"amount_brl": None}]}))
-    (d / "dataflow_2026-03_20260402_000000_dre.json").write_text(json.dumps(
+    (d / "statement_2026-03_20260402_000000.json").write_text(json.dumps(
         {**base, "reference_month": "2026-03", "net_revenue_brl": 80.0, "gaps": None}))
-    (d / "dataflow_2026-02_20260301_000000_dre.json").write_text(json.dumps(
+    (d / "statement_2026-02_20260301_000000.json").write_text(json.dumps(
         {**base, "reference_month": "2026-02", "total_gross_revenue_brl": 0.0, "gaps": []}))
-    (d / "dataflow_2026-01_x_dre.json").write_text("{not json")
-    art = artefacts.read_artefacts(spark, str(d / "*_dre.json"))
+    (d / "statement_2026-01_x.json").write_text("{not json")
+    art = artefacts.read_artefacts(spark, str(d / "statement_*.json"))
     m = H.period_metrics(art)
     assert m.count() == 3
     latest = H.latest_period(m).collect()[0]

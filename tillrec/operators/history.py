@@ -23,7 +23,7 @@ def artefacts_from_ledger(ledger: DataFrame, gaps: DataFrame, run_stamp: str = "
     return st.select(
         "*",
         F.lit(generated_at).alias("generated_at"),
-        F.concat(F.lit("dataflow_"), F.col("reference_month"), F.lit(f"_{run_stamp}_dre.json")).alias("file_name"),
+        F.concat(F.lit("statement_"), F.col("reference_month"), F.lit(f"_{run_stamp}.json")).alias("file_name"),
     )
 
 

@@ -475,7 +475,7 @@ art AS (
          CAST(coalesce(gt.gaps_detected, 0) AS INTEGER) AS gaps_detected,
          CAST(coalesce(gt.gv, 0) AS DOUBLE) AS gaps_value_brl,
          '{generated_at}' AS generated_at,
-         'dataflow_' || coalesce(mt.reference_month, gt.reference_month) || '_{run_stamp}_dre.json' AS file_name
+         'statement_' || coalesce(mt.reference_month, gt.reference_month) || '_{run_stamp}.json' AS file_name
   FROM mt FULL OUTER JOIN gt ON mt.reference_month = gt.reference_month),
 pm AS (
   SELECT reference_month, total_gross_revenue_brl AS gross_revenue_brl, net_revenue_brl, total_deductions_brl,
