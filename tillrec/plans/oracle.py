@@ -593,7 +593,7 @@ ORDER BY line_no LIMIT {limit} OFFSET {skip}"""
 SELECT line_no, CASE WHEN malformed THEN NULL ELSE id END AS id FROM lines
 WHERE NOT blank AND (malformed OR line_no % 29 <> 0)"""
     q["clean_html_text"] = f"""
-SELECT page_id, t AS clean_text, length(t) AS n_chars
+SELECT page_id, t AS clean_text, CAST(length(t) AS INTEGER) AS n_chars
 FROM (SELECT page_id, regexp_replace(replace(regexp_replace(html, '<[^>]+>', '', 'g'), chr(0), ''),
                                      '^{ws}+|{ws}+$', '', 'g') AS t FROM pages)"""
     q["burst_counts"] = """
@@ -666,7 +666,8 @@ FROM st LEFT JOIN (
     n_fixed = len(_layout("23"))
     q["statement_rows"] = with_derived(monthly + "\n" + "\nUNION ALL\n".join(parts) + f"""
 UNION ALL
-SELECT reference_month, {n_fixed - 1} + dense_rank() OVER (PARTITION BY reference_month ORDER BY payment_method),
+SELECT reference_month,
+       CAST({n_fixed - 1} + dense_rank() OVER (PARTITION BY reference_month ORDER BY payment_method) AS INTEGER),
        '  ' || upper(substr(payment_method, 1, 1)) || lower(substr(payment_method, 2)), {fmt('revenue_brl')}
 FROM byp""")
     return q
