@@ -66,8 +66,9 @@ def trend_last_n(metrics: DataFrame, n: int = 6) -> DataFrame:
     if not 1 <= n <= 24:
         raise ValueError("n must be within 1..24")
     top = metrics.orderBy(F.col("reference_month").desc(), F.col("file_name").desc()).limit(n)
-    return top.select(F.col("reference_month").alias("month"), F.col("gross_revenue_brl").alias("gross_revenue"),
-                      F.col("net_revenue_brl").alias("net_revenue"), "gaps_count").orderBy("month")
+    return top.orderBy("reference_month", "file_name").select(
+        F.col("reference_month").alias("month"), F.col("gross_revenue_brl").alias("gross_revenue"),
+        F.col("net_revenue_brl").alias("net_revenue"), "gaps_count")
 
 
 def period_lookup(metrics: DataFrame, month: str) -> DataFrame:
@@ -80,8 +81,9 @@ def period_lookup(metrics: DataFrame, month: str) -> DataFrame:
 
 def gap_drilldown(gaps: DataFrame, month: str, min_amount: float = 0.0) -> DataFrame:
     """Gaps of one month with amount >= min_amount, largest first (distributed range sort)."""
+    # the threshold applies to the stored amount; rounding is for display only
     g = gaps.where((ntz_text(F.col("gap_date"), "yyyy-MM") == month)
-                   & (F.round(F.col("amount_brl"), 2) >= F.lit(min_amount)))
+                   & (F.coalesce(F.col("amount_brl"), F.lit(0.0)) >= F.lit(min_amount)))
     return (g.select("transaction_id", "source", F.coalesce("gap_type", F.lit("UNKNOWN")).alias("gap_type"),
                      F.round(F.col("amount_brl"), 2).alias("amount_brl"), "detail", "gap_order")
              .orderBy(F.col("amount_brl").desc(), "gap_order", "transaction_id"))

@@ -521,7 +521,7 @@ FROM (SELECT * FROM pm ORDER BY reference_month DESC, file_name DESC LIMIT {tren
     q["gap_drilldown"] = with_derived(f"""
 SELECT transaction_id, source, coalesce(gap_type, 'UNKNOWN') AS gap_type, round(amount_brl, 2) AS amount_brl,
        detail, gap_order
-FROM gaps WHERE strftime(gap_date, '%Y-%m') = '{month}' AND round(amount_brl, 2) >= {min_amount}
+FROM gaps WHERE strftime(gap_date, '%Y-%m') = '{month}' AND coalesce(amount_brl, 0) >= {min_amount}
 ORDER BY amount_brl DESC, gap_order, transaction_id""")
     q["alerts_from_gaps"] = with_derived(art + "SELECT * FROM alerts")
     q["alert_routing"] = with_derived(art + """
