@@ -99,6 +99,18 @@ def test_burst_flags_exact(spark):
     assert got == _brute_flags(ev)
 
 
+def test_burst_flags_hot_key_across_partitions(spark):
+    # one key with most of the events, dense enough that it spans every range partition and
+    # the carried state decides acceptances right after each boundary
+    t0 = dt.datetime(2026, 1, 1)
+    rnd = random.Random(5)
+    ev = [(i, t0 + dt.timedelta(seconds=rnd.randint(0, 900)), 7) for i in range(1500)]
+    ev += [(5000 + i, t0 + dt.timedelta(seconds=rnd.randint(0, 900)), rnd.randint(1, 3)) for i in range(300)]
+    df = spark.createDataFrame(ev, "event_id long, ts timestamp_ntz, user_id long")
+    got = {r["event_id"]: r["accepted"] for r in bursts.burst_flags(df, partitions=12).collect()}
+    assert got == _brute_flags(ev)
+
+
 def test_entry_and_registry(spark):
     import __spark_entry__ as E
     df = E.entry(spark)

@@ -46,23 +46,31 @@ def burst_counts(events: DataFrame, key: str = "user_id", ts: str = "ts", id_col
         (F.col("n_in_window") > limit).alias("over_limit"))
 
 
-def _fold_accepts(limit: int, window_us: int, key: str, id_col: str):
-    """mapInPandas body: rows arrive sorted by (key, time, id) within the partition.
+def _fold_pass(carry: dict, limit: int, window_us: int, key: str, id_col: str):
+    """mapInPandas body for one pass over range-partitioned, sorted rows.
 
-    State per key is the accepted times of the last window — never more than
-    ``limit`` values — and it carries across Arrow batches, so a key spanning
-    batches is handled exactly and memory stays bounded.
+    ``carry`` maps a partition id to (key text, accepted times) left by the
+    previous non-empty partition; it is used when this partition starts with
+    the same key. Emits one flag row per event plus one tail row per
+    partition: the accepted times of the last key (at most ``limit`` values).
     """
     import collections
 
     import pandas as pd
 
     def run(batches):
-        current, accepted = None, collections.deque()
+        current, accepted, pid, seen = None, collections.deque(), None, False
         for pdf in batches:
-            keys, times = pdf[key].to_numpy(), pdf["_us"].to_numpy()
+            if pdf.empty:
+                continue
+            keys, times, pids = pdf[key].to_numpy(), pdf["_us"].to_numpy(), pdf["_pid"].to_numpy()
             flags = []
-            for k, t in zip(keys, times):
+            for k, t, p in zip(keys, times, pids):
+                if not seen:
+                    seen, pid = True, int(p)
+                    seed = carry.get(pid)
+                    if seed is not None and seed[0] == str(k):
+                        current, accepted = k, collections.deque(seed[1])
                 if k != current:
                     current, accepted = k, collections.deque()
                 while accepted and accepted[0] < t - window_us:   # exactly `window` old still counts
@@ -70,31 +78,63 @@ def _fold_accepts(limit: int, window_us: int, key: str, id_col: str):
                 if len(accepted) >= limit:
                     flags.append(False)                            # rejected: not remembered
                 else:
-                    accepted.append(t)
+                    accepted.append(int(t))
                     flags.append(True)
-            yield pd.DataFrame({id_col: pdf[id_col], key: pdf[key], "_us": pdf["_us"], "accepted": flags})
+            yield pd.DataFrame({id_col: pdf[id_col], key: pdf[key], "_us": pdf["_us"], "accepted": flags,
+                                "_tail_pid": None, "_tail_key": None, "_tail": None})
+        if seen:
+            yield pd.DataFrame({id_col: [None], key: [None], "_us": [None], "accepted": [None],
+                                "_tail_pid": [pid], "_tail_key": [str(current)], "_tail": [list(accepted)]})
 
     return run
 
 
 def burst_flags(events: DataFrame, key: str = "user_id", ts: str = "ts", id_col: str = "event_id",
-                window_seconds: int = 60, limit: int = 5) -> DataFrame:
+                window_seconds: int = 60, limit: int = 5, partitions: int | None = None) -> DataFrame:
     """Exact admission flags: an event is accepted when fewer than ``limit`` accepted events of
     its key lie in ``[ts - window, ts]``; rejected events do not count later.
 
-    The fold is sequential per key by definition. Keys are hash-partitioned and
-    each partition is sorted by (key, time, id); the fold streams over the
-    sorted rows with O(limit) state per key, so no key's events are gathered
-    into memory. A key with a third of all events costs one task's time, not
-    its memory.
+    The fold is sequential per key by definition, but its state is small (at
+    most ``limit`` times), so it parallelises by carrying state forward:
+
+    1. range-partition by (key, time, id) into equal-sized partitions — a key
+       holding a third of all events spans many partitions — and checkpoint
+       once (to ``spark.checkpoint.dir``) so every pass sees the same
+       boundaries;
+    2. fold every partition in parallel, seeded with the tail state the
+       previous partition left for the same key (empty in the first pass);
+    3. repeat until no seed changes. Only the tail table reaches the driver:
+       one row per partition with at most ``limit`` values. Each pass fixes
+       at least one more partition, and state usually settles after two.
     """
+    from tillrec.session import ensure_checkpoint_dir
+
+    spark = events.sparkSession
+    ensure_checkpoint_dir(spark)
     width = window_seconds * 1_000_000
-    base = events.select(F.col(id_col), F.col(key), F.col(ts), _micros(ts).alias("_us"))
-    parts = base.sparkSession.sparkContext.defaultParallelism
-    ordered = base.repartition(parts, key).sortWithinPartitions(key, "_us", id_col)
+    n = partitions or max(spark.sparkContext.defaultParallelism,
+                          int(spark.conf.get("spark.sql.shuffle.partitions")))
+    base = events.select(F.col(id_col), F.col(key), _micros(ts).alias("_us"))
+    staged = (base.repartitionByRange(n, key, "_us", id_col)
+                  .sortWithinPartitions(key, "_us", id_col)
+                  .withColumn("_pid", F.spark_partition_id())
+                  .checkpoint(eager=True))
     key_type = dict(base.dtypes)[key]
-    flags = ordered.select(id_col, key, "_us").mapInPandas(
-        _fold_accepts(limit, width, key, id_col), f"{id_col} long, {key} {key_type}, _us long, accepted boolean")
-    # the time comes back from its microsecond count: no join back to the events
+    schema = (f"{id_col} long, {key} {key_type}, _us long, accepted boolean, "
+              "_tail_pid int, _tail_key string, _tail array<long>")
+
+    def run_pass(carry: dict) -> DataFrame:
+        return staged.mapInPandas(_fold_pass(carry, limit, width, key, id_col), schema)
+
+    carry: dict = {}
+    for _ in range(n + 1):
+        tails = sorted((r["_tail_pid"], r["_tail_key"], list(r["_tail"]))
+                       for r in run_pass(carry).where(F.col("_tail_pid").isNotNull())
+                       .select("_tail_pid", "_tail_key", "_tail").collect())   # <= one row per partition
+        nxt = {tails[i + 1][0]: (tails[i][1], tails[i][2]) for i in range(len(tails) - 1)}
+        if nxt == carry:
+            break
+        carry = nxt
+    flags = run_pass(carry).where(F.col("_tail_pid").isNull())
     back = F.timestamp_add("MICROSECOND", F.col("_us"), F.lit(EPOCH).cast("timestamp_ntz"))
     return flags.select(id_col, key, back.alias(ts), "accepted")
