@@ -148,3 +148,19 @@ def test_alert_fanout_outbox(spark, tmp_path):
                      ("IFOOD_ORDER_CANCELLED:T2", "S1")}
     append_outbox(A.delivery_outbox(routed, al), str(tmp_path / "outbox"))
     assert spark.read.parquet(str(tmp_path / "outbox")).count() == 3
+
+
+def test_erase_to_new_version(spark, tmp_path):
+    import pytest
+    store = str(tmp_path / "leads_v1")
+    recs = spark.createDataFrame([("LEAD-1", "Ana"), ("LEAD-2", "Bia"), ("LEAD-1", "Ana again")],
+                                 "id string, name string")
+    L.append_leads(recs, store)
+    ids = spark.createDataFrame([("LEAD-1",)], "id string")
+    with pytest.raises(ValueError):
+        L.erase_to_new_version(spark, store, ids, store)
+    with pytest.raises(KeyError):
+        L.erase_to_new_version(spark, store, spark.createDataFrame([("LEAD-9",)], "id string"), str(tmp_path / "x"))
+    out = L.erase_to_new_version(spark, store, ids, str(tmp_path / "leads_v2"))
+    kept = L.parse_lines(L.read_lead_lines(spark, out)).select("lead.id").collect()
+    assert [r["id"] for r in kept] == ["LEAD-2"]

@@ -129,3 +129,20 @@ def read_lead_lines(spark, path: str) -> DataFrame:
     return spark.read.text(path).select(
         F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"),
                  F.monotonically_increasing_id()).alias("line_no"), "value")
+
+
+def erase_to_new_version(spark, store_path: str, erase_ids: DataFrame, new_path: str) -> str:
+    """Erasure job: read the store, drop the ids, write the kept lines to a NEW path.
+
+    Raises when ``new_path`` is the store itself (never overwrite what is being read) or when
+    none of the ids exists (an unknown id is an error). The existence check is ``limit(1)``.
+    """
+    import os
+    if os.path.normpath(new_path) == os.path.normpath(store_path):
+        raise ValueError("write the erased store to a new path, not over the one being read")
+    parsed = parse_lines(read_lead_lines(spark, store_path))
+    ids = erase_ids.select(F.col("id").alias("_erase_id")).distinct()
+    if parsed.join(ids, F.col("lead.id") == F.col("_erase_id"), "left_semi").limit(1).count() == 0:
+        raise KeyError("lead id not found")
+    lead_erase(parsed, erase_ids).orderBy("line_no").select("value").write.mode("error").text(new_path)
+    return new_path
