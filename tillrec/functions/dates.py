@@ -87,15 +87,29 @@ def ntz_text(ts: Column, layout: str) -> Column:
     cast of TIMESTAMP_NTZ to string does not, and every layout is cut from it.
     """
     s = ts.cast("timestamp_ntz").cast("string")
-    y, m, d, t = F.substring(s, 1, 4), F.substring(s, 6, 2), F.substring(s, 9, 2), F.substring(s, 12, 8)
-    t = F.when(F.length(t) == 8, t).otherwise(F.lit("00:00:00"))
-    parts = {
-        "yyyy-MM-dd HH:mm:ss": F.concat_ws(" ", F.concat_ws("-", y, m, d), t),
-        "dd/MM/yyyy HH:mm:ss": F.concat_ws(" ", F.concat_ws("/", d, m, y), t),
-        "d/M/yyyy": F.concat_ws("/", d.cast("int").cast("string"), m.cast("int").cast("string"), y),
-        "yyyy-MM-dd'T'HH:mm:ss": F.concat(F.concat_ws("-", y, m, d), F.lit("T"), t),
-        "yyyy-MM-dd": F.concat_ws("-", y, m, d),
-        "dd/MM/yyyy": F.concat_ws("/", d, m, y),
-        "yyyy-MM": F.concat_ws("-", y, m),
-    }
-    return F.when(ts.isNotNull(), parts[layout])
+
+    def part(start: int, length: int) -> Column:
+        return F.substring(s, start, length)
+
+    def time_of_day() -> Column:
+        t = part(12, 8)
+        return F.when(F.length(t) == 8, t).otherwise(F.lit("00:00:00"))
+
+    if layout == "yyyy-MM-dd HH:mm:ss":
+        out = F.concat_ws(" ", part(1, 10), time_of_day())
+    elif layout == "dd/MM/yyyy HH:mm:ss":
+        out = F.concat_ws(" ", F.concat_ws("/", part(9, 2), part(6, 2), part(1, 4)), time_of_day())
+    elif layout == "d/M/yyyy":
+        out = F.concat_ws("/", part(9, 2).cast("int").cast("string"), part(6, 2).cast("int").cast("string"),
+                          part(1, 4))
+    elif layout == "yyyy-MM-dd'T'HH:mm:ss":
+        out = F.concat(part(1, 10), F.lit("T"), time_of_day())
+    elif layout == "yyyy-MM-dd":
+        out = part(1, 10)
+    elif layout == "dd/MM/yyyy":
+        out = F.concat_ws("/", part(9, 2), part(6, 2), part(1, 4))
+    elif layout == "yyyy-MM":
+        out = part(1, 7)
+    else:
+        raise ValueError(f"unsupported layout {layout!r}")
+    return F.when(ts.isNotNull(), out)
