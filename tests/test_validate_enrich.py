@@ -106,3 +106,15 @@ def test_commission_rules(spark):
     assert got["2"] == (Decimal("100.00"), Decimal("23.00"), Decimal("77.00"))
     assert got["3"] == (Decimal("100.00"), Decimal("23.00"), Decimal("77.00"))
     assert got["4"] == (Decimal("-100.00"), Decimal("0.00"), Decimal("-100.00"))
+
+
+def test_legacy_nan_mode_swaps_blank_rules(spark):
+    df = spark.createDataFrame([("P1", "2026-03-05 10:00:00", None, "pix", "op", None, None, 0)],
+                               "transaction_id string, transaction_date string, gross_value string, "
+                               "payment_method string, cashier_id string, table_number string, notes string, "
+                               "source_row_index long")
+    strict = V.validate(df, S.POS).collect()[0]
+    legacy = V.validate(df, S.POS, legacy_nan=True).collect()[0]
+    assert strict["validation_error"] == "gross_value: field required"
+    assert legacy["validation_error"] == ("table_number: should be a valid string; "
+                                          "notes: should be a valid string")

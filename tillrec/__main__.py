@@ -15,7 +15,7 @@ def _run(ns: argparse.Namespace) -> None:
     spark = build_session()
     args = JobArgs(ns.marketplace, ns.pos, ns.acquirer, ns.month, ns.acquirer_name,
                    Rates(fee_fallback=ns.fee_fallback))
-    out, paths = run_month(spark, args, ns.out, filter_month=ns.filter_month)
+    out, paths = run_month(spark, args, ns.out, filter_month=ns.filter_month, legacy_nan=ns.legacy_nan)
     row = out.summary.collect()[0].asDict()   # one summary row
     row["outputs"] = paths
     print(json.dumps(row, default=str))
@@ -46,6 +46,7 @@ def main(argv: list[str] | None = None) -> None:
     r.add_argument("--out", required=True)
     r.add_argument("--fee-fallback", default="by_method", choices=["by_method", "credit_only"])
     r.add_argument("--filter-month", action="store_true")
+    r.add_argument("--legacy-nan", action="store_true", help="blank numbers pass, blank optional text fails")
     r.set_defaults(fn=_run)
     d = sub.add_parser("dashboard", help="KPIs over past statement artefacts")
     d.add_argument("--artefacts", required=True, help="glob of statement JSON files")

@@ -27,6 +27,7 @@ MSG_ENUM = "not an allowed value"
 MSG_INT_RANGE = "must be an integer between {lo} and {hi}"
 MSG_NET_GT_GROSS = "root: net_value cannot exceed gross_value"
 MSG_MALFORMED = "row: malformed line"
+MSG_NOT_TEXT = "should be a valid string"
 CORRUPT_COL = "_corrupt"
 
 INT_TEXT = r"^\s*[+-]?\d+(\.0+)?\s*$"
@@ -73,8 +74,13 @@ def _value(rule: FieldRule, present: bool) -> Column:
     raise ValueError(f"unknown rule kind {rule.kind}")
 
 
-def _errors(rule: FieldRule, present: bool) -> list[Column]:
-    """Error messages of a field, from the typed value ``<f>`` and the raw text ``raw_<f>``."""
+def _errors(rule: FieldRule, present: bool, legacy_nan: bool = False) -> list[Column]:
+    """Error messages of a field, from the typed value ``<f>`` and the raw text ``raw_<f>``.
+
+    ``legacy_nan`` reproduces how blank cells behaved in the original reader:
+    a blank required number was NaN and passed its checks (it is filled with 0
+    later), while a blank optional text cell was NaN and failed as "not a string".
+    """
     name = rule.name
     if not present:
         if rule.default is None and rule.kind in ("req_str", "datetime", "money", "enum", "int_range"):
@@ -85,11 +91,13 @@ def _errors(rule: FieldRule, present: bool) -> list[Column]:
     if rule.kind == "req_str":
         return [_err(missing, name, MSG_REQUIRED), _err(F.length(raw) < 1, name, MSG_EMPTY)]
     if rule.kind == "opt_str":
-        return []
+        return [_err(missing, name, MSG_NOT_TEXT)] if legacy_nan else []
     if rule.kind == "datetime":
         return [_err(missing, name, MSG_REQUIRED), _err(~missing & v.isNull(), name, MSG_DATETIME)]
     if rule.kind == "money":
-        if rule.blank_is_null:
+        if legacy_nan and not rule.blank_is_null:
+            errs = [_err(~missing & v.isNull(), name, MSG_NUMERIC)]
+        elif rule.blank_is_null:
             errs = [_err(~(missing | (py_strip(raw) == "")) & v.isNull(), name, MSG_NUMERIC)]
         else:
             errs = [_err(missing, name, MSG_REQUIRED), _err(~missing & v.isNull(), name, MSG_NUMERIC)]
@@ -106,7 +114,7 @@ def _errors(rule: FieldRule, present: bool) -> list[Column]:
     raise ValueError(f"unknown rule kind {rule.kind}")
 
 
-def validate(df: DataFrame, spec: SourceSpec) -> DataFrame:
+def validate(df: DataFrame, spec: SourceSpec, legacy_nan: bool = False) -> DataFrame:
     """Add typed columns ``<field>``, keep raw text as ``raw_<field>``, add ``validation_error``.
 
     ``validation_error`` is null for valid rows. Input columns are the
@@ -128,7 +136,7 @@ def validate(df: DataFrame, spec: SourceSpec) -> DataFrame:
     raw_names = [f"raw_{r.name}" for r in spec.fields if present[r.name]]
     stage2 = stage1.select(*[_value(r, present[r.name]).alias(r.name) for r in spec.fields],
                            *raw_names, *carry)
-    field_errors = [e for r in spec.fields for e in _errors(r, present[r.name])]
+    field_errors = [e for r in spec.fields for e in _errors(r, present[r.name], legacy_nan)]
     if CORRUPT_COL in cols:
         field_errors.insert(0, F.when(F.col(CORRUPT_COL).isNotNull(), F.lit(MSG_MALFORMED)))
     joined = F.concat_ws("; ", *field_errors) if field_errors else F.lit("")

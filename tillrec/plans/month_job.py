@@ -46,11 +46,12 @@ def _materialise(df: DataFrame, reliable: bool) -> DataFrame:
 
 
 def build_run(spark: SparkSession, args: JobArgs, filter_month: bool = False,
-              reliable: bool = True) -> RunOutputs:
+              reliable: bool = True, legacy_nan: bool = False) -> RunOutputs:
     rates = args.rates
     specs = {"marketplace": MARKETPLACE, "pos": POS, "acquirer": acquirer_spec(args.acquirer_name)}
     paths = {"marketplace": args.marketplace_path, "pos": args.pos_path, "acquirer": args.acquirer_path}
-    validated = {k: _materialise(V.validate(files.read_export(spark, paths[k], specs[k]), specs[k]), reliable)
+    validated = {k: _materialise(V.validate(files.read_export(spark, paths[k], specs[k]), specs[k], legacy_nan),
+                                 reliable)
                  for k in specs}
     valid = {k: V.valid_rows(validated[k], specs[k]) for k in specs}
     if filter_month:
@@ -88,11 +89,12 @@ def build_run(spark: SparkSession, args: JobArgs, filter_month: bool = False,
 
 
 def run_month(spark: SparkSession, args: JobArgs, out_dir: str, run_stamp: str | None = None,
-              filter_month: bool = False, reliable: bool = True) -> tuple[RunOutputs, dict[str, str]]:
+              filter_month: bool = False, reliable: bool = True,
+              legacy_nan: bool = False) -> tuple[RunOutputs, dict[str, str]]:
     """Build and write one run; returns the outputs (lazy) and the written paths."""
     run_stamp = run_stamp or dt.datetime.now(dt.timezone.utc).strftime("%Y%m%d_%H%M%S")
     generated_at = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None).isoformat()
-    out = build_run(spark, args, filter_month, reliable)
+    out = build_run(spark, args, filter_month, reliable, legacy_nan)
     gaps_value = statement.gap_totals(out.gaps).select("gaps_value_brl").scalar()
     st = out.statement.withColumn("gaps_value_brl", gaps_value)
     records = writers.statement_records(st, statement.revenue_map(out.by_payment, "reference_month"),
