@@ -155,18 +155,27 @@ def stripped(df: DataFrame) -> DataFrame:
     return df.select(*cols).withColumnRenamed("row_order", V.ROW_COL)
 
 
+def materialise(validated: DataFrame) -> DataFrame:
+    """The parsed exports feed valid rows, quarantine and counts: write them once to the
+    shared checkpoint folder (as the monthly job does). Later plans start from that table,
+    so they stay small and a lost executor does not re-derive and re-parse the text."""
+    from tillrec.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(validated.sparkSession)
+    return validated.checkpoint(eager=True)
+
+
 class RawInputs:
     def __init__(self, spark: SparkSession, sf_dir: str, rates: Rates = RATES):
         self.spark, self.sf_dir, self.rates = spark, sf_dir, rates
 
     def v_marketplace(self) -> DataFrame:
-        return V.persisted(V.validate(stripped(derived.raw_marketplace(self.spark, self.sf_dir)), S.MARKETPLACE))
+        return materialise(V.validate(stripped(derived.raw_marketplace(self.spark, self.sf_dir)), S.MARKETPLACE))
 
     def v_pos(self) -> DataFrame:
-        return V.persisted(V.validate(stripped(derived.raw_pos(self.spark, self.sf_dir)), S.POS))
+        return materialise(V.validate(stripped(derived.raw_pos(self.spark, self.sf_dir)), S.POS))
 
     def v_acquirer(self) -> DataFrame:
-        return V.persisted(V.validate(stripped(derived.raw_acquirer(self.spark, self.sf_dir)), S.ACQUIRER))
+        return materialise(V.validate(stripped(derived.raw_acquirer(self.spark, self.sf_dir)), S.ACQUIRER))
 
     def valid(self):
         mk = V.valid_rows(self.v_marketplace(), S.MARKETPLACE)
