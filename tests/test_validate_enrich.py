@@ -1,6 +1,7 @@
 import datetime as dt
 from decimal import Decimal
 
+from pyspark.sql import functions as F
 
 from tillrec.config import Rates
 from tillrec.operators import enrich, validate as V
@@ -118,3 +119,27 @@ def test_legacy_nan_mode_swaps_blank_rules(spark):
     assert strict["validation_error"] == "gross_value: field required"
     assert legacy["validation_error"] == ("table_number: should be a valid string; "
                                           "notes: should be a valid string")
+
+
+def test_statement_sheet_rows(spark):
+    from tillrec.operators import statement
+    ledger = spark.createDataFrame(
+        [("pdv", "P1", D, Decimal("1234.56"), Decimal("1197.65"), Decimal("36.91"), Decimal("0.00"), "credito", None),
+         ("ifood", "1", D, Decimal("100.00"), Decimal("77.00"), Decimal("0.00"), Decimal("23.00"), "pix", "concluido"),
+         ("ifood", "2", D, Decimal("-50.00"), Decimal("-50.00"), Decimal("0.00"), Decimal("0.00"), "pix", "cancelado")],
+        "source string, record_id string, date timestamp_ntz, gross_value decimal(18,2), net_value decimal(18,2), "
+        "mdr_fee decimal(18,2), ifood_commission_computed decimal(18,2), payment_method string, status string")
+    gaps = spark.createDataFrame([("2", 50.0, D)], "transaction_id string, amount_brl double, gap_date timestamp_ntz")
+    st = statement.income_statement(ledger, gaps, "2026-03")
+    byp = statement.revenue_by_payment(ledger).withColumn("reference_month", F.lit("2026-03"))
+    rows = {r["line_no"]: (r["item"], r["value"])
+            for r in statement.statement_rows(st, byp, "02/04/2026 10:00").collect()}
+    assert rows[2] == ("Período de Referência", "2026-03")
+    assert rows[6] == ("  Vendas PDV (físico)", "R$ 1,234.56")
+    assert rows[7] == ("  Pedidos iFood (bruto)", "R$ 100.00")          # cancelled order clipped at 0
+    assert rows[8] == ("  TOTAL RECEITA BRUTA", "R$ 1,334.56")
+    assert rows[11] == ("  Comissão iFood (23%)", "- R$ 23.00")
+    assert rows[13] == ("  TOTAL DEDUÇÕES", "- R$ 59.91")
+    assert rows[15] == ("RECEITA LÍQUIDA", "R$ 1,274.65")
+    assert rows[17] == ("FUROS DE CAIXA DETECTADOS", "1")
+    assert rows[20] == ("  Credito", "R$ 1,234.56") and rows[21] == ("  Pix", "R$ 100.00")
