@@ -164,3 +164,13 @@ def test_erase_to_new_version(spark, tmp_path):
     out = L.erase_to_new_version(spark, store, ids, str(tmp_path / "leads_v2"))
     kept = L.parse_lines(L.read_lead_lines(spark, out)).select("lead.id").collect()
     assert [r["id"] for r in kept] == ["LEAD-2"]
+
+
+def test_flagship_plans_have_no_pair_joins(spark):
+    import __spark_entry__ as E
+    for name in ("income_statement", "gaps_all", "alert_routing", "dashboard_totals",
+                 "gaps_amount_mismatch_documented"):
+        df = E.queries()[name](spark, "/root/testdata/sf0.001")
+        df.write.format("noop").mode("overwrite").save()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan, name
