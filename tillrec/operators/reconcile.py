@@ -26,7 +26,8 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillrec.config import Rates
@@ -152,32 +153,35 @@ def gaps_cancelled(orders: DataFrame) -> DataFrame:
 
 def _nearest(own: DataFrame, other: DataFrame, width: int) -> DataFrame:
     """For each ``own`` row (id, day, method, c): the nearest ``other`` row of the same day and
-    method within the bin neighbourhood, ties to the lower amount, then the lower id.
-
-    ``other`` rows are copied into their bin and both neighbours, so every
-    counterpart within ``width - 1`` cents shares a (day, method, bin) group
-    with the row; two running windows (previous / next counterpart in amount
-    order) pick the nearest without forming candidate pairs.
+    method within ``width - 1`` cents; ties go to the lower amount, then the lower id.
+
+    Only the lowest id of each (day, method, amount) of ``other`` can ever be
+    picked, so ``other`` is first reduced to distinct amounts (partial
+    aggregation). Each reduced amount is copied into its bin and both
+    neighbours. Per (day, method, bin) the candidates form an array of at most
+    ``3 * width`` entries, whatever the data volume. ``own`` rows join that
+    array on their bin, and two higher-order functions pick the closest
+    amount below and above. No window over a hot group, no pair expansion.
     """
-    mine = own.select("id", "day", "method", "c", F.floor(F.col("c") / width).cast("bigint").alias("bin"),
-                      F.lit(None).cast("bigint").alias("oc"), F.lit(None).cast("string").alias("oid"))
-    theirs = other.select(F.lit(None).cast("string").alias("id"), "day", "method", F.lit(None).cast("bigint").alias("c"),
-                          F.explode(F.array(*[F.floor(F.col("c") / width).cast("bigint") + d for d in (-1, 0, 1)]))
-                          .alias("bin"), F.col("c").alias("oc"), F.col("id").alias("oid"))
-    both = mine.unionByName(theirs).withColumn("amt", F.coalesce("c", "oc"))
-    grp = Window.partitionBy("day", "method", "bin")
-    below = grp.orderBy(F.col("amt"), F.col("oid").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    above = grp.orderBy(F.col("amt"), F.col("oid").asc_nulls_last()).rowsBetween(0, Window.unboundedFollowing)
-    cand = F.struct(F.col("oc").alias("c"), F.col("oid").alias("id"))
-    tagged = both.select("*",
-                         F.last(F.when(F.col("oid").isNotNull(), cand), ignorenulls=True).over(below).alias("prev"),
-                         F.first(F.when(F.col("oid").isNotNull(), cand), ignorenulls=True).over(above).alias("next"))
-    mine_rows = tagged.where(F.col("id").isNotNull())
+    reduced = (other.groupBy("day", "method", "c").agg(F.min("id").alias("oid"))
+                    .select("day", "method", F.struct(F.col("c").alias("c"), F.col("oid").alias("id")).alias("o"),
+                            F.explode(F.array(*[F.floor(F.col("c") / width).cast("bigint") + d for d in (-1, 0, 1)]))
+                            .alias("bin"))
+                    .groupBy("day", "method", "bin").agg(F.collect_list("o").alias("cands")))
+    mine = own.select("id", "day", "method", "c", F.floor(F.col("c") / width).cast("bigint").alias("bin"))
+    joined = mine.join(reduced, ["day", "method", "bin"])
+    c = F.col("c")
+    none = F.lit(None).cast("struct<c:bigint,id:string>")
+    below = F.aggregate(F.filter("cands", lambda x: x["c"] <= c), none,
+                        lambda acc, x: F.when(acc.isNull() | (x["c"] > acc["c"]), x).otherwise(acc))
+    above = F.aggregate(F.filter("cands", lambda x: x["c"] > c), none,
+                        lambda acc, x: F.when(acc.isNull() | (x["c"] < acc["c"]), x).otherwise(acc))
+    picked = joined.select("id", "day", "method", "c", below.alias("prev"), above.alias("next"))
     d_prev = F.col("c") - F.col("prev.c")
     d_next = F.col("next.c") - F.col("c")
     pick_prev = F.col("prev").isNotNull() & (F.col("next").isNull() | (d_prev <= d_next))
     best = F.when(pick_prev, F.col("prev")).otherwise(F.col("next"))
-    return mine_rows.select("id", "day", "method", "c", best.alias("best")).where(F.col("best").isNotNull())
+    return picked.select("id", "day", "method", "c", best.alias("best")).where(F.col("best").isNotNull())
 
 
 def amount_mismatch_pairs(sales: DataFrame, settlements: DataFrame, rates: Rates = Rates(),
@@ -193,6 +197,9 @@ def amount_mismatch_pairs(sales: DataFrame, settlements: DataFrame, rates: Rates
     right = acquirer_missing_rows(settlements, sales, rates).select(
         F.col("authorization_code").alias("id"), F.to_date("settlement_date").alias("day"),
         F.col("payment_method").alias("method"), cents(F.col("gross_value")).alias("c"))
+    # both leftover sets feed several branches below: compute each anti-join once
+    left = left.persist(StorageLevel.MEMORY_AND_DISK)
+    right = right.persist(StorageLevel.MEMORY_AND_DISK)
     l_best = _nearest(left.drop("ts"), right, width).select(
         F.col("id").alias("l_id"), F.col("c").alias("l_c"), F.col("best.id").alias("r_id"),
         F.col("best.c").alias("r_c"))
