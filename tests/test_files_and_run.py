@@ -178,3 +178,17 @@ def test_structure_edges(spark, tmp_path):
     v2 = V.validate(files.read_export(spark, write(tmp_path, "noid.csv", "Data;Valor;Forma Pagamento\n"
                                                   "2026-03-05 10:00:00;1,00;pix\n"), POS), POS)
     assert v2.collect()[0][V.ERROR_COL] == "transaction_id: field required"
+
+
+def test_new_source_is_only_a_spec(spark, tmp_path):
+    from tillrec.sources.spec import FieldRule, SourceSpec
+    rappi = SourceSpec(name="rappi", delimiters=(";", ","), id_field="order_id",
+                       headers={"pedido": "order_id", "data": "order_date", "total": "gross_value"},
+                       fields=(FieldRule("order_id", "req_str"),
+                               FieldRule("order_date", "datetime", layouts=("%d/%m/%Y %H:%M:%S",)),
+                               FieldRule("gross_value", "money", non_negative=True)))
+    path = write(tmp_path, "rappi.csv", "Pedido,Data,Total\nR1,05/03/2026 10:00:00,\"12,50\"\nR2,x,1\n")
+    v = V.validate(files.read_export(spark, path, rappi), rappi)
+    got = {r["order_id"]: (str(r["gross_value"]), r[V.ERROR_COL]) for r in v.collect()}
+    assert got["R1"] == ("12.50", None)
+    assert got["R2"][1] == "order_date: cannot parse datetime"
