@@ -190,8 +190,8 @@ lines AS (
                generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d)),
 worded AS (
   SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) AS nth, len(ws) AS n,
-         coalesce(list_sum(list_transform(ws, x -> length(x))), 0) AS chars,
-         len(list_filter(ws, x -> x IN ('|', '>', '»', '•', '·'))) AS seps,
+         coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS chars,
+         len(list_filter(ws, lambda x: x IN ('|', '>', '»', '•', '·'))) AS seps,
          len(regexp_extract_all(line, '[#*$%&|<>]')) AS syms,
          len(regexp_extract_all(line, '!!')) AS shouts
   FROM lines WHERE len(ws) > 0),
@@ -206,7 +206,7 @@ byline AS (
   FROM judged GROUP BY doc_id),
 base AS (
   SELECT w.doc_id, len(ws) AS n_words,
-         coalesce(list_sum(list_transform(ws, x -> length(x))), 0) AS word_chars,
+         coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS word_chars,
          len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
          coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
          coalesce(n_failed_lines, 0) AS n_failed_lines, coalesce(lost_chars, 0) AS lost_chars
