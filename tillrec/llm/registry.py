@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tillrec.llm import quality
+from tillrec.llm import pieces, pii, quality
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op4_sentencepiece": pieces.op4_sentencepiece,
+    "op5_pii": pii.op5_pii,
 }
 
 ORACLES = {
