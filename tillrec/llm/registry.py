@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from tillrec.llm import pieces, pii, quality
+from tillrec.llm import decontaminate, pieces, pii, quality
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op4_sentencepiece": pieces.op4_sentencepiece,
     "op5_pii": pii.op5_pii,
+    "op6_decontaminate": decontaminate.op6_decontaminate,
 }
 
 ORACLES = {
     "op1_quality_rules": quality.OP1_SQL,
+    "op6_decontaminate": decontaminate.OP6_SQL,
 }
