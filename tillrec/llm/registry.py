@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tillrec.llm import decontaminate, pieces, pii, quality
+from tillrec.llm import decontaminate, minhash, pieces, pii, quality
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op3_minhash": minhash.op3_minhash,
     "op4_sentencepiece": pieces.op4_sentencepiece,
     "op5_pii": pii.op5_pii,
     "op6_decontaminate": decontaminate.op6_decontaminate,
