@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tillrec.llm import decontaminate, minhash, pieces, pii, quality
+from tillrec.llm import decontaminate, line_spread, minhash, pieces, pii, quality, secrets
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -10,9 +10,13 @@ QUERIES = {
     "op4_sentencepiece": pieces.op4_sentencepiece,
     "op5_pii": pii.op5_pii,
     "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op8_secrets": secrets.op8_secrets,
+    "op9_line_spread": line_spread.op9_line_spread,
 }
 
 ORACLES = {
     "op1_quality_rules": quality.OP1_SQL,
     "op6_decontaminate": decontaminate.OP6_SQL,
+    "op8_secrets": secrets.OP8_SQL,
+    "op9_line_spread": line_spread.OP9_SQL,
 }
