@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tillrec.llm import decontaminate, line_spread, minhash, pieces, pii, quality, secrets
+from tillrec.llm import decontaminate, line_spread, minhash, pieces, pii, quality, secrets, warc
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op2_warc": warc.op2_warc,
     "op3_minhash": minhash.op3_minhash,
     "op4_sentencepiece": pieces.op4_sentencepiece,
     "op5_pii": pii.op5_pii,
@@ -16,6 +17,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_quality_rules": quality.OP1_SQL,
+    "op2_warc": warc.OP2_SQL,
     "op6_decontaminate": decontaminate.OP6_SQL,
     "op8_secrets": secrets.OP8_SQL,
     "op9_line_spread": line_spread.OP9_SQL,
