@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tillrec.llm import decontaminate, line_spread, minhash, pieces, pii, quality, secrets, warc
+from tillrec.llm import decontaminate, line_spread, minhash, pieces, pii, pitman_yor, quality, secrets, toxicity, warc
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -11,8 +11,10 @@ QUERIES = {
     "op4_sentencepiece": pieces.op4_sentencepiece,
     "op5_pii": pii.op5_pii,
     "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op7_pitman_yor": pitman_yor.op7_pitman_yor,
     "op8_secrets": secrets.op8_secrets,
     "op9_line_spread": line_spread.op9_line_spread,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLES = {
