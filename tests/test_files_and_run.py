@@ -38,8 +38,10 @@ def write(tmp_path, name, text):
 def test_csv_sniff_bom_and_blank_rows(spark, tmp_path):
     mk = files.read_export(spark, write(tmp_path, "mk.csv", MK_CSV), MARKETPLACE)
     v = V.validate(mk, MARKETPLACE)
-    got = {r["order_id"]: r[V.ERROR_COL] for r in v.collect()}
-    assert set(got) == {"1", "2", "3"}          # blank line and all-empty row dropped
+    got = {r["order_id"]: r[V.ERROR_COL] for r in v.where(f"NOT {V.BLANK_COL}").collect()}
+    assert set(got) == {"1", "2", "3"}          # blank line and all-empty row are no records
+    c = V.counts(v, "marketplace").collect()[0]  # but the all-empty row counts as read
+    assert (c["raw_rows"], c["valid_rows"], c["quarantined_rows"]) == (4, 2, 1)
     assert got["1"] is None and got["2"] is None
     assert "gross_value: must be numeric" in got["3"]
     pos = files.read_export(spark, write(tmp_path, "pos.csv", POS_CSV), POS)   # falls back to ','
@@ -111,6 +113,114 @@ def test_month_run_end_to_end(spark, tmp_path):
     art = artefacts.read_artefacts(spark, paths["statement"] + "/*.json", multi_line=False)
     m = H.period_metrics(art).collect()[0]
     assert m["gaps_count"] == 3 and m["reference_month"] == "2026-03"
+    q = {r["record_id"]: r for r in spark.read.parquet(paths["quarantine"]).collect()}
+    assert q["3"]["original"]["gross_value"] == "abc" and q["P4"]["original"]["gross_value"] == "-5,00"
+    assert spark.read.parquet(paths["alerts"]).where("reference_month = '2026-03'").count() == 3
+
+
+def test_documented_run_history_and_drilldown(spark, tmp_path, capsys):
+    from tillrec.__main__ import main
+    paths = [write(tmp_path, n, t) for n, t in (("mk.csv", MK_CSV), ("pos.csv", POS_CSV.replace("80,00", "500,00")),
+                                                ("st.csv", STONE_CSV))]
+    (tmp_path / "subs.json").write_text(json.dumps(
+        {"id": "S1", "channel": "slack", "webhook_url": "https://h", "severity_filter": "low", "active": True}))
+    out = str(tmp_path / "out")
+    args = JobArgs(*paths, "2026-03", "stone")
+    # three runs of one month; ranks follow the stamps, not the random part-file names
+    from tillrec.config import Rates
+    from decimal import Decimal
+    for stamp, rate in (("20260401_000000", "0.10"), ("20260402_000000", "0.20"), ("20260403_000000", "0.30")):
+        a = JobArgs(*paths, "2026-03", "stone", Rates(commission_rate=Decimal(rate)))
+        run_month(spark, a, out, run_stamp=stamp, gap_mode="documented", subscribers=spark.read.json(str(tmp_path / "subs.json")))
+    m = H.period_metrics(artefacts.read_artefacts(spark, f"{out}/statement/*/*.json", multi_line=False))
+    net = [r["net_revenue_brl"] for r in m.orderBy("file_name").collect()]
+    assert len(net) == 3 and H.latest_period(m).collect()[0]["net_revenue_brl"] == net[-1] == min(net)
+    assert H.period_lookup(m, "2026-03").collect()[0]["net_revenue_brl"] == net[0] == max(net)
+    # the sale of 500.00 and the settlement of 999.00 are one mismatch of 499.00, not two missing rows
+    got = {(r["gap_type"], r["amount_brl"]) for r in
+           H.stored_gaps(artefacts.read_run_gaps(spark, f"{out}/gaps"), "2026-03").collect()}
+    assert got == {("AMOUNT_MISMATCH", 499.0), ("IFOOD_ORDER_CANCELLED", 100.0)}
+    outbox = spark.read.parquet(f"{out}/outbox")
+    assert outbox.count() == 3 * 2 and outbox.where("payload LIKE '%2026-03%'").count() == 6
+    run_month(spark, args, out, run_stamp="20260403_000000", gap_mode="documented",
+              subscribers=spark.read.json(str(tmp_path / "subs.json")))
+    assert spark.read.parquet(f"{out}/outbox").count() == 6              # a repeated run replaces its rows
+    capsys.readouterr()
+    main(["gaps", "--gaps", f"{out}/gaps", "--month", "2026-03", "--min-amount", "200"])
+    assert [json.loads(x)["amount_brl"] for x in capsys.readouterr().out.splitlines()] == [499.0]
+    main(["period", "--artefacts", f"{out}/statement/*/*.json", "--json-lines", "--month", "2026-03"])
+    assert json.loads(capsys.readouterr().out)["net_revenue_brl"] == net[0]
+    main(["dashboard", "--artefacts", f"{out}/statement/*/*.json", "--json-lines", "--alerts", f"{out}/alerts/run=20260403_000000"])
+    assert json.loads(capsys.readouterr().out)["alerts_open"] == 2
+
+
+def test_empty_sheets_say_so(spark, tmp_path):
+    from tillrec.sinks import writers
+    empty = spark.createDataFrame([], "transaction_id string, source string, amount_brl double, gap_type string, detail string")
+    writers._sheet(writers.gap_sheet(empty), writers.NO_GAPS, str(tmp_path / "g"), "overwrite")
+    assert spark.read.option("header", True).csv(str(tmp_path / "g")).collect()[0]["info"] == writers.NO_GAPS
+
+
+def test_quoted_text_headers_and_line_breaks(spark, tmp_path):
+    text = ('"ID Transacao";"Data/Hora";"Valor; Total";Valor;Forma de Pagamento;Obs\n'
+            'P1;2026-03-05 10:00:00;x;10,00;pix;"diz ""oi"" ok"\n'
+            'P2;2026-03-05 10:00:00;x;10,00;pix;"linha 1\nlinha 2; fim"\n')
+    v = V.validate(files.read_export(spark, write(tmp_path, "q.csv", text), POS), POS).collect()
+    got = {r["transaction_id"]: (r["notes"], r[V.ERROR_COL]) for r in v}
+    assert got == {"P1": ('diz "oi" ok', None), "P2": ("linha 1\nlinha 2; fim", None)}
+
+
+def test_files_of_a_glob_are_read_by_their_own_headers(spark, tmp_path):
+    d = tmp_path / "pos"
+    d.mkdir()
+    (d / "a.csv").write_text("ID Transacao;Data/Hora;Valor;Forma de Pagamento\nP1;2026-03-05 10:00:00;10,00;pix\n", encoding="utf-8")
+    (d / "b.csv").write_text("Valor,Forma de Pagamento,ID Transacao,Data/Hora\n\"20,00\",Crédito,P2,05/03/2026\n", encoding="utf-8")
+    v = V.validate(files.read_export(spark, str(d / "*.csv"), POS), POS)
+    got = sorted((r["transaction_id"], str(r["gross_value"]), r[V.ERROR_COL]) for r in v.collect())
+    assert got == [("P1", "10.00", None), ("P2", "20.00", None)]
+
+
+def _sheet_xml(rows):
+    return "".join(f'<row r="{n}">' + "".join(f'<c r="{chr(65 + i)}{n}"{a}>{v}</c>' for i, (a, v) in enumerate(r)) + "</row>"
+                   for n, r in enumerate(rows, 1))
+
+
+def test_xlsx_typed_cells(spark, tmp_path):
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    rns = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    text = lambda t: (' t="inlineStr"', f"<is><t>{t}</t></is>")
+    rows = [[text(h) for h in ("ID Transacao", "Data/Hora", "Valor", "Forma de Pagamento", "Obs")],
+            [text("P1"), (' s="1"', "<v>46086.4375</v>"), ("", "<v>10.5</v>"), text("pix"), (' t="b"', "<v>1</v>")],
+            [text("P2"), (' s="2"', "<v>46086</v>"), ("", "<v>20</v>"), text("pix"), (' t="e"', "<v>#N/A</v>")],
+            [text("P3"), (' t="str"', "<v>05/03/2026</v>"), ("", "<v>3</v>"), text("pix"), ("", "")]]
+    for epoch, name, days in (("", "a.xlsx", 0), ('<workbookPr date1904="1"/>', "b.xlsx", 1462)):
+        with zipfile.ZipFile(tmp_path / name, "w") as z:
+            z.writestr("xl/workbook.xml", f'<workbook {ns} {rns}>{epoch}<sheets><sheet name="S" sheetId="1" r:id="r1"/></sheets></workbook>')
+            z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>')
+            z.writestr("xl/styles.xml", f'<styleSheet {ns}><numFmts><numFmt numFmtId="164" formatCode="[$-416]dd/mm/yyyy &quot;x&quot;"/></numFmts>'
+                                        '<cellXfs><xf numFmtId="0"/><xf numFmtId="22"/><xf numFmtId="164"/></cellXfs></styleSheet>')
+            z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {ns}><sheetData>{_sheet_xml(rows)}</sheetData></worksheet>")
+        df = files.read_export(spark, str(tmp_path / name), POS)
+        v = {r["transaction_id"]: r for r in V.validate(df, POS).collect()}
+        import datetime as dt
+        shift = dt.timedelta(days=days)
+        assert v["P1"]["transaction_date"] == dt.datetime(2026, 3, 5, 10, 30) + shift and v["P1"][V.ERROR_COL] is None
+        assert v["P2"]["transaction_date"] == dt.datetime(2026, 3, 5) + shift
+        assert v["P3"]["transaction_date"] == dt.datetime(2026, 3, 5)
+        assert (v["P1"]["notes"], v["P2"]["notes"], v["P3"]["notes"]) == ("True", None, None)
+        assert str(v["P2"]["gross_value"]) == "20.00"
+
+
+def test_xls_is_refused_before_anything_runs():
+    with pytest.raises(ValueError, match="xlsx"):
+        JobArgs("a.csv", "b.xls", "c.csv", "2026-03")
+
+
+def test_artefacts_without_a_month_are_kept(spark, tmp_path):
+    (tmp_path / "statement_x.json").write_text(json.dumps({"net_revenue_brl": 5.0, "gaps_detected": 2, "gaps": [{"amount_brl": 7.0}]}))
+    (tmp_path / "statement_y.json").write_text(json.dumps({"something": "else"}))
+    m = H.period_metrics(artefacts.read_artefacts(spark, str(tmp_path / "*.json"))).collect()
+    assert [(r["reference_month"], r["gaps_count"], r["gaps_value_brl"]) for r in m] == [("N/A", 2, 7.0)]
 
 
 def test_artefacts_skip_corrupt_and_rank_runs(spark, tmp_path):

@@ -111,6 +111,74 @@ def test_burst_flags_hot_key_across_partitions(spark):
     assert got == _brute_flags(ev)
 
 
+def test_burst_flags_fold_every_row_once(spark, monkeypatch):
+    """A dense key that spans all partitions: whatever their number, one pass of work in total."""
+    t0 = dt.datetime(2026, 1, 1)
+    ev = [(i, t0 + dt.timedelta(seconds=i), 1) for i in range(800)]
+    df = spark.createDataFrame(ev, "event_id long, ts timestamp_ntz, user_id long")
+    for n in (4, 8, 16):
+        out = bursts.burst_flags(df, partitions=n)
+        assert out.count() == 800                      # a row folded twice would be there twice
+        assert {r["event_id"]: r["accepted"] for r in out.collect()} == _brute_flags(ev)
+    assert bursts.burst_flags(df.limit(0)).collect() == []
+
+
+def test_lead_times_lines_without_id_and_paging(spark):
+    forms = {"a": "2026-01-10T10:00:00+00:00", "b": "2026-01-10T07:00:00-03:00", "c": "2026-01-10T10:00:00.000Z",
+             "d": "2026-01-10T10:00:00", "e": "2026-01-10 10:00", "f": "2020-01-10T10:00:00+00:00", "g": "bad"}
+    docs = [{**GOOD, "id": k, "received_at": v} for k, v in forms.items()]
+    docs += [{k: v for k, v in GOOD.items() if k != "id"}, "[1]", "{broken", '"text"']
+    p = lines(spark, docs)
+    ts = {r["lead"]["id"]: r["received_ts"] for r in L.received_ts(p).where("lead IS NOT NULL").collect()}
+    assert all(ts[k] == dt.datetime(2026, 1, 10, 10) for k in "abcde") and ts["g"] is None
+    page = L.lead_page(p, "2026-01-01 00:00:00", None).collect()
+    assert [r["id"] for r in page] == ["a", "b", "c", "d", "e", "g", None]     # 2020 is out, no id is in
+    first = L.lead_page(p, None, None, limit=3).collect()
+    assert [r["id"] for r in L.lead_page(p, None, None, limit=3, after=first[-1]["line_no"]).collect()] == ["d", "e", "f"]
+
+
+def test_pandas_functions_work_from_another_folder(tmp_path):
+    import os
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (f"import sys; sys.path.insert(0, {root!r})\n"
+            "from tillrec.session import build_session\nfrom tillrec.operators import bursts\n"
+            "s = build_session('local[2]', 2)\n"
+            "e = s.sql(\"SELECT id AS event_id, id % 2 AS user_id, timestamp_ntz'2026-01-01 00:00:00' AS ts FROM range(20)\")\n"
+            "print('rows', bursts.burst_flags(e).count())\n")
+    env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "PYSPARK_GATEWAY_PORT")}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=200)
+    assert "rows 20" in done.stdout, done.stderr[-2000:]
+
+
+def test_no_checkpoint_folder_on_a_cluster_is_an_error():
+    import pytest
+    from tillrec import session
+
+    class Context:
+        master = "spark://h:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda key, default=None: None)
+
+    with pytest.raises(RuntimeError):
+        session.ensure_checkpoint_dir(Session())
+
+
+def test_gap_plans_read_no_fee_columns(spark):
+    import __spark_entry__ as E
+    for name in ("gaps_pos_missing", "gaps_acquirer_missing"):
+        plan = E.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "l_discount" not in plan and "InMemoryTableScan" not in plan, name
+
+
 def test_entry_and_registry(spark):
     import __spark_entry__ as E
     df = E.entry(spark)
@@ -143,11 +211,23 @@ def test_alert_fanout_outbox(spark, tmp_path):
     sev = {r["transaction_id"]: r["severity"] for r in al.collect()}
     assert sev == {"T1": "critical", "T2": "low"}
     routed = A.alert_routing(al, subs)
-    pairs = {(r["alert_id"], r["subscriber_id"]) for r in routed.collect()}
+    pairs = {(r["alert_id"].rsplit(":", 1)[0], r["subscriber_id"]) for r in routed.collect()}
     assert pairs == {("PDV_MISSING_IN_ACQUIRER:T1", "S1"), ("PDV_MISSING_IN_ACQUIRER:T1", "S2"),
                      ("IFOOD_ORDER_CANCELLED:T2", "S1")}
-    append_outbox(A.delivery_outbox(routed, al), str(tmp_path / "outbox"))
-    assert spark.read.parquet(str(tmp_path / "outbox")).count() == 3
+    for _ in range(2):                              # a replayed batch replaces itself
+        append_outbox(A.delivery_outbox(al, subs), str(tmp_path / "outbox"), "epoch-1")
+    append_outbox(A.delivery_outbox(al, subs), str(tmp_path / "outbox"), "epoch-2")
+    assert spark.read.parquet(str(tmp_path / "outbox")).count() == 6
+    # two gaps of one transaction: two alerts, one acknowledgement closes one
+    two = gaps.unionByName(gaps.where("transaction_id = 'T1'").withColumn("amount_brl", F.lit(7.0))
+                           .withColumn("detail", F.lit(None).cast("string")))
+    al2 = A.alerts_from_gaps(two, "2026-04")
+    ids = [r["alert_id"] for r in al2.where("transaction_id = 'T1'").collect()]
+    assert len(set(ids)) == 2 and A.delivery_outbox(al2, subs).count() == 4
+    acks = spark.createDataFrame([(ids[0], dt.datetime(2026, 3, 7))], "alert_id string, ack_at timestamp")
+    assert A.alerts_open(al2, acks).count() == 2
+    assert {r["reference_month"] for r in al2.collect()} == {"2026-04"}
+    assert al2.where("amount_brl = 7").collect()[0]["message"] == A.DEFAULT_MESSAGE
 
 
 def test_erase_to_new_version(spark, tmp_path):
@@ -169,7 +249,7 @@ def test_erase_to_new_version(spark, tmp_path):
 def test_flagship_plans_have_no_pair_joins(spark):
     import __spark_entry__ as E
     for name in ("income_statement", "gaps_all", "alert_routing", "dashboard_totals",
-                 "gaps_amount_mismatch_documented"):
+                 "gaps_amount_mismatch_documented", "gaps_all_documented"):
         df = E.queries()[name](spark, "/root/testdata/sf0.001")
         df.write.format("noop").mode("overwrite").save()
         plan = df._jdf.queryExecution().executedPlan().toString()

@@ -119,3 +119,56 @@ def test_ledger_identities_on_test_tables(spark):
                                                     cents(F.col("gross_value")).alias("c"))
     a = i.acquirer().select(F.to_date("settlement_date").alias("d"), cents(F.col("gross_value")).alias("ac"))
     assert p.join(a, "d").where(F.abs(F.col("c") - F.col("ac")) <= 5).count() == 0
+
+
+def _pairs_brute(left, right, t=5):
+    """Mutual nearest amounts of one day and method; of equal amounts the lowest id stands."""
+    def nearest(c, others):
+        return min(others, key=lambda o: (abs(o[1] - c), o[1], o[0])) if others else None
+    out = set()
+    for key in {(d, m) for _, d, m, _ in left} | {(d, m) for _, d, m, _ in right}:
+        ls = {}
+        for i, d, m, c in sorted(left):
+            if (d, m) == key:
+                ls.setdefault(c, i)
+        rs = {}
+        for i, d, m, c in sorted(right):
+            if (d, m) == key:
+                rs.setdefault(c, i)
+        lrows, rrows = [(i, c) for c, i in ls.items()], [(i, c) for c, i in rs.items()]
+        for i, c in lrows:
+            b = nearest(c, rrows)
+            if b and nearest(b[1], lrows) == (i, c) and abs(b[1] - c) > t:
+                out.add((i, b[0]))
+    return out
+
+
+def test_mismatch_pairs_are_mutual_nearest_without_a_bound(spark):
+    rnd = random.Random(4)
+    left = [(f"P{i:04d}", rnd.choice([D, D2]), rnd.choice(["credito", "debito"]), rnd.randint(0, 400_000)) for i in range(300)]
+    right = [(f"A{i:04d}", rnd.choice([D, D2]), rnd.choice(["credito", "debito"]), rnd.randint(0, 400_000)) for i in range(200)]
+    left += [("P9998", D, "pix", 10_000)]
+    right += [("A9998", D, "pix", 60_000)]                               # R$ 500.00 apart
+    cols = "decimal(18,2), payment_method string"
+    money = lambda c: Decimal(c) / 100
+    sales = spark.createDataFrame([(i, d, money(c), m) for i, d, m, c in left],
+                                  f"transaction_id string, transaction_date timestamp_ntz, gross_value {cols}")
+    sett = spark.createDataFrame([(i, d, money(c), m) for i, d, m, c in right],
+                                 f"authorization_code string, settlement_date timestamp_ntz, gross_value {cols}")
+    pairs = {(r["l_id"], r["r_id"]) for r in reconcile.amount_mismatch_pairs(sales, sett).collect()}
+    assert ("P9998", "A9998") in pairs
+    day = lambda rows: [(i, d.date(), m, c) for i, d, m, c in rows]
+    assert pairs == _pairs_brute(day(left), day(right))
+
+
+def test_documented_mode_lists_a_pair_once_and_as_executed_none(spark):
+    sales = _sales(spark, [("P1", D, Decimal("100.00"), "credito"), ("P2", D, Decimal("5.00"), "debito")])
+    sett = spark.createDataFrame([("A1", D, Decimal("600.00"), None, "credito")],
+                                 "authorization_code string, settlement_date timestamp_ntz, gross_value decimal(18,2), "
+                                 "acquirer_fee decimal(18,2), payment_method string")
+    orders = spark.createDataFrame([], "order_id string, order_date timestamp_ntz, gross_value decimal(18,2), status string")
+    got = {(r["gap_type"], r["transaction_id"]) for r in reconcile.gaps_all(sales, sett, orders, mode="documented").collect()}
+    assert got == {("AMOUNT_MISMATCH", "P1"), ("PDV_MISSING_IN_ACQUIRER", "P2")}
+    got = {(r["gap_type"], r["transaction_id"]) for r in reconcile.gaps_all(sales, sett, orders).collect()}
+    assert got == {("PDV_MISSING_IN_ACQUIRER", "P1"), ("PDV_MISSING_IN_ACQUIRER", "P2"), ("ACQUIRER_MISSING_IN_PDV", "A1")}
+    assert reconcile.gaps_amount_mismatch(sales, sett).count() == 0

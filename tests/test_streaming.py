@@ -35,3 +35,15 @@ def test_streaming_admission_flags(spark, tmp_path):
     q.awaitTermination(120)
     got = {r["event_id"]: r["accepted"] for r in spark.sql("SELECT * FROM adm").collect()}
     assert [got[i] for i in range(8)] == [True] * 5 + [False, False, True]
+
+
+def test_a_replayed_epoch_replaces_itself(spark, tmp_path):
+    from pyspark.sql import functions as F
+    batch = spark.createDataFrame([("P1", "2026-03-05 10:00:00", "10,00", "pix"), ("P2", "bad", "1,00", "pix")],
+                                  "`ID Transacao` string, `Data/Hora` string, `Valor Total` string, `Forma de Pagamento` string") \
+        .select("*", F.lit(None).cast("string").alias("_corrupt"), F.lit("f").alias("_file"), F.lit(0).cast("long").alias("_block"))
+    write = landing.ingest_batch(POS, str(tmp_path))
+    for epoch in (0, 1, 1):
+        write(batch, epoch)
+    assert spark.read.parquet(str(tmp_path / "valid")).count() == 2
+    assert spark.read.parquet(str(tmp_path / "quarantine")).count() == 2

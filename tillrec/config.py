@@ -91,6 +91,8 @@ def check_input_path(path: str) -> str:
     if ".." in PurePath(path).parts:
         raise ValueError("Path traversal ('..') is not allowed in file paths.")
     suffix = PurePath(path).suffix.lower()
+    if suffix == ".xls":
+        raise ValueError("Binary .xls workbooks can't be read; save them as .xlsx.")
     if suffix not in FILE_SUFFIXES:
         raise ValueError(f"Unsupported file extension {suffix!r}; allowed {sorted(FILE_SUFFIXES)}")
     return path

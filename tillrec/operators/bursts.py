@@ -14,6 +14,9 @@ holds at most two bucket-lengths of one key's events.
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,11 +31,11 @@ def burst_counts(events: DataFrame, key: str = "user_id", ts: str = "ts", id_col
                  window_seconds: int = 60, limit: int = 5) -> DataFrame:
     width = window_seconds * 1_000_000
     base = events.select(F.col(id_col), F.col(key), F.col(ts), _micros(ts).alias("_us")) \
-                 .withColumn("_b", F.floor(F.col("_us") / width).cast("bigint"))
-    rows = (base.select("*", F.lit(1).alias("_self"), F.lit(0).alias("_prev"))
-                .unionByName(base.select(F.col(id_col), F.col(key), F.col(ts), "_us",
-                                         (F.col("_b") + 1).alias("_b"),
-                                         F.lit(0).alias("_self"), F.lit(1).alias("_prev"))))
+                 .withColumn("_own", F.floor(F.col("_us") / width).cast("bigint"))
+    # one scan; each event as itself in its bucket and as an earlier one in the next
+    rows = base.withColumn("_b", F.explode(F.array("_own", F.col("_own") + 1))) \
+               .withColumn("_self", (F.col("_b") == F.col("_own")).cast("int")) \
+               .withColumn("_prev", 1 - F.col("_self"))
     part = Window.partitionBy(key, "_b")
     ordered = part.orderBy("_us")
     self_upto = F.sum("_self").over(ordered.rangeBetween(Window.unboundedPreceding, Window.currentRow))
@@ -46,45 +49,82 @@ def burst_counts(events: DataFrame, key: str = "user_id", ts: str = "ts", id_col
         (F.col("n_in_window") > limit).alias("over_limit"))
 
 
-def _fold_pass(carry: dict, limit: int, window_us: int, key: str, id_col: str):
-    """mapInPandas body for one pass over range-partitioned, sorted rows.
+@dataclass(frozen=True)
+class Chain:
+    """What a pass knows of a partition: whether its first rows go on from the partition before it
+    (same key, no gap longer than the window), and the accepted times left there if already known."""
+    linked: bool
+    seed: tuple[int, ...] | None = None
+
 
-    ``carry`` maps a partition id to (key text, accepted times) left by the
-    previous non-empty partition; it is used when this partition starts with
-    the same key. Emits one flag row per event plus one tail row per
-    partition: the accepted times of the last key (at most ``limit`` values).
+def _fold_pass(chains: dict[int, Chain], first: bool, limit: int, window_us: int, key: str, id_col: str):
+    """mapInPandas body of a pass over range-partitioned, sorted rows.
+
+    A partition's *lead* are its rows up to the first change of key or gap longer than the window; the
+    state is empty after it whatever came before. The first pass folds everything but the leads of
+    linked partitions; later passes fold just the leads whose seed has become known. Every row is
+    folded once. Emits flags, and per partition one tail row: the accepted times at its end, if known.
     """
     import collections
 
     import pandas as pd
 
     def run(batches):
-        current, accepted, pid, seen = None, collections.deque(), None, False
+        current, accepted, pid, last, in_lead, skipped = None, collections.deque(), None, None, True, False
+        chain = Chain(False)
         for pdf in batches:
             if pdf.empty:
                 continue
-            keys, times, pids = pdf[key].to_numpy(), pdf["_us"].to_numpy(), pdf["_pid"].to_numpy()
-            flags = []
-            for k, t, p in zip(keys, times, pids):
-                if not seen:
-                    seen, pid = True, int(p)
-                    seed = carry.get(pid)
-                    if seed is not None and seed[0] == str(k):
-                        current, accepted = k, collections.deque(seed[1])
-                if k != current:
-                    current, accepted = k, collections.deque()
-                while accepted and accepted[0] < t - window_us:   # exactly `window` old still counts
-                    accepted.popleft()
-                if len(accepted) >= limit:
-                    flags.append(False)                            # rejected: not remembered
-                else:
-                    accepted.append(int(t))
-                    flags.append(True)
-            yield pd.DataFrame({id_col: pdf[id_col], key: pdf[key], "_us": pdf["_us"], "accepted": flags,
-                                "_tail_pid": None, "_tail_key": None, "_tail": None})
-        if seen:
-            yield pd.DataFrame({id_col: [None], key: [None], "_us": [None], "accepted": [None],
-                                "_tail_pid": [pid], "_tail_key": [str(current)], "_tail": [list(accepted)]})
+            if pid is None:
+                pid = int(pdf["_pid"].iat[0])
+                chain = chains.get(pid, Chain(False))
+                if chain.linked and chain.seed is not None:
+                    accepted = collections.deque(chain.seed)
+            fold_lead = not chain.linked if first else chain.linked
+            flags, rows = [], []
+            for n, (k, t) in enumerate(zip(pdf[key].to_numpy(), pdf["_us"].to_numpy())):
+                if last is not None and (k != current or t - last > window_us):
+                    in_lead, accepted = False, collections.deque()
+                current, last = k, t
+                if fold_lead if in_lead else first:
+                    while accepted and accepted[0] < t - window_us:   # exactly `window` old still counts
+                        accepted.popleft()
+                    accept = len(accepted) < limit
+                    if accept:
+                        accepted.append(int(t))                       # a rejected event isn't remembered
+                    flags.append(accept)
+                    rows.append(n)
+                elif not first:
+                    break                                             # past the lead: done in the first pass
+            part = pdf.iloc[rows]
+            yield pd.DataFrame({id_col: part[id_col], key: part[key], "_us": part["_us"], "accepted": flags,
+                                "_tail_pid": None, "_tail": None, "_known": None})
+        if pid is not None:
+            known = (not in_lead or not chain.linked) if first else in_lead
+            yield pd.DataFrame({id_col: [None], key: [None], "_us": [None], "accepted": [None], "_tail_pid": [pid],
+                                "_tail": [list(accepted) if known else []], "_known": [known]})
+
+    return run
+
+
+def _by_partition(chains: dict[int, Chain], first: bool, limit: int, window_us: int, key: str, id_col: str):
+    """A task may hold several partitions, one after the other: fold each by itself."""
+    def run(batches):
+        pid, fold = None, None
+        pending: list = []
+
+        def close():
+            yield from _fold_pass(chains, first, limit, window_us, key, id_col)(iter(pending))
+
+        for pdf in batches:
+            for p, part in pdf.groupby("_pid", sort=True):
+                if pid is not None and p != pid:
+                    yield from close()
+                    pending = []
+                pid = p
+                pending.append(part)
+        if pending:
+            yield from close()
 
     return run
 
@@ -94,47 +134,57 @@ def burst_flags(events: DataFrame, key: str = "user_id", ts: str = "ts", id_col:
     """Exact admission flags: an event is accepted when fewer than ``limit`` accepted events of
     its key lie in ``[ts - window, ts]``; rejected events do not count later.
 
-    The fold is sequential per key by definition, but its state is small (at
-    most ``limit`` times), so it parallelises by carrying state forward:
-
-    1. range-partition by (key, time, id) into equal-sized partitions — a key
-       holding a third of all events spans many partitions — and checkpoint
-       once (to ``spark.checkpoint.dir``) so every pass sees the same
-       boundaries;
-    2. fold every partition in parallel, seeded with the tail state the
-       previous partition left for the same key (empty in the first pass);
-    3. repeat until no seed changes. Only the tail table reaches the driver:
-       one row per partition with at most ``limit`` values. Each pass fixes
-       at least one more partition, and state usually settles after two.
+    The fold is sequential per key by definition, but its state is small (at most ``limit`` times) and
+    empty after a gap longer than the window, so it parallelises by carrying state forward:
+
+    1. range-partition by (key, time, id) into equal-sized partitions — a key holding a third of all
+       events spans many partitions — and store them by partition number;
+    2. fold all partitions at once, except the leading rows of those that go on from the one before;
+    3. pass by pass, fold the leading rows whose seed the pass before gave: the next partition of
+       every chain, read alone. Each row is folded once; a chain of p partitions takes p small passes.
+
+    Only two rows per partition reach the driver (its ends, and at most ``limit`` times). Flags of all
+    passes are written to one folder below ``spark.checkpoint.dir``.
     """
     from tillrec.session import ensure_checkpoint_dir
 
     spark = events.sparkSession
-    ensure_checkpoint_dir(spark)
+    root = f"{ensure_checkpoint_dir(spark)}/bursts-{uuid.uuid4().hex}"
     width = window_seconds * 1_000_000
     n = partitions or max(spark.sparkContext.defaultParallelism,
                           int(spark.conf.get("spark.sql.shuffle.partitions")))
     base = events.select(F.col(id_col), F.col(key), _micros(ts).alias("_us"))
-    staged = (base.repartitionByRange(n, key, "_us", id_col)
-                  .sortWithinPartitions(key, "_us", id_col)
-                  .withColumn("_pid", F.spark_partition_id())
-                  .checkpoint(eager=True))
     key_type = dict(base.dtypes)[key]
-    schema = (f"{id_col} long, {key} {key_type}, _us long, accepted boolean, "
-              "_tail_pid int, _tail_key string, _tail array<long>")
-
-    def run_pass(carry: dict) -> DataFrame:
-        return staged.mapInPandas(_fold_pass(carry, limit, width, key, id_col), schema)
-
-    carry: dict = {}
-    for _ in range(n + 1):
-        tails = sorted((r["_tail_pid"], r["_tail_key"], list(r["_tail"]))
-                       for r in run_pass(carry).where(F.col("_tail_pid").isNotNull())
-                       .select("_tail_pid", "_tail_key", "_tail").collect())   # <= one row per partition
-        nxt = {tails[i + 1][0]: (tails[i][1], tails[i][2]) for i in range(len(tails) - 1)}
-        if nxt == carry:
-            break
-        carry = nxt
-    flags = run_pass(carry).where(F.col("_tail_pid").isNull())
+    (base.repartitionByRange(n, key, "_us", id_col).sortWithinPartitions(key, "_us", id_col)
+         .withColumn("_pid", F.spark_partition_id()).write.partitionBy("_pid").parquet(f"{root}/staged"))
+    staged = spark.read.schema(f"{id_col} long, {key} {key_type}, _us long, _pid int").parquet(f"{root}/staged")
+    ends = staged.groupBy("_pid").agg(F.min(F.struct(key, "_us")).alias("lo"), F.max(F.struct(key, "_us")).alias("hi")) \
+        .orderBy("_pid").collect()                                       # one row per partition
+    order = [r["_pid"] for r in ends]
+    linked = {b["_pid"]: a["hi"][key] == b["lo"][key] and b["lo"]["_us"] - a["hi"]["_us"] <= width
+              for a, b in zip(ends, ends[1:])}
+    schema = f"{id_col} long, {key} {key_type}, _us long, accepted boolean, _tail_pid int, _tail array<long>, _known boolean"
+
+    def fold(pids: list[int], chains: dict[int, Chain], first: bool, step: int) -> dict[int, tuple[int, ...]]:
+        """Fold partitions, each whole in one task; returns the tails that became known."""
+        rows = staged if first else staged.where(F.col("_pid").isin(pids))
+        spread = rows.repartition(max(1, min(len(pids), n)), "_pid").sortWithinPartitions("_pid", key, "_us", id_col)
+        out = spread.mapInPandas(_by_partition(chains, first, limit, width, key, id_col), schema)
+        path = f"{root}/pass={step}"
+        out.write.parquet(path)
+        tails = spark.read.schema(schema).parquet(path).where("_known").select("_tail_pid", "_tail").collect()
+        return {r["_tail_pid"]: tuple(r["_tail"]) for r in tails}
+
+    known = fold(order, {p: Chain(linked.get(p, False)) for p in order}, True, 0) if order else {}
+    before = dict(zip(order[1:], order))
+    todo = {p for p in order if linked.get(p)}
+    step = 0
+    while ready := {p for p in todo if before[p] in known}:
+        step += 1
+        found = fold(sorted(ready), {p: Chain(True, known[before[p]]) for p in ready}, False, step)
+        todo -= ready
+        known |= found
+    flags = spark.read.schema(schema + ", pass int").parquet(*[f"{root}/pass={i}" for i in range(step + 1 if order else 0)]) \
+        .where(F.col("_tail_pid").isNull()) if order else spark.createDataFrame([], schema)
     back = F.timestamp_add("MICROSECOND", F.col("_us"), F.lit(EPOCH).cast("timestamp_ntz"))
     return flags.select(id_col, key, back.alias(ts), "accepted")

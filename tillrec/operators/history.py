@@ -8,7 +8,7 @@ from a ledger grouped by month (``artefacts_from_ledger``).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillrec.constants import HOURS_PER_GAP
@@ -99,7 +99,12 @@ def dashboard_totals(metrics: DataFrame, open_alerts: DataFrame) -> DataFrame:
     return totals.select("*", opened.alias("alerts_open"))
 
 
-def latest_run_only(artefacts: DataFrame) -> DataFrame:
-    """Optional de-duplication: keep the newest run of each month."""
-    w = Window.partitionBy("reference_month").orderBy(F.col("file_name").desc())
-    return artefacts.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+def stored_gaps(gaps: DataFrame, month: str, min_amount: float = 0.0) -> DataFrame:
+    """Gaps of one month over stored runs (``artefacts.read_run_gaps`` or ``artefacts.artefact_gaps``):
+    the newest run of the month only, largest first."""
+    of_month = gaps.where(F.col("reference_month") == month)
+    newest = of_month.agg(F.max("file_name")).scalar()
+    return (of_month.where((F.col("file_name") == newest) & (F.coalesce(F.col("amount_brl"), F.lit(0.0)) >= F.lit(min_amount)))
+            .select("file_name", "transaction_id", "source", F.coalesce("gap_type", F.lit("UNKNOWN")).alias("gap_type"),
+                    F.round(F.col("amount_brl"), 2).alias("amount_brl"), "detail")
+            .orderBy(F.col("amount_brl").desc_nulls_last(), "transaction_id"))

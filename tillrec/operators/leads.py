@@ -7,7 +7,7 @@ stay visible (they count, and erasure keeps them).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,10 +33,10 @@ EMAIL_PATTERN = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
 def parse_lines(lines: DataFrame) -> DataFrame:
     """(line_no, value) -> plus ``lead`` struct (null for malformed lines) and ``blank``.
 
-    A line is well-formed when it is a JSON object with a string ``id``.
+    A line is well-formed when it is a JSON object; it need not have an ``id``.
     """
     parsed = F.from_json(F.col("value"), LEAD_SCHEMA, {"mode": "PERMISSIVE"})
-    ok = F.get_json_object(F.col("value"), "$.id").isNotNull()
+    ok = F.get_json_object(F.col("value"), "$").isNotNull() & py_strip(F.col("value")).startswith("{")
     return lines.select("line_no", "value", F.when(ok, parsed).alias("lead"),
                         (py_strip(F.col("value")) == "").alias("blank"))
 
@@ -78,22 +78,36 @@ def lead_validate(parsed: DataFrame) -> DataFrame:
     )
 
 
+ISO_TIME = r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(?::\d{2}(?:[.,]\d{1,9})?)?)(Z|z|[+-]\d{2}:?\d{2})?$"
+
+
+def iso_utc(text: Column) -> Column:
+    """ISO time text as a zone-free UTC timestamp: ``Z`` and offsets are applied, a time without one is
+    UTC; null when unparseable. The session's time zone plays no part."""
+    local = F.replace(F.replace(F.regexp_extract(text, ISO_TIME, 1), F.lit(" "), F.lit("T")), F.lit(","), F.lit("."))
+    zone = F.replace(F.regexp_extract(text, ISO_TIME, 2), F.lit(":"), F.lit(""))
+    minutes = F.when(F.length(zone) == 5, F.concat(F.substring(zone, 1, 1), F.lit("1")).cast("int")
+                     * (F.substring(zone, 2, 2).cast("int") * 60 + F.substring(zone, 4, 2).cast("int"))).otherwise(F.lit(0))
+    parsed = F.when(local != "", F.when(F.length(local) == 16, F.concat(local, F.lit(":00"))).otherwise(local))
+    at = parsed.try_cast("timestamp_ntz")
+    return F.timestamp_add("MINUTE", -minutes, at)
+
+
 def received_ts(parsed: DataFrame) -> DataFrame:
-    """Lead received time (ISO text; naive = UTC) as a timestamp, null when unparseable."""
-    text = F.col("lead.received_at")
-    return parsed.withColumn("received_ts", F.to_timestamp_ntz(F.when(
-        text.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?$"), text)))
+    """Lead received time (ISO text) as a UTC timestamp, null when unparseable."""
+    return parsed.withColumn("received_ts", iso_utc(F.col("lead.received_at")))
 
 
 def lead_page(parsed: DataFrame, from_ts: str | None, to_ts: str | None, skip: int = 0,
-              limit: int = 100) -> DataFrame:
+              limit: int = 100, after: int | None = None) -> DataFrame:
     """Well-formed leads in line order, date range inclusive at both ends (unparseable dates are
-    kept), then ``skip`` and ``limit`` (1..1000) — paging is the feature, so the limit stays."""
-    if not 1 <= limit <= 1000 or skip < 0:
-        raise ValueError("limit must be 1..1000 and skip >= 0")
+    kept). ``after`` is the last ``line_no`` of the page before: any page then costs one bounded top-n.
+    ``skip`` (up to 1000) is for the first pages — paging is the feature, so the limits stay."""
+    if not 1 <= limit <= 1000 or not 0 <= skip <= 1000:
+        raise ValueError("limit must be 1..1000 and skip 0..1000; page further with after")
     p = received_ts(parsed.where(F.col("lead").isNotNull()))
     ts = F.col("received_ts")
-    keep = F.lit(True)
+    keep = F.lit(True) if after is None else F.col("line_no") > F.lit(after)
     if from_ts:
         keep = keep & (ts.isNull() | (ts >= F.lit(from_ts).cast("timestamp_ntz")))
     if to_ts:

@@ -24,10 +24,7 @@ Matches are not consumed: one settlement can clear many sales.
 
 from __future__ import annotations
 
-from decimal import Decimal
-
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillrec.config import Rates
@@ -101,7 +98,10 @@ def acquirer_missing_rows(settlements: DataFrame, sales: DataFrame, rates: Rates
 
 def gaps_pos_missing(sales: DataFrame, settlements: DataFrame, rates: Rates = Rates()) -> DataFrame:
     """Card sales (credit, debit, voucher) with no settlement on the same day within tolerance."""
-    missing = pos_missing_rows(sales, settlements, rates)
+    return pos_missing_gaps(pos_missing_rows(sales, settlements, rates))
+
+
+def pos_missing_gaps(missing: DataFrame) -> DataFrame:
     amt = F.col("gross_value")
     return missing.select(
         F.col("transaction_id").alias("transaction_id"),
@@ -118,7 +118,10 @@ def gaps_pos_missing(sales: DataFrame, settlements: DataFrame, rates: Rates = Ra
 
 def gaps_acquirer_missing(settlements: DataFrame, sales: DataFrame, rates: Rates = Rates()) -> DataFrame:
     """Settlements with no pos sale (any method) on the same day within tolerance."""
-    missing = acquirer_missing_rows(settlements, sales, rates)
+    return acquirer_missing_gaps(acquirer_missing_rows(settlements, sales, rates))
+
+
+def acquirer_missing_gaps(missing: DataFrame) -> DataFrame:
     amt = F.col("gross_value")
     return missing.select(
         F.col("authorization_code").alias("transaction_id"),
@@ -151,70 +154,97 @@ def gaps_cancelled(orders: DataFrame) -> DataFrame:
     )
 
 
-def _nearest(own: DataFrame, other: DataFrame, width: int) -> DataFrame:
-    """For each ``own`` row (id, day, method, c): the nearest ``other`` row of the same day and
-    method within ``width - 1`` cents; ties go to the lower amount, then the lower id.
+def _nearest_counterparts(nodes: DataFrame) -> DataFrame:
+    """``nodes`` (day, method, c, id, left, ts) with the nearest node of the other side on the same day
+    and method: ``best`` (c, id). Ties go to the lower amount.
 
-    Only the lowest id of each (day, method, amount) of ``other`` can ever be
-    picked, so ``other`` is first reduced to distinct amounts (partial
-    aggregation). Each reduced amount is copied into its bin and both
-    neighbours. Per (day, method, bin) the candidates form an array of at most
-    ``3 * width`` entries, whatever the data volume. ``own`` rows join that
-    array on their bin, and two higher-order functions pick the closest
-    amount below and above. No window over a hot group, no pair expansion.
+    Rows are range-partitioned by (day, method, amount), so a day and method with very many amounts
+    spreads over many partitions. Inside each piece of a (day, method) the last counterpart before and
+    the first after are running values; what lies beyond a piece comes from the pieces' own first and
+    last nodes: at most one row per piece, and a (day, method) has at most as many pieces as there are
+    partitions. The staged rows are stored, so all steps see the same partitions.
+    """
+    spark = nodes.sparkSession
+    from tillrec.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
+    staged = nodes.repartitionByRange(parts, "day", "method", "c", "left").withColumn(
+        "piece", F.spark_partition_id()).checkpoint(eager=True)
+    node = F.struct("c", "id")
+    side = lambda is_left: F.when(F.col("left") == F.lit(is_left), node)
+    group = ["day", "method", "piece"]
+    ordered = Window.partitionBy(*group).orderBy("c", "left")
+    before, after = ordered.rowsBetween(Window.unboundedPreceding, -1), ordered.rowsBetween(1, Window.unboundedFollowing)
+    ends = staged.groupBy(*group).agg(*[f(side(b)).alias(n) for f, b, n in (
+        (F.max, True, "max_left"), (F.max, False, "max_right"), (F.min, True, "min_left"), (F.min, False, "min_right"))])
+    pieces = Window.partitionBy("day", "method").orderBy("piece")
+    earlier, later = pieces.rowsBetween(Window.unboundedPreceding, -1), pieces.rowsBetween(1, Window.unboundedFollowing)
+    beyond = ends.select(*group, *[F.last(f"max_{s}", ignorenulls=True).over(earlier).alias(f"prev_{s}") for s in ("left", "right")],
+                         *[F.first(f"min_{s}", ignorenulls=True).over(later).alias(f"next_{s}") for s in ("left", "right")])
+    near = staged.select(
+        "*", *[F.last(side(b), ignorenulls=True).over(before).alias(f"in_prev_{s}") for s, b in (("left", True), ("right", False))],
+        *[F.first(side(b), ignorenulls=True).over(after).alias(f"in_next_{s}") for s, b in (("left", True), ("right", False))])
+    joined = near.join(beyond, group)
+
+    def other(which: str) -> Column:
+        return F.when(F.col("left"), F.coalesce(f"in_{which}_right", f"{which}_right")) \
+                .otherwise(F.coalesce(f"in_{which}_left", f"{which}_left"))
+
+    found = joined.select("day", "method", "c", "id", "left", "ts", other("prev").alias("prev"), other("next").alias("next"))
+    take_prev = F.col("prev").isNotNull() & (
+        F.col("next").isNull() | (F.col("c") - F.col("prev.c") <= F.col("next.c") - F.col("c")))
+    return found.select("day", "method", "c", "id", "left", "ts",
+                        F.when(take_prev, F.col("prev")).otherwise(F.col("next")).alias("best")) \
+                .where(F.col("best").isNotNull())
+
+
+def amount_mismatch_pairs(missing_sales: DataFrame, missing_settlements: DataFrame, rates: Rates = Rates()) -> DataFrame:
+    """Documented reading: unmatched card sales and unmatched settlements of the same day and method,
+    paired when each is the other's nearest amount and the difference exceeds the tolerance (no upper
+    bound). Of rows with equal day, method and amount the lowest id stands for the pairing.
+
+    (l_id, r_id, l_c, r_c, ts); the inputs are ``pos_missing_rows`` and ``acquirer_missing_rows``.
     """
-    reduced = (other.groupBy("day", "method", "c").agg(F.min("id").alias("oid"))
-                    .select("day", "method", F.struct(F.col("c").alias("c"), F.col("oid").alias("id")).alias("o"),
-                            F.explode(F.array(*[F.floor(F.col("c") / width).cast("bigint") + d for d in (-1, 0, 1)]))
-                            .alias("bin"))
-                    .groupBy("day", "method", "bin").agg(F.collect_list("o").alias("cands")))
-    mine = own.select("id", "day", "method", "c", F.floor(F.col("c") / width).cast("bigint").alias("bin"))
-    joined = mine.join(reduced, ["day", "method", "bin"])
-    c = F.col("c")
-    none = F.lit(None).cast("struct<c:bigint,id:string>")
-    below = F.aggregate(F.filter("cands", lambda x: x["c"] <= c), none,
-                        lambda acc, x: F.when(acc.isNull() | (x["c"] > acc["c"]), x).otherwise(acc))
-    above = F.aggregate(F.filter("cands", lambda x: x["c"] > c), none,
-                        lambda acc, x: F.when(acc.isNull() | (x["c"] < acc["c"]), x).otherwise(acc))
-    picked = joined.select("id", "day", "method", "c", below.alias("prev"), above.alias("next"))
-    d_prev = F.col("c") - F.col("prev.c")
-    d_next = F.col("next.c") - F.col("c")
-    pick_prev = F.col("prev").isNotNull() & (F.col("next").isNull() | (d_prev <= d_next))
-    best = F.when(pick_prev, F.col("prev")).otherwise(F.col("next"))
-    return picked.select("id", "day", "method", "c", best.alias("best")).where(F.col("best").isNotNull())
-
-
-def amount_mismatch_pairs(sales: DataFrame, settlements: DataFrame, rates: Rates = Rates(),
-                          max_mismatch: str = "5.00") -> DataFrame:
-    """Documented reading: leftover card sales and leftover settlements of the same day and
-    method, paired when each is the other's nearest amount and tolerance < diff <= max."""
-    m = int((Decimal(max_mismatch) * 100).to_integral_value())
-    width = m + 1
-    left = pos_missing_rows(sales, settlements, rates).select(
-        F.col("transaction_id").alias("id"), F.to_date("transaction_date").alias("day"),
-        F.col("payment_method").alias("method"), cents(F.col("gross_value")).alias("c"),
+    left = missing_sales.select(
+        F.to_date("transaction_date").alias("day"), F.col("payment_method").alias("method"),
+        cents(F.col("gross_value")).alias("c"), F.col("transaction_id").alias("id"), F.lit(True).alias("left"),
         F.col("transaction_date").alias("ts"))
-    right = acquirer_missing_rows(settlements, sales, rates).select(
-        F.col("authorization_code").alias("id"), F.to_date("settlement_date").alias("day"),
-        F.col("payment_method").alias("method"), cents(F.col("gross_value")).alias("c"))
-    # both leftover sets feed several branches below: compute each anti-join once
-    left = left.persist(StorageLevel.MEMORY_AND_DISK)
-    right = right.persist(StorageLevel.MEMORY_AND_DISK)
-    l_best = _nearest(left.drop("ts"), right, width).select(
-        F.col("id").alias("l_id"), F.col("c").alias("l_c"), F.col("best.id").alias("r_id"),
-        F.col("best.c").alias("r_c"))
-    r_best = _nearest(right, left.drop("ts"), width).select(
-        F.col("id").alias("r_id2"), F.col("best.id").alias("l_id2"))
-    pairs = l_best.join(r_best, (F.col("l_id") == F.col("l_id2")) & (F.col("r_id") == F.col("r_id2")))
-    diff = F.abs(F.col("l_c") - F.col("r_c"))
-    t = rates.tolerance_cents
-    return (pairs.where((diff > t) & (diff <= m))
-                 .join(left.select(F.col("id").alias("l_id"), "ts"), "l_id")
-                 .select("l_id", "r_id", "l_c", "r_c", "ts"))
+    right = missing_settlements.select(
+        F.to_date("settlement_date").alias("day"), F.col("payment_method").alias("method"),
+        cents(F.col("gross_value")).alias("c"), F.col("authorization_code").alias("id"), F.lit(False).alias("left"),
+        F.lit(None).cast("timestamp_ntz").alias("ts"))
+    nodes = left.unionByName(right).where("day IS NOT NULL AND method IS NOT NULL AND c IS NOT NULL") \
+        .groupBy("day", "method", "c", "left").agg(F.min(F.struct("id", "ts")).alias("n")) \
+        .select("day", "method", "c", "n.id", "left", "n.ts")
+    near = _nearest_counterparts(nodes)
+    l_best = near.where(F.col("left")).select("day", "method", F.col("id").alias("l_id"), F.col("c").alias("l_c"), "ts",
+                                              F.col("best.id").alias("r_id"), F.col("best.c").alias("r_c"))
+    r_best = near.where(~F.col("left")).select("day", "method", F.col("id").alias("r_id"), F.col("c").alias("r_c"),
+                                               F.col("best.id").alias("l_id"), F.col("best.c").alias("l_c"))
+    pairs = l_best.join(r_best, ["day", "method", "l_id", "l_c", "r_id", "r_c"])
+    return pairs.where(F.abs(F.col("l_c") - F.col("r_c")) > rates.tolerance_cents) \
+                .select("l_id", "r_id", "l_c", "r_c", "ts")
+
+
+def mismatch_rows(pairs: DataFrame) -> DataFrame:
+    """Gap rows of amount-mismatch pairs."""
+    to_money = lambda c: (F.col(c) / 100).cast("decimal(18,2)")
+    diff = (F.abs(F.col("l_c") - F.col("r_c")) / 100).cast("decimal(18,2)")
+    return pairs.select(
+        F.col("l_id").alias("transaction_id"),
+        F.lit(GAP_SOURCE_PAIR).alias("source"),
+        diff.cast("double").alias("amount_brl"),
+        F.lit(GAP_AMOUNT_MISMATCH).alias("gap_type"),
+        # FIXED VALUES: gap detail wording
+        F.concat(F.lit("PDV recorded "), brl(to_money("l_c")), F.lit(" but acquirer settled "),
+                 brl(to_money("r_c")), F.lit(". Difference: "), brl(diff), F.lit(".")).alias("detail"),
+        F.col("ts").alias("gap_date"),
+        F.lit(GAP_ORDER[GAP_AMOUNT_MISMATCH]).alias("gap_order"),
+    )
 
 
 def gaps_amount_mismatch(sales: DataFrame, settlements: DataFrame, rates: Rates = Rates(),
-                         mode: str = "as_executed", max_mismatch: str = "5.00") -> DataFrame:
+                         mode: str = "as_executed") -> DataFrame:
     """Matched pairs whose difference exceeds the tolerance.
 
     ``as_executed``: the pair is looked for only among settlements already
@@ -223,20 +253,8 @@ def gaps_amount_mismatch(sales: DataFrame, settlements: DataFrame, rates: Rates
     ``documented``: see ``amount_mismatch_pairs``.
     """
     if mode == "documented":
-        p = amount_mismatch_pairs(sales, settlements, rates, max_mismatch)
-        to_money = lambda c: (F.col(c) / 100).cast("decimal(18,2)")
-        diff = (F.abs(F.col("l_c") - F.col("r_c")) / 100).cast("decimal(18,2)")
-        return p.select(
-            F.col("l_id").alias("transaction_id"),
-            F.lit(GAP_SOURCE_PAIR).alias("source"),
-            diff.cast("double").alias("amount_brl"),
-            F.lit(GAP_AMOUNT_MISMATCH).alias("gap_type"),
-            # FIXED VALUES: gap detail wording
-            F.concat(F.lit("PDV recorded "), brl(to_money("l_c")), F.lit(" but acquirer settled "),
-                     brl(to_money("r_c")), F.lit(". Difference: "), brl(diff), F.lit(".")).alias("detail"),
-            F.col("ts").alias("gap_date"),
-            F.lit(GAP_ORDER[GAP_AMOUNT_MISMATCH]).alias("gap_order"),
-        )
+        return mismatch_rows(amount_mismatch_pairs(pos_missing_rows(sales, settlements, rates),
+                                                   acquirer_missing_rows(settlements, sales, rates), rates))
     card = sales.where(F.col("payment_method").isin(*CARD_METHODS))
     amt = F.col("gross_value")
     return card.where(F.lit(False)).select(
@@ -250,10 +268,27 @@ def gaps_amount_mismatch(sales: DataFrame, settlements: DataFrame, rates: Rates
     )
 
 
-def gaps_all(sales: DataFrame, settlements: DataFrame, orders: DataFrame, rates: Rates = Rates()) -> DataFrame:
+def gaps_all(sales: DataFrame, settlements: DataFrame, orders: DataFrame, rates: Rates = Rates(),
+             mode: str = "as_executed") -> DataFrame:
     """All gap types in one relation; ``gap_order`` keeps the listing order
-    (pos-side gaps, then settlement-side, then cancellations)."""
-    return (gaps_pos_missing(sales, settlements, rates)
-            .unionByName(gaps_amount_mismatch(sales, settlements, rates))
-            .unionByName(gaps_acquirer_missing(settlements, sales, rates))
-            .unionByName(gaps_cancelled(orders)))
+    (pos-side gaps, then settlement-side, then cancellations).
+
+    ``documented`` also reports amount mismatches; a paired sale or settlement is then not listed as
+    missing. The two sets of unmatched rows are checkpointed, since several branches read them.
+    """
+    if mode not in ("as_executed", "documented"):
+        raise ValueError(f"mode must be as_executed or documented, not {mode!r}")
+    missing_sales = pos_missing_rows(sales, settlements, rates)
+    missing_settlements = acquirer_missing_rows(settlements, sales, rates)
+    if mode == "as_executed":
+        return pos_missing_gaps(missing_sales).unionByName(acquirer_missing_gaps(missing_settlements)) \
+            .unionByName(gaps_cancelled(orders))
+    from tillrec.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(sales.sparkSession)
+    missing_sales, missing_settlements = missing_sales.checkpoint(), missing_settlements.checkpoint()
+    pairs = amount_mismatch_pairs(missing_sales, missing_settlements, rates).checkpoint()
+    left_sales = missing_sales.join(pairs.select(F.col("l_id").alias("transaction_id")), "transaction_id", "left_anti")
+    left_settlements = missing_settlements.join(pairs.select(F.col("r_id").alias("authorization_code")),
+                                                "authorization_code", "left_anti")
+    return mismatch_rows(pairs).unionByName(pos_missing_gaps(left_sales)) \
+        .unionByName(acquirer_missing_gaps(left_settlements)).unionByName(gaps_cancelled(orders))

@@ -7,7 +7,6 @@ codegen'd expressions — no Python per row.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +32,8 @@ CORRUPT_COL = "_corrupt"
 INT_TEXT = r"^\s*[+-]?\d+(\.0+)?\s*$"
 ERROR_COL = "validation_error"
 ROW_COL = "source_row_index"
+#: set by file sources: rows without any value count as read, but are neither valid nor quarantined
+BLANK_COL = "_blank_row"
 
 
 def _err(cond: Column, name: str, msg: str) -> Column:
@@ -131,7 +132,7 @@ def validate(df: DataFrame, spec: SourceSpec, legacy_nan: bool = False) -> DataF
     parts = [timestamp_parts(F.col(r.name), r.layouts).alias(f"parts_{r.name}")
              for r in spec.fields if r.kind == "datetime" and present[r.name]]
     # order keys of file sources (file, split start) ride along for file-order rules
-    carry = [ROW_COL] + [c for c in (CORRUPT_COL, "_file", "_block") if c in cols]
+    carry = [ROW_COL] + [c for c in (CORRUPT_COL, "_file", "_block", BLANK_COL) if c in cols]
     stage1 = df.select(*raw_cols, *parts, *carry)
     raw_names = [f"raw_{r.name}" for r in spec.fields if present[r.name]]
     stage2 = stage1.select(*[_value(r, present[r.name]).alias(r.name) for r in spec.fields],
@@ -147,20 +148,24 @@ def validate(df: DataFrame, spec: SourceSpec, legacy_nan: bool = False) -> DataF
     return stage2.select(*spec.field_names, *raw_names, *carry, F.nullif(joined, F.lit("")).alias(ERROR_COL))
 
 
-def persisted(validated: DataFrame) -> DataFrame:
-    """Keep one parse for its three consumers (valid rows, quarantine, counts).
+def parsed_once(validated: DataFrame) -> DataFrame:
+    """A barrier for a single consumer that filters on the errors.
 
-    Without it each consumer re-parses, and a filter on ``validation_error``
-    is pushed below the projections with the whole parse substituted into
-    it. MEMORY_AND_DISK spills instead of failing; lost blocks are recomputed
-    from lineage, which is deterministic.
+    Catalyst would push the filter below the projections and substitute the whole parse into it, so
+    every row would be parsed twice. Filters on generated columns stay above a one-row explode, which
+    is part of the same generated code. Several consumers should store the frame instead.
     """
-    return validated.persist(StorageLevel.MEMORY_AND_DISK)
+    row = F.struct(*[F.col(c) for c in validated.columns])
+    return validated.select(F.explode(F.array(row)).alias("_r")).select("_r.*")
+
+
+def _no_blanks(validated: DataFrame) -> DataFrame:
+    return validated.where(~F.col(BLANK_COL)) if BLANK_COL in validated.columns else validated
 
 
 def valid_rows(validated: DataFrame, spec: SourceSpec) -> DataFrame:
     order = [c for c in ("_file", "_block") if c in validated.columns]
-    return validated.where(F.col(ERROR_COL).isNull()).select(*spec.field_names, ROW_COL, *order)
+    return _no_blanks(validated).where(F.col(ERROR_COL).isNull()).select(*spec.field_names, ROW_COL, *order)
 
 
 def file_order(df: DataFrame) -> F.Column:
@@ -176,14 +181,26 @@ def file_order(df: DataFrame) -> F.Column:
 def quarantine_rows(validated: DataFrame, spec: SourceSpec) -> DataFrame:
     """Original text values of the rejected rows, their errors and row index."""
     raw = [c for c in validated.columns if c.startswith("raw_")]
-    return validated.where(F.col(ERROR_COL).isNotNull()).select(
+    return _no_blanks(validated).where(F.col(ERROR_COL).isNotNull()).select(
         *[F.col(c).alias(c[4:]) for c in raw], ERROR_COL, ROW_COL)
 
 
+def quarantine_log(validated: DataFrame, spec: SourceSpec, source: str) -> DataFrame:
+    """Rejected rows of a source in the shape shared by all sources: the original values as a map
+    (field -> text, fields without a value left out)."""
+    q = quarantine_rows(validated, spec)
+    fields = [f for f in spec.field_names if f in q.columns]
+    entries = F.array(*[F.struct(F.lit(f).alias("key"), F.col(f).alias("value")) for f in fields])
+    values = F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
+    record = F.col(spec.id_field) if spec.id_field in q.columns else F.lit(None).cast("string")
+    return q.select(F.lit(source).alias("source"), record.alias("record_id"), values.alias("original"), ERROR_COL, ROW_COL)
+
+
 def counts(validated: DataFrame, source: str) -> DataFrame:
-    """raw / valid / quarantined counts of one source in one pass."""
+    """raw / valid / quarantined counts of one source in one pass; blank rows are raw rows only."""
+    blank = F.col(BLANK_COL) if BLANK_COL in validated.columns else F.lit(False)
     return validated.agg(
         F.count(F.lit(1)).alias("raw_rows"),
-        F.count_if(F.col(ERROR_COL).isNull()).alias("valid_rows"),
-        F.count_if(F.col(ERROR_COL).isNotNull()).alias("quarantined_rows"),
+        F.count_if(~blank & F.col(ERROR_COL).isNull()).alias("valid_rows"),
+        F.count_if(~blank & F.col(ERROR_COL).isNotNull()).alias("quarantined_rows"),
     ).select(F.lit(source).alias("source"), "*")

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,13 +34,6 @@ def _d(col: str) -> F.Column:
     return F.col(col).cast("double").alias(col)
 
 
-def _shared(df: DataFrame) -> DataFrame:
-    """A source read by several branches of one plan (fee lookup, both anti-joins, the
-    empty-side checks): derive it once and keep it (MEMORY_AND_DISK; lost blocks recompute
-    from lineage) instead of rescanning and re-deriving it per branch."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 class Inputs:
     """Lazily built, per-call source tables for one (spark, sf_dir)."""
 
@@ -49,13 +41,13 @@ class Inputs:
         self.spark, self.sf_dir, self.rates = spark, sf_dir, rates
 
     def pos(self) -> DataFrame:
-        return _shared(derived.pos(self.spark, self.sf_dir))
+        return derived.pos(self.spark, self.sf_dir)
 
     def acquirer(self) -> DataFrame:
-        return _shared(derived.acquirer(self.spark, self.sf_dir))
+        return derived.acquirer(self.spark, self.sf_dir)
 
     def marketplace(self) -> DataFrame:
-        return _shared(derived.marketplace(self.spark, self.sf_dir))
+        return derived.marketplace(self.spark, self.sf_dir)
 
     def mk_enriched(self) -> DataFrame:
         return enrich.marketplace_enriched(self.marketplace(), self.rates)
@@ -130,17 +122,14 @@ def q_gaps_cancelled(spark, sf_dir):
     return reconcile.gaps_cancelled(Inputs(spark, sf_dir).marketplace())
 
 
-def q_gaps_amount_mismatch(spark, sf_dir):
+def q_gaps_amount_mismatch_documented(spark, sf_dir):
     i = Inputs(spark, sf_dir)
-    return reconcile.gaps_amount_mismatch(i.pos(), i.acquirer(), i.rates)
-
-
-MAX_MISMATCH = "5.00"
+    return reconcile.gaps_amount_mismatch(i.pos(), i.acquirer(), i.rates, "documented")
 
 
-def q_gaps_amount_mismatch_documented(spark, sf_dir):
+def q_gaps_all_documented(spark, sf_dir):
     i = Inputs(spark, sf_dir)
-    return reconcile.gaps_amount_mismatch(i.pos(), i.acquirer(), i.rates, "documented", MAX_MISMATCH)
+    return reconcile.gaps_all(i.pos(), i.acquirer(), i.marketplace(), i.rates, "documented")
 
 
 def q_gaps_all(spark, sf_dir):
@@ -156,32 +145,27 @@ def stripped(df: DataFrame) -> DataFrame:
 
 
 def materialise(validated: DataFrame) -> DataFrame:
-    """The parsed exports feed valid rows, quarantine and counts: write them once to the
-    shared checkpoint folder (as the monthly job does). Later plans start from that table,
-    so they stay small and a lost executor does not re-derive and re-parse the text."""
+    """For parsed exports with several consumers (valid rows, quarantine, counts): write them once
+    to the shared checkpoint folder, as the monthly job does."""
     from tillrec.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(validated.sparkSession)
     return validated.checkpoint(eager=True)
 
 
 class RawInputs:
+    """Validated exports; nothing is stored here: most queries read each of them once."""
+
     def __init__(self, spark: SparkSession, sf_dir: str, rates: Rates = RATES):
         self.spark, self.sf_dir, self.rates = spark, sf_dir, rates
 
     def v_marketplace(self) -> DataFrame:
-        return materialise(V.validate(stripped(derived.raw_marketplace(self.spark, self.sf_dir)), S.MARKETPLACE))
+        return V.validate(stripped(derived.raw_marketplace(self.spark, self.sf_dir)), S.MARKETPLACE)
 
     def v_pos(self) -> DataFrame:
-        return materialise(V.validate(stripped(derived.raw_pos(self.spark, self.sf_dir)), S.POS))
+        return V.validate(stripped(derived.raw_pos(self.spark, self.sf_dir)), S.POS)
 
     def v_acquirer(self) -> DataFrame:
-        return materialise(V.validate(stripped(derived.raw_acquirer(self.spark, self.sf_dir)), S.ACQUIRER))
-
-    def valid(self):
-        mk = V.valid_rows(self.v_marketplace(), S.MARKETPLACE)
-        ps = V.valid_rows(self.v_pos(), S.POS)
-        aq = V.valid_rows(self.v_acquirer(), S.ACQUIRER)
-        return mk, ps, aq
+        return V.validate(stripped(derived.raw_acquirer(self.spark, self.sf_dir)), S.ACQUIRER)
 
 
 def q_parse_money(spark, sf_dir):
@@ -248,7 +232,7 @@ def q_validate_installments(spark, sf_dir):
 
 
 def q_validate_net_le_gross(spark, sf_dir):
-    v = RawInputs(spark, sf_dir).v_acquirer()
+    v = V.parsed_once(RawInputs(spark, sf_dir).v_acquirer())
     only_cross = F.col(V.ERROR_COL).isNull() | (F.col(V.ERROR_COL) == V.MSG_NET_GT_GROSS)
     return v.where(only_cross).select(
         V.ROW_COL, _d("gross_value"), _d("net_value"),
@@ -260,10 +244,12 @@ def q_quarantine_log(spark, sf_dir):
     out = None
     for source, v, sp in (("marketplace", r.v_marketplace(), S.MARKETPLACE), ("pos", r.v_pos(), S.POS),
                           ("acquirer", r.v_acquirer(), S.ACQUIRER)):
-        q = V.quarantine_rows(v, sp).select(F.lit(source).alias("source"), F.col(sp.id_field).alias("record_id"),
-                                            V.ERROR_COL, V.ROW_COL)
+        q = V.quarantine_log(V.parsed_once(v), sp, source)
         out = q if out is None else out.unionByName(q)
-    return out
+    # the map as text: field=value in name order
+    entries = F.array_sort(F.map_entries("original"))
+    text = F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"])), "|")
+    return out.withColumn("original", text)
 
 
 def q_extraction_counts(spark, sf_dir):
@@ -276,7 +262,7 @@ def q_extraction_counts(spark, sf_dir):
 def run_tables(spark: SparkSession, sf_dir: str, rates: Rates = RATES):
     """Valid rows of the three raw exports -> (ledger, gaps, counts)."""
     r = RawInputs(spark, sf_dir, rates)
-    vm, vp, va = r.v_marketplace(), r.v_pos(), r.v_acquirer()
+    vm, vp, va = materialise(r.v_marketplace()), materialise(r.v_pos()), materialise(r.v_acquirer())
     mk = V.valid_rows(vm, S.MARKETPLACE)
     ps = V.valid_rows(vp, S.POS)
     aq = V.valid_rows(va, S.ACQUIRER)
@@ -418,7 +404,7 @@ def q_burst_counts(spark, sf_dir):
 
 
 def q_burst_flags(spark, sf_dir):
-    """Exact admission flags (sequential fold; rows-only check, brute-force tested)."""
+    """Exact admission flags (a sequential fold per key)."""
     return bursts.burst_flags(derived.table(spark, sf_dir, "events"))
 
 
@@ -464,7 +450,7 @@ def queries() -> dict[str, Builder]:
 def oracle_sql() -> dict[str, str]:
     sql = {}
     sql.update(oracle.core_sql(REFERENCE_MONTH))
-    sql.update(oracle.mismatch_sql(MAX_MISMATCH))
+    sql.update(oracle.mismatch_sql())
     sql.update(oracle.raw_sql(REFERENCE_MONTH))
     sql.update(oracle.sink_sql(GENERATED_AT))
     sql.update(oracle.alert_lookup_sql(ALERT_ID))

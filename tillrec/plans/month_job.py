@@ -1,10 +1,9 @@
 """One monthly run: three export files in, statement, gaps, ledger and quarantine out.
 
-Stages, all lazy until the writes:
-  read + normalise (per source) -> validate (materialised once for three consumers:
-  checkpointed into spark.checkpoint.dir, or persisted)
-  -> valid rows -> commission / fee lookup / ledger -> gaps
-  -> statement (one row, month as label) + per-method revenue -> sinks.
+Stages:
+  read + normalise (per source) -> validate (checkpointed into spark.checkpoint.dir for its
+  three consumers) -> valid rows -> commission / fee lookup / ledger -> gaps, both written first
+  -> from those tables: statement (one row, month as label), per-method revenue, sheets, alerts.
 """
 
 from __future__ import annotations
@@ -17,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tillrec.config import JobArgs
 from tillrec.functions.dates import ntz_text
-from tillrec.operators import enrich, reconcile, statement, validate as V
+from tillrec.operators import alerts as A, enrich, reconcile, statement, validate as V
 from tillrec.sinks import writers
 from tillrec.sources import files
 from tillrec.sources.spec import MARKETPLACE, POS, acquirer_spec
@@ -34,73 +33,84 @@ class RunOutputs:
     summary: DataFrame
 
 
-def _materialise(df: DataFrame, reliable: bool) -> DataFrame:
-    """Parse once for three consumers. ``reliable``: write it to the shared checkpoint folder
-    (``spark.checkpoint.dir``) so a lost executor never forces a re-read and re-parse of the
-    exports; otherwise keep it persisted (lost blocks recompute from lineage)."""
-    if reliable:
-        from tillrec.session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(df.sparkSession)
-        return df.checkpoint(eager=True)
-    return V.persisted(df)
+def _stored(df: DataFrame) -> DataFrame:
+    """Parse once for three consumers (valid rows, quarantine, counts): write the rows to the shared
+    checkpoint folder, so a lost executor never forces a re-read and re-parse of the exports."""
+    from tillrec.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
-def build_run(spark: SparkSession, args: JobArgs, filter_month: bool = False,
-              reliable: bool = True, legacy_nan: bool = False) -> RunOutputs:
+def _union(parts) -> DataFrame:
+    out = None
+    for p in parts:
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
+def _derived(ledger: DataFrame, gaps: DataFrame, counts: DataFrame, month: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Statement, revenue by method and summary of a ledger and its gaps."""
+    st = statement.income_statement(ledger, gaps, month)
+    by_payment = statement.revenue_by_payment(ledger).withColumn("reference_month", F.lit(month))
+
+    def valid_of(source: str):
+        return counts.where(F.col("source") == source).agg(F.sum("valid_rows")).scalar()
+
+    summary = st.select(
+        F.lit("success").alias("status"), "reference_month", valid_of("marketplace").alias("total_ifood_orders"),
+        valid_of("pos").alias("total_pdv_transactions"), valid_of("acquirer").alias("total_acquirer_transactions"),
+        counts.agg(F.sum("quarantined_rows")).scalar().alias("quarantined_rows"),
+        F.col("total_gross_revenue_brl").alias("gross_revenue_brl"),
+        F.col("total_deductions_brl").alias("total_fees_brl"), "net_revenue_brl", "gaps_detected")
+    return st, by_payment, summary
+
+
+def build_run(spark: SparkSession, args: JobArgs, filter_month: bool = False, legacy_nan: bool = False,
+              gap_mode: str = "as_executed") -> RunOutputs:
     rates = args.rates
     specs = {"marketplace": MARKETPLACE, "pos": POS, "acquirer": acquirer_spec(args.acquirer_name)}
     paths = {"marketplace": args.marketplace_path, "pos": args.pos_path, "acquirer": args.acquirer_path}
-    validated = {k: _materialise(V.validate(files.read_export(spark, paths[k], specs[k]), specs[k], legacy_nan),
-                                 reliable)
+    validated = {k: _stored(V.validate(files.read_export(spark, paths[k], specs[k]), specs[k], legacy_nan))
                  for k in specs}
     valid = {k: V.valid_rows(validated[k], specs[k]) for k in specs}
     if filter_month:
         date_col = {"marketplace": "order_date", "pos": "transaction_date", "acquirer": "settlement_date"}
         valid = {k: v.where(ntz_text(F.col(date_col[k]), "yyyy-MM") == args.reference_month)
                  for k, v in valid.items()}
-    quarantine = None
-    for k in specs:
-        q = V.quarantine_rows(validated[k], specs[k]).select(
-            F.lit(k).alias("source"), F.col(specs[k].id_field).alias("record_id"), V.ERROR_COL, V.ROW_COL)
-        quarantine = q if quarantine is None else quarantine.unionByName(q)
-    counts = None
-    for k in specs:
-        c = V.counts(validated[k], k)
-        counts = c if counts is None else counts.unionByName(c)
-
+    quarantine = _union(V.quarantine_log(validated[k], specs[k], k) for k in specs)
+    counts = _union(V.counts(validated[k], k) for k in specs)
     order = V.file_order(valid["acquirer"])
     ledger = enrich.ledger_net(enrich.unified_ledger(
         enrich.marketplace_enriched(valid["marketplace"], rates),
         enrich.pos_enriched(valid["pos"], valid["acquirer"], rates, order)))
-    gaps = reconcile.gaps_all(valid["pos"], valid["acquirer"], valid["marketplace"], rates)
-    st = statement.income_statement(ledger, gaps, args.reference_month)
-    by_payment = statement.revenue_by_payment(ledger).withColumn("reference_month", F.lit(args.reference_month))
-
-    def valid_of(source: str):
-        return counts.where(F.col("source") == source).agg(F.sum("valid_rows")).scalar()
-
-    summary = st.select(
-        F.lit("success").alias("status"), "reference_month", valid_of("marketplace").alias("total_ifood_orders"),
-        valid_of("pos").alias("total_pdv_transactions"), valid_of("acquirer").alias("total_acquirer_transactions"),
-        counts.agg(F.sum("quarantined_rows")).scalar().alias("quarantined_rows"),
-        F.col("total_gross_revenue_brl").alias("gross_revenue_brl"),
-        F.col("total_deductions_brl").alias("total_fees_brl"), "net_revenue_brl", "gaps_detected")
-    return RunOutputs(ledger, gaps, quarantine, counts, st, by_payment, summary)
+    gaps = reconcile.gaps_all(valid["pos"], valid["acquirer"], valid["marketplace"], rates, gap_mode)
+    return RunOutputs(ledger, gaps, quarantine, counts, *_derived(ledger, gaps, counts, args.reference_month))
 
 
 def run_month(spark: SparkSession, args: JobArgs, out_dir: str, run_stamp: str | None = None,
-              filter_month: bool = False, reliable: bool = True,
-              legacy_nan: bool = False) -> tuple[RunOutputs, dict[str, str]]:
-    """Build and write one run; returns the outputs (lazy) and the written paths."""
+              filter_month: bool = False, legacy_nan: bool = False, gap_mode: str = "as_executed",
+              subscribers: DataFrame | None = None) -> tuple[RunOutputs, dict[str, str]]:
+    """Build and write one run; returns the outputs and the written paths.
+
+    The ledger and the gaps are written first; the statement, the sheets, the summary and the alerts
+    read those tables, so the fee join and the gap joins run once.
+    """
     run_stamp = run_stamp or dt.datetime.now(dt.timezone.utc).strftime("%Y%m%d_%H%M%S")
     generated_at = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None).isoformat()
-    out = build_run(spark, args, filter_month, reliable, legacy_nan)
-    gaps_value = statement.gap_totals(out.gaps).select("gaps_value_brl").scalar()
-    st = out.statement.withColumn("gaps_value_brl", gaps_value)
-    records = writers.statement_records(st, statement.revenue_map(out.by_payment, "reference_month"),
-                                        generated_at)
-    rows = statement.statement_rows(out.statement, out.by_payment,
-                                    dt.datetime.now().strftime("%d/%m/%Y %H:%M"),
+    built = build_run(spark, args, filter_month, legacy_nan, gap_mode)
+    paths = writers.write_tables(out_dir, run_stamp, built.gaps, built.ledger, built.quarantine)
+    ledger = writers.read_table(spark, paths["ledger"], built.ledger)
+    gaps = writers.read_table(spark, paths["gaps"], built.gaps)
+    st, by_payment, summary = _derived(ledger, gaps, built.counts, args.reference_month)
+    out = RunOutputs(ledger, gaps, built.quarantine, built.counts, st, by_payment, summary)
+    gaps_value = statement.gap_totals(gaps).select("gaps_value_brl").scalar()
+    records = writers.statement_records(st.withColumn("gaps_value_brl", gaps_value),
+                                        statement.revenue_map(by_payment, "reference_month"), generated_at)
+    rows = statement.statement_rows(st, by_payment, dt.datetime.now().strftime("%d/%m/%Y %H:%M"),
                                     str(args.rates.commission_rate))
-    paths = writers.write_run(out_dir, run_stamp, records, out.gaps, out.ledger, out.quarantine, rows)
+    alerts = A.alerts_from_gaps(gaps, args.reference_month)
+    paths |= writers.write_reports(out_dir, run_stamp, records, gaps, ledger, built.quarantine, rows, alerts)
+    if subscribers is not None:
+        paths["outbox"] = f"{out_dir}/outbox"
+        writers.append_outbox(A.delivery_outbox(alerts, subscribers), paths["outbox"], run_stamp)
     return out, paths

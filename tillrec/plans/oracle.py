@@ -29,7 +29,7 @@ acquirer AS (
          CAST(round(price * CAST(l_discount AS DECIMAL(5,4)), 2) AS DECIMAL(18,2)) AS acquirer_fee,
          (['credito','debito','pix','dinheiro','voucher','outro'])[k % 6 + 1] AS payment_method,
          k, rid
-  FROM li2 WHERE k % 6 IN (0,1,2,4) AND k % 17 <> 0),
+  FROM li2 WHERE k % 6 IN (0,1,2,4) AND (k % 17 <> 0 OR k % 10 = 0)),
 marketplace AS (
   SELECT CAST(o_orderkey AS VARCHAR) AS order_id, o_orderdate AS order_date,
          CAST(o_totalprice AS DECIMAL(18,2)) AS gross_value,
@@ -177,7 +177,6 @@ FROM ledger WHERE gross_value > 0 GROUP BY payment_method""")
     q["gaps_pos_missing"] = with_derived(f"SELECT {cols} FROM gap_pos")
     q["gaps_acquirer_missing"] = with_derived(f"SELECT {cols} FROM gap_acq")
     q["gaps_cancelled"] = with_derived(f"SELECT {cols} FROM gap_cancel")
-    q["gaps_amount_mismatch"] = with_derived(f"SELECT {cols} FROM gap_pos WHERE false")
     q["gaps_all"] = with_derived(f"SELECT {cols} FROM gaps")
     return q
 
@@ -213,7 +212,7 @@ raw_pos AS (
          k AS row_order,
          CASE WHEN k % 3 = 0 THEN ' op' || CAST(k % 7 AS VARCHAR) || chr(9)
               ELSE 'op' || CAST(k % 7 AS VARCHAR) END AS cashier_text
-  FROM li2 WHERE k % 10 <> 0),
+  FROM li2),
 raw_mk AS (
   SELECT CAST(o_orderkey AS VARCHAR) AS order_id,
          CASE WHEN {_broken('o_orderkey', 1)} THEN '31/02/2026'
@@ -243,7 +242,7 @@ raw_acq AS (
          CASE WHEN {_broken('k', 4)} THEN 'N/A' ELSE {_br('a_gross')} END AS gross_value,
          {_br('CASE WHEN ' + _broken('k', 0) + ' THEN a_gross + 0.02 ELSE a_gross - a_fee END')} AS net_value,
          {_br('a_fee')} AS acquirer_fee,
-         (['credit','Debit','pix','','voucher',''])[k % 6 + 1] AS payment_method,
+         (['credit','Debit','pix','dinheiro','voucher','outro'])[k % 6 + 1] AS payment_method,
          CASE WHEN {_broken('k', 1)} THEN '25' WHEN {_broken('k', 2)} THEN '3.5'
               WHEN k % 7 = 0 THEN '3.0' ELSE CAST(k % 12 + 1 AS VARCHAR) END AS installments,
          'stone' AS acquirer_name, k AS row_order
@@ -251,7 +250,7 @@ raw_acq AS (
           CAST(price + CASE WHEN k % 11 = 0 THEN 0.04 WHEN k % 13 = 0 THEN 3.50 ELSE 0 END AS DECIMAL(18,2))
             AS a_gross,
           CAST(round(price * CAST(l_discount AS DECIMAL(5,4)), 2) AS DECIMAL(18,2)) AS a_fee
-        FROM li2 WHERE k % 6 IN (0,1,2,4) AND k % 17 <> 0)),
+        FROM li2)),
 """
 
 
@@ -271,13 +270,24 @@ SALES_LAYOUTS = ["%Y-%m-%d %H:%M:%S", "%d/%m/%Y %H:%M:%S", "%d/%m/%Y", "%Y-%m-%d
 SETTLE_LAYOUTS = ["%Y-%m-%d", "%d/%m/%Y", "%Y-%m-%d %H:%M:%S", "%d/%m/%Y %H:%M:%S"]
 
 
-def _map(x: str, mapping: dict[str, str]) -> str:
-    whens = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in mapping.items())
-    return f"coalesce(CASE lower(trim({x})) {whens} END, {x})"
+def _map(x: str, cases: str) -> str:
+    return f"coalesce(CASE lower(trim({x})) {cases} END, {x})"
+
+
+# FIXED VALUES: spellings, written out here again so that a slip in the code under test shows
+MARKETPLACE_METHODS = """WHEN 'cartão de crédito' THEN 'credito' WHEN 'credito' THEN 'credito' WHEN 'crédito' THEN 'credito'
+  WHEN 'cartão de débito' THEN 'debito' WHEN 'debito' THEN 'debito' WHEN 'débito' THEN 'debito' WHEN 'pix' THEN 'pix'
+  WHEN 'dinheiro' THEN 'dinheiro' WHEN 'voucher' THEN 'voucher'"""
+POS_METHODS = """WHEN 'crédito' THEN 'credito' WHEN 'credito' THEN 'credito' WHEN 'débito' THEN 'debito'
+  WHEN 'debito' THEN 'debito' WHEN 'pix' THEN 'pix' WHEN 'dinheiro' THEN 'dinheiro' WHEN 'especie' THEN 'dinheiro'
+  WHEN 'voucher' THEN 'voucher'"""
+ACQUIRER_METHODS = """WHEN 'credit' THEN 'credito' WHEN 'credito' THEN 'credito' WHEN 'debit' THEN 'debito'
+  WHEN 'debito' THEN 'debito' WHEN 'pix' THEN 'pix' WHEN 'voucher' THEN 'voucher'"""
+STATUSES = """WHEN 'concluído' THEN 'concluido' WHEN 'concluido' THEN 'concluido' WHEN 'cancelado' THEN 'cancelado'
+  WHEN 'pendente' THEN 'pendente'"""
 
 
 def _validation_ctes() -> str:
-    from tillrec.constants import ACQUIRER_PAYMENT_MAP, MARKETPLACE_PAYMENT_MAP, POS_PAYMENT_MAP, STATUS_MAP
     pm = "('credito','debito','pix','dinheiro','voucher','outro')"
     return f"""
 v_mk AS (
@@ -299,8 +309,8 @@ v_mk AS (
     ), '') AS validation_error
   FROM (SELECT *, {_ts('order_date', SALES_LAYOUTS)} AS p_date, {_money('gross_value')} AS p_gross,
                CASE WHEN {_opt_blank('ifood_commission')} THEN NULL ELSE {_money('ifood_commission')} END AS p_comm,
-               {_map('payment_method', MARKETPLACE_PAYMENT_MAP)} AS p_method,
-               {_map('status', STATUS_MAP)} AS p_status,
+               {_map('payment_method', MARKETPLACE_METHODS)} AS p_method,
+               {_map('status', STATUSES)} AS p_status,
                CASE WHEN {_opt_blank('delivery_fee')} THEN NULL ELSE {_money('delivery_fee')} END AS p_fee
         FROM raw_mk)),
 v_pos AS (
@@ -316,7 +326,7 @@ v_pos AS (
       CASE WHEN payment_method IS NOT NULL AND p_method NOT IN {pm} THEN 'payment_method: not an allowed value' END
     ), '') AS validation_error
   FROM (SELECT *, {_ts('transaction_date', SALES_LAYOUTS)} AS p_date, {_money('gross_value')} AS p_gross,
-               {_map('payment_method', POS_PAYMENT_MAP)} AS p_method
+               {_map('payment_method', POS_METHODS)} AS p_method
         FROM raw_pos)),
 v_acq0 AS (
   SELECT *, concat_ws('; ',
@@ -340,7 +350,7 @@ v_acq0 AS (
                {_money('net_value')} AS p_net,
                CASE WHEN acquirer_fee IS NULL OR trim(acquirer_fee) = '' THEN NULL
                     ELSE {_money('acquirer_fee')} END AS p_fee,
-               {_map('payment_method', ACQUIRER_PAYMENT_MAP)} AS p_method,
+               {_map('payment_method', ACQUIRER_METHODS)} AS p_method,
                CASE WHEN regexp_full_match(installments, '\\s*[+-]?\\d+(\\.0+)?\\s*')
                      AND CAST(trim(installments) AS DECIMAL(38,0)) BETWEEN 1 AND 24
                     THEN CAST(CAST(trim(installments) AS DECIMAL(38,0)) AS INTEGER) END AS p_inst
@@ -414,13 +424,22 @@ FROM v_acq""")
 SELECT row_order AS source_row_index, CAST(p_gross AS DOUBLE) AS gross_value, CAST(p_net AS DOUBLE) AS net_value,
        NOT (p_net > p_gross + 0.01) AS net_ok
 FROM v_acq0 WHERE field_errors = ''""")
-    q["quarantine_log"] = with_raw("""
-SELECT 'marketplace' AS source, order_id AS record_id, validation_error, row_order AS source_row_index
+    def original(fields: str) -> str:
+        return "concat_ws('|', " + ", ".join(f"'{f}=' || {f}" for f in sorted(fields.split())) + ")"
+
+    q["quarantine_log"] = with_raw(f"""
+SELECT 'marketplace' AS source, order_id AS record_id,
+       {original('order_id order_date gross_value ifood_commission payment_method status customer_id delivery_fee')} AS original,
+       validation_error, row_order AS source_row_index
 FROM v_mk WHERE validation_error IS NOT NULL
 UNION ALL
-SELECT 'pos', transaction_id, validation_error, row_order FROM v_pos WHERE validation_error IS NOT NULL
+SELECT 'pos', transaction_id,
+       {original('transaction_id transaction_date gross_value payment_method cashier_id table_number notes')},
+       validation_error, row_order FROM v_pos WHERE validation_error IS NOT NULL
 UNION ALL
-SELECT 'acquirer', authorization_code, validation_error, row_order FROM v_acq WHERE validation_error IS NOT NULL""")
+SELECT 'acquirer', authorization_code,
+       {original('authorization_code nsu settlement_date gross_value net_value acquirer_fee payment_method installments acquirer_name')},
+       validation_error, row_order FROM v_acq WHERE validation_error IS NOT NULL""")
     q["extraction_counts"] = with_raw("""
 SELECT 'marketplace' AS source, count(*) AS raw_rows, count(*) FILTER (WHERE validation_error IS NULL) AS valid_rows,
        count(*) FILTER (WHERE validation_error IS NOT NULL) AS quarantined_rows FROM v_mk
@@ -458,8 +477,8 @@ def _coalesced_money7() -> str:
 
 
 def _py_space_class() -> str:
-    from tillrec.functions.text import _PY_SPACE
-    return "[" + "".join(f"\\x{{{ord(ch):04x}}}" for ch in _PY_SPACE) + "]"
+    # Unicode white space: category Zs, and the bidirectional types WS, B and S
+    return r"[\x{0009}-\x{000d}\x{001c}-\x{0020}\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 def more_sql(month: str, min_amount: float, trend_n: int, run_stamp: str, generated_at: str, lead_id: str,
@@ -485,7 +504,8 @@ pm AS (
          gaps_detected AS gaps_count, gaps_value_brl, generated_at, file_name
   FROM art),
 alerts AS (
-  SELECT gap_type || ':' || transaction_id AS alert_id,
+  SELECT gap_type || ':' || transaction_id || ':' || left(md5(concat_ws('|', source,
+           CAST(CAST(amount_brl AS DECIMAL(18,2)) AS VARCHAR), strftime(gap_date, '%Y-%m-%d %H:%M:%S'))), 12) AS alert_id,
          CASE WHEN amount_brl >= 5000 THEN 'critical' WHEN amount_brl >= 1000 THEN 'high'
               WHEN amount_brl >= 100 THEN 'medium' ELSE 'low' END AS severity,
          '[' || gap_type || '] Furo detectado - R$ ' || CAST(CAST(amount_brl AS DECIMAL(18,2)) AS VARCHAR) AS title,
@@ -544,7 +564,7 @@ FROM pm""")
 WITH lines AS (
   SELECT c_custkey AS line_no, c_custkey % 23 = 0 AS blank,
          c_custkey % 23 <> 0 AND c_custkey % 17 = 0 AS malformed,
-         'LEAD-' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS id,
+         CASE WHEN c_custkey % 19 <> 0 THEN 'LEAD-' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') END AS id,
          CASE WHEN c_custkey % 31 = 0 THEN NULL
               ELSE TIMESTAMP '2026-01-01 00:00:00' + to_minutes(CAST(c_custkey * 37 AS BIGINT)) END AS received_ts,
          CASE WHEN c_custkey % 11 = 0 THEN '<b>' || c_name || '</b>' ELSE c_name END AS name,
@@ -591,7 +611,7 @@ ORDER BY line_no LIMIT {limit} OFFSET {skip}"""
     q["lead_lookup"] = leads + f"SELECT line_no, id, name FROM good WHERE id = '{lead_id}' ORDER BY line_no LIMIT 1"
     q["lead_erase"] = leads + """
 SELECT line_no, CASE WHEN malformed THEN NULL ELSE id END AS id FROM lines
-WHERE NOT blank AND (malformed OR line_no % 29 <> 0)"""
+WHERE NOT blank AND (malformed OR id IS NULL OR line_no % 29 <> 0)"""
     q["clean_html_text"] = f"""
 SELECT page_id, t AS clean_text, CAST(length(t) AS INTEGER) AS n_chars
 FROM (SELECT page_id, regexp_replace(replace(regexp_replace(html, '<[^>]+>', '', 'g'), chr(0), ''),
@@ -602,25 +622,33 @@ FROM (SELECT event_id, user_id, ts,
              count(*) OVER (PARTITION BY user_id ORDER BY ts
                             RANGE BETWEEN INTERVAL 60 SECONDS PRECEDING AND CURRENT ROW) AS n_in_window
       FROM events)"""
+    q["burst_flags"] = """
+WITH RECURSIVE numbered AS (
+  SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+fold AS (
+  SELECT event_id, user_id, ts, n, true AS accepted, [ts] AS held FROM numbered WHERE n = 1
+  UNION ALL
+  SELECT event_id, user_id, ts, n, len(recent) < 5, CASE WHEN len(recent) < 5 THEN list_append(recent, ts) ELSE recent END
+  FROM (SELECT e.event_id, e.user_id, e.ts, e.n, list_filter(f.held, lambda t: t >= e.ts - INTERVAL 60 SECONDS) AS recent
+        FROM fold f JOIN numbered e ON e.user_id = f.user_id AND e.n = f.n + 1))
+SELECT event_id, user_id, ts, accepted FROM fold"""
     return q
 
 
 # ------------------------------------------------------------------ sinks
 def sink_sql(generated_at: str) -> dict[str, str]:
-    from tillrec.constants import GAP_HEADINGS, LEDGER_HEADINGS
-    from tillrec.operators.statement import _layout
     q: dict[str, str] = {}
-    lh = LEDGER_HEADINGS
-    q["ledger_export"] = with_derived(f"""
-SELECT source AS "{lh['source']}", record_id AS "{lh['record_id']}", date AS "{lh['date']}",
-       CAST(gross_value AS DOUBLE) AS "{lh['gross_value']}", CAST(net_value AS DOUBLE) AS net_value,
-       CAST(mdr_fee AS DOUBLE) AS "{lh['mdr_fee']}",
-       CAST(ifood_commission_computed AS DOUBLE) AS "{lh['ifood_commission_computed']}",
-       payment_method AS "{lh['payment_method']}", status AS "{lh['status']}",
-       CAST(round(gross_value - mdr_fee - ifood_commission_computed, 2) AS DOUBLE) AS "{lh['net_value_final']}"
+    q["ledger_export"] = with_derived("""
+SELECT source AS "Origem", record_id AS "ID Transação", date AS "Data",
+       CAST(gross_value AS DOUBLE) AS "Valor Bruto (R$)", CAST(net_value AS DOUBLE) AS net_value,
+       CAST(mdr_fee AS DOUBLE) AS "Taxa MDR (R$)",
+       CAST(ifood_commission_computed AS DOUBLE) AS "Comissão iFood (R$)",
+       payment_method AS "Forma de Pagamento", status AS "Status",
+       CAST(round(gross_value - mdr_fee - ifood_commission_computed, 2) AS DOUBLE) AS "Valor Líquido (R$)"
 FROM ledger""")
-    q["gap_export"] = with_derived("SELECT " + ", ".join(f'{k} AS "{v}"' for k, v in GAP_HEADINGS.items())
-                                   + " FROM gaps")
+    q["gap_export"] = with_derived("""
+SELECT transaction_id AS "ID Transação", source AS "Origem", amount_brl AS "Valor (R$)", gap_type AS "Tipo de Furo",
+       detail AS "Detalhe" FROM gaps""")
     monthly = f"""
 , mt AS (SELECT strftime(date, '%Y-%m') AS reference_month, {TOTALS} FROM ledger GROUP BY 1),
 gt AS (SELECT strftime(gap_date, '%Y-%m') AS reference_month, count(*) AS gaps_detected,
@@ -647,8 +675,31 @@ FROM st LEFT JOIN (
     def fmt(col: str) -> str:
         return f"'R$ ' || format('{{:,.2f}}', CAST({col} AS DECIMAL(18,2)))"
 
+    # FIXED VALUES: lines of the statement sheet (item, column, shown as a deduction)
+    layout = [
+        ("", None, False),
+        ("DEMONSTRATIVO DE RESULTADO DO EXERCÍCIO", None, False),
+        ("Período de Referência", "reference_month", False),
+        ("Gerado em", "generated_at", False),
+        ("", None, False),
+        ("RECEITA BRUTA", None, False),
+        ("  Vendas PDV (físico)", "gross_revenue_pdv_brl", False),
+        ("  Pedidos iFood (bruto)", "gross_revenue_ifood_brl", False),
+        ("  TOTAL RECEITA BRUTA", "total_gross_revenue_brl", False),
+        ("", None, False),
+        ("DEDUÇÕES", None, False),
+        ("  Comissão iFood (23%)", "total_ifood_commission_brl", True),
+        ("  Taxas MDR (cartões)", "total_card_fees_brl", True),
+        ("  TOTAL DEDUÇÕES", "total_deductions_brl", True),
+        ("", None, False),
+        ("RECEITA LÍQUIDA", "net_revenue_brl", False),
+        ("", None, False),
+        ("FUROS DE CAIXA DETECTADOS", "gaps_detected", False),
+        ("", None, False),
+        ("RECEITA POR FORMA DE PAGAMENTO", None, False),
+    ]
     parts = []
-    for n, (label, col, negative) in enumerate(_layout("23")):
+    for n, (label, col, negative) in enumerate(layout):
         if col is None:
             value = "''"
         elif col == "reference_month":
@@ -663,7 +714,7 @@ FROM st LEFT JOIN (
                 value = "'- ' || " + value
         safe = label.replace("'", "''")
         parts.append(f"SELECT reference_month, {n} AS line_no, '{safe}' AS item, {value} AS value FROM st")
-    n_fixed = len(_layout("23"))
+    n_fixed = len(layout)
     q["statement_rows"] = with_derived(monthly + "\n" + "\nUNION ALL\n".join(parts) + f"""
 UNION ALL
 SELECT reference_month,
@@ -674,9 +725,8 @@ FROM byp""")
 
 
 # ------------------------------------------------------------------ documented amount mismatch
-def mismatch_sql(max_mismatch: str) -> dict[str, str]:
-    m = int(round(float(max_mismatch) * 100))
-    body = f"""
+def mismatch_sql() -> dict[str, str]:
+    body = """
 , lo AS (SELECT transaction_id AS id, CAST(transaction_date AS DATE) AS day, payment_method AS method,
                 CAST(gross_value * 100 AS BIGINT) AS c, transaction_date AS ts
          FROM pos p
@@ -690,22 +740,31 @@ ro AS (SELECT authorization_code AS id, CAST(settlement_date AS DATE) AS day, pa
          AND NOT EXISTS (SELECT 1 FROM pos p WHERE CAST(a.settlement_date AS DATE) = CAST(p.transaction_date AS DATE)
                          AND abs(a.gross_value - p.gross_value) <= 0.05)),
 cand AS (SELECT lo.id AS lid, ro.id AS rid, lo.c AS lc, ro.c AS rc, abs(lo.c - ro.c) AS d, lo.ts
-         FROM lo JOIN ro ON lo.day = ro.day AND lo.method = ro.method AND abs(lo.c - ro.c) <= {m}),
+         FROM lo JOIN ro ON lo.day = ro.day AND lo.method = ro.method),
 bl AS (SELECT lid, arg_min(rid, (d, rc, rid)) AS rid FROM cand GROUP BY lid),
 br AS (SELECT rid, arg_min(lid, (d, lc, lid)) AS lid FROM cand GROUP BY rid),
-pairs AS (SELECT c.* FROM cand c JOIN bl USING (lid, rid) JOIN br USING (lid, rid) WHERE c.d > 5)
+pairs AS (SELECT c.* FROM cand c JOIN bl USING (lid, rid) JOIN br USING (lid, rid) WHERE c.d > 5),
+mismatch AS (
 SELECT lid AS transaction_id, 'PDV vs Acquirer' AS source, CAST(CAST(d AS DECIMAL(18,2)) / 100 AS DOUBLE) AS amount_brl,
        'AMOUNT_MISMATCH' AS gap_type,
        'PDV recorded R$ ' || CAST(CAST(lc / 100 AS DECIMAL(18,2)) AS VARCHAR) || ' but acquirer settled R$ '
          || CAST(CAST(rc / 100 AS DECIMAL(18,2)) AS VARCHAR) || '. Difference: R$ '
          || CAST(CAST(d / 100 AS DECIMAL(18,2)) AS VARCHAR) || '.' AS detail,
        ts AS gap_date, 1 AS gap_order
-FROM pairs"""
-    return {"gaps_amount_mismatch_documented": with_derived(body)}
+FROM pairs)
+"""
+    cols = "transaction_id, source, amount_brl, gap_type, detail, gap_date, gap_order"
+    every = f"""
+SELECT {cols} FROM mismatch
+UNION ALL SELECT {cols} FROM gap_pos WHERE transaction_id NOT IN (SELECT lid FROM pairs)
+UNION ALL SELECT {cols} FROM gap_acq WHERE transaction_id NOT IN (SELECT rid FROM pairs)
+UNION ALL SELECT {cols} FROM gap_cancel"""
+    return {"gaps_amount_mismatch_documented": with_derived(body + f"SELECT {cols} FROM mismatch"),
+            "gaps_all_documented": with_derived(body + every)}
 
 
 def alert_lookup_sql(alert_id: str) -> dict[str, str]:
     sql = more_sql("0000-00", 0.0, 1, "x", "x", "x", "2000-01-01 00:00:00", "2000-01-01 00:00:00", 0, 1)
     head, _ = sql["alerts_from_gaps"].rsplit("SELECT * FROM alerts", 1)
-    body = head + f"SELECT * FROM alerts WHERE alert_id = '{alert_id}'"
+    body = head + f"SELECT * FROM alerts WHERE starts_with(alert_id, '{alert_id}:')"
     return {"alert_lookup": body}

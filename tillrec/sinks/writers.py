@@ -8,8 +8,9 @@ month with millions of gaps is never gathered into one record.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillrec.constants import GAP_HEADINGS, LEDGER_HEADINGS
 from tillrec.functions.dates import ntz_text
@@ -32,34 +33,60 @@ def statement_records(statements: DataFrame, revenue_maps: DataFrame, generated_
                       .withColumn("generated_at", F.lit(generated_at)))
 
 
-def write_run(out_dir: str, run_stamp: str, statements: DataFrame, gaps: DataFrame, ledger: DataFrame,
-              quarantine: DataFrame, rows: DataFrame, mode: str = "overwrite") -> dict[str, str]:
-    """Write all outputs of a run under ``out_dir/<dataset>/run=<stamp>/...``; return the paths."""
-    paths = {
-        "statement": f"{out_dir}/statement/run={run_stamp}",
-        "gaps": f"{out_dir}/gaps/run={run_stamp}",
-        "ledger": f"{out_dir}/ledger/run={run_stamp}",
-        "quarantine": f"{out_dir}/quarantine/run={run_stamp}",
-        "statement_rows": f"{out_dir}/statement_rows/run={run_stamp}",
-    }
-    # one small record per month of the run; kept whole so readers see reference_month in it
-    statements.write.mode(mode).json(paths["statement"])
-    (gaps.withColumn("reference_month", ntz_text(F.col("gap_date"), "yyyy-MM"))
-         .write.mode(mode).partitionBy("reference_month").option("header", True).csv(paths["gaps"]))
+# FIXED VALUES: what an empty sheet says
+NO_LEDGER = "Sem dados no ledger."
+NO_GAPS = "Nenhum furo de caixa detectado. ✓"
+NO_QUARANTINE = "Nenhuma linha rejeitada. Todos os dados passaram na validação. ✓"
+
+
+def write_tables(out_dir: str, run_stamp: str, gaps: DataFrame, ledger: DataFrame, quarantine: DataFrame,
+                 mode: str = "overwrite") -> dict[str, str]:
+    """Write the tables of a run under ``out_dir/<dataset>/run=<stamp>/...``; return the paths."""
+    paths = {d: f"{out_dir}/{d}/run={run_stamp}" for d in ("gaps", "ledger", "quarantine")}
     (ledger.withColumn("reference_month", ntz_text(F.col("date"), "yyyy-MM"))
            .write.mode(mode).partitionBy("reference_month").parquet(paths["ledger"]))
+    (gaps.withColumn("reference_month", ntz_text(F.col("gap_date"), "yyyy-MM"))
+         .write.mode(mode).partitionBy("reference_month").parquet(paths["gaps"]))
     quarantine.write.mode(mode).partitionBy("source").parquet(paths["quarantine"])
+    return paths
+
+
+def read_table(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """A table written by ``write_tables``, with the columns of ``like``."""
+    fields = [*like.schema.fields, T.StructField("reference_month", T.StringType())]
+    return spark.read.schema(T.StructType(fields)).parquet(path).select(like.columns)
+
+
+def _sheet(rows: DataFrame, empty_text: str, path: str, mode: str) -> None:
+    """A CSV sheet; an empty one says so in an ``info`` row."""
+    if rows.isEmpty():
+        rows = rows.sparkSession.range(1).select(F.lit(empty_text).alias("info"))
+    rows.write.mode(mode).option("header", True).csv(path)
+
+
+def write_reports(out_dir: str, run_stamp: str, statements: DataFrame, gaps: DataFrame, ledger: DataFrame,
+                  quarantine: DataFrame, rows: DataFrame, alerts: DataFrame, mode: str = "overwrite") -> dict[str, str]:
+    """Write the statement, the sheets and the alerts of a run; return the paths."""
+    paths = {d: f"{out_dir}/{d}/run={run_stamp}" for d in
+             ("statement", "gap_sheet", "ledger_sheet", "quarantine_sheet", "statement_rows", "alerts")}
+    # one small record per month of the run; kept whole so readers see reference_month in it
+    statements.write.mode(mode).json(paths["statement"])
+    _sheet(gap_sheet(gaps), NO_GAPS, paths["gap_sheet"], mode)
+    _sheet(ledger_sheet(ledger), NO_LEDGER, paths["ledger_sheet"], mode)
+    _sheet(quarantine.withColumn("original", F.to_json("original")), NO_QUARANTINE, paths["quarantine_sheet"], mode)
     rows.write.mode(mode).partitionBy("reference_month").option("header", True).csv(paths["statement_rows"])
+    alerts.write.mode(mode).parquet(paths["alerts"])
     return paths
 
 
-def append_outbox(outbox: DataFrame, path: str) -> None:
-    """Append routed alerts to the delivery outbox (partitioned by channel)."""
-    outbox.write.mode("append").partitionBy("channel").parquet(path)
+def append_outbox(outbox: DataFrame, path: str, batch: str) -> None:
+    """Write routed alerts to the delivery outbox, under the batch's own partition: writing a batch
+    again replaces it, so neither a repeated run nor a replayed epoch doubles a delivery."""
+    outbox.write.mode("overwrite").partitionBy("channel").parquet(f"{path}/batch={batch}")
 
 
 def stream_outbox(routing_stream: DataFrame, path: str, checkpoint_dir: str):
-    """Streamed variant: each micro-batch of routed alerts is appended exactly once."""
+    """Streamed variant: every micro-batch of routed alerts replaces its own partition."""
     return (routing_stream.writeStream
-            .foreachBatch(lambda batch, _epoch: append_outbox(batch, path))
+            .foreachBatch(lambda batch, epoch: append_outbox(batch, path, f"epoch-{epoch}"))
             .option("checkpointLocation", checkpoint_dir).start())

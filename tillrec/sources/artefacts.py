@@ -38,12 +38,21 @@ ARTEFACT_SCHEMA = T.StructType([
 
 
 def read_artefacts(spark: SparkSession, pattern: str, multi_line: bool = True) -> DataFrame:
-    """Artefact table: statement columns, ``gaps_value_brl`` and ``file_name`` (run order key)."""
+    """Artefact table: statement columns, ``gaps_value_brl`` and ``file_name`` (run order key).
+
+    Runs are ordered by their stamp: the ``run=<stamp>`` folder of our own layout (its part files have
+    random names), else the file name, which holds the stamp in single-document artefacts.
+    """
     df = (spark.read.schema(ARTEFACT_SCHEMA)
           .option("multiLine", multi_line).option("mode", "PERMISSIVE")
           .option("columnNameOfCorruptRecord", "_corrupt")
           .json(pattern))
-    df = df.where(F.col("_corrupt").isNull() & F.col("reference_month").isNotNull())
+    # an artefact without a month is kept ("N/A" in the KPIs) and counts in the totals; a JSON
+    # document without any statement field isn't an artefact
+    known = F.coalesce(*[F.col(c).cast("string") for c in (
+        "reference_month", "total_gross_revenue_brl", "net_revenue_brl", "gaps_detected", "generated_at")])
+    df = df.where(F.col("_corrupt").isNull() & known.isNotNull())
+    stamp = F.regexp_extract(F.col("_metadata.file_path"), r"/run=([^/]+)/", 1)
     from_array = F.aggregate(F.coalesce(F.col("gaps"), F.array().cast(T.ArrayType(GAP_STRUCT))),
                              F.lit(0).cast("decimal(38,2)"),
                              lambda acc, g: (acc + F.coalesce(g["amount_brl"], F.lit(0.0)).cast("decimal(18,2)"))
@@ -53,7 +62,7 @@ def read_artefacts(spark: SparkSession, pattern: str, multi_line: bool = True) -
     return df.select(
         *[c for c in df.columns if c not in ("_corrupt", "gaps", "gaps_value_brl")],
         value.alias("gaps_value_brl"),
-        F.col("_metadata.file_name").alias("file_name"),
+        F.when(stamp != "", stamp).otherwise(F.col("_metadata.file_name")).alias("file_name"),
         "gaps",
     )
 
@@ -62,3 +71,12 @@ def artefact_gaps(artefacts: DataFrame) -> DataFrame:
     """Gap rows of legacy artefacts (``inline`` of the array), tagged with month and file."""
     return artefacts.select("reference_month", "file_name", F.inline_outer("gaps")) \
                     .where(F.col("gap_type").isNotNull() | F.col("transaction_id").isNotNull())
+
+
+def read_run_gaps(spark: SparkSession, gaps_dir: str) -> DataFrame:
+    """Gap rows of all stored runs (``<gaps_dir>/run=<stamp>/reference_month=<month>``), with the stamp
+    as ``file_name`` like the artefacts; month and run are partition columns, so filters prune files."""
+    fields = [*GAP_STRUCT.fields, T.StructField("gap_date", T.TimestampNTZType()),
+              T.StructField("gap_order", T.IntegerType()), T.StructField("run", T.StringType()),
+              T.StructField("reference_month", T.StringType())]
+    return spark.read.schema(T.StructType(fields)).parquet(gaps_dir).withColumnRenamed("run", "file_name")

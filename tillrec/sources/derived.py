@@ -4,7 +4,7 @@ The three exports of a restaurant month (marketplace orders, pos sales,
 acquirer settlements) are derived row-for-row from the star-schema tables
 so that every query grows with the data. Membership rules (``k % 10`` etc.)
 decide which sales also reach the acquirer — they simulate missing and
-surplus settlements, they are not row caps.
+surplus settlements; every row is a sale, a settlement or both.
 
 Typed tables feed the finance operators; ``raw_*`` tables render the same
 rows as export text (pt-BR money, four date shapes, source spellings, with a
@@ -21,27 +21,7 @@ from tillrec.functions.money import MONEY, RATE
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Re-spread a scan that has fewer splits than the cluster has cores.
-
-    A file with one row group is one task however many cores there are; a
-    round-robin repartition then lets the per-row derivation run in parallel.
-    On large inputs the scan already has many splits and this is a no-op
-    (the check only plans the scan, it runs no job).
-    """
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - e.g. a remote session without RDD access: leave the scan as is
-        return df
-    if splits < cores:
-        # hash on the leading key: deterministic on retry without the sort
-        # a round-robin repartition needs for that
-        return df.repartition(cores, df.columns[0])
-    return df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _pick(index: Column, values: list[str]) -> Column:
@@ -68,7 +48,7 @@ MARKETPLACE_METHODS = ["credito", "debito", "pix", "voucher", "dinheiro"]
 
 
 def _acquirer_member(k: Column) -> Column:
-    return (k % 6).isin(0, 1, 2, 4) & (k % 17 != 0)
+    return (k % 6).isin(0, 1, 2, 4) & ((k % 17 != 0) | (k % 10 == 0))
 
 
 def pos(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,7 +129,8 @@ def _broken(k: Column, kind: int) -> Column:
 
 
 def raw_pos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = _lineitem_keys(spark, sf_dir).where(F.col("k") % 10 != 0)
+    """Every lineitem row as export text: parsing and validation read all of them."""
+    li = _lineitem_keys(spark, sf_dir)
     k = F.col("k")
     money = F.concat(F.when(k % 5 == 0, F.lit("R$ ")).otherwise(F.lit("")), pt_br(F.col("price")))
     spelled = _pick(k % 6, ["Crédito", "DEBITO", "Pix", "especie", "voucher", "outro"])
@@ -197,14 +178,15 @@ def raw_marketplace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_acquirer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = _lineitem_keys(spark, sf_dir).where(_acquirer_member(F.col("k")))
+    """Every lineitem row as settlement text."""
+    li = _lineitem_keys(spark, sf_dir)
     k = F.col("k")
     bump = (F.when(k % 11 == 0, F.lit("0.04")).when(k % 13 == 0, F.lit("3.50")).otherwise(F.lit("0"))
             .cast(MONEY))
     fee = F.round(F.col("price") * F.col("l_discount").cast(RATE), 2).cast(MONEY)
     gross = (F.col("price") + bump).cast(MONEY)
     net = F.when(_broken(k, 0), gross + F.lit("0.02").cast(MONEY)).otherwise(gross - fee).cast(MONEY)
-    spelled = _pick(k % 6, ["credit", "Debit", "pix", "", "voucher", ""])
+    spelled = _pick(k % 6, ["credit", "Debit", "pix", "dinheiro", "voucher", "outro"])
     installments = (F.when(_broken(k, 1), F.lit("25")).when(_broken(k, 2), F.lit("3.5"))
                      .when(k % 7 == 0, F.lit("3.0")).otherwise(((k % 12) + 1).cast("string")))
     return li.select(
@@ -250,12 +232,15 @@ def lead_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     markup in names, bad brackets/systems/phones/e-mails, refused consent, malformed and blank lines."""
     c = table(spark, sf_dir, "customer")
     key = F.col("c_custkey")
+    at = F.timestamp_add("MINUTE", key * 37, F.lit("2026-01-01 00:00:00").cast("timestamp_ntz"))
+    iso = lambda t: ntz_text(t, "yyyy-MM-dd'T'HH:mm:ss")
     lead = F.struct(
-        F.concat(F.lit("LEAD-"), F.lpad(key.cast("string"), 8, "0")).alias("id"),
-        F.when(key % 31 == 0, F.lit("not-a-date")).otherwise(
-            ntz_text(F.lit("2026-01-01 00:00:00").cast("timestamp_ntz")
-                     + F.make_dt_interval(F.lit(0), F.lit(0), (key * 37).cast("int")), "yyyy-MM-dd'T'HH:mm:ss"))
-         .alias("received_at"),
+        F.when(key % 19 != 0, F.concat(F.lit("LEAD-"), F.lpad(key.cast("string"), 8, "0"))).alias("id"),
+        # the same instant in the forms that stores hold: no zone, offsets, Z, fractions
+        F.when(key % 31 == 0, F.lit("not-a-date")).when(key % 4 == 0, iso(at))
+         .when(key % 4 == 1, F.concat(iso(at), F.lit("+00:00")))
+         .when(key % 4 == 2, F.concat(iso(at), F.lit(".000000Z")))
+         .otherwise(F.concat(iso(F.timestamp_add("MINUTE", F.lit(-180), at)), F.lit("-03:00"))).alias("received_at"),
         F.when(key % 11 == 0, F.concat(F.lit("<b>"), F.col("c_name"), F.lit("</b>"))).otherwise(F.col("c_name"))
          .alias("name"),
         F.col("c_mktsegment").alias("restaurant"),

@@ -1,13 +1,15 @@
 """File sources for the three exports: delimiter sniffing, CSV, header mapping.
 
-The CSV itself is read by Spark's CSV source (splittable, all columns as
-strings, malformed lines captured in ``_corrupt``). Only the header line is
-looked at on the driver, to pick the delimiter — a bounded read of one line.
+The CSV itself is read by Spark's CSV source (all columns as strings, malformed
+lines captured in ``_corrupt``). Only each file's header record is looked at on
+the driver, to pick the delimiter and the columns.
 """
 
 from __future__ import annotations
 
+import csv
 import glob
+import io
 import os
 from pathlib import PurePath
 
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillrec.functions.text import py_strip
-from tillrec.operators.validate import ROW_COL
+from tillrec.operators.validate import BLANK_COL, ROW_COL
 from tillrec.sources.spec import SourceSpec
 
 CORRUPT_COL = "_corrupt"
@@ -30,18 +32,50 @@ class AmbiguousHeaderError(ValueError):
     pass
 
 
-def header_line(spark: SparkSession, path: str) -> str:
-    """First non-blank line of the file (one line reaches the driver)."""
-    rows = (spark.read.text(path).where(F.length(F.trim("value")) > 0).limit(1).collect())
-    if not rows:
-        raise ValueError(f"{path}: empty file")
-    return rows[0][0].lstrip("﻿")
+def export_files(spark: SparkSession, path: str) -> list[str]:
+    """Files that a path, folder or glob names, in name order (the names only)."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = []
+    for status in fs.globStatus(root) or []:
+        inside = fs.listStatus(status.getPath()) if status.isDirectory() else [status]
+        out += [s.getPath().toString() for s in inside
+                if not s.isDirectory() and not s.getPath().getName().startswith(("_", "."))]
+    return sorted(out)
+
+
+def header_record(spark: SparkSession, path: str) -> str:
+    """First record of a file that isn't blank: one line, or more if a quoted heading has a break.
+    Only the head of the file is read, through the file system that Spark uses."""
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).open(target)
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
+    try:
+        record = ""
+        while (line := reader.readLine()) is not None:
+            line = line.lstrip("\ufeff") if not record else line
+            if not record and not line.strip():
+                continue
+            record = f"{record}\n{line}" if record else line
+            if record.count('"') % 2 == 0:
+                return record
+        if record:
+            return record
+    finally:
+        reader.close()
+    raise ValueError(f"{path}: empty file")
+
+
+def split_header(record: str, sep: str) -> list[str]:
+    return next(csv.reader(io.StringIO(record), delimiter=sep))
 
 
 def sniff_delimiter(header: str, delimiters: tuple[str, ...]) -> str:
-    """First delimiter that splits the header into more than one column."""
+    """First delimiter that splits the header into more than one column (quoted text doesn't count)."""
     for d in delimiters:
-        if len(header.split(d)) > 1:
+        if len(split_header(header, d)) > 1:
             return d
     raise ValueError(f"could not parse header {header[:80]!r} with delimiters {delimiters!r}")
 
@@ -56,24 +90,35 @@ def _check_path(path: str) -> None:
         raise FileNotFoundError(path)
 
 
-def read_delimited(spark: SparkSession, path: str, delimiters: tuple[str, ...]) -> DataFrame:
-    """All-string frame with the file's own header names plus ``_corrupt`` and an order key."""
+def read_delimited(spark: SparkSession, path: str, delimiters: tuple[str, ...],
+                   multi_line: bool = True) -> list[DataFrame]:
+    """All-string frames with the files' own header names plus ``_corrupt`` and an order key: one frame
+    for each (delimiter, header) among the files, so that columns are read by name, not by position.
+
+    ``multi_line`` allows line breaks in quoted text; a file is then one split. Pass False for huge
+    files known to have none: they split again.
+    """
     _check_path(path)
-    header = header_line(spark, path)
-    sep = sniff_delimiter(header, delimiters)
-    names = [h.strip().strip('"') for h in header.split(sep)]
-    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))]
-                          + [T.StructField(CORRUPT_COL, T.StringType())])
-    df = (spark.read.schema(schema)
-          .option("header", True).option("sep", sep).option("encoding", "UTF-8")
-          .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT_COL)
-          .option("nullValue", None).option("emptyValue", "")
-          .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-          .csv(path))
-    df = df.select(*[F.col(f"_c{i}").alias(n) for i, n in enumerate(names)], CORRUPT_COL,
-                   F.col("_metadata.file_path").alias("_file"),
-                   F.col("_metadata.file_block_start").alias("_block"))
-    return df
+    groups: dict[tuple[str, tuple[str, ...]], list[str]] = {}
+    for name in export_files(spark, path):
+        record = header_record(spark, name)
+        sep = sniff_delimiter(record, delimiters)
+        groups.setdefault((sep, tuple(h.strip() for h in split_header(record, sep))), []).append(name)
+    frames = []
+    for (sep, names), members in groups.items():
+        schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))]
+                              + [T.StructField(CORRUPT_COL, T.StringType())])
+        df = (spark.read.schema(schema)
+              .option("header", True).option("sep", sep).option("encoding", "UTF-8")
+              .option("quote", '"').option("escape", '"').option("multiLine", multi_line)
+              .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT_COL)
+              .option("nullValue", None).option("emptyValue", "")
+              .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+              .csv(members))
+        frames.append(df.select(*[F.col(f"_c{i}").alias(n) for i, n in enumerate(names)], CORRUPT_COL,
+                                F.col("_metadata.file_path").alias("_file"),
+                                F.col("_metadata.file_block_start").alias("_block")))
+    return frames
 
 
 def normalise_columns(raw: DataFrame, spec: SourceSpec) -> DataFrame:
@@ -96,13 +141,13 @@ def normalise_columns(raw: DataFrame, spec: SourceSpec) -> DataFrame:
     df = raw.select(*cols, CORRUPT_COL, "_file", "_block")
     for name, value in spec.injected.items():
         df = df.withColumn(name, F.lit(value))
-    # rows with no value in any column are dropped — after injection, so an
+    # rows with no value in any column are blank — after injection, so an
     # all-blank settlement row survives (and is quarantined) as in the source
     check = [mapped[c] for c in file_cols] + list(spec.injected)
-    df = df.where(F.coalesce(*[F.col(c) for c in check], F.col(CORRUPT_COL)).isNotNull())
-    df = df.withColumn(ROW_COL, F.monotonically_increasing_id())
+    blank = F.coalesce(*[F.col(f"`{c}`") for c in check], F.col(CORRUPT_COL)).isNull()
+    df = df.withColumn(ROW_COL, F.monotonically_increasing_id()).withColumn(BLANK_COL, blank)
     keep = [f for f in spec.field_names if f in df.columns]
-    return df.select(*[py_strip(F.col(f)).alias(f) for f in keep], ROW_COL, CORRUPT_COL, "_file", "_block")
+    return df.select(*[py_strip(F.col(f)).alias(f) for f in keep], ROW_COL, CORRUPT_COL, "_file", "_block", BLANK_COL)
 
 
 def normalise_cells(rows: DataFrame, spec: SourceSpec) -> DataFrame:
@@ -136,18 +181,21 @@ def normalise_cells(rows: DataFrame, spec: SourceSpec) -> DataFrame:
         fields[name] = F.lit(value)
     df = df.select(*[v.alias(k) for k, v in fields.items()],
                    F.when(ambiguous, F.lit("ambiguous header")).alias(CORRUPT_COL), "_file", "_block")
-    check = list(fields)
-    df = df.where(F.coalesce(*[F.col(c) for c in check], F.col(CORRUPT_COL)).isNotNull())
-    df = df.withColumn(ROW_COL, F.monotonically_increasing_id())
+    blank = F.coalesce(*[F.col(c) for c in fields], F.col(CORRUPT_COL)).isNull()
+    df = df.withColumn(ROW_COL, F.monotonically_increasing_id()).withColumn(BLANK_COL, blank)
     return df.select(*[py_strip(F.col(f)).alias(f) for f in spec.field_names], ROW_COL, CORRUPT_COL,
-                     "_file", "_block")
+                     "_file", "_block", BLANK_COL)
 
 
-def read_export(spark: SparkSession, path: str, spec: SourceSpec) -> DataFrame:
+def read_export(spark: SparkSession, path: str, spec: SourceSpec, multi_line: bool = True) -> DataFrame:
     """Read one export (CSV or XLSX by suffix) into canonical string columns."""
     suffix = PurePath(path).suffix.lower()
     if suffix == ".csv":
-        return normalise_columns(read_delimited(spark, path, spec.delimiters), spec)
+        frames = [normalise_columns(f, spec) for f in read_delimited(spark, path, spec.delimiters, multi_line)]
+        out = frames[0]
+        for f in frames[1:]:
+            out = out.unionByName(f, allowMissingColumns=True)
+        return out
     if suffix == ".xlsx":
         from tillrec.sources.xlsx import read_workbooks
         _check_path(path)

@@ -8,6 +8,7 @@ cluster; the cell text stays a string, as in the CSV path.
 
 from __future__ import annotations
 
+import datetime as dt
 import io
 import re
 import zipfile
@@ -41,45 +42,83 @@ def _first_sheet_path(z: zipfile.ZipFile) -> str:
     return "xl/worksheets/sheet1.xml"
 
 
-def sheet_rows(content: bytes) -> list[list[str | None]]:
-    """Cell text of the first sheet, row by row (shared and inline strings, numbers as text)."""
-    z = zipfile.ZipFile(io.BytesIO(content))
-    shared: list[str] = []
-    if "xl/sharedStrings.xml" in z.namelist():
-        for si in ET.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", _NS):
-            shared.append("".join(t.text or "" for t in si.iter(f"{{{_NS['m']}}}t")))
-    sheet = ET.fromstring(z.read(_first_sheet_path(z)))
-    rows: list[list[str | None]] = []
-    for row in sheet.iter(f"{{{_NS['m']}}}row"):
-        cells: dict[int, str | None] = {}
-        for c in row.findall("m:c", _NS):
-            ref = _CELL_REF.match(c.get("r", ""))
-            idx = _col_index(ref.group(1)) if ref else len(cells)
-            kind = c.get("t")
-            v = c.find("m:v", _NS)
-            if kind == "s" and v is not None:
-                cells[idx] = shared[int(v.text)]
-            elif kind == "inlineStr":
-                cells[idx] = "".join(t.text or "" for t in c.iter(f"{{{_NS['m']}}}t"))
-            else:
-                cells[idx] = v.text if v is not None else None
-        width = max(cells) + 1 if cells else 0
-        rows.append([cells.get(i) for i in range(width)])
-    return rows
+# FIXED VALUES: built-in number formats that show dates or times
+_DATE_FORMATS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
+_FORMAT_TEXT = re.compile(r'"[^"]*"|\\.|\[[^\]]*\]')
+
+
+def _date_styles(z: zipfile.ZipFile) -> set[int]:
+    """Cell style numbers whose number format shows a date or a time."""
+    if "xl/styles.xml" not in z.namelist():
+        return set()
+    styles = ET.fromstring(z.read("xl/styles.xml"))
+    own = {int(f.get("numFmtId")): f.get("formatCode", "") for f in styles.findall("m:numFmts/m:numFmt", _NS)}
+    dates = _DATE_FORMATS | {i for i, code in own.items() if re.search("[ymdhs]", _FORMAT_TEXT.sub("", code), re.I)}
+    return {n for n, xf in enumerate(styles.findall("m:cellXfs/m:xf", _NS)) if int(xf.get("numFmtId", 0)) in dates}
+
+
+def serial_text(value: str, epoch_1904: bool) -> str:
+    """Text of a date cell (``yyyy-MM-dd HH:mm:ss``, to the microsecond if it has a fraction)."""
+    days = float(value)
+    # the 1900 system counts a 29 February that never was
+    base = dt.datetime(1904, 1, 1) if epoch_1904 else dt.datetime(1899, 12, 30 if days >= 60 else 31)
+    at = base + dt.timedelta(milliseconds=round(days * 86_400_000))
+    return str(at)
+
+
+def _cell_text(c: ET.Element, shared: list[str], dates: set[int], epoch_1904: bool) -> str | None:
+    kind, v = c.get("t"), c.find("m:v", _NS)
+    if kind == "inlineStr":
+        return "".join(t.text or "" for t in c.iter(f"{{{_NS['m']}}}t"))
+    if v is None or v.text is None or kind == "e":
+        return None
+    if kind == "s":
+        return shared[int(v.text)]
+    if kind == "b":
+        return "True" if v.text == "1" else "False"
+    if kind in (None, "n") and int(c.get("s", 0)) in dates:
+        return serial_text(v.text, epoch_1904)
+    return v.text
+
+
+def sheet_rows(content: bytes) -> Iterator[list[str | None]]:
+    """Cell texts of the first sheet, row by row; the sheet's XML is streamed, not held as a tree."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        shared: list[str] = []
+        if "xl/sharedStrings.xml" in z.namelist():
+            for si in ET.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", _NS):
+                shared.append("".join(t.text or "" for t in si.iter(f"{{{_NS['m']}}}t")))
+        properties = ET.fromstring(z.read("xl/workbook.xml")).find("m:workbookPr", _NS)
+        epoch_1904 = properties is not None and properties.get("date1904") in ("1", "true")
+        dates = _date_styles(z)
+        with z.open(_first_sheet_path(z)) as sheet:
+            for _, row in ET.iterparse(sheet):
+                if row.tag != f"{{{_NS['m']}}}row":
+                    continue
+                cells: dict[int, str | None] = {}
+                for c in row.findall("m:c", _NS):
+                    ref = _CELL_REF.match(c.get("r", ""))
+                    cells[_col_index(ref.group(1)) if ref else len(cells)] = _cell_text(c, shared, dates, epoch_1904)
+                yield [cells.get(i) for i in range(max(cells) + 1 if cells else 0)]
+                row.clear()
+
+
+CHUNK_ROWS = 5000
 
 
 def _explode_workbooks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = ["_file", "_row", "cells"]
     for pdf in batches:
-        out = []
         for path, content in zip(pdf["path"], pdf["content"]):
             rows = sheet_rows(bytes(content))
-            if not rows:
-                continue
-            header = [h or "" for h in rows[0]]
-            for n, r in enumerate(rows[1:]):
-                cells = {header[i]: (r[i] if i < len(r) else None) for i in range(len(header)) if header[i]}
-                out.append((path, n, cells))
-        yield pd.DataFrame(out, columns=["_file", "_row", "cells"])
+            header = [h or "" for h in next(rows, [])]
+            out = []
+            for n, r in enumerate(rows):
+                out.append((path, n, {h: (r[i] if i < len(r) else None) for i, h in enumerate(header) if h}))
+                if len(out) >= CHUNK_ROWS:
+                    yield pd.DataFrame(out, columns=columns)
+                    out = []
+            yield pd.DataFrame(out, columns=columns)
 
 
 def read_workbooks(spark: SparkSession, path: str) -> DataFrame:

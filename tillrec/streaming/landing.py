@@ -2,14 +2,15 @@
 
 ``readStream`` picks up new CSV files of one source; each micro-batch is
 normalised and validated with the same Column rules as the batch job and
-appended to two tables (valid rows, quarantine) in ``foreachBatch``. The
-stream's checkpoint makes the appends exactly-once across restarts and lost
-executors. The CSV header of the source is given up front (a stream needs a
+written to two tables (valid rows, quarantine) in ``foreachBatch``, each epoch
+into a partition of its own: a replayed epoch replaces its rows, so restarts and
+lost executors neither lose nor double any. The CSV header of the source is given up front (a stream needs a
 fixed schema).
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +26,7 @@ def landing_stream(spark: SparkSession, landing_dir: str, spec: SourceSpec, head
                           + [T.StructField(CORRUPT_COL, T.StringType())])
     raw = (spark.readStream.schema(schema)
            .option("header", True).option("sep", sep).option("encoding", "UTF-8")
+           .option("quote", '"').option("escape", '"').option("multiLine", True)
            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT_COL)
            .csv(landing_dir))
     return raw.select(*[F.col(f"`{h}`") for h in header], CORRUPT_COL,
@@ -33,14 +35,13 @@ def landing_stream(spark: SparkSession, landing_dir: str, spec: SourceSpec, head
 
 
 def ingest_batch(spec: SourceSpec, out_dir: str):
-    """foreachBatch body: validate once (persisted), append valid rows and quarantine."""
+    """foreachBatch body: validate once, write valid rows and quarantine into the epoch's own
+    partition. ``foreachBatch`` may run an epoch again after a failure; it then replaces what it wrote."""
     def run(batch: DataFrame, epoch_id: int) -> None:
-        v = V.persisted(V.validate(normalise_columns(batch, spec), spec))
+        v = V.validate(normalise_columns(batch, spec), spec).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            (V.valid_rows(v, spec).withColumn("epoch_id", F.lit(epoch_id))
-             .write.mode("append").partitionBy("epoch_id").parquet(f"{out_dir}/valid"))
-            (V.quarantine_rows(v, spec).withColumn("epoch_id", F.lit(epoch_id))
-             .write.mode("append").partitionBy("epoch_id").parquet(f"{out_dir}/quarantine"))
+            V.valid_rows(v, spec).write.mode("overwrite").parquet(f"{out_dir}/valid/epoch_id={epoch_id}")
+            V.quarantine_rows(v, spec).write.mode("overwrite").parquet(f"{out_dir}/quarantine/epoch_id={epoch_id}")
         finally:
             v.unpersist()
     return run
