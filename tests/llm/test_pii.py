@@ -45,6 +45,12 @@ def test_base_equals_plain_patterns(alphabet):
     ("pay " + "four" + " one" * 15 + " now", "card", "four" + " one" * 15),
     ("call plus one five five five one two three four five six seven ok", "phone",
      "plus one five five five one two three four five six seven"),
+    ("ruf plus vier neun null eins fünf eins zwei drei vier fünf sechs an", "phone",
+     "plus vier neun null eins fünf eins zwei drei vier fünf sechs"),
+    ("call +1 (555) 55O-12l4 now", "phone", "+1 (555) 55O-12l4"),
+    ("mail jane.roe at example.com today", "email", "jane.roe at example.com"),
+    ("mail jane @ example . com today", "email", "jane @ example . com"),
+    ("mail jane(arroba)ejemplo(punto)es hoy", "email", "jane(arroba)ejemplo(punto)es"),
     ("is 1 (dot) 2 (dot) 3 (dot) 4 up", "ip", "1 (dot) 2 (dot) 3 (dot) 4"),
 ])
 def test_disguises_are_found_in_source_characters(text, kind, hidden):
@@ -53,7 +59,8 @@ def test_disguises_are_found_in_source_characters(text, kind, hidden):
 
 
 @pytest.mark.parametrize("text", [
-    "look at the dot on it", "one two three four five six seven eight nine ten", "we met at noon (at) the park",
+    "look at the dot on it", "look at example.com", "meet me @ noon. Then we go", "un deux trois quatre cinq six",
+    "of it at it.is it", "one two three four five six seven eight nine ten", "we met at noon (at) the park",
     "see example (dot) com", "Привет, как дела", "at 192 dot 168", "room 101 l and O", "a | b | c"])
 def test_clean_texts_stay_clean(text):
     assert not any(pii.find(text)[1].values())

@@ -8,8 +8,8 @@ On top, transducers rewrite a text into a normal form and remember where each pi
 1. homoglyphs, one character for one: compatibility forms of ASCII (wide, styled, circled) and
    Cyrillic or Greek letters that look like Latin ones;
 2. invisible characters are dropped;
-3. bracketed ``(at)`` / ``[dot]`` and spelled ``name at host dot ending`` (common endings)
-   become ``@`` and ``.``;
+3. bracketed ``(at)`` / ``[dot]``, spelled ``name at host dot ending`` and spaced ``name @ host . ending``
+   (common endings) become ``@`` and ``.``;
 4. runs of at least seven spelled digits (with ``plus``, ``dot``, ``double``, ``triple`` and plain
    digits between) become digits, as do letters posing as digits inside long digit runs.
 
@@ -114,8 +114,12 @@ LOOKALIKES = {
 }
 ENDINGS = ("biz", "ca", "ch", "co", "com", "de", "edu", "es", "eu", "fr", "gov", "info", "io", "it", "net", "org", "uk", "us")
 INVISIBLE = "­​‌‍⁠﻿"
-DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5",
-               "six": "6", "seven": "7", "eight": "8", "nine": "9"}
+# FIXED VALUES: the digits 0 to 9 in English, German, Spanish and French
+SPELLED_DIGITS = (
+    "zero one two three four five six seven eight nine", "null eins zwei drei vier fünf sechs sieben acht neun",
+    "cero uno dos tres cuatro cinco seis siete ocho nueve", "zéro un deux trois quatre cinq six sept huit neuf",
+)
+DIGIT_WORDS = {"oh": "0", **{w: str(d) for words in SPELLED_DIGITS for d, w in enumerate(words.split())}}
 MIN_SPELLED = 7
 COUNTING = ("0123456789", "9876543210")   # counting up or down is prose
 
@@ -138,20 +142,33 @@ def _compatibility() -> dict[int, str]:
 HOMOGLYPHS = _compatibility()
 _STRANGE = frozenset(map(chr, HOMOGLYPHS)) | frozenset(INVISIBLE)
 _INVISIBLE = re.compile(f"[{INVISIBLE}]+")
-_AT = re.compile(r"[\x20\t]{0,3}(?:\[[\x20]?(?:at|@)[\x20]?\]|\([\x20]?(?:at|@)[\x20]?\)|\{[\x20]?(?:at|@)[\x20]?\}|<at>)[\x20\t]{0,3}",
-                 re.IGNORECASE)
-_DOT = re.compile(r"[\x20\t]{0,3}(?:\[[\x20]?(?:dot|\.)[\x20]?\]|\([\x20]?(?:dot|\.)[\x20]?\)|\{[\x20]?(?:dot|\.)[\x20]?\}|<dot>)[\x20\t]{0,3}",
-                  re.IGNORECASE)
+_AT_WORDS, _DOT_WORDS = r"(?:at|@|arroba)", r"(?:dot|\.|punkt|punto|point)"
+
+
+def _bracketed(word: str, tag: str) -> re.Pattern:
+    pairs = "|".join(rf"\{a}[\x20]?{word}[\x20]?\{b}" for a, b in ("[]", "()", "{}"))
+    return re.compile(rf"[\x20\t]{{0,3}}(?:{pairs}|<{tag}>)[\x20\t]{{0,3}}", re.IGNORECASE)
+
+
+_AT, _DOT = _bracketed(_AT_WORDS, "at"), _bracketed(_DOT_WORDS, "dot")
+_OPEN_AT = re.compile(r"[\[({<]\x20?(?:at|@|arroba)", re.IGNORECASE)
+_OPEN_DOT = re.compile(r"[\[({<]\x20?(?:dot|\.|punkt|punto|point)", re.IGNORECASE)
+_ENDING = r"(?:" + "|".join(ENDINGS) + r")(?![A-Za-z0-9])"
+_HOST = r"[A-Za-z0-9]{1,63}"
 _SPOKEN = re.compile(
-    r"(?<![A-Za-z0-9])[A-Za-z0-9._%+-]{1,64}(?P<at>(?P<s>[\x20_-])at(?P=s)|@|\x20@\x20)"
-    r"[A-Za-z0-9]{1,63}(?:[\x20_-]dot[\x20_-][A-Za-z0-9]{1,63}){0,4}?[\x20_-]dot[\x20_-](?:" + "|".join(ENDINGS) + r")(?![A-Za-z0-9])",
-    re.IGNORECASE)
-_SPOKEN_PART = re.compile(r"\x20@\x20|[\x20_-]at[\x20_-]|[\x20_-]dot[\x20_-]", re.IGNORECASE)
-_WORD = r"(?:zero|oh|one|two|three|four|five|six|seven|eight|nine|double|triple|plus|dot|\+?[0-9]+)"
-_SPELLED = re.compile(rf"(?<![A-Za-z0-9+])\+?{_WORD}(?:[\x20,.\t-]{{1,3}}{_WORD}){{{MIN_SPELLED - 1},}}(?![A-Za-z0-9])",
-                      re.IGNORECASE)
-_SPELLED_TOKEN = re.compile(r"[A-Za-z]+|\+?[0-9]+|\+")
-_POSING = re.compile(r"(?<![A-Za-z0-9])[0-9OoIl](?:[\x20-]?[0-9OoIl]){12,18}(?![A-Za-z0-9])")
+    r"(?<![A-Za-z0-9])[A-Za-z0-9._%+-]{1,64}(?P<at>[\x20_-]at[\x20_-]|\x20?@\x20?)"
+    rf"{_HOST}(?:[\x20_-]dot[\x20_-]{_HOST}){{0,4}}?[\x20_-]dot[\x20_-]{_ENDING}", re.IGNORECASE)
+#: a name with a dot, digit or underscore before a plain "at", or an @ set apart
+_SPACED = re.compile(
+    r"(?<![A-Za-z0-9._%+-])(?:[A-Za-z0-9%+-]{0,64}[._0-9][A-Za-z0-9._%+-]{0,64}(?P<at>\x20at\x20)|[A-Za-z0-9._%+-]{1,64}(?P<sign>\x20@\x20?|@\x20))"
+    rf"{_HOST}(?:(?:\x20\.\x20|\.){_HOST}){{0,4}}?(?:\x20\.\x20|\.){_ENDING}", re.IGNORECASE)
+_INNER_DOT = re.compile(r"[A-Za-z0-9](?:\x20\.\x20|\.)[A-Za-z0-9]")
+_SPOKEN_PART = re.compile(r"\x20?@\x20?|[\x20_-]at[\x20_-]|[\x20_-]dot[\x20_-]|\x20\.\x20", re.IGNORECASE)
+_WORD = rf"(?:{'|'.join(DIGIT_WORDS)}|double|triple|plus|dot|\+?[0-9]+)"
+_SPELLED = re.compile(rf"(?<![\w+])\+?{_WORD}(?:[\x20,.\t-]{{1,3}}{_WORD}){{{MIN_SPELLED - 1},}}(?!\w)", re.IGNORECASE)
+_SPELLED_TOKEN = re.compile(r"[^\W\d_]+|\+?[0-9]+|\+")
+_POSING = re.compile(
+    r"(?<![A-Za-z0-9])(?:\+[0-9](?:[\x20().-]{0,2}[0-9OoIl]){8,14}|[0-9OoIl](?:[\x20-]?[0-9OoIl]){12,18})(?![A-Za-z0-9])")
 _POSING_MAP = str.maketrans("OoIl", "0011")
 
 Edit = tuple[int, int, str]
@@ -182,23 +199,28 @@ def edits(text: str) -> list[Edit]:
     low = text.lower()
     if not text.isascii():
         found += [(*m.span(), "") for m in _INVISIBLE.finditer(text)]
-    if "at" in low and any(x in low for x in ("(at", "[at", "{at", "<at>", "( at", "[ at", "{ at", "(@", "[@", "{@")):
-        found += [(*m.span(), "@") for m in _AT.finditer(text)]
-    elif "(@" in low or "[@" in low:
+    brackets = any(b in text for b in "([{<")
+    if brackets and _OPEN_AT.search(text):
         found += [(*m.span(), "@") for m in _AT.finditer(text)]
-    if any(x in low for x in ("(dot", "[dot", "{dot", "<dot>", "( dot", "[ dot", "(.", "[.", "{.")):
+    if brackets and _OPEN_DOT.search(text):
         found += [(*m.span(), ".") for m in _DOT.finditer(text)]
-    if any(x in low for x in (" dot ", "_dot_", "-dot-")):
-        for m in _SPOKEN.finditer(text):
-            found += [(m.start() + p.start(), m.start() + p.end(), "." if "dot" in p[0].lower() else "@")
-                      for p in _SPOKEN_PART.finditer(m[0], m.start("at") - m.start())]
-    if sum(map(low.count, DIGIT_WORDS)) >= MIN_SPELLED:
+    spoken = any(x in low for x in (" dot ", "_dot_", "-dot-"))
+    spaced = ("@ " in low or " @" in low or " at " in low) and _INNER_DOT.search(text)
+    for pattern, worth in ((_SPOKEN, spoken), (_SPACED, spaced)):
+        for m in pattern.finditer(text) if worth else ():
+            at = m.start("at") if m["at"] else m.start("sign")
+            found += [(m.start() + p.start(), m.start() + p.end(), "@" if "@" in p[0] or "at" in p[0].lower() else ".")
+                      for p in _SPOKEN_PART.finditer(m[0], at - m.start())]
+    for mark in ",.-":
+        low = low.replace(mark, " ")
+    if not DIGIT_WORDS.keys().isdisjoint(low.split()):
         for m in _SPELLED.finditer(text):
             if (digits := _spelled_digits(m[0])) is not None:
                 found.append((*m.span(), digits))
     if _DIGIT.search(text):
         for m in _POSING.finditer(text):
-            if any(c in "OoIl" for c in m[0]) and sum(c.isdigit() for c in m[0]) >= 10:
+            letters, digits = sum(map(m[0].count, "OoIl")), len(_NON_DIGITS.sub("", m[0]))
+            if 0 < letters <= digits / 2:
                 found.append((*m.span(), m[0].translate(_POSING_MAP)))
     found.sort()
     out: list[Edit] = []
