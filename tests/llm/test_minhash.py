@@ -96,6 +96,22 @@ def test_coordinates_estimate_similarity():
     assert len(np.unique(minhash.sigma(x.copy()))) == len(x) == len(np.unique(minhash.pi(x.copy())))
 
 
+def test_rest_in_blocks_misses_no_link(make_docs, monkeypatch):
+    """Without star rounds everything is left to the blocks; small blocks make many of them."""
+    monkeypatch.setattr(minhash, "STAR_ROUNDS", 0)
+    monkeypatch.setattr(minhash, "BLOCK", 3)
+    base = [f"w{i}" for i in range(120)]
+    rng = random.Random(8)
+    docs = corpus(2)
+    for i in range(500, 540):
+        words = list(base)
+        for _ in range(rng.randint(1, 6)):
+            words[rng.randrange(120)] = f"e{rng.randrange(9999)}"
+        docs.append((i, " ".join(words)))
+    got = {i: (n, c) for i, n, c in rows_of(minhash.near_duplicates(make_docs(docs)), "doc_id", "n_shingles", "component_id")}
+    assert got == brute(docs)
+
+
 def test_star_contraction(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(0, 60)] + [(200, 100 + k) for k in range(50)] \

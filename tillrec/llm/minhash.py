@@ -13,8 +13,11 @@ No group is ever expanded into all its pairs:
 2. In every bucket the class of least hash is the centre, and each class proposes itself to one
    centre a round. Proposed pairs are verified on full sets and confirmed links contracted to
    components. Buckets whose members already share a component need nothing more.
-3. Rounds go on while they join components. What then still differs inside a bucket - classes outside
-   the bucket's largest component against its members - is verified in full, so no link is lost.
+3. Rounds go on while they join components. The classes that then still share a bucket with another
+   component are checked in full, so no link is lost: first by an exact bound (a class three quarters of
+   whose shingles no other such class has can't have a link), then, cluster by cluster (classes that
+   share buckets), in blocks of classes against blocks, each a bounded task that returns only the links
+   that join components.
 
 The result has each document's component, not links. Sets are built only for classes in a shared
 bucket. Intermediate tables are stored in the shared folder.
@@ -30,6 +33,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -41,7 +45,8 @@ from tillrec.llm.components import components
 SHINGLE = 5
 MIN_SIMILARITY_PCT = 75
 BANDS, ROWS = 48, 5
-STAR_ROUNDS = 6
+STAR_ROUNDS = 4
+BLOCK = 256                                    # classes of a cluster that a task holds on either side
 
 _COORDINATES = BANDS * ROWS
 _SHIFTS = np.arange(_COORDINATES, dtype=np.uint32)[:, None]
@@ -177,6 +182,71 @@ def _open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(top, "key")
 
 
+def rest_links(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (u, v) that join the components that still meet in buckets; none is missed."""
+    opened = _open_buckets(members, labels).select("node", "label").distinct()
+    items = common.stored(sets.join(opened, "node"), "minhash-open")
+    # shingles that no other open class has can't be shared: an exact upper bound of every overlap
+    alone = items.select("node", F.explode("items").alias("x")).groupBy("x") \
+        .agg(F.count("*").alias("n"), F.min("node").alias("node")).filter("n = 1") \
+        .groupBy("node").agg(F.count("*").alias("alone"))
+    size = F.size("items")
+    able = common.stored(
+        items.join(alone, "node", "left")
+        .filter(100 * (size - F.coalesce("alone", F.lit(0))) >= MIN_SIMILARITY_PCT * size).drop("alone"), "minhash-able")
+
+    met = members.join(able.select("node", "label"), "node")
+    least = met.groupBy("key").agg(F.min("node").alias("v"), F.min("label").alias("low"), F.max("label").alias("high")) \
+        .filter("low <> high").select("key", "v")
+    edges = met.join(least, "key").select(F.col("node").alias("u"), "v")
+    roots = components(edges)
+    clusters = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    blocks = clusters.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = able.join(clusters, "node").join(blocks, "root") \
+        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")) \
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return placed.select("root", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"),
+                         "own", "node", "label", "items") \
+        .groupBy("root", "a", "b").applyInPandas(_joining_links, "u long, v long")
+
+
+def _joining_links(rows: pd.DataFrame) -> pd.DataFrame:
+    """Links between two blocks of a cluster (or inside one) that join different components."""
+    a, b = int(rows["a"].iat[0]), int(rows["b"].iat[0])
+    rows = rows.sort_values("node")
+    left, right = rows[rows["own"] == a], rows[rows["own"] == b]
+    links: list[tuple[int, int]] = []
+    if rows["label"].nunique() > 1 and len(left) and len(right):
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                x = root[x]
+            return x
+
+        sizes = right["items"].map(len).to_numpy()
+        flat = np.concatenate(right["items"].to_list())
+        order = np.argsort(flat, kind="stable")
+        owner = np.repeat(np.arange(len(right)), sizes)[order]
+        keys, first = np.unique(flat[order], return_index=True)
+        ends = np.append(first[1:], len(flat))
+        nodes, marks = right["node"].to_numpy(), right["label"].to_numpy()
+        for u, label, items in zip(left["node"], left["label"], left["items"]):
+            at = np.searchsorted(keys, items)
+            at[at == len(keys)] = 0
+            at = at[keys[at] == items]
+            count = ends[at] - first[at]
+            places = np.repeat(first[at] - np.append(0, np.cumsum(count)[:-1]), count) + np.arange(count.sum())
+            shared = np.bincount(owner[places], minlength=len(right))
+            near = 100 * shared >= MIN_SIMILARITY_PCT * (len(items) + sizes - shared)
+            for k in np.flatnonzero(near & (marks != label)):
+                x, y = find(int(label)), find(int(marks[k]))
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    links.append((int(u), int(nodes[k])))
+    return pd.DataFrame(links, columns=["u", "v"], dtype="int64")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every document row."""
     signed = common.stored(signatures(docs), "minhash-signatures")
@@ -201,14 +271,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         labels, joined = _contracted(labels, links)
         if not joined:
             break
-    opened = common.stored(_open_buckets(members, labels).select("key", "node", "label"), "minhash-open")
-    main = opened.groupBy("key", "label").agg(F.count("*").alias("n")) \
-        .groupBy("key").agg(F.max(F.struct("n", "label")).alias("most")).select("key", F.col("most.label").alias("main"))
-    strays = opened.join(main, "key").filter("label <> main").select("key", F.col("node").alias("v"), F.col("label").alias("v_label"))
-    rest = opened.join(strays, "key").filter("label <> v_label").select(
-        F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")).distinct()
-    links = common.stored(verified(rest, sets), "minhash-links")
-    labels, _ = _contracted(labels, links)
+    labels, _ = _contracted(labels, common.stored(rest_links(members, labels, sets), "minhash-links"))
 
     # a component's id is the least document of its classes
     grouped = classes.select("node", "rep").join(labels, "node", "left") \
