@@ -168,7 +168,6 @@ GAP_HEADINGS = {
 # --- FIXED VALUES: alerts ------------------------------------------------------
 SEVERITY_RANK = {"low": 0, "medium": 1, "high": 2, "critical": 3}
 SEVERITY_THRESHOLDS = ((5000, "critical"), (1000, "high"), (100, "medium"))
-ALERT_CHANNELS = ("slack", "telegram", "whatsapp", "email", "generic_webhook")
 HOURS_PER_GAP = 2.0
 
 # --- FIXED VALUES: leads ---------------------------------------------------------
@@ -179,8 +178,6 @@ LEAD_SOURCES = ("landing_page", "whatsapp", "referral", "google_ads", "instagram
 HTML_TAG_PATTERN = r"<[^>]+>"
 
 # --- FIXED VALUES: request admission windows (re-aimed as burst flags) ----------
-LEAD_BURST = (5, 60)   # at most 5 accepted per 60 s per client
-RUN_BURST = (3, 60)    # at most 3 accepted per 60 s per client
 
 # --- FIXED VALUES: job argument rules ----------------------------------------------
 MONTH_PATTERN = r"^\d{4}-(0[1-9]|1[0-2])$"
