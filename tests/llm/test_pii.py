@@ -83,3 +83,33 @@ def test_query_rows_and_edges(make_docs):
     assert got[(5, "email:300001:300007")]["n_email"] == 1
     assert len(rows_of(pii.personal_data(docs), "doc_id")) == 5
     assert pii.personal_data(make_docs([])).collect() == []
+
+
+@pytest.mark.parametrize("text, kind, hidden", [
+    ("ping one zero dot zero dot zero dot one now", "ip", "one zero dot zero dot zero dot one"),
+    ("ping one two seven dot zero dot zero dot one now", "ip", "one two seven dot zero dot zero dot one"),
+    ("ping 192 dot 168 dot 0 dot 1 now", "ip", "192 dot 168 dot 0 dot 1"),
+    ("in 2024 192 dot 168 dot 0 dot 1 was up", "ip", "192 dot 168 dot 0 dot 1"),
+    ("ping 192.168 dot zero dot double one now", "ip", "192.168 dot zero dot double one"),
+    ("ping 192.168.zero.one now", "ip", "192.168.zero.one"),
+    ("call +49 151 two three four five six seven now", "phone", "+49 151 two three four five six seven"),
+    ("call +49 (151) two three four 567 now", "phone", "+49 (151) two three four 567"),
+    ("call plus 49 151 234567 now", "phone", "plus 49 151 234567"),
+    ("pay 4111 1111 1111 one one one one now", "card", "4111 1111 1111 one one one one"),
+    ("pay 4111-1111-1111-one one one one now", "card", "4111-1111-1111-one one one one"),
+])
+def test_short_spelled_runs_count_with_the_digits_beside_them(text, kind, hidden):
+    base, every = pii.find(text)
+    assert base[kind] == [] and [text[a:b] for a, b in every[kind]] == [hidden]
+
+
+@pytest.mark.parametrize("text", [
+    "two plus two", "version one dot two dot three", "one two 300 dot 4 dot 5", "one dot two dot three dot 256",
+    "add one two three 4 5 6", "+1 one two", "4111 1111 1111 one one one two", "item one 1.5 dot two"])
+def test_short_spelled_runs_without_a_number_stay_clean(text):
+    assert not any(pii.find(text)[1].values())
+
+
+def test_long_runs_of_spelled_and_plain_digits_take_linear_time():
+    text = "one two 3 dot " * 20_000 + "1 " * 50_000 + "one " + "(2) " * 50_000
+    assert pii.find(text)[1]["email"] == []

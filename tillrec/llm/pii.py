@@ -10,8 +10,9 @@ On top, transducers rewrite a text into a normal form and remember where each pi
 2. invisible characters are dropped;
 3. bracketed ``(at)`` / ``[dot]``, spelled ``name at host dot ending`` and spaced ``name @ host . ending``
    (common endings) become ``@`` and ``.``;
-4. runs of at least seven spelled digits (with ``plus``, ``dot``, ``double``, ``triple`` and plain
-   digits between) become digits, as do letters posing as digits inside long digit runs.
+4. runs of spelled digits, ``plus``, ``dot``, ``double``, ``triple`` and plain digits become digits where
+   they then, with the digits beside them, pass the check of an ip, a card or a phone number; others do
+   from seven spelled digits on. So do letters posing as digits inside long digit runs.
 
 The same patterns run on the normal form; a find that touches a rewritten piece is mapped back to
 source characters and added unless it overlaps a base span of its kind. Base spans always stay.
@@ -29,7 +30,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -120,7 +121,7 @@ SPELLED_DIGITS = (
     "cero uno dos tres cuatro cinco seis siete ocho nueve", "zéro un deux trois quatre cinq six sept huit neuf",
 )
 DIGIT_WORDS = {"oh": "0", **{w: str(d) for words in SPELLED_DIGITS for d, w in enumerate(words.split())}}
-MIN_SPELLED = 7
+MIN_SPELLED = 7                  # of a run that passes no check by itself
 COUNTING = ("0123456789", "9876543210")   # counting up or down is prose
 
 
@@ -165,8 +166,11 @@ _SPACED = re.compile(
 _INNER_DOT = re.compile(r"[A-Za-z0-9](?:\x20\.\x20|\.)[A-Za-z0-9]")
 _SPOKEN_PART = re.compile(r"\x20?@\x20?|[\x20_-]at[\x20_-]|[\x20_-]dot[\x20_-]|\x20\.\x20", re.IGNORECASE)
 _WORD = rf"(?:{'|'.join(DIGIT_WORDS)}|double|triple|plus|dot|\+?[0-9]+)"
-_SPELLED = re.compile(rf"(?<![\w+])\+?{_WORD}(?:[\x20,.\t-]{{1,3}}{_WORD}){{{MIN_SPELLED - 1},}}(?!\w)", re.IGNORECASE)
+_SPELLED = re.compile(rf"(?<![\w+])\+?{_WORD}(?:[\x20,.\t-]{{1,3}}{_WORD})+(?!\w)", re.IGNORECASE)
+_SPELLED_WORDS = DIGIT_WORDS.keys() | {"plus", "dot"}
 _SPELLED_TOKEN = re.compile(r"[^\W\d_]+|\+?[0-9]+|\+")
+_BESIDE = re.compile(r"[\x20().0-9+-]*")
+_BESIDE_CHARS = frozenset(" ().0123456789+-")
 _POSING = re.compile(
     r"(?<![A-Za-z0-9])(?:\+[0-9](?:[\x20().-]{0,2}[0-9OoIl]){8,14}|[0-9OoIl](?:[\x20-]?[0-9OoIl]){12,18})(?![A-Za-z0-9])")
 _POSING_MAP = str.maketrans("OoIl", "0011")
@@ -174,23 +178,71 @@ _POSING_MAP = str.maketrans("OoIl", "0011")
 Edit = tuple[int, int, str]
 
 
-def _spelled_digits(run: str) -> str | None:
-    """Digits of a spelled run, or None if it holds too few spelled words."""
-    out, words, times = [], 0, 1
-    for token in _SPELLED_TOKEN.findall(run.lower()):
+def _spelled_items(text: str, start: int, end: int) -> list[tuple[int, int, str, str]]:
+    """Start, end, digits or mark, and sort (word, plain, plus, dot) of a run's tokens."""
+    items, times, since = [], 1, None
+    for m in _SPELLED_TOKEN.finditer(text, start, end):
+        token = m[0].lower()
+        if token in ("double", "triple"):
+            times, since = 2 if token == "double" else 3, m.start()
+            continue
+        begin = m.start() if since is None else since
         if token in DIGIT_WORDS:
-            out.append(DIGIT_WORDS[token] * times)
-            words += times
-            times = 1
-        elif token in ("double", "triple"):
-            times = 2 if token == "double" else 3
-        elif token == "plus":
-            out.append("+")
+            items.append((begin, m.end(), DIGIT_WORDS[token] * times, "word"))
+        elif token in ("plus", "+"):
+            items.append((m.start(), m.end(), "+", "plus"))
         elif token == "dot":
-            out.append(".")
+            items.append((m.start(), m.end(), ".", "dot"))
         else:
-            out.append(token)
-    return "".join(out) if words >= MIN_SPELLED else None
+            items.append((m.start(), m.end(), token, "plain"))
+        times, since = 1, None
+    return items
+
+
+def _spelled_numbers(text: str, start: int, end: int, items: list[tuple[int, int, str, str]]) -> list[Edit]:
+    """Rewrites of those parts of a run that are an ip, a card or a phone number, with the digits beside it."""
+    left = start
+    while left and text[left - 1] in _BESIDE_CHARS:
+        left -= 1
+    before, after = text[left:start], _BESIDE.match(text, end)[0]
+    for gap in (" ", "", "."):                           # what may stand between digits of two sorts
+        line, places, last = before, [], None
+        for begin, stop, piece, sort in items:
+            if last is not None:
+                between = text[last[1]:begin]
+                if last[3] == sort == "plain" or gap == "." == between:
+                    line += between
+                elif gap != "." and "dot" not in (sort, last[3]) and last[3] != "plus" and sort != last[3]:
+                    line += gap
+            places.append((len(line), len(line) + len(piece)))
+            line += piece
+            last = (begin, stop, piece, sort)
+        line += after
+        starts, ends = [x for x, _ in places], [y for _, y in places]
+        found: list[list[int]] = []
+        for a, b in sorted(ips(line) + cards(line) + phones(line)):
+            i, j = bisect_right(ends, a), bisect_left(starts, b) - 1
+            if not any(items[k][3] != "plain" for k in range(i, j + 1)):
+                continue
+            if found and i <= found[-1][1]:
+                found[-1][1] = max(found[-1][1], j)
+            else:
+                found.append([i, j])
+        if found:
+            return [(items[i][0], items[j][1], line[places[i][0]:places[j][1]]) for i, j in found]
+    return []
+
+
+def _spelled(text: str, start: int, end: int) -> list[Edit]:
+    """Rewrites of a run of spelled and plain digits."""
+    items = _spelled_items(text, start, end)
+    if all(sort == "plain" for *_, sort in items):
+        return []
+    digits = "".join(piece for _, _, piece, _ in items)
+    long = sum(len(piece) for _, _, piece, sort in items if sort == "word") >= MIN_SPELLED
+    if long and digits.isdigit() and all(sort == "word" for *_, sort in items):
+        return [(start, end, digits)]
+    return _spelled_numbers(text, start, end, items) or ([(start, end, digits)] if long else [])
 
 
 def edits(text: str) -> list[Edit]:
@@ -213,10 +265,9 @@ def edits(text: str) -> list[Edit]:
                       for p in _SPOKEN_PART.finditer(m[0], at - m.start())]
     for mark in ",.-":
         low = low.replace(mark, " ")
-    if not DIGIT_WORDS.keys().isdisjoint(low.split()):
+    if not _SPELLED_WORDS.isdisjoint(low.split()):
         for m in _SPELLED.finditer(text):
-            if (digits := _spelled_digits(m[0])) is not None:
-                found.append((*m.span(), digits))
+            found += _spelled(text, *m.span())
     if _DIGIT.search(text):
         for m in _POSING.finditer(text):
             letters, digits = sum(map(m[0].count, "OoIl")), len(_NON_DIGITS.sub("", m[0]))
