@@ -113,3 +113,26 @@ def test_short_spelled_runs_without_a_number_stay_clean(text):
 def test_long_runs_of_spelled_and_plain_digits_take_linear_time():
     text = "one two 3 dot " * 20_000 + "1 " * 50_000 + "one " + "(2) " * 50_000
     assert pii.find(text)[1]["email"] == []
+
+
+@pytest.mark.parametrize("hidden", [
+    "ann at host dot co dot uk", "ann at my-site dot com", "ann at host dot nl", "ann at host dot dev", "ann at host dot in",
+    "ann.lee at host.co.uk", "ann @ my-site . com . au", "ann @ host.jp", "ann_at_my-site_dot_com_dot_br",
+    "ann-at-my-site-dot-co-dot-uk", "ann at a dot b dot c dot d dot e dot f dot g dot org", "ann at the dot com",
+    "ann at host dot xn--p1ai",
+])
+def test_whole_spoken_and_spaced_hosts_are_found(hidden):
+    text = f"mail {hidden} today"
+    base, every = pii.find(text)
+    assert base["email"] == [] and [text[a:b] for a, b in every["email"]] == [hidden]
+
+
+@pytest.mark.parametrize("text", ["look at the dot in the middle", "look at a dot is it", "ann at host dot nowhereland",
+                                  "ann at host- dot x", "it was 5 at the bank. In May"])
+def test_prose_is_no_host(text):
+    assert not pii.find(text)[1]["email"]
+
+
+def test_a_host_ends_at_the_last_known_ending():
+    text = "write ann at host dot com dot whatsoever else"
+    assert [text[a:b] for a, b in pii.find(text)[1]["email"]] == ["ann at host dot com"]

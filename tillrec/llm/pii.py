@@ -9,7 +9,7 @@ On top, transducers rewrite a text into a normal form and remember where each pi
    Cyrillic or Greek letters that look like Latin ones;
 2. invisible characters are dropped;
 3. bracketed ``(at)`` / ``[dot]``, spelled ``name at host dot ending`` and spaced ``name @ host . ending``
-   (common endings) become ``@`` and ``.``;
+   (any top-level domain) become ``@`` and ``.``;
 4. runs of spelled digits, ``plus``, ``dot``, ``double``, ``triple`` and plain digits become digits where
    they then, with the digits beside them, pass the check of an ip, a card or a phone number; others do
    from seven spelled digits on. So do letters posing as digits inside long digit runs.
@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tillrec.llm import common
+from tillrec.llm.endings import ENDINGS
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -113,7 +114,8 @@ LOOKALIKES = {
     "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "ο": "o", "ν": "v", "ι": "i",
     "ı": "i", "․": ".", "。": ".", "‐": "-", "‑": "-", "–": "-", "−": "-",
 }
-ENDINGS = ("biz", "ca", "ch", "co", "com", "de", "edu", "es", "eu", "fr", "gov", "info", "io", "it", "net", "org", "uk", "us")
+# endings that are words too, which after an article are prose
+ENDING_WORDS = ("am", "as", "at", "be", "by", "do", "he", "in", "is", "it", "me", "my", "no", "so", "to", "us")
 INVISIBLE = "­​‌‍⁠﻿"
 # FIXED VALUES: the digits 0 to 9 in English, German, Spanish and French
 SPELLED_DIGITS = (
@@ -154,15 +156,16 @@ def _bracketed(word: str, tag: str) -> re.Pattern:
 _AT, _DOT = _bracketed(_AT_WORDS, "at"), _bracketed(_DOT_WORDS, "dot")
 _OPEN_AT = re.compile(r"[\[({<]\x20?(?:at|@|arroba)", re.IGNORECASE)
 _OPEN_DOT = re.compile(r"[\[({<]\x20?(?:dot|\.|punkt|punto|point)", re.IGNORECASE)
-_ENDING = r"(?:" + "|".join(ENDINGS) + r")(?![A-Za-z0-9])"
-_HOST = r"[A-Za-z0-9]{1,63}"
+_ENDING = r"(?:" + "|".join(sorted(ENDINGS, key=len, reverse=True)) + r")(?![A-Za-z0-9])"
+_HOST = r"[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?"
+_PROSE = rf"(?!(?:the|a|an|this|that)[\x20_-]dot[\x20_-](?:{'|'.join(ENDING_WORDS)})(?![\x20_-]dot[\x20_-])(?![A-Za-z0-9]))"
 _SPOKEN = re.compile(
     r"(?<![A-Za-z0-9])[A-Za-z0-9._%+-]{1,64}(?P<at>[\x20_-]at[\x20_-]|\x20?@\x20?)"
-    rf"{_HOST}(?:[\x20_-]dot[\x20_-]{_HOST}){{0,4}}?[\x20_-]dot[\x20_-]{_ENDING}", re.IGNORECASE)
+    rf"{_PROSE}{_HOST}(?:[\x20_-]dot[\x20_-]{_HOST}){{0,125}}[\x20_-]dot[\x20_-]{_ENDING}", re.IGNORECASE)
 #: a name with a dot, digit or underscore before a plain "at", or an @ set apart
 _SPACED = re.compile(
     r"(?<![A-Za-z0-9._%+-])(?:[A-Za-z0-9%+-]{0,64}[._0-9][A-Za-z0-9._%+-]{0,64}(?P<at>\x20at\x20)|[A-Za-z0-9._%+-]{1,64}(?P<sign>\x20@\x20?|@\x20))"
-    rf"{_HOST}(?:(?:\x20\.\x20|\.){_HOST}){{0,4}}?(?:\x20\.\x20|\.){_ENDING}", re.IGNORECASE)
+    rf"{_HOST}(?:(?:\x20\.\x20|\.){_HOST}){{0,125}}(?:\x20\.\x20|\.){_ENDING}", re.IGNORECASE)
 _INNER_DOT = re.compile(r"[A-Za-z0-9](?:\x20\.\x20|\.)[A-Za-z0-9]")
 _SPOKEN_PART = re.compile(r"\x20?@\x20?|[\x20_-]at[\x20_-]|[\x20_-]dot[\x20_-]|\x20\.\x20", re.IGNORECASE)
 _WORD = rf"(?:{'|'.join(DIGIT_WORDS)}|double|triple|plus|dot|\+?[0-9]+)"
