@@ -128,3 +128,19 @@ def test_star_contraction(spark):
     got = dict(rows_of(components(spark.createDataFrame(edges, "u long, v long")), "node", "root"))
     assert got == {x: find(x) for x in root if find(x) != x}
     assert components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+def test_rows_of_one_id_and_other_texts_are_separate(make_docs):
+    a, b = "the first text of seven whole words", "another text that has eight quite different words"
+    docs = make_docs([(3, b), (7, a), (7, b), (8, a), (9, a + " x"), (9, b + " y"), (9, ""), (9, " ")])
+    got = sorted(rows_of(minhash.keep_representatives(docs), "doc_id", "text"), key=str)
+    assert [r for r in got if r[0] != 9] == [(3, b), (7, a)]
+    # a has three shingles, a + " x" four: 3 of 4 are shared; of b likewise; of the wordless texts one stays
+    assert len([r for r in got if r[0] == 9]) == 1 and not [r for r in got if r[0] == 9][0][1].strip()
+
+
+def test_one_of_several_close_texts_of_an_id_stays(make_docs):
+    words = [f"w{i}" for i in range(60)]
+    docs = make_docs([(4, " ".join(words)), (4, " ".join([*words, "x"])), (4, "quite another text of seven whole words"), (5, " ".join(words))])
+    got = rows_of(minhash.keep_representatives(docs), "doc_id", "n_chars")
+    assert [i for i, _ in got] == [4, 4] and len({n for _, n in got}) == 2

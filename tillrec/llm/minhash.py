@@ -36,7 +36,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillrec.llm import common
@@ -127,7 +127,7 @@ def set_hash(hashes: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node (identity of the set, null if empty), bands."""
+    """doc_id, text_key, n_shingles, node (identity of the set, null if empty), bands."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, nodes, bands = [], [], []
@@ -137,10 +137,11 @@ def signatures(docs: DataFrame) -> DataFrame:
                 nodes.append(set_hash(hashes) if len(hashes) else None)
                 bands.append(band_keys(signature(hashes)) if len(hashes) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()),
-                 pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "node", "bands"])
+                [batch.column(0).cast(pa.int64()), batch.column(2), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()),
+                 pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "text_key", "n_shingles", "node", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node long, bands array<long>")
+    return docs.select("doc_id", "text", _text_key().alias("text_key")).mapInArrow(
+        run, "doc_id long, text_key long, n_shingles long, node long, bands array<long>")
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -249,6 +250,16 @@ def _joining_links(rows: pd.DataFrame) -> pd.DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every document row."""
+    return _labelled(docs).drop("text_key", "label")
+
+
+def _text_key() -> Column:
+    """Tells the texts of one doc_id apart."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def _labelled(docs: DataFrame) -> DataFrame:
+    """The rows of ``near_duplicates`` with their text's key and their component's label (null: no set)."""
     signed = common.stored(signatures(docs), "minhash-signatures")
     solid = signed.filter("node IS NOT NULL AND doc_id IS NOT NULL")
     classes = common.stored(solid.groupBy("node").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands")),
@@ -277,10 +288,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     grouped = classes.select("node", "rep").join(labels, "node", "left") \
         .select("node", "rep", F.coalesce("label", "node").alias("label"))
     ids = grouped.groupBy("label").agg(F.min("rep").alias("component_id"))
-    found = grouped.join(ids, "label").select("node", "component_id")
-    keyed = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"))
+    found = grouped.join(ids, "label").select("node", "label", "component_id")
+    keyed = signed.select("doc_id", "text_key", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"))
     return keyed.join(found, "node", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")) \
+        "doc_id", "text_key", "label", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")) \
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
@@ -298,10 +309,21 @@ def _contracted(labels: DataFrame, links: DataFrame) -> tuple[DataFrame, bool]:
 
 
 def keep_representatives(docs: DataFrame) -> DataFrame:
-    """One document of each component (its least id); all columns stay. Rows without a doc_id stay;
-    of rows that repeat a kept doc_id, one stays."""
-    gone = near_duplicates(docs).filter("NOT kept").select("doc_id").distinct()
-    named = docs.filter("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    """One document of each component (its least id; of several texts under that id, the one of least
+    key); all columns stay. Rows without a doc_id stay; of rows that repeat a kept doc_id and text, or
+    have no words under one doc_id, one stays."""
+    found = common.stored(_labelled(docs).filter("doc_id IS NOT NULL").select("doc_id", "text_key", "label", "kept"),
+                          "minhash-found")
+    several = found.filter("kept").groupBy("doc_id", "label").agg(F.min("text_key").alias("least"), F.max("text_key").alias("most")) \
+        .filter("least <> most").select(F.col("doc_id").alias("id"), F.col("label").alias("of"), "least")
+    others = found.filter("kept").join(
+        several, (F.col("doc_id") == F.col("id")) & F.col("label").eqNullSafe(F.col("of")) & (F.col("text_key") != F.col("least")))
+    keys = ["doc_id", "text_key"]
+    gone = found.filter("NOT kept").select(keys).unionByName(others.select(keys)).distinct() \
+        .withColumnsRenamed({k: f"__minhash_{k}" for k in keys})
+    named = docs.filter("doc_id IS NOT NULL").withColumn("__minhash_key", _text_key())
+    named = named.join(gone, (F.col("doc_id") == F.col("__minhash_doc_id")) & (F.col("__minhash_key") == F.col("__minhash_text_key")),
+                       "left_anti").dropDuplicates(["doc_id", "__minhash_key"])
     return named.select(docs.columns).unionByName(docs.filter("doc_id IS NULL"))
 
 
