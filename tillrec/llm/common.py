@@ -27,6 +27,18 @@ def byte_words(text: bytes | None, lower: bool = True) -> list[bytes]:
     return (text.lower() if lower else text).split()
 
 
+def slices(text: bytes, size: int) -> Iterator[bytes]:
+    """A text in parts of about ``size`` bytes, cut before a space, so that no word is cut."""
+    at = 0
+    while len(text) - at > size:
+        cut = text.find(b" ", at + size)
+        if cut < 0:
+            break
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
+
+
 def utf8_column(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     """A string column of a batch as UTF-8 bytes, without decoding."""
     return batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()

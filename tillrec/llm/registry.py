@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tillrec.llm import decontaminate, line_spread, minhash, pieces, pii, pitman_yor, quality, secrets, toxicity, warc
+from tillrec.llm import decontaminate, line_spread, minhash, pieces, pii, pitman_yor, quality, secrets, simhash, toxicity, warc
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_secrets": secrets.op8_secrets,
     "op9_line_spread": line_spread.op9_line_spread,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op12_simhash": simhash.op12_simhash,
 }
 
 ORACLES = {
