@@ -112,9 +112,8 @@ def bucket_pairs(levels: list[DataFrame]) -> DataFrame:
     The frontier holds pairs of trie nodes, each unordered pair once or both ways; a node that is a
     bucket already waits for the other to reach its own.
     """
-    first = levels[0].select(F.lit(0).alias("a_depth"), F.col("prefix").alias("a"), F.col("leaf").alias("a_leaf"))
-    frontier = first.join(first.withColumnsRenamed({"a_depth": "b_depth", "a": "b", "a_leaf": "b_leaf"}),
-                          F.col("a") == F.col("b")).withColumn("differ", F.lit(0))
+    frontier = levels[0].select(*[c for s in "ab" for c in (F.lit(0).alias(f"{s}_depth"), F.col("prefix").alias(s), F.col("leaf").alias(f"{s}_leaf"))],
+                                F.lit(0).alias("differ"))
     ready = []
     for n, level in enumerate(levels[1:], 1):
         ready.append(frontier.filter("a_leaf AND b_leaf"))
