@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tillrec.llm import decontaminate, line_spread, minhash, pieces, pii, pitman_yor, quality, secrets, simhash, toxicity, warc
+from tillrec.llm import decontaminate, line_spread, minhash, negatives, phrases, pieces, pii, pitman_yor, quality, secrets, simhash, toxicity, warc
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -15,7 +15,9 @@ QUERIES = {
     "op8_secrets": secrets.op8_secrets,
     "op9_line_spread": line_spread.op9_line_spread,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_hard_negatives": negatives.op11_hard_negatives,
     "op12_simhash": simhash.op12_simhash,
+    "op13_phrases": phrases.op13_phrases,
 }
 
 ORACLES = {
@@ -24,4 +26,6 @@ ORACLES = {
     "op6_decontaminate": decontaminate.OP6_SQL,
     "op8_secrets": secrets.OP8_SQL,
     "op9_line_spread": line_spread.OP9_SQL,
+    "op11_hard_negatives": negatives.OP11_SQL,
+    "op13_phrases": phrases.OP13_SQL,
 }
