@@ -8,10 +8,10 @@ are removed from every document but the one of least doc_id, so that no text van
 
 The sketch of a line has a fixed size however hot the line is, and partial aggregation sends one per
 task and line. Exact counts combine by (line, site) first. Line hashes are stored once and read by
-the later steps; documents are joined with the hashes to remove, at most their own lines.
+the later steps; documents are joined with the places of the lines to remove, at most their own lines.
 
 Defined cases: null text counts as empty; blank lines are never removed; a null source is no site; rows with a null doc_id count
-for the spread but keep their text; rows that repeat a doc_id are cleaned alike; the least doc_id of
+for the spread but keep their text; rows that repeat a doc_id are cleaned each by its own text; the least doc_id of
 a line that only null doc_ids hold is null, and then nothing is removed. An empty table gives no
 rows. Extra columns stay (``remove_boilerplate``) or are ignored.
 """
@@ -29,7 +29,7 @@ SKETCH_BITS = 12
 MARGIN = 3 * 1.04 / 2 ** (SKETCH_BITS / 2)
 
 _EDGES = " \t\r\x0b\x0c"
-_FLAGS = "__line_spread_flags"
+_FLAGS, _KEPT, _ID, _TEXT = (f"__line_spread_{x}" for x in ("flags", "kept", "id", "text"))
 
 
 def _key(line: Column) -> Column:
@@ -40,11 +40,17 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
+def _text_key() -> Column:
+    """Tells the texts of one doc_id apart."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def line_hashes(docs: DataFrame) -> DataFrame:
-    """doc_id, site, line (hash) of every line that isn't blank."""
-    return docs.select("doc_id", F.col("source").alias("site"), F.explode(_lines(F.col("text"))).alias("raw")) \
+    """doc_id, text_key, site, pos, line (hash) of every line that isn't blank."""
+    return docs.select("doc_id", _text_key().alias("text_key"), F.col("source").alias("site"),
+                       F.posexplode(_lines(F.col("text"))).alias("pos", "raw")) \
         .withColumn("key", _key(F.col("raw"))).filter("key <> ''") \
-        .select("doc_id", "site", F.xxhash64("key").alias("line"))
+        .select("doc_id", "text_key", "site", "pos", F.xxhash64("key").alias("line"))
 
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
@@ -61,40 +67,41 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 
 
 def _flagged(docs: DataFrame, min_sites: int) -> DataFrame:
-    """Documents with the hashes of the lines to remove from them (null if none)."""
+    """Documents with the places of the lines to remove from them (null if none)."""
     lines = common.stored(line_hashes(docs), "line-hashes")
     found = common.stored(boilerplate(lines, min_sites), "line-boilerplate")
     flags = lines.join(found, "line").filter("doc_id <> first_doc") \
-        .groupBy("doc_id").agg(F.collect_set("line").alias(_FLAGS))
-    return docs.join(flags, "doc_id", "left")
+        .groupBy(F.col("doc_id").alias(_ID), F.col("text_key").alias(_TEXT)).agg(F.collect_set("pos").alias(_FLAGS))
+    # the flags are hashed, so the texts are shuffled but not sorted
+    return docs.join(flags.hint("shuffle_hash"), (F.col("doc_id") == F.col(_ID)) & (_text_key() == F.col(_TEXT)), "left").drop(_ID, _TEXT)
 
 
-def _kept_lines(text: Column) -> Column:
-    return F.when(F.col(_FLAGS).isNull(), _lines(text)).otherwise(
-        F.filter(_lines(text), lambda x: (_key(x) == "") | ~F.array_contains(F.col(_FLAGS), F.xxhash64(_key(x)))))
+def _with_kept_text(flagged: DataFrame) -> DataFrame:
+    """``_KEPT``: the text without its flagged lines. A one-row ``explode`` keeps Catalyst from repeating
+    the work in filters and for every use."""
+    left = F.array_join(F.filter(_lines(F.col("text")), lambda x, i: ~F.array_contains(F.col(_FLAGS), i)), "\n")
+    return flagged.select("*", F.explode(F.array(F.when(F.col(_FLAGS).isNull(), F.col("text")).otherwise(left))).alias(_KEPT))
 
 
 def line_counts(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """doc_id, n_lines and n_removed (lines that aren't blank), n_chars and sha256 of the cleaned text."""
-    flagged = _flagged(docs.select("doc_id", "source", "text"), min_sites)
-    worded = lambda lines: F.size(F.filter(lines, lambda x: _key(x) != "")).cast("long")
-    return flagged.select("doc_id", worded(_lines(F.col("text"))).alias("n_lines"), _kept_lines(F.col("text")).alias("kept")) \
-        .withColumn("cleaned", F.array_join("kept", "\n")) \
-        .select("doc_id", "n_lines", (F.col("n_lines") - worded(F.col("kept"))).alias("n_removed"),
-                F.char_length("cleaned").cast("long").alias("n_chars"), F.sha2("cleaned", 256).alias("cleaned_sha256"))
+    cleaned = _with_kept_text(_flagged(docs.select("doc_id", "source", "text"), min_sites))
+    kept = F.coalesce(_KEPT, F.lit(""))
+    worded = F.size(F.filter(_lines(F.col("text")), lambda x: F.btrim(x, F.lit(_EDGES)) != "")).cast("long")
+    return cleaned.select("doc_id", worded.alias("n_lines"),
+                          F.when(F.col(_FLAGS).isNull(), 0).otherwise(F.size(_FLAGS)).cast("long").alias("n_removed"),
+                          F.char_length(kept).cast("long").alias("n_chars"), F.sha2(kept, 256).alias("cleaned_sha256"))
 
 
 def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """Documents without boilerplate lines (``n_chars`` follows); those of which only blank lines would
     be left go. All columns stay."""
-    kept = F.col("__line_spread_kept")
-    cleaned = _flagged(docs, min_sites).withColumn("__line_spread_kept", _kept_lines(F.col("text")))
-    some = F.col(_FLAGS).isNull() | F.exists(kept, lambda x: _key(x) != "")
-    new = {"text": F.when(F.col(_FLAGS).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))}
+    untouched = F.col(_FLAGS).isNull()
+    cleaned = _with_kept_text(_flagged(docs, min_sites)).filter(untouched | (F.btrim(_KEPT, F.lit("\n" + _EDGES)) != ""))
+    new = {"text": F.col(_KEPT)}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col(_FLAGS).isNull(), F.col("n_chars")) \
-            .otherwise(F.char_length(F.array_join(kept, "\n")).cast(docs.schema["n_chars"].dataType))
-    return cleaned.filter(some).select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
+        new["n_chars"] = F.when(untouched, F.col("n_chars")).otherwise(F.char_length(_KEPT).cast(docs.schema["n_chars"].dataType))
+    return cleaned.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 
 def op9_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
