@@ -3,7 +3,9 @@
 Every version of a text is content-addressed: its blob id is the SHA-256 of its UTF-8 form. The ledger
 says which (blob, rule, rule version) triples have been scanned; a run scans each blob that lacks one of them once,
 however many paths or versions hold it, and only for the rules it lacks. Findings belong to blobs and are joined back to all
-paths. ``scan`` takes the earlier ledger and findings and returns the new ones; the first run has none.
+paths. ``Ledger`` keeps both in a folder: each run appends what it scanned (a partition ``run``, findings before ledger,
+so a run that broke off is not counted and is written anew), and later runs scan only what is missing. Findings name
+their rule and its version; a listing takes only those of the rules as they are now.
 
 Where a rule matches is computed without UDFs: ``split`` gives the texts between the matches and
 ``regexp_extract_all`` the matches, both leftmost and non-overlapping; a running sum of their lengths
@@ -58,9 +60,12 @@ FINDINGS = "blob_id string, rule string, kind_no int, begin long, finish long"
 
 @dataclass(frozen=True)
 class Scan:
-    """``ledger``: blob_id and the rules scanned; ``findings``: one row per secret of a blob."""
+    """``ledger``: blob_id and the rules scanned; ``findings``: one row per secret of a blob; what this
+    run added to them."""
     ledger: DataFrame
     findings: DataFrame
+    new_ledger: DataFrame
+    new_findings: DataFrame
 
 
 def addressed(versions: DataFrame) -> DataFrame:
@@ -98,41 +103,83 @@ def scan(versions: DataFrame, earlier: Scan | None = None, rules: tuple[Rule, ..
     rows = blobs.select("blob_id", F.explode(F.flatten(hits)).alias("m")).select("blob_id", "m.*")
     up_to = Window.partitionBy("blob_id", "kind_no").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
     finish = F.sum(F.col("before") + F.col("chars")).over(up_to)
-    findings = common.stored(
+    findings = new_findings = common.stored(
         rows.withColumn("finish", finish).filter("long_enough")
         .select("blob_id", "rule", "kind_no", (F.col("finish") - F.col("chars")).alias("begin"), "finish"), "secret-findings")
-    ledger = addressed(versions.select("text")).select("blob_id").distinct().withColumn("rules", labels)
+    ledger = new_ledger = addressed(versions.select("text")).select("blob_id").distinct().withColumn("rules", labels)
     if earlier is not None:
+        new_ledger = new_ledger.join(earlier.ledger.select("blob_id", F.col("rules").alias("done")), "blob_id", "left") \
+            .select("blob_id", F.array_except("rules", F.coalesce("done", F.array().cast("array<string>"))).alias("rules")) \
+            .filter(F.size("rules") > 0)
         findings = earlier.findings.unionByName(findings)
-        ledger = earlier.ledger.unionByName(ledger).groupBy("blob_id") \
-            .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("rules")))).alias("rules"))
-    return Scan(ledger, findings)
+        ledger = _by_blob(earlier.ledger.unionByName(new_ledger))
+    return Scan(ledger, findings, new_ledger, new_findings)
 
 
-def _listed(found: Column) -> Column:
-    kinds = F.array(*[F.lit(r.kind) for r in RULES])
+def _by_blob(ledger: DataFrame) -> DataFrame:
+    return ledger.groupBy("blob_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("rules")))).alias("rules"))
+
+
+class Ledger:
+    """Ledger and findings of all runs so far, in a shared folder."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    @classmethod
+    def create(cls, spark: SparkSession, path: str) -> Ledger:
+        """A new ledger without any runs."""
+        for part, fields in (("findings", FINDINGS), ("ledger", LEDGER)):
+            spark.createDataFrame([], fields).write.parquet(f"{path}/{part}/run=0")
+        return cls(spark, path)
+
+    def _read(self, part: str, fields: str) -> DataFrame:
+        return self.spark.read.schema(f"{fields}, run int").parquet(f"{self.path}/{part}")
+
+    def last_run(self) -> int:
+        return self._read("ledger", LEDGER).agg(F.coalesce(F.max("run"), F.lit(0))).first()[0]
+
+    def so_far(self) -> Scan:
+        """All that the complete runs scanned and found."""
+        ledger = self._read("ledger", LEDGER).drop("run")
+        findings = self._read("findings", FINDINGS).filter(F.col("run") <= self.last_run()).drop("run")
+        return Scan(_by_blob(ledger), findings, ledger.limit(0), findings.limit(0))
+
+    def add(self, versions: DataFrame, rules: tuple[Rule, ...] = RULES) -> None:
+        """Scan what the ledger lacks of ``versions`` (column ``text``) and append it as a run."""
+        last = self.last_run()
+        found = scan(versions, self.so_far() if last else None, rules)
+        found.new_findings.write.mode("overwrite").parquet(f"{self.path}/findings/run={last + 1}")
+        found.new_ledger.write.mode("overwrite").parquet(f"{self.path}/ledger/run={last + 1}")
+
+
+def _listed(found: Column, rules: tuple[Rule, ...]) -> Column:
+    kinds = F.array(*[F.lit(r.kind) for r in rules])
     return F.array_join(F.transform(found, lambda x: F.concat_ws(
         ":", F.get(kinds, x["kind_no"]), x["begin"].cast("string"), x["finish"].cast("string"))), ",")
 
 
-def by_path(paths: DataFrame, findings: DataFrame) -> DataFrame:
-    """doc_id, counts and digest of the base kinds, and all spans, for every row of (doc_id, blob_id)."""
+def by_path(paths: DataFrame, findings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """doc_id, counts and digest of the base kinds (the first rules), and all spans, for every row of (doc_id, blob_id), by
+    the rules as given: findings of their other versions don't count."""
     count = lambda n: F.count(F.when(F.col("kind_no") == n, 1))
-    blobs = findings.groupBy("blob_id").agg(
-        *[count(n).alias(f"n_{RULES[n].kind}") for n in range(BASE_KINDS)],
+    place = F.array_position(F.array(*[F.lit(r.label) for r in rules]), F.col("rule")).cast("int") - 1
+    blobs = findings.withColumn("kind_no", place).filter("kind_no >= 0").groupBy("blob_id").agg(
+        *[count(n).alias(f"n_{rules[n].kind}") for n in range(BASE_KINDS)],
         F.sort_array(F.collect_list(F.struct("begin", "kind_no", "finish"))).alias("found"))
-    blobs = blobs.withColumn("spans", _listed(F.col("found"))) \
-        .withColumn("base", _listed(F.filter("found", lambda x: x["kind_no"] < BASE_KINDS))).drop("found")
+    blobs = blobs.withColumn("spans", _listed(F.col("found"), rules)) \
+        .withColumn("base", _listed(F.filter("found", lambda x: x["kind_no"] < BASE_KINDS), rules)).drop("found")
     joined = paths.join(blobs, "blob_id", "left")
-    return joined.select("doc_id", *[F.coalesce(f"n_{RULES[n].kind}", F.lit(0)).alias(f"n_{RULES[n].kind}") for n in range(BASE_KINDS)],
+    return joined.select("doc_id", *[F.coalesce(f"n_{rules[n].kind}", F.lit(0)).alias(f"n_{rules[n].kind}") for n in range(BASE_KINDS)],
                          F.sha2(F.coalesce("base", F.lit("")), 256).alias("base_sha256"),
                          F.coalesce("spans", F.lit("")).alias("spans"), "blob_id")
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir).select("doc_id", "text")
-    found = scan(docs)
-    return by_path(addressed(docs).select("doc_id", "blob_id"), found.findings)
+    ledger = Ledger.create(spark, common.shared_path(spark, "secret-ledger"))
+    ledger.add(docs)
+    return by_path(addressed(docs).select("doc_id", "blob_id"), ledger.so_far().findings)
 
 
 def _oracle() -> str:
