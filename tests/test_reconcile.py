@@ -122,25 +122,20 @@ def test_ledger_identities_on_test_tables(spark):
 
 
 def _pairs_brute(left, right, t=5):
-    """Mutual nearest amounts of one day and method; of equal amounts the lowest id stands."""
-    def nearest(c, others):
-        return min(others, key=lambda o: (abs(o[1] - c), o[1], o[0])) if others else None
-    out = set()
+    """Mutual nearest amounts of one day and method; rows of equal amounts pair up one by one, by id."""
+    out = []
     for key in {(d, m) for _, d, m, _ in left} | {(d, m) for _, d, m, _ in right}:
-        ls = {}
-        for i, d, m, c in sorted(left):
-            if (d, m) == key:
-                ls.setdefault(c, i)
-        rs = {}
-        for i, d, m, c in sorted(right):
-            if (d, m) == key:
-                rs.setdefault(c, i)
-        lrows, rrows = [(i, c) for c, i in ls.items()], [(i, c) for c, i in rs.items()]
-        for i, c in lrows:
-            b = nearest(c, rrows)
-            if b and nearest(b[1], lrows) == (i, c) and abs(b[1] - c) > t:
-                out.add((i, b[0]))
-    return out
+        ls, rs = {}, {}
+        for side, rows in ((ls, left), (rs, right)):
+            for i, d, m, c in sorted(rows):
+                if (d, m) == key:
+                    side.setdefault(c, []).append(i)
+        nearest = lambda c, others: min(others, key=lambda o: (abs(o - c), o)) if others else None
+        for c in ls:
+            b = nearest(c, rs)
+            if b is not None and nearest(b, ls) == c and abs(b - c) > t:
+                out += list(zip(ls[c], rs[b]))
+    return sorted(out)
 
 
 def test_mismatch_pairs_are_mutual_nearest_without_a_bound(spark):
@@ -155,7 +150,7 @@ def test_mismatch_pairs_are_mutual_nearest_without_a_bound(spark):
                                   f"transaction_id string, transaction_date timestamp_ntz, gross_value {cols}")
     sett = spark.createDataFrame([(i, d, money(c), m) for i, d, m, c in right],
                                  f"authorization_code string, settlement_date timestamp_ntz, gross_value {cols}")
-    pairs = {(r["l_id"], r["r_id"]) for r in reconcile.amount_mismatch_pairs(sales, sett).collect()}
+    pairs = sorted((r["l_id"], r["r_id"]) for r in reconcile.amount_mismatch_pairs(sales, sett).collect())
     assert ("P9998", "A9998") in pairs
     day = lambda rows: [(i, d.date(), m, c) for i, d, m, c in rows]
     assert pairs == _pairs_brute(day(left), day(right))
@@ -172,3 +167,49 @@ def test_documented_mode_lists_a_pair_once_and_as_executed_none(spark):
     got = {(r["gap_type"], r["transaction_id"]) for r in reconcile.gaps_all(sales, sett, orders).collect()}
     assert got == {("PDV_MISSING_IN_ACQUIRER", "P1"), ("PDV_MISSING_IN_ACQUIRER", "P2"), ("ACQUIRER_MISSING_IN_PDV", "A1")}
     assert reconcile.gaps_amount_mismatch(sales, sett).count() == 0
+
+
+def _settled(spark, rows):
+    return spark.createDataFrame([(i, d, Decimal(g), None, m) for i, d, g, m in rows],
+                                 "authorization_code string, settlement_date timestamp_ntz, gross_value decimal(18,2), "
+                                 "acquirer_fee decimal(18,2), payment_method string")
+
+
+def _documented(spark, sales, sett):
+    orders = spark.createDataFrame([], "order_id string, order_date timestamp_ntz, gross_value decimal(18,2), status string")
+    sales = _sales(spark, [(i, d, Decimal(g), m) for i, d, g, m in sales])
+    got = reconcile.gaps_all(sales, _settled(spark, sett), orders, mode="documented").collect()
+    return sorted((r["gap_type"], r["transaction_id"], r["amount_brl"]) for r in got)
+
+
+def test_documented_gaps_of_repeated_ids_stay(spark):
+    # X is paired on day 1; its other sale of day 2 and the other settlement of code Y are still missing
+    got = _documented(spark, [("X", D, "100.00", "credito"), ("X", D2, "500.00", "credito")],
+                      [("Y", D, "130.00", "credito"), ("Y", D2, "900.00", "debito")])
+    assert got == [("ACQUIRER_MISSING_IN_PDV", "Y", 900.0), ("AMOUNT_MISMATCH", "X", 30.0), ("PDV_MISSING_IN_ACQUIRER", "X", 500.0)]
+
+
+def test_equal_rows_pair_up_one_by_one(spark):
+    two = [("P1", D, "100.00", "credito"), ("P2", D, "100.00", "credito")]
+    got = _documented(spark, two, [("A1", D, "130.00", "credito"), ("A2", D, "130.00", "credito")])
+    assert got == [("AMOUNT_MISMATCH", "P1", 30.0), ("AMOUNT_MISMATCH", "P2", 30.0)]
+    # the same id thrice (equal rows) against two settlements: one sale stays missing, and rows without a method too
+    got = _documented(spark, [two[0]] * 3 + [("P9", D, "100.00", None)],
+                      [("A1", D, "130.00", "credito"), ("A2", D, "130.00", "credito"), ("A3", D, "77.00", None)])
+    assert got == [("ACQUIRER_MISSING_IN_PDV", "A3", 77.0)] + [("AMOUNT_MISMATCH", "P1", 30.0)] * 2 + [("PDV_MISSING_IN_ACQUIRER", "P1", 100.0)]
+
+
+def test_pairing_with_repeats_equals_brute_force(spark):
+    rnd = random.Random(11)
+    draw = lambda p, n, amounts: [(f"{p}{rnd.randint(0, 25)}", rnd.choice([D, D2]), rnd.choice(["credito", "debito"]),
+                                   rnd.choice(amounts)) for _ in range(n)]
+    left = draw("P", 150, [1000, 1000, 2000, 5000, 9000]) + [("P7", D, "credito", 70_000)] * 120         # a hot amount
+    right = draw("A", 130, [1500, 2600, 5200, 9900]) + [("A7", D, "credito", 71_000)] * 90
+    money = lambda c: Decimal(c) / 100
+    cols = "decimal(18,2), payment_method string"
+    sales = spark.createDataFrame([(i, d, money(c), m) for i, d, m, c in left],
+                                  f"transaction_id string, transaction_date timestamp_ntz, gross_value {cols}")
+    sett = spark.createDataFrame([(i, d, money(c), m) for i, d, m, c in right],
+                                 f"authorization_code string, settlement_date timestamp_ntz, gross_value {cols}")
+    pairs = sorted((r["l_id"], r["r_id"]) for r in reconcile.amount_mismatch_pairs(sales, sett).collect())
+    assert pairs == _pairs_brute(left, right) and pairs.count(("P7", "A7")) >= 90

@@ -154,23 +154,26 @@ def gaps_cancelled(orders: DataFrame) -> DataFrame:
     )
 
 
-def _nearest_counterparts(nodes: DataFrame) -> DataFrame:
-    """``nodes`` (day, method, c, id, left, ts) with the nearest node of the other side on the same day
-    and method: ``best`` (c, id). Ties go to the lower amount.
-
-    Rows are range-partitioned by (day, method, amount), so a day and method with very many amounts
-    spreads over many partitions. Inside each piece of a (day, method) the last counterpart before and
-    the first after are running values; what lies beyond a piece comes from the pieces' own first and
-    last nodes: at most one row per piece, and a (day, method) has at most as many pieces as there are
-    partitions. The staged rows are stored, so all steps see the same partitions.
-    """
-    spark = nodes.sparkSession
+def _pieces(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """``rows`` range-partitioned by group and order, stored, with the partition as ``piece``: a group
+    with very many rows spreads over many partitions, and all later steps see the same ones."""
+    spark = rows.sparkSession
     from tillrec.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(spark)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
-    staged = nodes.repartitionByRange(parts, "day", "method", "c", "left").withColumn(
-        "piece", F.spark_partition_id()).checkpoint(eager=True)
-    node = F.struct("c", "id")
+    return rows.repartitionByRange(parts, *group, *order).withColumn("piece", F.spark_partition_id()).checkpoint(eager=True)
+
+
+def _nearest_counterparts(nodes: DataFrame) -> DataFrame:
+    """``nodes`` (day, method, c, n, left) with the nearest node of the other side on the same day
+    and method: ``best`` (c, n). Ties go to the lower amount.
+
+    Inside each piece of a (day, method) the last counterpart before and the first after are running
+    values; what lies beyond a piece comes from the pieces' own first and last nodes: at most one row per
+    piece, and a (day, method) has at most as many pieces as there are partitions.
+    """
+    staged = _pieces(nodes, ["day", "method"], ["c", "left"])
+    node = F.struct("c", "n")
     side = lambda is_left: F.when(F.col("left") == F.lit(is_left), node)
     group = ["day", "method", "piece"]
     ordered = Window.partitionBy(*group).orderBy("c", "left")
@@ -190,40 +193,72 @@ def _nearest_counterparts(nodes: DataFrame) -> DataFrame:
         return F.when(F.col("left"), F.coalesce(f"in_{which}_right", f"{which}_right")) \
                 .otherwise(F.coalesce(f"in_{which}_left", f"{which}_left"))
 
-    found = joined.select("day", "method", "c", "id", "left", "ts", other("prev").alias("prev"), other("next").alias("next"))
+    found = joined.select("day", "method", "c", "n", "left", other("prev").alias("prev"), other("next").alias("next"))
     take_prev = F.col("prev").isNotNull() & (
         F.col("next").isNull() | (F.col("c") - F.col("prev.c") <= F.col("next.c") - F.col("c")))
-    return found.select("day", "method", "c", "id", "left", "ts",
+    return found.select("day", "method", "c", "n", "left",
                         F.when(take_prev, F.col("prev")).otherwise(F.col("next")).alias("best")) \
                 .where(F.col("best").isNotNull())
 
 
+def _ranked(missing: DataFrame, date: str, ident: str) -> DataFrame:
+    """Missing rows with (day, method, c) and their rank among the rows that share them, by id and
+    time. Ranks count inside the pieces of a group and go on from the pieces before, so a group of any
+    size is never one task. Rows without a day, method or amount have no rank."""
+    keys = ["day", "method", "c"]
+    keyed = missing.withColumn("day", F.to_date(date)).withColumn("method", F.col("payment_method")).withColumn("c", cents(F.col("gross_value")))
+    staged = _pieces(keyed, keys, [ident, date])
+    pieces = Window.partitionBy(*keys).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = staged.groupBy(*keys, "piece").agg(F.count(F.lit(1)).alias("size")) \
+        .select(*keys, "piece", F.coalesce(F.sum("size").over(pieces), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "piece").orderBy(ident, date))
+    return staged.withColumn("inside", inside).join(offsets, [*keys, "piece"], "left") \
+        .withColumn("rank", F.col("inside") + F.col("before")).drop("inside", "before", "piece")
+
+
+def _mutual_amounts(sales: DataFrame, settlements: DataFrame, rates: Rates) -> DataFrame:
+    """(day, method, l_c, r_c, pairs): amounts of one day and method that are each other's nearest and differ
+    by more than the tolerance, and how many rows of both sides pair up. The inputs are ``_ranked`` rows."""
+    nodes = sales.select("day", "method", "c", F.lit(True).alias("left")) \
+        .unionByName(settlements.select("day", "method", "c", F.lit(False).alias("left"))) \
+        .where("day IS NOT NULL AND method IS NOT NULL AND c IS NOT NULL") \
+        .groupBy("day", "method", "c", "left").agg(F.count(F.lit(1)).alias("n"))
+    near = _nearest_counterparts(nodes)
+    l_best = near.where(F.col("left")).select("day", "method", F.col("c").alias("l_c"), F.col("best.c").alias("r_c"),
+                                              F.least("n", "best.n").alias("pairs"))
+    r_best = near.where(~F.col("left")).select("day", "method", F.col("c").alias("r_c"), F.col("best.c").alias("l_c"))
+    return l_best.join(r_best, ["day", "method", "l_c", "r_c"]) \
+        .where(F.abs(F.col("l_c") - F.col("r_c")) > rates.tolerance_cents)
+
+
+def _paired(sales: DataFrame, settlements: DataFrame, mutual: DataFrame) -> DataFrame:
+    """(l_id, r_id, l_c, r_c, ts): the k-th sale of an amount with the k-th settlement of its counterpart."""
+    of = lambda rows, c: rows.join(mutual.withColumnRenamed(c, "c"), ["day", "method", "c"]) \
+        .where("rank <= pairs").withColumnRenamed("c", c)
+    left = of(sales, "l_c").select("day", "method", "l_c", "r_c", "rank", F.col("transaction_id").alias("l_id"),
+                                   F.col("transaction_date").alias("ts"))
+    right = of(settlements, "r_c").select("day", "method", "l_c", "r_c", "rank", F.col("authorization_code").alias("r_id"))
+    return left.join(right, ["day", "method", "l_c", "r_c", "rank"]).select("l_id", "r_id", "l_c", "r_c", "ts")
+
+
+def _left_over(ranked: DataFrame, mutual: DataFrame, c: str) -> DataFrame:
+    """Ranked rows of one side without those that are paired; no row goes for sharing another's id."""
+    taken = mutual.select(F.col("day").alias("_day"), F.col("method").alias("_method"), F.col(c).alias("_c"), "pairs")
+    return ranked.join(taken, (F.col("day") == F.col("_day")) & (F.col("method") == F.col("_method"))
+                       & (F.col("c") == F.col("_c")) & (F.col("rank") <= F.col("pairs")), "left_anti")
+
+
 def amount_mismatch_pairs(missing_sales: DataFrame, missing_settlements: DataFrame, rates: Rates = Rates()) -> DataFrame:
     """Documented reading: unmatched card sales and unmatched settlements of the same day and method,
-    paired when each is the other's nearest amount and the difference exceeds the tolerance (no upper
-    bound). Of rows with equal day, method and amount the lowest id stands for the pairing.
+    paired when each one's amount is the other's nearest and the difference exceeds the tolerance (no upper
+    bound). Rows of equal day, method and amount pair up one by one, by id: k sales and m settlements
+    give min(k, m) pairs.
 
     (l_id, r_id, l_c, r_c, ts); the inputs are ``pos_missing_rows`` and ``acquirer_missing_rows``.
     """
-    left = missing_sales.select(
-        F.to_date("transaction_date").alias("day"), F.col("payment_method").alias("method"),
-        cents(F.col("gross_value")).alias("c"), F.col("transaction_id").alias("id"), F.lit(True).alias("left"),
-        F.col("transaction_date").alias("ts"))
-    right = missing_settlements.select(
-        F.to_date("settlement_date").alias("day"), F.col("payment_method").alias("method"),
-        cents(F.col("gross_value")).alias("c"), F.col("authorization_code").alias("id"), F.lit(False).alias("left"),
-        F.lit(None).cast("timestamp_ntz").alias("ts"))
-    nodes = left.unionByName(right).where("day IS NOT NULL AND method IS NOT NULL AND c IS NOT NULL") \
-        .groupBy("day", "method", "c", "left").agg(F.min(F.struct("id", "ts")).alias("n")) \
-        .select("day", "method", "c", "n.id", "left", "n.ts")
-    near = _nearest_counterparts(nodes)
-    l_best = near.where(F.col("left")).select("day", "method", F.col("id").alias("l_id"), F.col("c").alias("l_c"), "ts",
-                                              F.col("best.id").alias("r_id"), F.col("best.c").alias("r_c"))
-    r_best = near.where(~F.col("left")).select("day", "method", F.col("id").alias("r_id"), F.col("c").alias("r_c"),
-                                               F.col("best.id").alias("l_id"), F.col("best.c").alias("l_c"))
-    pairs = l_best.join(r_best, ["day", "method", "l_id", "l_c", "r_id", "r_c"])
-    return pairs.where(F.abs(F.col("l_c") - F.col("r_c")) > rates.tolerance_cents) \
-                .select("l_id", "r_id", "l_c", "r_c", "ts")
+    sales = _ranked(missing_sales, "transaction_date", "transaction_id")
+    settlements = _ranked(missing_settlements, "settlement_date", "authorization_code")
+    return _paired(sales, settlements, _mutual_amounts(sales, settlements, rates))
 
 
 def mismatch_rows(pairs: DataFrame) -> DataFrame:
@@ -274,7 +309,7 @@ def gaps_all(sales: DataFrame, settlements: DataFrame, orders: DataFrame, rates:
     (pos-side gaps, then settlement-side, then cancellations).
 
     ``documented`` also reports amount mismatches; a paired sale or settlement is then not listed as
-    missing. The two sets of unmatched rows are checkpointed, since several branches read them.
+    missing. The two sets of unmatched rows and the paired amounts are checkpointed, since several branches read them.
     """
     if mode not in ("as_executed", "documented"):
         raise ValueError(f"mode must be as_executed or documented, not {mode!r}")
@@ -283,12 +318,9 @@ def gaps_all(sales: DataFrame, settlements: DataFrame, orders: DataFrame, rates:
     if mode == "as_executed":
         return pos_missing_gaps(missing_sales).unionByName(acquirer_missing_gaps(missing_settlements)) \
             .unionByName(gaps_cancelled(orders))
-    from tillrec.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(sales.sparkSession)
-    missing_sales, missing_settlements = missing_sales.checkpoint(), missing_settlements.checkpoint()
-    pairs = amount_mismatch_pairs(missing_sales, missing_settlements, rates).checkpoint()
-    left_sales = missing_sales.join(pairs.select(F.col("l_id").alias("transaction_id")), "transaction_id", "left_anti")
-    left_settlements = missing_settlements.join(pairs.select(F.col("r_id").alias("authorization_code")),
-                                                "authorization_code", "left_anti")
-    return mismatch_rows(pairs).unionByName(pos_missing_gaps(left_sales)) \
-        .unionByName(acquirer_missing_gaps(left_settlements)).unionByName(gaps_cancelled(orders))
+    sales_rows = _ranked(missing_sales, "transaction_date", "transaction_id")
+    settled_rows = _ranked(missing_settlements, "settlement_date", "authorization_code")
+    mutual = _mutual_amounts(sales_rows, settled_rows, rates).checkpoint()
+    return mismatch_rows(_paired(sales_rows, settled_rows, mutual)) \
+        .unionByName(pos_missing_gaps(_left_over(sales_rows, mutual, "l_c"))) \
+        .unionByName(acquirer_missing_gaps(_left_over(settled_rows, mutual, "r_c"))).unionByName(gaps_cancelled(orders))

@@ -132,6 +132,13 @@ def q_gaps_all_documented(spark, sf_dir):
     return reconcile.gaps_all(i.pos(), i.acquirer(), i.marketplace(), i.rates, "documented")
 
 
+def q_gaps_all_repeats(spark, sf_dir):
+    """Documented gaps where ids repeat and many amounts are equal."""
+    i = Inputs(spark, sf_dir)
+    sales, settlements = derived.with_repeats(i.pos(), i.acquirer())
+    return reconcile.gaps_all(sales, settlements, i.marketplace(), i.rates, "documented")
+
+
 def q_gaps_all(spark, sf_dir):
     return Inputs(spark, sf_dir).gaps()
 

@@ -726,24 +726,35 @@ FROM byp""")
 
 # ------------------------------------------------------------------ documented amount mismatch
 def mismatch_sql() -> dict[str, str]:
-    body = """
-, lo AS (SELECT transaction_id AS id, CAST(transaction_date AS DATE) AS day, payment_method AS method,
-                CAST(gross_value * 100 AS BIGINT) AS c, transaction_date AS ts
-         FROM pos p
-         WHERE payment_method IN ('credito','debito','voucher') AND EXISTS (SELECT 1 FROM acquirer)
-           AND NOT EXISTS (SELECT 1 FROM acquirer a WHERE CAST(a.settlement_date AS DATE) = CAST(p.transaction_date AS DATE)
+    """Rows of equal day, method and amount are numbered by id; amounts pair, then the k-th rows of both."""
+    def body(pos: str, acq: str) -> str:
+        return f"""
+, lo AS (SELECT transaction_id AS id, CAST(transaction_date AS DATE) AS day, payment_method AS method, gross_value,
+                CAST(gross_value * 100 AS BIGINT) AS c, transaction_date AS ts,
+                row_number() OVER (PARTITION BY CAST(transaction_date AS DATE), payment_method, gross_value
+                                   ORDER BY transaction_id, transaction_date) AS k
+         FROM {pos} p
+         WHERE payment_method IN ('credito','debito','voucher') AND EXISTS (SELECT 1 FROM {acq})
+           AND NOT EXISTS (SELECT 1 FROM {acq} a WHERE CAST(a.settlement_date AS DATE) = CAST(p.transaction_date AS DATE)
                            AND abs(a.gross_value - p.gross_value) <= 0.05)),
-ro AS (SELECT authorization_code AS id, CAST(settlement_date AS DATE) AS day, payment_method AS method,
-              CAST(gross_value * 100 AS BIGINT) AS c
-       FROM acquirer a
-       WHERE EXISTS (SELECT 1 FROM pos)
-         AND NOT EXISTS (SELECT 1 FROM pos p WHERE CAST(a.settlement_date AS DATE) = CAST(p.transaction_date AS DATE)
+ro AS (SELECT authorization_code AS id, CAST(settlement_date AS DATE) AS day, payment_method AS method, gross_value,
+              CAST(gross_value * 100 AS BIGINT) AS c, settlement_date AS ts,
+              row_number() OVER (PARTITION BY CAST(settlement_date AS DATE), payment_method, gross_value
+                                 ORDER BY authorization_code, settlement_date) AS k
+       FROM {acq} a
+       WHERE EXISTS (SELECT 1 FROM {pos})
+         AND NOT EXISTS (SELECT 1 FROM {pos} p WHERE CAST(a.settlement_date AS DATE) = CAST(p.transaction_date AS DATE)
                          AND abs(a.gross_value - p.gross_value) <= 0.05)),
-cand AS (SELECT lo.id AS lid, ro.id AS rid, lo.c AS lc, ro.c AS rc, abs(lo.c - ro.c) AS d, lo.ts
-         FROM lo JOIN ro ON lo.day = ro.day AND lo.method = ro.method),
-bl AS (SELECT lid, arg_min(rid, (d, rc, rid)) AS rid FROM cand GROUP BY lid),
-br AS (SELECT rid, arg_min(lid, (d, lc, lid)) AS lid FROM cand GROUP BY rid),
-pairs AS (SELECT c.* FROM cand c JOIN bl USING (lid, rid) JOIN br USING (lid, rid) WHERE c.d > 5),
+la AS (SELECT day, method, c, count(*) AS n FROM lo GROUP BY ALL),
+ra AS (SELECT day, method, c, count(*) AS n FROM ro GROUP BY ALL),
+near AS (SELECT la.day, la.method, la.c AS lc, ra.c AS rc, abs(la.c - ra.c) AS d, least(la.n, ra.n) AS m,
+                row_number() OVER (PARTITION BY la.day, la.method, la.c ORDER BY abs(la.c - ra.c), ra.c) AS l_first,
+                row_number() OVER (PARTITION BY la.day, la.method, ra.c ORDER BY abs(la.c - ra.c), la.c) AS r_first
+         FROM la JOIN ra ON la.day = ra.day AND la.method = ra.method),
+both_first AS (SELECT * FROM near WHERE l_first = 1 AND r_first = 1 AND d > 5),
+pairs AS (SELECT lo.id AS lid, ro.id AS rid, lc, rc, d, lo.ts
+          FROM both_first b JOIN lo ON lo.day = b.day AND lo.method = b.method AND lo.c = b.lc AND lo.k <= b.m
+                            JOIN ro ON ro.day = b.day AND ro.method = b.method AND ro.c = b.rc AND ro.k = lo.k),
 mismatch AS (
 SELECT lid AS transaction_id, 'PDV vs Acquirer' AS source, CAST(CAST(d AS DECIMAL(18,2)) / 100 AS DOUBLE) AS amount_brl,
        'AMOUNT_MISMATCH' AS gap_type,
@@ -751,16 +762,30 @@ SELECT lid AS transaction_id, 'PDV vs Acquirer' AS source, CAST(CAST(d AS DECIMA
          || CAST(CAST(rc / 100 AS DECIMAL(18,2)) AS VARCHAR) || '. Difference: R$ '
          || CAST(CAST(d / 100 AS DECIMAL(18,2)) AS VARCHAR) || '.' AS detail,
        ts AS gap_date, 1 AS gap_order
-FROM pairs)
+FROM pairs),
+left_pos AS (
+SELECT id AS transaction_id, 'PDV' AS source, CAST(gross_value AS DOUBLE) AS amount_brl, 'PDV_MISSING_IN_ACQUIRER' AS gap_type,
+       'Card transaction R$ ' || CAST(gross_value AS VARCHAR) || ' on ' || strftime(ts, '%Y-%m-%d %H:%M:%S')
+         || ' found in PDV but not in acquirer settlement.' AS detail, ts AS gap_date, 1 AS gap_order
+FROM lo WHERE NOT EXISTS (SELECT 1 FROM both_first b WHERE lo.day = b.day AND lo.method = b.method AND lo.c = b.lc AND lo.k <= b.m)),
+left_acq AS (
+SELECT id AS transaction_id, 'Acquirer' AS source, CAST(gross_value AS DOUBLE) AS amount_brl, 'ACQUIRER_MISSING_IN_PDV' AS gap_type,
+       'Acquirer settled R$ ' || CAST(gross_value AS VARCHAR) || ' on ' || strftime(ts, '%Y-%m-%d %H:%M:%S') || ' (auth: ' || id
+         || ') but no matching PDV transaction found.' AS detail, ts AS gap_date, 2 AS gap_order
+FROM ro WHERE NOT EXISTS (SELECT 1 FROM both_first b WHERE ro.day = b.day AND ro.method = b.method AND ro.c = b.rc AND ro.k <= b.m))
 """
     cols = "transaction_id, source, amount_brl, gap_type, detail, gap_date, gap_order"
-    every = f"""
-SELECT {cols} FROM mismatch
-UNION ALL SELECT {cols} FROM gap_pos WHERE transaction_id NOT IN (SELECT lid FROM pairs)
-UNION ALL SELECT {cols} FROM gap_acq WHERE transaction_id NOT IN (SELECT rid FROM pairs)
-UNION ALL SELECT {cols} FROM gap_cancel"""
-    return {"gaps_amount_mismatch_documented": with_derived(body + f"SELECT {cols} FROM mismatch"),
-            "gaps_all_documented": with_derived(body + every)}
+    every = " UNION ALL ".join(f"SELECT {cols} FROM {t}" for t in ("mismatch", "left_pos", "left_acq", "gap_cancel"))
+    repeats = """
+, pos_r AS (SELECT * REPLACE (split_part(transaction_id, '-', 1) AS transaction_id,
+                              CAST(floor(gross_value / 1000) * 1000 AS DECIMAL(18,2)) AS gross_value) FROM pos),
+acq_r AS (SELECT * REPLACE (split_part(authorization_code, '-', 1) AS authorization_code,
+                            CAST(floor(gross_value / 1000) * 1000 + CASE WHEN k % 13 = 0 THEN 3.50 ELSE 0 END
+                                 AS DECIMAL(18,2)) AS gross_value) FROM acquirer)
+"""
+    return {"gaps_amount_mismatch_documented": with_derived(body("pos", "acquirer") + f"SELECT {cols} FROM mismatch"),
+            "gaps_all_documented": with_derived(body("pos", "acquirer") + every),
+            "gaps_all_repeats": with_derived(repeats + body("pos_r", "acq_r") + every)}
 
 
 def alert_lookup_sql(alert_id: str) -> dict[str, str]:

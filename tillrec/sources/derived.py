@@ -105,6 +105,16 @@ def marketplace(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def with_repeats(sales: DataFrame, settlements: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same sales and settlements with ids that repeat (one per order) and equal amounts: whole
+    thousands, for one settlement in thirteen 3.50 more."""
+    order = lambda c: F.substring_index(c, "-", 1)
+    whole = (F.floor(F.col("gross_value") / 1000) * 1000).cast(MONEY)
+    more = F.when(F.col("nsu").cast("long") % 13 == 0, F.lit("3.50")).otherwise(F.lit("0")).cast(MONEY)
+    return (sales.withColumn("transaction_id", order("transaction_id")).withColumn("gross_value", whole),
+            settlements.withColumn("authorization_code", order("authorization_code")).withColumn("gross_value", (whole + more).cast(MONEY)))
+
+
 # ----------------------------------------------------------------------------- raw text variants
 
 def pt_br(amount: Column) -> Column:
