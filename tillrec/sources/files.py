@@ -1,8 +1,8 @@
 """File sources for the three exports: delimiter sniffing, CSV, header mapping.
 
-The CSV itself is read by Spark's CSV source (all columns as strings, malformed
-lines captured in ``_corrupt``). Only each file's header record is looked at on
-the driver, to pick the delimiter and the columns.
+The CSV itself is read by Spark's CSV parser (all columns as strings, malformed
+lines captured in ``_corrupt``), many tasks a file. Only each file's header record is looked
+at on the driver, to pick the delimiter and the columns.
 """
 
 from __future__ import annotations
@@ -11,7 +11,10 @@ import csv
 import glob
 import io
 import os
+import re
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import PurePath
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,9 +22,11 @@ from pyspark.sql import types as T
 
 from tillrec.functions.text import py_strip
 from tillrec.operators.validate import BLANK_COL, ROW_COL
+from tillrec.sources import quoted_csv
 from tillrec.sources.spec import SourceSpec
 
 CORRUPT_COL = "_corrupt"
+HEADER_READERS = 16          # heads of files read at a time
 
 # FIXED VALUES: cell texts read as missing by the original CSV reader (its default NA words).
 NA_WORDS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -90,37 +95,55 @@ def _check_path(path: str) -> None:
         raise FileNotFoundError(path)
 
 
+def _csv_options() -> dict[str, str]:
+    return {"encoding": "UTF-8", "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT_COL,
+            "emptyValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
+def header_records(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Heads of many files, read side by side (the names and heads only)."""
+    with ThreadPoolExecutor(HEADER_READERS) as pool:
+        return list(pool.map(lambda p: header_record(spark, p), paths))
+
+
 def read_delimited(spark: SparkSession, path: str, delimiters: tuple[str, ...],
-                   multi_line: bool = True) -> list[DataFrame]:
+                   multi_line: bool | None = None) -> list[DataFrame]:
     """All-string frames with the files' own header names plus ``_corrupt`` and an order key: one frame
     for each (delimiter, header) among the files, so that columns are read by name, not by position.
 
-    ``multi_line`` allows line breaks in quoted text; a file is then one split. Pass False for huge
-    files known to have none: they split again.
+    Quoted text may hold line breaks. Files with such breaks are split all the same (``quoted_csv``); the
+    others go to Spark's reader, which splits them by line. ``multi_line`` True reads each file as one
+    split, False takes it that no file has such breaks and doesn't look for them.
     """
     _check_path(path)
     groups: dict[tuple[str, tuple[str, ...]], list[str]] = {}
-    for name in export_files(spark, path):
-        record = header_record(spark, name)
+    names = export_files(spark, path)
+    for name, record in zip(names, header_records(spark, names)):
         sep = sniff_delimiter(record, delimiters)
         groups.setdefault((sep, tuple(h.strip() for h in split_header(record, sep))), []).append(name)
     frames = []
-    for (sep, names), members in groups.items():
-        schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))]
+    for (sep, header), members in groups.items():
+        schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(header))]
                               + [T.StructField(CORRUPT_COL, T.StringType())])
-        df = (spark.read.schema(schema)
-              .option("header", True).option("sep", sep).option("encoding", "UTF-8")
-              .option("quote", '"').option("escape", '"').option("multiLine", multi_line)
-              .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT_COL)
-              .option("nullValue", None).option("emptyValue", "")
-              .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-              .csv(members))
-        frames.append(df.select(*[F.col(f"_c{i}").alias(n) for i, n in enumerate(names)], CORRUPT_COL,
-                                F.col("_metadata.file_path").alias("_file"),
-                                F.col("_metadata.file_block_start").alias("_block")))
+        broken = quoted_csv.broken_files(spark, members, sep) if multi_line is None else set()
+        plain = [m for m in members if not any(_same_file(m, b) for b in broken)]
+        parts = []
+        if plain:
+            df = spark.read.schema(schema).options(**_csv_options(), header=True, sep=sep, multiLine=bool(multi_line)).csv(plain)
+            parts.append(df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")))
+        if broken:
+            parts.append(quoted_csv.read(spark, sorted(set(members) - set(plain)), schema, sep, _csv_options()))
+        for df in parts:
+            frames.append(df.select(*[F.col(f"_c{i}").alias(n) for i, n in enumerate(header)], CORRUPT_COL, "_file", "_block"))
     return frames
 
 
+def _same_file(a: str, b: str) -> bool:
+    """File names as the file system and as Spark's metadata write them (``file:/x``, ``file:///x``, escapes)."""
+    plain = lambda p: re.sub("^([a-z0-9]+):/+", r"\1:/", unquote(p))
+    return plain(a) == plain(b)
+
+
 def normalise_columns(raw: DataFrame, spec: SourceSpec) -> DataFrame:
     """Header strip+lower, alias map, injected constants, blank-row drop, trim, known fields only.
 
@@ -187,7 +210,7 @@ def normalise_cells(rows: DataFrame, spec: SourceSpec) -> DataFrame:
                      "_file", "_block", BLANK_COL)
 
 
-def read_export(spark: SparkSession, path: str, spec: SourceSpec, multi_line: bool = True) -> DataFrame:
+def read_export(spark: SparkSession, path: str, spec: SourceSpec, multi_line: bool | None = None) -> DataFrame:
     """Read one export (CSV or XLSX by suffix) into canonical string columns."""
     suffix = PurePath(path).suffix.lower()
     if suffix == ".csv":
