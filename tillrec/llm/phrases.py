@@ -8,7 +8,7 @@ it is lowest, in exact decimals. A candidate most of whose places lie in a longe
 
 A task counts in a trie over word ids whose nodes are hash containers: a container that holds more than
 ``BURST`` tails is burst into one container for each next word. When the trie holds more than ``HELD``
-entries, its largest subtrees are spilled, each as a sorted run of (phrase, count). A phrase's runs meet in
+entries, its largest subtrees are spilled whole, as a sorted run of (phrase, count). A phrase's runs meet in
 the partition of its prefix (all its words but the last) and are merged there by summing; no count depends
 on when a task spilled. Phrases of n words are counted only where both phrases of n - 1 words in them
 have ``MIN_COUNT`` places or more, so each length is one pass that reads a filter of the shorter phrases: a Bloom
@@ -22,10 +22,12 @@ inside one piece. Ties are in the order of score, count, phrase (UTF-8 bytes).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -201,28 +203,49 @@ class HatTrie:
         for child in node.children.values():
             child.size = len(child.counts)
 
-    def spilled(self, keep: int) -> Iterator[list[tuple[tuple[int, ...], int]]]:
-        """Take out whole subtrees, the largest first, until ``keep`` entries are left."""
+    def spilled(self, keep: int) -> tuple[np.ndarray, np.ndarray]:
+        """Take out whole subtrees, the largest first, until ``keep`` entries are left: their phrases (one
+        a row) and counts."""
         if self.root.children is None or not keep:
-            entries = list(self._entries(self.root, 0, ()))
+            out = self._entries([(self.root, ())])
             self.root = Node()
-            yield entries
-            return
+            return out
+        gone = []
         for word, child in sorted(self.root.children.items(), key=lambda x: -x[1].size):
             if self.root.size <= keep:
                 break
             del self.root.children[word]
             self.root.size -= child.size
-            yield list(self._entries(child, 1, (word,)))
-
-    def _entries(self, node: Node, depth: int, path: tuple[int, ...]) -> Iterator[tuple[tuple[int, ...], int]]:
-        if node.children is None:
-            shifts = [32 * k for k in range(self.n - depth - 1, -1, -1)]
-            for tail, c in node.counts.items():
-                yield path + tuple((tail >> s) & 0xFFFFFFFF for s in shifts), c
-        else:
-            for word, child in node.children.items():
-                yield from self._entries(child, depth + 1, path + (word,))
+            gone.append((child, (word,)))
+        return self._entries(gone)
+
+    def _entries(self, subtrees: list[tuple[Node, tuple[int, ...]]]) -> tuple[np.ndarray, np.ndarray]:
+        leaves: list[list[tuple[tuple[int, ...], dict[int, int]]]] = [[] for _ in range(self.n)]
+        while subtrees:
+            node, path = subtrees.pop()
+            if node.children is None:
+                leaves[len(path)].append((path, node.counts))
+            else:
+                subtrees += [(child, (*path, word)) for word, child in node.children.items()]
+        grams, counts = [], []
+        for depth, some in enumerate(leaves):
+            sizes = [len(box) for _, box in some]
+            m = sum(sizes)
+            paths = np.repeat(np.array([p for p, _ in some], dtype=np.int64).reshape(len(some), depth), sizes, axis=0)
+            grams.append(np.concatenate([paths, _unpacked(chain.from_iterable(box for _, box in some), m, self.n - depth)], axis=1))
+            counts.append(np.fromiter(chain.from_iterable(box.values() for _, box in some), np.int64, m))
+        return np.concatenate(grams), np.concatenate(counts)
+
+
+def _unpacked(tails: Iterable[int], count: int, words: int) -> np.ndarray:
+    """The word ids of packed tails, one tail a row."""
+    low = (1 << 32) - 1
+    if words > 2:
+        whole = list(tails)
+        first = _unpacked((t >> 64 for t in whole), count, words - 2)
+        return np.concatenate([first, _unpacked((t & ((1 << 64) - 1) for t in whole), count, 2)], axis=1)
+    flat = np.fromiter(tails, np.int64, count)
+    return flat[:, None] if words == 1 else np.stack([flat >> 32, flat & low], axis=1)
 
 
 def _packed(grams: np.ndarray, depth: int) -> list[int]:
@@ -310,20 +333,26 @@ class Counter:
         self.held = [np.array([self.words[old.listed[i]] if i else 0 for i in last.tolist()], dtype=np.int64)]
 
     def runs(self, keep: int) -> Iterator[pa.RecordBatch]:
-        """Spilled subtrees as sorted runs."""
-        listed = self.words.listed
-        for entries in self.trie.spilled(keep):
-            named = sorted((b" ".join([listed[i] for i in gram]), listed[gram[-1]], c) for gram, c in entries)
-            for at in range(0, len(named), _ROWS):
-                some = named[at:at + _ROWS]
-                parts = [xxhash.xxh64_intdigest(p[:-len(last) - 1] if self.n > 1 else p) - (1 << 63) for p, last, _ in some]
-                yield _rows(self.lang, parts, [p for p, _, _ in some], [c for _, _, c in some])
-
-
-def _rows(lang: str, parts: list[int], phrases: list[bytes], counts: list[int]) -> pa.RecordBatch:
+        """Spilled subtrees as a run, sorted by the phrases' words."""
+        grams, counts = self.trie.spilled(keep)
+        if not len(grams):
+            return
+        words = pa.array(self.words.listed, pa.binary())
+        rank = np.empty(len(words), np.int64)
+        rank[pc.sort_indices(words).to_numpy()] = np.arange(len(words))
+        order = np.lexsort([rank[grams[:, k]] for k in range(self.n - 1, -1, -1)])
+        grams, counts = grams[order], counts[order]
+        hashes = np.array(self.words.hashes, dtype=np.uint64)
+        parts = phrase_hash([hashes[grams[:, k]] for k in range(max(self.n - 1, 1))]).view(np.int64)
+        for at in range(0, len(grams), _ROWS):
+            some = slice(at, at + _ROWS)
+            columns = [words.take(pa.array(grams[some, k])) for k in range(self.n)]
+            yield _rows(self.lang, parts[some], pc.binary_join_element_wise(*columns, b" ") if self.n > 1 else columns[0], counts[some])
+
+
+def _rows(lang: str, parts: np.ndarray, phrases: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([lang] * len(parts), pa.string()), pa.array(parts, pa.int64()),
-                                       pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())],
-                                      schema=common.arrow_schema(_RUN))
+                                       phrases.cast(pa.string()), pa.array(counts, pa.int64())], schema=common.arrow_schema(_RUN))
 
 
 # --------------------------------------------------------------------------- passes over the corpus
@@ -344,7 +373,7 @@ def counted(texts: DataFrame, n: int, words: Broadcast | None = None, shorter: B
             c.count()
             yield from c.runs(0)
             if n == 1:
-                yield _rows(c.lang, [0], [b""], [c.total])
+                yield _rows(c.lang, np.zeros(1, np.int64), pa.array([b""]), np.array([c.total]))
 
     runs = texts.mapInArrow(run, _RUN_DDL).repartition("part")
     return runs.groupBy("part", "lang", "phrase").agg(F.sum("n").alias("n")).drop("part")
