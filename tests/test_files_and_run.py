@@ -154,6 +154,37 @@ def test_documented_run_history_and_drilldown(spark, tmp_path, capsys):
     assert json.loads(capsys.readouterr().out)["alerts_open"] == 2
 
 
+def _metric_rows(spark, rows):
+    return spark.createDataFrame([(m, f, 1.0, net, gaps, value) for m, f, net, gaps, value in rows],
+                                 "reference_month string, file_name string, gross_revenue_brl double, net_revenue_brl double, "
+                                 "gaps_count int, gaps_value_brl double")
+
+
+def test_latest_run_only_counts_a_month_once(spark):
+    m = _metric_rows(spark, [("2026-01", "a1", 1.0, 4, 10.0), ("2026-01", "a2", 2.0, 6, 30.5), ("2026-02", "b1", 3.0, 2, 5.0),
+                             ("2026-01", "a3", 9.0, 1, 2.25)])
+    every = H.dashboard_totals(m, spark.range(0)).collect()[0]
+    newest = H.dashboard_totals(m, spark.range(0), latest_run_only=True).collect()[0]
+    assert (every["total_recovered_brl"], newest["total_recovered_brl"]) == (47.75, 7.25)
+    assert newest["total_hours_saved"] == every["total_hours_saved"] / 13 * 3
+    assert [(r["month"], r["net_revenue"]) for r in H.trend_last_n(m, 6, latest_run_only=True).collect()] == [("2026-01", 9.0), ("2026-02", 3.0)]
+
+
+def test_gaps_and_period_show_the_same_run(spark, tmp_path):
+    gap = lambda i, v: {"transaction_id": i, "source": "PDV", "amount_brl": v, "gap_type": "T", "detail": "d"}
+    for name, net, gaps in (("dre_2026-03_20260401.json", 1.0, [gap("b", 5.0), gap("a", 5.0), gap("c", 7.0)]),
+                            ("dre_2026-03_20260402.json", 2.0, [gap("z", 9.0)]), ("dre_2026-04_20260501.json", 3.0, []),
+                            ("dre_2026-04_20260502.json", 4.0, [gap("y", 1.0)])):
+        (tmp_path / name).write_text(json.dumps({"reference_month": name[4:11], "net_revenue_brl": net, "gaps_detected": len(gaps), "gaps": gaps}))
+    art = artefacts.read_artefacts(spark, str(tmp_path / "*.json"))
+    gaps, m = artefacts.artefact_gaps(art), H.period_metrics(art)
+    # ties stay in the file's order; a first run without gaps shows none, not the later run's
+    assert [r["transaction_id"] for r in H.stored_gaps(gaps, "2026-03").collect()] == ["c", "b", "a"]
+    assert H.period_lookup(m, "2026-03").collect()[0]["net_revenue_brl"] == 1.0
+    assert H.stored_gaps(gaps, "2026-04").collect() == [] and H.period_lookup(m, "2026-04").collect()[0]["gaps_count"] == 0
+    assert [r["transaction_id"] for r in H.stored_gaps(gaps, "2026-04", shown_run="dre_2026-04_20260502.json").collect()] == ["y"]
+
+
 def test_empty_sheets_say_so(spark, tmp_path):
     from tillrec.sinks import writers
     empty = spark.createDataFrame([], "transaction_id string, source string, amount_brl double, gap_type string, detail string")

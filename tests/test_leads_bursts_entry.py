@@ -2,6 +2,9 @@ import datetime as dt
 import json
 import random
 
+import numpy as np
+import pytest
+from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from tillrec.operators import bursts, leads as L
@@ -111,18 +114,67 @@ def test_burst_flags_hot_key_across_partitions(spark):
     assert got == _brute_flags(ev)
 
 
-def test_burst_flags_fold_every_row_once(spark, monkeypatch):
-    """A dense key that spans all partitions: whatever their number, one pass of work in total."""
+def _counted(monkeypatch):
+    """The folds of burst_flags: (rows folded by them, jobs)."""
+    seen = []
+    plain = bursts._fold
+
+    def fold(links, leads, serial, *rest):
+        seen.append((len(links), leads, serial))
+        return plain(links, leads, serial, *rest)
+
+    monkeypatch.setattr(bursts, "_fold", fold)
+    return seen
+
+
+@pytest.mark.parametrize("step", [1, 13])
+def test_a_dense_key_takes_three_folds_whatever_the_partitions(spark, monkeypatch, step):
+    """One key over all partitions, its window always full (1) or never quite (13)."""
     t0 = dt.datetime(2026, 1, 1)
-    ev = [(i, t0 + dt.timedelta(seconds=i), 1) for i in range(800)]
+    ev = [(i, t0 + dt.timedelta(seconds=step * i), 1) for i in range(800)]
     df = spark.createDataFrame(ev, "event_id long, ts timestamp_ntz, user_id long")
-    for n in (4, 8, 16):
+    for n in (4, 64):
+        seen = _counted(monkeypatch)
         out = bursts.burst_flags(df, partitions=n)
-        assert out.count() == 800                      # a row folded twice would be there twice
+        assert len(seen) <= 3 and seen[0][0] <= n
+        assert out.count() == 800                      # a row of two passes would be there twice
         assert {r["event_id"]: r["accepted"] for r in out.collect()} == _brute_flags(ev)
+        monkeypatch.undo()
     assert bursts.burst_flags(df.limit(0)).collect() == []
 
 
+def test_right_states_stop_the_third_fold(spark, monkeypatch):
+    # bursts with quiet times between them: the state of a partition's end doesn't depend on its start
+    t0 = dt.datetime(2026, 1, 1)
+    ev = [(i, t0 + dt.timedelta(seconds=200 * (i // 40) + i % 40), 1) for i in range(800)]
+    seen = _counted(monkeypatch)
+    df = spark.createDataFrame(ev, "event_id long, ts timestamp_ntz, user_id long")
+    got = {r["event_id"]: r["accepted"] for r in bursts.burst_flags(df, partitions=16).collect()}
+    assert got == _brute_flags(ev) and [x[1:] for x in seen] == [(False, False), (True, False)]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**9), st.integers(1, 6), st.integers(1, 40))
+def test_admission_in_batches_equals_brute_force(seed, limit, batch):
+    rnd = random.Random(seed)
+    rows = sorted((rnd.randint(1, 3), rnd.randint(0, rnd.choice([60, 400]))) for _ in range(120))
+    keys, times = np.array([k for k, _ in rows]), np.array([t for _, t in rows])
+    want, acc = [], {}
+    for k, t in rows:
+        live = [a for a in acc.get(k, []) if a >= t - 20]
+        want.append(len(live) < limit)
+        acc[k] = live + [t] * want[-1]
+    a = bursts.Admission(limit, 20)
+    got = np.concatenate([a.feed(keys[i:i + batch], times[i:i + batch]) for i in range(0, len(rows), batch)])
+    assert got.tolist() == want
+    # from a seed: the rest of the first key's events
+    cut = rnd.randint(1, 119)
+    a = bursts.Admission(limit, 20)
+    a.feed(keys[:cut], times[:cut])
+    b = bursts.Admission(limit, 20, a.key, tuple(a.accepted))
+    assert np.concatenate([b.feed(keys[i:i + batch], times[i:i + batch]) for i in range(cut, len(rows), batch)]).tolist() == want[cut:]
+
+
 def test_lead_times_lines_without_id_and_paging(spark):
     forms = {"a": "2026-01-10T10:00:00+00:00", "b": "2026-01-10T07:00:00-03:00", "c": "2026-01-10T10:00:00.000Z",
              "d": "2026-01-10T10:00:00", "e": "2026-01-10 10:00", "f": "2020-01-10T10:00:00+00:00", "g": "bad"}

@@ -46,8 +46,8 @@ def _dashboard(ns: argparse.Namespace) -> None:
             else spark.createDataFrame([], "alert_id string, ack_at timestamp")
         opened = A.alerts_open(alerts, acks)
     latest = [r.asDict() for r in H.latest_period(metrics).collect()]          # one row
-    trend = [r.asDict() for r in H.trend_last_n(metrics, ns.trend).collect()]  # at most 24 rows
-    totals = H.dashboard_totals(metrics, opened).collect()[0].asDict()
+    trend = [r.asDict() for r in H.trend_last_n(metrics, ns.trend, ns.latest_run_only).collect()]  # at most 24 rows
+    totals = H.dashboard_totals(metrics, opened, ns.latest_run_only).collect()[0].asDict()
     print(json.dumps({"latest_period": latest[0] if latest else None, "trend": trend, **totals}, default=str))
 
 
@@ -66,7 +66,7 @@ def _gaps(ns: argparse.Namespace) -> None:
     spark = build_session()
     gaps = artefacts.read_run_gaps(spark, ns.gaps) if ns.gaps \
         else artefacts.artefact_gaps(artefacts.read_artefacts(spark, ns.artefacts))
-    found = H.stored_gaps(gaps, ns.month, ns.min_amount)
+    found = H.stored_gaps(gaps, ns.month, ns.min_amount, ns.run)
     if ns.out:
         found.write.mode("overwrite").option("header", True).csv(ns.out)
         return
@@ -93,6 +93,7 @@ def main(argv: list[str] | None = None) -> None:
     r.set_defaults(fn=_run)
     d = sub.add_parser("dashboard", help="KPIs over past statement artefacts")
     d.add_argument("--trend", type=int, default=6)
+    d.add_argument("--latest-run-only", action="store_true", help="count only the newest run of each month")
     d.add_argument("--alerts", help="alerts of past runs (their alerts folder)")
     d.add_argument("--acks", help="JSON lines of acknowledgements (alert_id, ack_at)")
     d.set_defaults(fn=_dashboard)
@@ -102,11 +103,12 @@ def main(argv: list[str] | None = None) -> None:
     for q in (d, m):
         q.add_argument("--artefacts", required=True, help="glob of statement JSON files")
         q.add_argument("--json-lines", action="store_true", help="artefacts are JSON lines (our writer)")
-    g = sub.add_parser("gaps", help="gaps of one month over stored runs (the newest run of the month)")
+    g = sub.add_parser("gaps", help="gaps of one month over stored runs (the month's first run, as in period)")
     where = g.add_mutually_exclusive_group(required=True)
     where.add_argument("--gaps", help="gaps folder of past runs")
     where.add_argument("--artefacts", help="glob of single-document artefacts")
     g.add_argument("--month", required=True)
+    g.add_argument("--run", help="stamp of another run of the month")
     g.add_argument("--min-amount", type=float, default=0.0)
     g.add_argument("--top", type=int, default=100)
     g.add_argument("--out", help="write all of them as CSV instead")

@@ -61,10 +61,11 @@ def latest_period(metrics: DataFrame) -> DataFrame:
     return best.select("p.*")
 
 
-def trend_last_n(metrics: DataFrame, n: int = 6) -> DataFrame:
+def trend_last_n(metrics: DataFrame, n: int = 6, latest_run_only: bool = False) -> DataFrame:
     """Last ``n`` artefacts (1..24) by (month, file name) — a top-n report, so the limit is the feature."""
     if not 1 <= n <= 24:
         raise ValueError("n must be within 1..24")
+    metrics = latest_runs(metrics) if latest_run_only else metrics
     top = metrics.orderBy(F.col("reference_month").desc(), F.col("file_name").desc()).limit(n)
     return top.orderBy("reference_month", "file_name").select(
         F.col("reference_month").alias("month"), F.col("gross_revenue_brl").alias("gross_revenue"),
@@ -89,9 +90,17 @@ def gap_drilldown(gaps: DataFrame, month: str, min_amount: float = 0.0) -> DataF
              .orderBy(F.col("amount_brl").desc(), "gap_order", "transaction_id"))
 
 
-def dashboard_totals(metrics: DataFrame, open_alerts: DataFrame) -> DataFrame:
-    """Recovered value and hours over ALL artefacts, plus the open-alert count (one row)."""
-    totals = metrics.agg(
+def latest_runs(artefacts: DataFrame) -> DataFrame:
+    """The newest run of each month only: a month that was run again doesn't count twice. Runs without a month
+    are one group."""
+    return (artefacts.groupBy(F.col("reference_month").alias("_month"))
+            .agg(F.max_by(F.struct(*artefacts.columns), F.col("file_name")).alias("r")).select("r.*"))
+
+
+def dashboard_totals(metrics: DataFrame, open_alerts: DataFrame, latest_run_only: bool = False) -> DataFrame:
+    """Recovered value and hours over ALL artefacts (or the newest run of each month), plus the open-alert
+    count (one row)."""
+    totals = (latest_runs(metrics) if latest_run_only else metrics).agg(
         F.round(F.coalesce(F.sum(F.col("gaps_value_brl").cast("decimal(18,2)")), F.lit(0)), 2)
          .cast("double").alias("total_recovered_brl"),
         F.round(F.coalesce(F.sum("gaps_count"), F.lit(0)) * F.lit(HOURS_PER_GAP), 1).alias("total_hours_saved"))
@@ -99,12 +108,14 @@ def dashboard_totals(metrics: DataFrame, open_alerts: DataFrame) -> DataFrame:
     return totals.select("*", opened.alias("alerts_open"))
 
 
-def stored_gaps(gaps: DataFrame, month: str, min_amount: float = 0.0) -> DataFrame:
+def stored_gaps(gaps: DataFrame, month: str, min_amount: float = 0.0, shown_run: str | None = None) -> DataFrame:
     """Gaps of one month over stored runs (``artefacts.read_run_gaps`` or ``artefacts.artefact_gaps``):
-    the newest run of the month only, largest first."""
+    those of the month's first run, the one that ``period_lookup`` shows; largest first, then in the run's
+    order. ``shown_run`` names it where it may have no gap rows (a run folder of parquet has none then)."""
     of_month = gaps.where(F.col("reference_month") == month)
-    newest = of_month.agg(F.max("file_name")).scalar()
-    return (of_month.where((F.col("file_name") == newest) & (F.coalesce(F.col("amount_brl"), F.lit(0.0)) >= F.lit(min_amount)))
+    shown = F.lit(shown_run) if shown_run else of_month.agg(F.min("file_name")).scalar()
+    is_gap = F.col("gap_type").isNotNull() | F.col("transaction_id").isNotNull()
+    return (of_month.where((F.col("file_name") == shown) & is_gap & (F.coalesce(F.col("amount_brl"), F.lit(0.0)) >= F.lit(min_amount)))
+            .orderBy(F.col("amount_brl").desc_nulls_last(), "gap_order", "transaction_id")
             .select("file_name", "transaction_id", "source", F.coalesce("gap_type", F.lit("UNKNOWN")).alias("gap_type"),
-                    F.round(F.col("amount_brl"), 2).alias("amount_brl"), "detail")
-            .orderBy(F.col("amount_brl").desc_nulls_last(), "transaction_id"))
+                    F.round(F.col("amount_brl"), 2).alias("amount_brl"), "detail"))

@@ -68,9 +68,10 @@ def read_artefacts(spark: SparkSession, pattern: str, multi_line: bool = True) -
 
 
 def artefact_gaps(artefacts: DataFrame) -> DataFrame:
-    """Gap rows of legacy artefacts (``inline`` of the array), tagged with month and file."""
-    return artefacts.select("reference_month", "file_name", F.inline_outer("gaps")) \
-                    .where(F.col("gap_type").isNotNull() | F.col("transaction_id").isNotNull())
+    """Gap rows of legacy artefacts, tagged with month, file and place in the file (``gap_order``). A run
+    without gaps has one row of nulls, so that it still counts as the month's first run."""
+    placed = artefacts.select("reference_month", "file_name", F.posexplode_outer("gaps").alias("gap_order", "g"))
+    return placed.select("reference_month", "file_name", "g.*", "gap_order")
 
 
 def read_run_gaps(spark: SparkSession, gaps_dir: str) -> DataFrame:
