@@ -47,3 +47,77 @@ def test_a_replayed_epoch_replaces_itself(spark, tmp_path):
         write(batch, epoch)
     assert spark.read.parquet(str(tmp_path / "valid")).count() == 2
     assert spark.read.parquet(str(tmp_path / "quarantine")).count() == 2
+
+
+def _files(spark, folder, frames):
+    """One file a micro-batch, in the order given."""
+    import os
+    import time
+    for n, df in enumerate(frames):
+        tmp = f"{folder}/_{n}"
+        df.coalesce(1).write.parquet(tmp)
+        name = next(f for f in os.listdir(tmp) if f.endswith(".parquet"))
+        os.rename(f"{tmp}/{name}", f"{folder}/{n:03d}.parquet")
+        os.utime(f"{folder}/{n:03d}.parquet", (time.time() + n, time.time() + n))
+
+
+def test_admission_in_order_gives_the_batch_flags(spark, tmp_path):
+    import random
+
+    from tillrec.operators import bursts
+    rnd = random.Random(3)
+    t0 = dt.datetime(2026, 1, 1)
+    rows = [(i, rnd.choice([1, 1, 1, 2]), t0 + dt.timedelta(milliseconds=1000 * rnd.randint(0, 1200) + rnd.choice([0, 0, 7]))) for i in range(500)]
+    arrival = sorted(rows, key=lambda r: r[2] + dt.timedelta(seconds=rnd.randint(0, 100)))       # late by less than the watermark
+    end = [(1000 + k, 9, t0 + dt.timedelta(hours=2 + k)) for k in range(2)]                       # pushes the watermark on
+    (tmp_path / "in").mkdir()
+    schema = "event_id long, user_id long, ts timestamp"
+    parts = [arrival[i:i + 125] for i in range(0, 500, 125)] + [end[:1], end[1:]]
+    _files(spark, str(tmp_path / "in"), [spark.createDataFrame(p, schema) for p in parts])
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in") + "/*.parquet")
+    q = (bursts_stream.admission_in_order(stream).writeStream.format("memory").queryName("in_order")
+         .outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    got = {r["event_id"]: r["accepted"] for r in spark.sql("SELECT * FROM in_order WHERE event_id < 1000").collect()}
+    batch = bursts.burst_flags(spark.createDataFrame(rows, schema).withColumn("ts", __import__("pyspark").sql.functions.col("ts").cast("timestamp_ntz")))
+    assert got == {r["event_id"]: r["accepted"] for r in batch.collect()} and len(got) == 500 and not all(got.values())
+    # what is left waits for the last watermark: the two events at the end and their timers
+    left = sum(op.numRowsTotal for op in q.lastProgress.stateOperators) if hasattr(q.lastProgress, "stateOperators") \
+        else sum(op["numRowsTotal"] for op in q.lastProgress["stateOperators"])
+    assert left <= 20
+
+
+def test_streamed_gaps_equal_the_batch_gaps(spark, tmp_path):
+    import random
+    from decimal import Decimal
+
+    from tillrec.operators import reconcile
+    from tillrec.streaming import gaps_stream
+    rnd = random.Random(6)
+    t0 = dt.datetime(2026, 3, 1)
+    day = lambda lo, hi: t0 + dt.timedelta(days=rnd.randint(lo, hi), seconds=rnd.randint(0, 86399))
+    amounts = [Decimal(c) / 100 for c in (1000, 1004, 1005, 1006, 1011, 5000, 5003, 99900)]
+    make = lambda p, n: [(f"{p}{i}", day(0, 9), rnd.choice(amounts), rnd.choice(["credito", "debito", "pix"])) for i in range(n)]
+    sales, settled = make("P", 120), make("A", 60)
+    sales += [("P900", t0, Decimal("77.00"), "credito")] * 2                      # equal rows
+    s_schema = "transaction_id string, transaction_date timestamp_ntz, gross_value decimal(18,2), payment_method string"
+    a_schema = "authorization_code string, settlement_date timestamp_ntz, gross_value decimal(18,2), payment_method string"
+    late = lambda rows: sorted(rows, key=lambda r: r[1] + dt.timedelta(hours=rnd.randint(0, 40)))
+    end = lambda p, k: [(f"{p}END{k}", t0 + dt.timedelta(days=60 + 30 * k), Decimal("1.00"), "credito")]
+    frames = {}
+    for name, rows, schema, p in (("s", late(sales), s_schema, "P"), ("a", late(settled), a_schema, "A")):
+        (tmp_path / name).mkdir()
+        size = -(-len(rows) // 4)
+        parts = [rows[i:i + size] for i in range(0, len(rows), size)] + [end(p, 0), end(p, 1)]
+        _files(spark, str(tmp_path / name), [spark.createDataFrame(x, schema) for x in parts])
+        frames[name] = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name) + "/*.parquet")
+    gaps = gaps_stream.gaps_stream(frames["s"], frames["a"])
+    q = (gaps.writeStream.format("memory").queryName("gaps").outputMode("append")
+         .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start())
+    q.awaitTermination(600)
+    key = lambda r: (r["gap_type"], r["transaction_id"], r["amount_brl"], r["detail"], r["gap_date"])
+    got = sorted(key(r) for r in spark.sql("SELECT * FROM gaps").collect() if "END" not in r["transaction_id"])
+    b_sales, b_settled = spark.createDataFrame(sales, s_schema), spark.createDataFrame(settled, a_schema)
+    orders = spark.createDataFrame([], "order_id string, order_date timestamp_ntz, gross_value decimal(18,2), status string")
+    want = sorted(key(r) for r in reconcile.gaps_all(b_sales, b_settled, orders).collect())
+    assert got == want and len(want) > 10
