@@ -2,9 +2,8 @@
 
 Each accepted layout becomes an anchored regex (what python's strptime
 accepts for it: 1- or 2-digit day/month/hour, 4-digit year, runs of blanks,
-case-insensitive literals); the captured parts go to
-``try_make_timestamp_ntz``, which yields null for impossible dates such as
-31/02. No session time zone is involved, so results do not depend on where
+case-insensitive literals); the captured parts are cast as ISO text, which
+yields null for impossible dates such as 31/02. No session time zone is involved, so results do not depend on where
 the job runs.
 """
 
@@ -48,30 +47,51 @@ def layout_regex(layout: str) -> tuple[str, list[str]]:
     return "".join(out), order
 
 
-def _canonical(s: Column, layout: str) -> Column:
-    """``Y,m,d,H,M,S`` text when ``s`` has this layout, else null (one regex replace)."""
+def _by_regex(s: Column, layout: str) -> Column:
+    """ISO text when ``s`` has this layout, else null (one regex replace)."""
     pattern, order = layout_regex(layout)
     group = {d: f"${n + 1}" for n, d in enumerate(order)}
     defaults = {"Y": "1", "m": "1", "d": "1", "H": "0", "M": "0", "S": "0"}
-    replacement = ",".join(group.get(d, defaults[d]) for d in "YmdHMS")
-    return F.when(s.rlike(pattern), F.regexp_replace(s, pattern, replacement))
+    part = {d: group.get(d, defaults[d]) for d in "YmdHMS"}
+    text = F.regexp_replace(s, pattern, "{Y}-{m}-{d} {H}:{M}:{S}".format(**part))
+    return F.when(s.rlike(pattern), F.replace(text, F.lit("- "), F.lit("-")))      # a day padded with a blank
+
+
+def _shape(layout: str) -> str:
+    """A zero-padded text of a layout, with every digit a 0."""
+    return re.sub("%([YmdHMS])", lambda m: "0000" if m[1] == "Y" else "00", layout)
+
+
+def _by_place(s: Column, layout: str) -> Column:
+    """ISO text cut out of a text that has the layout's shape."""
+    at, place = 1, {}
+    for piece in re.findall("%[YmdHMS]|.", layout):
+        size = 1 if len(piece) == 1 else 4 if piece == "%Y" else 2
+        place[piece] = F.substring(s, at, size)
+        at += size
+    day = F.concat_ws("-", place["%Y"], place["%m"], place["%d"])
+    return F.concat_ws(" ", day, F.concat_ws(":", place["%H"], place["%M"], place["%S"])) if "%H" in place else day
 
 
 def timestamp_parts(s: Column, layouts: Sequence[str]) -> Column:
-    """array<int> [Y, m, d, H, M, S] from the first layout that matches, else null.
+    """ISO text of the first layout that matches, else null; ``parts_to_timestamp`` checks the values.
 
-    Materialise this in its own projection and feed ``parts_to_timestamp``;
-    the regex work then happens once per row.
+    Nearly all texts are zero-padded: they are told by their shape (digits as 0) and cut by place. Only the others meet
+    the layouts' regexes. Materialise this in its own projection, so that the work happens once per row.
     """
-    canon = F.coalesce(*[_canonical(s, lay) for lay in layouts])
-    return F.transform(F.split(canon, ","), lambda x: F.trim(x).cast("int"))
+    shape = F.translate(s, "123456789", "000000000")
+    out = None
+    for layout in layouts:
+        if "%Y" in layout and "%m" in layout and "%d" in layout:
+            cut = _by_place(s, layout)
+            out = F.when(shape == _shape(layout), cut) if out is None else out.when(shape == _shape(layout), cut)
+    others = F.coalesce(*[_by_regex(s, layout) for layout in layouts])
+    return others if out is None else out.otherwise(others)
 
 
 def parts_to_timestamp(parts: Column) -> Column:
-    """Timestamp (no zone) from parts; null for impossible dates (31/02) and second >= 60."""
-    sec = parts[5]
-    ts = F.try_make_timestamp_ntz(parts[0], parts[1], parts[2], parts[3], parts[4], sec.cast("decimal(8,6)"))
-    return F.when(sec < 60, ts)
+    """Timestamp (no zone) from ISO text; null for impossible dates (31/02) and second >= 60."""
+    return parts.try_cast("timestamp_ntz")
 
 
 def parse_timestamp(s: Column, layouts: Sequence[str]) -> Column:

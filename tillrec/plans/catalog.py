@@ -21,7 +21,7 @@ from tillrec.constants import (
 )
 from tillrec.operators import alerts as A, bursts, enrich, history as H, leads as L, reconcile, statement, \
     validate as V
-from tillrec.plans import oracle
+from tillrec.plans import oracle, staging
 from tillrec.sources import derived, spec as S
 
 REFERENCE_MONTH = "2026-03"
@@ -151,14 +151,6 @@ def stripped(df: DataFrame) -> DataFrame:
     return df.select(*cols).withColumnRenamed("row_order", V.ROW_COL)
 
 
-def materialise(validated: DataFrame) -> DataFrame:
-    """For parsed exports with several consumers (valid rows, quarantine, counts): write them once
-    to the shared checkpoint folder, as the monthly job does."""
-    from tillrec.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(validated.sparkSession)
-    return validated.checkpoint(eager=True)
-
-
 class RawInputs:
     """Validated exports; nothing is stored here: most queries read each of them once."""
 
@@ -269,7 +261,9 @@ def q_extraction_counts(spark, sf_dir):
 def run_tables(spark: SparkSession, sf_dir: str, rates: Rates = RATES):
     """Valid rows of the three raw exports -> (ledger, gaps, counts)."""
     r = RawInputs(spark, sf_dir, rates)
-    vm, vp, va = materialise(r.v_marketplace()), materialise(r.v_pos()), materialise(r.v_acquirer())
+    exports = staging.stored({"marketplace": (r.v_marketplace(), S.MARKETPLACE), "pos": (r.v_pos(), S.POS),
+                              "acquirer": (r.v_acquirer(), S.ACQUIRER)}, originals=False)
+    vm, vp, va = exports["marketplace"], exports["pos"], exports["acquirer"]
     mk = V.valid_rows(vm, S.MARKETPLACE)
     ps = V.valid_rows(vp, S.POS)
     aq = V.valid_rows(va, S.ACQUIRER)

@@ -1,8 +1,8 @@
 """One monthly run: three export files in, statement, gaps, ledger and quarantine out.
 
 Stages:
-  read + normalise (per source) -> validate (checkpointed into spark.checkpoint.dir for its
-  three consumers) -> valid rows -> commission / fee lookup / ledger -> gaps, both written first
+  read + normalise (per source) -> validate (stored below spark.checkpoint.dir for its
+  consumers, the three exports side by side) -> valid rows -> commission / fee lookup / ledger -> gaps, both written first
   -> from those tables: statement (one row, month as label), per-method revenue, sheets, alerts.
 """
 
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tillrec.config import JobArgs
 from tillrec.functions.dates import ntz_text
 from tillrec.operators import alerts as A, enrich, reconcile, statement, validate as V
+from tillrec.plans import staging
 from tillrec.sinks import writers
 from tillrec.sources import files
 from tillrec.sources.spec import MARKETPLACE, POS, acquirer_spec
@@ -33,14 +34,6 @@ class RunOutputs:
     summary: DataFrame
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """Parse once for three consumers (valid rows, quarantine, counts): write the rows to the shared
-    checkpoint folder, so a lost executor never forces a re-read and re-parse of the exports."""
-    from tillrec.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def _union(parts) -> DataFrame:
     out = None
     for p in parts:
@@ -70,8 +63,8 @@ def build_run(spark: SparkSession, args: JobArgs, filter_month: bool = False, le
     rates = args.rates
     specs = {"marketplace": MARKETPLACE, "pos": POS, "acquirer": acquirer_spec(args.acquirer_name)}
     paths = {"marketplace": args.marketplace_path, "pos": args.pos_path, "acquirer": args.acquirer_path}
-    validated = {k: _stored(V.validate(files.read_export(spark, paths[k], specs[k]), specs[k], legacy_nan))
-                 for k in specs}
+    validated = staging.stored({k: (V.validate(files.read_export(spark, paths[k], specs[k]), specs[k], legacy_nan), specs[k])
+                                for k in specs})
     valid = {k: V.valid_rows(validated[k], specs[k]) for k in specs}
     if filter_month:
         date_col = {"marketplace": "order_date", "pos": "transaction_date", "acquirer": "settlement_date"}
