@@ -7,7 +7,7 @@ stay visible (they count, and erasure keeps them).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -102,9 +102,9 @@ def lead_page(parsed: DataFrame, from_ts: str | None, to_ts: str | None, skip: i
               limit: int = 100, after: int | None = None) -> DataFrame:
     """Well-formed leads in line order, date range inclusive at both ends (unparseable dates are
     kept). ``after`` is the last ``line_no`` of the page before: any page then costs one bounded top-n.
-    ``skip`` (up to 1000) is for the first pages — paging is the feature, so the limits stay."""
-    if not 1 <= limit <= 1000 or not 0 <= skip <= 1000:
-        raise ValueError("limit must be 1..1000 and skip 0..1000; page further with after")
+    A ``skip`` beyond 1000 numbers the lines by range partitions (one shuffle); ``lead_store`` finds deep pages from counts per file."""
+    if not 1 <= limit <= 1000 or skip < 0:
+        raise ValueError("limit must be 1..1000 and skip 0 or more")
     p = received_ts(parsed.where(F.col("lead").isNotNull()))
     ts = F.col("received_ts")
     keep = F.lit(True) if after is None else F.col("line_no") > F.lit(after)
@@ -112,8 +112,25 @@ def lead_page(parsed: DataFrame, from_ts: str | None, to_ts: str | None, skip: i
         keep = keep & (ts.isNull() | (ts >= F.lit(from_ts).cast("timestamp_ntz")))
     if to_ts:
         keep = keep & (ts.isNull() | (ts <= F.lit(to_ts).cast("timestamp_ntz")))
-    return (p.where(keep).orderBy("line_no").offset(skip).limit(limit)
-             .select("line_no", F.col("lead.id").alias("id"), "received_ts"))
+    rows = p.where(keep).select("line_no", F.col("lead.id").alias("id"), "received_ts")
+    if skip <= 1000:
+        return rows.orderBy("line_no").offset(skip).limit(limit)
+    return _numbered(rows).where((F.col("_nth") > skip) & (F.col("_nth") <= skip + limit)).orderBy("line_no").drop("_nth")
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Rows with ``_nth``, their place in the order of ``line_no``: a count inside each range partition and the
+    sizes of the partitions before (a row each)."""
+    from tillrec.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(rows.sparkSession)
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
+    staged = rows.repartitionByRange(parts, "line_no").withColumn("_piece", F.spark_partition_id()).checkpoint(eager=True)
+    sizes = staged.groupBy("_piece").agg(F.count(F.lit(1)).alias("_size"))
+    earlier = Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("_piece", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_piece").orderBy("line_no"))
+    return staged.withColumn("_inside", inside).join(before, "_piece").withColumn("_nth", F.col("_inside") + F.col("_before")) \
+        .drop("_piece", "_inside", "_before")
 
 
 def lead_lookup(parsed: DataFrame, lead_id: str) -> DataFrame:
