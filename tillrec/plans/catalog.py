@@ -21,7 +21,7 @@ from tillrec.constants import (
 )
 from tillrec.operators import alerts as A, bursts, enrich, history as H, leads as L, reconcile, statement, \
     validate as V
-from tillrec.plans import oracle, staging
+from tillrec.plans import oracle, staging, stored_queries
 from tillrec.sources import derived, spec as S
 
 REFERENCE_MONTH = "2026-03"
@@ -445,7 +445,8 @@ def q_statement_rows(spark, sf_dir):
 
 
 def queries() -> dict[str, Builder]:
-    return {name[2:]: fn for name, fn in globals().items() if name.startswith("q_") and callable(fn)}
+    own = {name[2:]: fn for name, fn in globals().items() if name.startswith("q_") and callable(fn)}
+    return own | stored_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
@@ -457,4 +458,4 @@ def oracle_sql() -> dict[str, str]:
     sql.update(oracle.alert_lookup_sql(ALERT_ID))
     sql.update(oracle.more_sql(LOOKUP_MONTH, DRILL_MIN_AMOUNT, TREND_N, RUN_STAMP, GENERATED_AT, LEAD_ID,
                                PAGE_FROM, PAGE_TO, PAGE_SKIP, PAGE_LIMIT))
-    return sql
+    return sql | stored_queries.oracle_sql(sql)
