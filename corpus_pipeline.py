@@ -3,6 +3,11 @@
 Every stage takes (spark, docs, sf_dir) and works on all that the stage before kept; all but the last
 return the columns of their input. ``run`` stores each stage's result in the shared folder and reads it
 again, so a lost executor repeats at most one stage's tasks.
+
+Defined cases: null, empty and short texts fail the quality rules and go; texts of any length are processed whole. Rows
+without a doc_id go through all stages and are never near-duplicates. Of texts that are near or equal copies the one
+of least doc_id stays; of rows that repeat a doc_id and text one stays; rows of one doc_id with other texts are
+documents of their own. Extra columns stay up to the last stage, whatever their names. Empty tables give no rows.
 """
 
 from __future__ import annotations
