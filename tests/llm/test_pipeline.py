@@ -46,6 +46,17 @@ def test_stages_return_the_columns_of_documents(spark, make_docs, tmp_path):
     assert sorted(rows_of(docs, "doc_id"), key=str) == [(1,), (None,)]
 
 
+def test_ties_repeats_and_long_texts(spark, make_docs, tmp_path):
+    spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    long = prose("l", 4000)
+    docs = make_docs([(5, prose("a")), (2, prose("a")), (2, prose("a")), (7, prose("b")), (7, prose("c")), (9, long), (10, long + "\nOne more line here."),
+                      (None, prose("a")), (11, ""), (12, "x" * 300_000)])
+    for _, stage in P.STAGES[:-1]:
+        docs = common.stored(stage(spark, docs, str(tmp_path)), "stage")
+    got = sorted(rows_of(docs, "doc_id", "text"), key=str)
+    assert got == sorted([(2, prose("a")), (7, prose("b")), (7, prose("c")), (9, long), (None, prose("a"))], key=str)
+
+
 def test_empty_documents(spark, make_docs, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs = make_docs([])
