@@ -61,3 +61,11 @@ def test_very_long_text_and_empty_table(make_docs):
     assert quality.line_verdicts(make_docs([(1, long)])).first()["n_words"] == 9 * 30 * 300
     assert quality.line_verdicts(make_docs([])).collect() == []
     assert quality.clean_documents(make_docs([])).collect() == []
+
+
+def test_sentences_end_as_their_script_ends_them():
+    lines = lambda word, end: "\n".join(" ".join(f"{word}{k}{word}{j}" for j in range(6)) + end for k in range(12))
+    hindi, thai, arabic = lines("शब्द", " शब्द।"), lines("คำ", " คำ"), lines("كلمة", " كلمة؟")
+    for text in (hindi, thai, arabic):
+        assert quality.judge(text).kept
+    assert not quality.judge(lines("word", " word")).kept

@@ -7,7 +7,8 @@ its text is rejected. A line is a piece between ``\\n``; a line without a word p
 * *symbols*: three words or more and over one symbol character per four words;
 * *shouting*: three words or more and over one ``!!`` per four words;
 * *boilerplate*: it holds one of the fixed phrases (A-Z lowered);
-* *unterminated*: nowhere in it does a sentence end (a mark before a space or the line's end).
+* *unterminated*: nowhere in it does a sentence end (a mark before a space or the line's end;
+  in scripts that end sentences with a space, a letter there).
 
 Whole-document rules come before: too few words, or too many words inside repeated three-word
 windows. All of it is per row, so there is no shuffle and memory is one Arrow batch.
@@ -35,7 +36,8 @@ BOILERPLATE = (
     "lorem ipsum", "powered by", "privacy policy", "skip to content", "subscribe to our newsletter",
     "terms of service", "terms of use",
 )
-SENTENCE_END = r"""[.!?…。！？:;]["'”’»)\]]*([\x20\x09-\x0D]|$)"""
+# Thai, Lao and Khmer letters: these scripts end a sentence with a space
+SENTENCE_END = r"""([.!?…。！？:;।॥؟۔።]["'”’»)\]]*|[ก-ໟក-៝])([\x20\x09-\x0D]|$)"""
 
 _END = re.compile(SENTENCE_END)
 _BOILER = re.compile("|".join(map(re.escape, BOILERPLATE)).encode())
@@ -198,7 +200,7 @@ worded AS (
 judged AS (
   SELECT *, (seps >= 2 AND 5 * seps >= n) OR (n >= 3 AND 4 * syms > n) OR (n >= 3 AND 4 * shouts > n)
     OR regexp_matches(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '(all rights reserved|click here|cookie policy|enable javascript|licensed under|lorem ipsum|powered by|privacy policy|skip to content|subscribe to our newsletter|terms of service|terms of use)')
-    OR NOT regexp_matches(line, '[.!?…。！？:;]["''”’»)\]]*([\x20\x09-\x0D]|$)') AS fails
+    OR NOT regexp_matches(line, '([.!?…。！？:;।॥؟۔።]["''”’»)\]]*|[ก-ໟក-៝])([\x20\x09-\x0D]|$)') AS fails
   FROM worded),
 byline AS (
   SELECT doc_id, count(*) FILTER (nth > 1) AS n_dup_lines, count(*) FILTER (fails) AS n_failed_lines,
