@@ -64,6 +64,8 @@ def _files(spark, folder, frames):
 def test_admission_in_order_gives_the_batch_flags(spark, tmp_path):
     import random
 
+    from pyspark.sql import functions as F
+
     from tillrec.operators import bursts
     rnd = random.Random(3)
     t0 = dt.datetime(2026, 1, 1)
@@ -79,7 +81,7 @@ def test_admission_in_order_gives_the_batch_flags(spark, tmp_path):
          .outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start())
     q.awaitTermination(300)
     got = {r["event_id"]: r["accepted"] for r in spark.sql("SELECT * FROM in_order WHERE event_id < 1000").collect()}
-    batch = bursts.burst_flags(spark.createDataFrame(rows, schema).withColumn("ts", __import__("pyspark").sql.functions.col("ts").cast("timestamp_ntz")))
+    batch = bursts.burst_flags(spark.createDataFrame(rows, schema).withColumn("ts", F.col("ts").cast("timestamp_ntz")))
     assert got == {r["event_id"]: r["accepted"] for r in batch.collect()} and len(got) == 500 and not all(got.values())
     # what is left waits for the last watermark: the two events at the end and their timers
     left = sum(op.numRowsTotal for op in q.lastProgress.stateOperators) if hasattr(q.lastProgress, "stateOperators") \
