@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import xxhash
@@ -11,7 +12,7 @@ UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def brute_fingerprint(text):
-    words = [w for w in __import__("re").split("[\x20\x09-\x0d]+", (text or "").translate(UPPER)) if w]
+    words = [w for w in re.split("[\x20\x09-\x0d]+", (text or "").translate(UPPER)) if w]
     parts = [" ".join(words[i:i + 3]) for i in range(len(words) - 2)] if len(words) >= 3 else [" ".join(words)] if words else []
     hashes = [xxhash.xxh64_intdigest(p.encode(), 42) for p in parts]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
