@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tillrec.session import kept
+
 RECORD, HEAD, TAIL = 0, 1, 2          # a whole record; lines that go on from the split before; lines left open at the end
 
 
@@ -87,7 +89,8 @@ def effects(lines: DataFrame, sep: str) -> DataFrame:
             state = found.setdefault(key, [False, True, True])
             for line in some:
                 if b'"' in line:
-                    state[:2] = after(line, state[0]), after(line, state[1])
+                    outside = after(line, state[0])
+                    state[:2] = outside, outside if state[0] == state[1] else after(line, state[1])
                 state[2] = state[2] and not line.strip()
         rows = [(*k, *v) for k, v in found.items()]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(
@@ -178,7 +181,8 @@ def across_splits(fragments: DataFrame) -> DataFrame:
 def records(spark: SparkSession, files: list[str], sep: str) -> DataFrame:
     """file, block, text of every record after the headers. Records that cross splits come last."""
     lines = lines_of(spark, files)
-    rows = glued(lines, sep, *starts(effects(lines, sep)))
+    # stored: whole records and fragments are both taken from it
+    rows = kept(glued(lines, sep, *starts(effects(lines, sep))), "records")
     return rows.where(F.col("kind") == RECORD).select("file", "block", "text") \
         .unionByName(across_splits(rows.where(F.col("kind") != RECORD)))
 
