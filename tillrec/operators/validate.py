@@ -14,6 +14,7 @@ from tillrec.functions.dates import parts_to_timestamp, timestamp_parts
 from tillrec.functions.enums import in_enum, normalise
 from tillrec.functions.money import MONEY, is_optional_blank, parse_money
 from tillrec.functions.text import py_strip
+from tillrec.session import compiled_code
 from tillrec.sources.spec import FieldRule, SourceSpec
 
 # FIXED VALUES: error wording (ours), "field: message".
@@ -123,9 +124,10 @@ def validate(df: DataFrame, spec: SourceSpec, legacy_nan: bool = False) -> DataF
 
     Three stacked projections: (1) raw text + date parts, (2) typed values,
     (3) error text. Catalyst keeps them apart because the parsed values are
-    referenced several times, so each regex/parse runs once per row and the
-    generated code stays small enough for whole-stage codegen.
+    referenced several times, so each regex/parse runs once per row; code too
+    large to be compiled as one method is generated as many.
     """
+    compiled_code(df.sparkSession)
     cols = set(df.columns)
     present = {r.name: r.name in cols for r in spec.fields}
     raw_cols = [F.col(r.name).alias(f"raw_{r.name}") for r in spec.fields if present[r.name]]
