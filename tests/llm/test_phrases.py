@@ -110,3 +110,20 @@ def test_scores_are_exact_beyond_64_bits(spark):
     grams = spark.createDataFrame([("en", 1, "a", big + 1), ("en", 1, "b", big), ("en", 2, "a b", big - 1)],
                                   "lang string, words int, phrase string, f long")
     assert rows_of(P.scored(grams), "score") == [(2_000_000 * (big - 1) // (2 * big + 1),)]
+
+
+def test_a_rare_word_is_hashed_once_a_block_not_at_each_of_its_places(monkeypatch):
+    hashed, digest = [], P.xxhash.xxh64_intdigest
+    monkeypatch.setattr(P.xxhash, "xxh64_intdigest", lambda word, seed: hashed.append(word) or digest(word, seed))
+    nothing = P.Filter(P.np.zeros(64, dtype=P.np.uint64))
+    counter = P.Counter("en", 2, nothing, nothing)
+    for _ in range(50):
+        counter.read(b"One rare  word.one\trare " * 20)
+    counter.count()
+    assert sorted(hashed) == [b"one", b"rare", b"word"] and list(counter.runs(0)) == []
+
+
+def test_pieces_of_nothing_but_separators_hold_no_words(spark):
+    docs = [("..", "en"), (" \t \n", "en"), (" . a\x00b c . . a\x00b c", "en"), (".a\x00b c", "en"), ("c", "en"), ("\x85  ", "en")] * 3
+    got = rows_of(P.collocations(frame(spark, docs), 3), *COLUMNS)
+    assert sorted(got) == sorted(brute(docs, 3, P.TOP)) and len(got) == 2

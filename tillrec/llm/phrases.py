@@ -6,7 +6,8 @@ phrase stands within a piece. Phrases of two to four words with f of ``MIN_COUNT
 candidates; a candidate's score is floor(2000000 f / (f(first words) + f(other words))) at the cut where
 it is lowest, in exact decimals. A candidate most of whose places lie in a longer candidate goes.
 
-A task counts in a trie over word ids whose nodes are hash containers: a container that holds more than
+A task reads blocks of about ``_BLOCK`` bytes, in which a word is looked up once, however often it stands there.
+It counts in a trie over word ids whose nodes are hash containers: a container that holds more than
 ``BURST`` tails is burst into one container for each next word. When the trie holds more than ``HELD``
 entries, its largest subtrees are spilled whole, as a sorted run of (phrase, count). A phrase's runs meet in
 the partition of its prefix (all its words but the last) and are merged there by summing; no count depends
@@ -23,7 +24,7 @@ inside one piece. Ties are in the order of score, count, phrase (UTF-8 bytes).
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -46,10 +47,11 @@ HELD = 600_000                                 # entries of a task's tries befor
 VOCABULARY = 600_000                           # words of a task before it spills all and forgets them
 FILTER_BITS = 27
 
-_BLOCK = 1 << 19                               # words that are counted at a time
+_BLOCK = 1 << 22                               # bytes that are counted at a time
 _SLICE = 1 << 20                               # bytes of a text that are split at a time
 _ROWS = 1 << 16                                # rows of a spilled batch
 _CUTS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", b".......... ")
+_LOW = (1 << 32) - 1
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _RUN = {"lang": pa.string(), "part": pa.int64(), "phrase": pa.string(), "n": pa.int64()}
 _RUN_DDL = "lang string, part long, phrase string, n long"
@@ -76,7 +78,6 @@ class Filter:
     def __init__(self, bits: np.ndarray):
         self.bits = bits
         self.mask = np.uint64(64 * len(bits) - 1)
-        self.octets = memoryview(np.ascontiguousarray(bits, dtype="<u8")).cast("B")
 
     @staticmethod
     def places(h: np.ndarray, mask: np.uint64) -> tuple[np.ndarray, np.ndarray]:
@@ -89,18 +90,6 @@ class Filter:
         return found
 
 
-    def has_word(self, h: int) -> bool:
-        """``has`` for one word's hash."""
-        h = (h ^ (h >> 32)) * int(_M2) & 0xFFFFFFFFFFFFFFFF
-        h ^= h >> 29
-        mask = int(self.mask)
-        at = h & mask
-        if not self.octets[at >> 3] >> (at & 7) & 1:
-            return False
-        at = (h >> 32) & mask
-        return bool(self.octets[at >> 3] >> (at & 7) & 1)
-
-
 def _filter(grams: DataFrame) -> Broadcast:
     """Filter of the phrases (lang, phrase); its size follows their number up to 2^FILTER_BITS bits."""
     spark = grams.sparkSession
@@ -136,17 +125,23 @@ class Words(dict):
         super().__init__()
         self.seed, self.frequent = _seed(lang), frequent
         self.listed: list[bytes] = [b""]
-        self.hashes: list[int] = [0]
-        self[b"."] = 0
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word, self.seed)
-        if self.frequent is not None and not self.frequent.has_word(h):
-            return 0
-        n = self[word] = len(self.listed)
-        self.listed.append(word)
-        self.hashes.append(h)
-        return n
+        self.hashes = np.zeros(1, dtype=np.uint64)
+
+    def ids(self, words: list[bytes]) -> np.ndarray:
+        """Ids of distinct words; new ones are listed if they are frequent, so far as the filter knows."""
+        ids = np.fromiter(map(self.get, words, repeat(0)), np.int64, len(words))
+        at = np.flatnonzero(ids == 0)
+        new = [words[i] for i in at.tolist()]
+        hashes = np.array([xxhash.xxh64_intdigest(w, self.seed) for w in new], dtype=np.uint64)
+        if self.frequent is not None:
+            some = np.flatnonzero(self.frequent.has(phrase_hash([hashes])))
+            at, hashes, new = at[some], hashes[some], [new[i] for i in some.tolist()]
+        if new:
+            ids[at] = np.arange(len(self.listed), len(self.listed) + len(new))
+            self.update(zip(new, ids[at].tolist()))
+            self.listed += new
+            self.hashes = np.concatenate([self.hashes, hashes])
+        return ids
 
 
 class Node:
@@ -159,6 +154,20 @@ class Node:
         self.size = 0
 
 
+class Entries:
+    """Distinct phrases, one a row in the order of their ids, and their counts."""
+
+    def __init__(self, grams: np.ndarray, counts: np.ndarray):
+        self.grams, self.counts = grams, counts.tolist()
+        self.packed: dict[int, list[int]] = {}
+
+    def tails(self, depth: int) -> list[int]:
+        """Every phrase from ``depth`` on, packed."""
+        if depth not in self.packed:
+            self.packed[depth] = _packed(self.grams, depth)
+        return self.packed[depth]
+
+
 class HatTrie:
     """Counts of phrases of ``n`` word ids."""
 
@@ -169,38 +178,47 @@ class HatTrie:
     def add(self, grams: np.ndarray, counts: np.ndarray) -> None:
         """Add distinct phrases (one a row, in the order of their ids) and their counts."""
         if len(grams):
-            self._add(self.root, grams, counts, 0)
+            self._add(self.root, Entries(grams, counts), 0, len(grams), 0)
 
-    def _add(self, node: Node, grams: np.ndarray, counts: np.ndarray, depth: int) -> int:
+    def _add(self, node: Node, entries: Entries, start: int, end: int, depth: int) -> int:
+        if node.children is None and end - start > BURST and self.n - depth > 1:
+            self._burst(node, depth)                 # it would be, once they are in
         if node.children is None:
             box = node.counts
             old, get = len(box), box.get
-            for tail, c in zip(_packed(grams, depth), counts.tolist()):
-                box[tail] = get(tail, 0) + c
+            some = zip(entries.tails(depth)[start:end], entries.counts[start:end])
+            if old:
+                for tail, c in some:
+                    box[tail] = get(tail, 0) + c
+            else:
+                box.update(some)
             grown = len(box) - old
             if len(box) > BURST and self.n - depth > 1:
                 self._burst(node, depth)
         else:
-            first = grams[:, depth]
-            edges = [0, *(np.flatnonzero(first[1:] != first[:-1]) + 1).tolist(), len(first)]
+            first = entries.grams[start:end, depth]
+            edges = np.flatnonzero(first[1:] != first[:-1]) + 1
+            words = first[np.concatenate([[0], edges])].tolist()
+            edges = [start, *(edges + start).tolist(), end]
             grown = 0
-            for a, b in zip(edges, edges[1:]):
-                word = int(first[a])
+            for word, a, b in zip(words, edges, edges[1:]):
                 child = node.children.get(word)
                 if child is None:
                     child = node.children[word] = Node()
-                grown += self._add(child, grams[a:b], counts[a:b], depth + 1)
+                grown += self._add(child, entries, a, b, depth + 1)
         node.size += grown
         return grown
 
     def _burst(self, node: Node, depth: int) -> None:
         shift = 32 * (self.n - depth - 1)
-        node.children = {}
+        children = node.children = {}
         for tail, c in node.counts.items():
-            child = node.children.setdefault(tail >> shift, Node())
+            child = children.get(tail >> shift)
+            if child is None:
+                child = children[tail >> shift] = Node()
             child.counts[tail & ((1 << shift) - 1)] = c
         node.counts = None
-        for child in node.children.values():
+        for child in children.values():
             child.size = len(child.counts)
 
     def spilled(self, keep: int) -> tuple[np.ndarray, np.ndarray]:
@@ -239,13 +257,12 @@ class HatTrie:
 
 def _unpacked(tails: Iterable[int], count: int, words: int) -> np.ndarray:
     """The word ids of packed tails, one tail a row."""
-    low = (1 << 32) - 1
     if words > 2:
         whole = list(tails)
         first = _unpacked((t >> 64 for t in whole), count, words - 2)
         return np.concatenate([first, _unpacked((t & ((1 << 64) - 1) for t in whole), count, 2)], axis=1)
     flat = np.fromiter(tails, np.int64, count)
-    return flat[:, None] if words == 1 else np.stack([flat >> 32, flat & low], axis=1)
+    return flat[:, None] if words == 1 else np.stack([flat >> 32, flat & _LOW], axis=1)
 
 
 def _packed(grams: np.ndarray, depth: int) -> list[int]:
@@ -261,11 +278,15 @@ def _packed(grams: np.ndarray, depth: int) -> list[int]:
 
 def _distinct(grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct phrases in the order of their ids, and how often each occurs."""
+    if len(grams) == 1:
+        key, counts = np.unique(grams[0], return_counts=True)
+        return key[:, None], counts
+    if len(grams) == 2:
+        key, counts = np.unique((grams[0] << 32) | grams[1], return_counts=True)
+        return np.stack([key >> 32, key & _LOW], axis=1), counts
     key = grams[0]
-    for column in grams[1:]:
-        if len(grams) > 2:                     # dense numbers leave room for 32 bits more
-            key = np.unique(key, return_inverse=True)[1]
-        key = (key << 32) | column
+    for column in grams[1:]:                   # dense numbers leave room for 32 bits more
+        key = (np.unique(key, return_inverse=True)[1] << 32) | column
     _, at, counts = np.unique(key, return_index=True, return_counts=True)
     return np.stack([g[at] for g in grams], axis=1), counts
 
@@ -277,25 +298,39 @@ class Counter:
         self.lang, self.n, self.words_filter, self.shorter = lang, n, words_filter, shorter
         self.trie = HatTrie(n)
         self.words = Words(lang, words_filter)
-        self.held: list[np.ndarray] = []
+        self.held: list[bytes] = []
         self.length = 0
+        self.last = np.empty(0, np.int64)
         self.total = 0
 
     def read(self, text: bytes) -> None:
-        spaced = text.lower().translate(_CUTS).replace(b".", b" . ")
+        spaced = text.lower().translate(_CUTS).replace(b".", b" .")
         for part in common.slices(spaced, _SLICE):
-            tokens = part.split()
-            self.held.append(np.fromiter(map(self.words.__getitem__, tokens), np.int64, len(tokens)))
-            self.length += len(tokens)
+            self.held.append(part)
+            self.length += len(part)
             if self.length > _BLOCK:
                 self.count()
-        self.held.append(np.zeros(1, np.int64))
+        self.held.append(b".")
+
+    def _ids(self) -> np.ndarray:
+        """Ids of the words held, in order, and 0 between pieces. A word is looked up once, however often it stands here."""
+        octets = np.frombuffer(b"".join([b" ", *self.held, b" "]), np.uint8)
+        dots = octets == ord(".")
+        solid = ~dots & (octets != ord(" "))
+        edges = np.flatnonzero(solid[1:] != solid[:-1]) + 1
+        starts = edges[::2]
+        offsets = np.zeros(len(starts) + 1, np.int32)
+        np.cumsum(edges[1::2] - starts, out=offsets[1:])
+        words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(octets[solid])]).dictionary_encode()
+        ids = self.words.ids(words.dictionary.to_numpy(zero_copy_only=False).tolist())[words.indices.to_numpy()]
+        ends = np.searchsorted(starts, np.flatnonzero(dots))
+        return np.insert(ids, ends[np.diff(ends, prepend=-1) > 0], 0)
 
     def count(self) -> None:
         """Count the words held; the last n - 1 stay, as the next may go on from them."""
         if not self.held:
             return
-        ids = np.concatenate(self.held)
+        ids = np.concatenate([self.last, self._ids()])
         starts = max(0, len(ids) - self.n + 1)
         if self.n == 1:
             solid = ids[ids > 0]
@@ -307,8 +342,7 @@ class Counter:
             grams = [ids[at + k] for k in range(self.n)]
         if len(grams[0]):
             self.trie.add(*_distinct(grams))
-        self.held = [ids[starts:]]
-        self.length = len(ids) - starts
+        self.held, self.length, self.last = [], 0, ids[starts:].copy()
 
     def _able(self, ids: np.ndarray) -> np.ndarray:
         """Where a phrase of n - 1 words starts that is frequent, so far as the filter knows."""
@@ -320,7 +354,7 @@ class Counter:
             for k in range(m):
                 whole &= ids[k:count + k] > 0
             if m > 1:
-                hashes = np.array(self.words.hashes, dtype=np.uint64)
+                hashes = self.words.hashes
                 at = np.flatnonzero(whole)
                 whole[at] = self.shorter.has(phrase_hash([hashes[ids[at + k]] for k in range(m)]))
             able[:count] = whole
@@ -328,9 +362,10 @@ class Counter:
 
     def forget_words(self) -> None:
         """Start a new vocabulary (the trie is empty); the words that the next may go on from stay."""
-        old, last = self.words, np.concatenate(self.held) if self.held else np.empty(0, np.int64)
-        self.words = Words(self.lang, self.words_filter)
-        self.held = [np.array([self.words[old.listed[i]] if i else 0 for i in last.tolist()], dtype=np.int64)]
+        old, self.words = self.words, Words(self.lang, self.words_filter)
+        last = [old.listed[i] for i in self.last.tolist()]
+        self.words.ids(sorted({*last} - {b""}))
+        self.last = np.array([self.words.get(word, 0) for word in last], dtype=np.int64)
 
     def runs(self, keep: int) -> Iterator[pa.RecordBatch]:
         """Spilled subtrees as a run, sorted by the phrases' words."""
@@ -340,9 +375,12 @@ class Counter:
         words = pa.array(self.words.listed, pa.binary())
         rank = np.empty(len(words), np.int64)
         rank[pc.sort_indices(words).to_numpy()] = np.arange(len(words))
-        order = np.lexsort([rank[grams[:, k]] for k in range(self.n - 1, -1, -1)])
+        if self.n == 2:
+            order = np.argsort((rank[grams[:, 0]] << 32) | rank[grams[:, 1]])
+        else:
+            order = np.lexsort([rank[grams[:, k]] for k in range(self.n - 1, -1, -1)])
         grams, counts = grams[order], counts[order]
-        hashes = np.array(self.words.hashes, dtype=np.uint64)
+        hashes = self.words.hashes
         parts = phrase_hash([hashes[grams[:, k]] for k in range(max(self.n - 1, 1))]).view(np.int64)
         for at in range(0, len(grams), _ROWS):
             some = slice(at, at + _ROWS)
@@ -351,7 +389,7 @@ class Counter:
 
 
 def _rows(lang: str, parts: np.ndarray, phrases: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([lang] * len(parts), pa.string()), pa.array(parts, pa.int64()),
+    return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(parts)), pa.array(parts, pa.int64()),
                                        phrases.cast(pa.string()), pa.array(counts, pa.int64())], schema=common.arrow_schema(_RUN))
 
 
