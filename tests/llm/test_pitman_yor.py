@@ -238,3 +238,88 @@ def test_large_rows_are_stored_and_sent_by_their_bytes(spark):
         sent = stored.coalesce(1).mapInArrow(sizes, "n long").collect()
     assert sum(r["n"] for r in sent) == 24 and max(r["n"] for r in sent) <= 3
     assert [spark.conf.get(n) for n in names] == before
+
+
+def whole_model(model):
+    """Of rarer words: pairs (before, word) with counts and, of those seen more than once, mean tables."""
+    pairs, tables = {}, {}
+    for r in model.counted.where("rarer").collect():
+        u, w, n, _ = P._pairs_of(r.asDict())
+        pairs |= dict(zip(zip(u.tolist(), w.tolist()), n.tolist()))
+    for r in (r.asDict() for r in model.state.collect()):
+        w = P.Words.of(r)
+        x = P.Seats(w, model.totals.klass, r)
+        mean = P.Averages.of(r, x).plus(x, model.totals, P.SWEEPS).mine[x.rarer]
+        tables |= dict(zip(zip(w.before.tolist(), w.key[w.owner[x.leaves[x.rarer]]].tolist()), mean.tolist()))
+    return pairs, tables
+
+
+def test_every_word_before_has_a_restaurant(make_docs, monkeypatch):
+    """However rare: 'new' and 'few' end alike and make up little, only the one is followed by 'york'."""
+    monkeypatch.setattr(P, "FREQUENT", 2)
+    model = P.fit(make_docs([(None, "new york"), (None, "few men")] * 50 + [(None, "anew here")]))
+    assert len(model.contexts.keys) == 0
+    got = dict(rows_of(P.scores(make_docs([(1, "new york"), (2, "few york"), (3, "new men"), (4, "anew here"), (5, "knew here")]), model), "doc_id", "score"))
+    assert got[1] - got[2] > 0.5 and got[1] - got[3] > 0.5 and got[4] - got[5] > 0
+
+
+@pytest.mark.parametrize("frequent, later", [(40, 2), (40, 10**6), (2, 40)])
+def test_scores_equal_a_plain_walk_over_all_restaurants(make_docs, monkeypatch, frequent, later):
+    """Also those of words that aren't numbered: known and unknown words after them, frequent and rare ones."""
+    from xxhash import xxh3_64_intdigest
+    key = lambda w: int(np.array([xxh3_64_intdigest(w)], dtype=np.uint64).view(np.int64)[0])
+    monkeypatch.setattr(P, "FREQUENT", frequent)
+    rng = np.random.default_rng(3)
+    docs = [*corpus(), *[(500 + k, " ".join(f"r{x}" for x in rng.zipf(1.5, 40) % 300)) for k in range(60)]]
+    model = P.fit(make_docs(docs))
+    now, size = model.totals, len(model.contexts.klass)
+    pairs, tables = whole_model(model)
+    followed, before = Counter(), {}
+    for i, t in docs:
+        if not P.held_out(i):
+            ws = [*(t or "").encode().lower().split(), b""]
+            followed.update(zip(ws[:-1], ws[1:]))
+            before |= {key(w): 1 + zlib.crc32(w[-2:]) % (P.CLASSES - 1) for w in ws}
+    numbered = set(model.contexts.keys.tolist())
+    want = {(key(u), key(w)): n for (u, w), n in followed.items() if key(u) not in numbered}
+    assert pairs == want and tables.keys() == {p for p, n in want.items() if n > 1} and len({u for u, _ in want}) > 50
+    assert all(1 <= t <= want[p] for p, t in tables.items()) and any(t > 1 for t in tables.values())
+    c, t = Counter(), Counter()
+    for (u, w), n in pairs.items():
+        c[u] += n
+        t[u] += tables.get((u, w), 1.0)
+    words, extra, mine = {}, {}, {}
+    for v in parts_of(model):
+        words |= {k: v.seats[:, i] for i, k in enumerate(v.key.tolist())}
+        extra |= {(int(v.key[c // P.CLASSES]), int(c % P.CLASSES)): x for c, x in zip(v.classes.tolist(), v.extra)}
+        mine |= {(int(v.key[c // size]), int(c % size)): x for c, x in zip(v.pairs.tolist(), v.mine)}
+    places = {int(k): P.CLASSES + i for i, k in enumerate(model.contexts.keys)}
+
+    def probability(u, w, class_of_u):
+        if u in places:
+            klass, weight, own = int(model.contexts.klass[places[u]]), model.own_back[places[u] - P.CLASSES], mine.get((w, places[u]), 0.0)
+        else:
+            n = pairs.get((u, w), 0)
+            klass, weight = class_of_u, (P.STRENGTH + now.f * t[u]) / (P.STRENGTH + c[u])
+            own = (n - now.f * tables.get((u, w), 1.0)) / (P.STRENGTH + c[u]) if n else 0.0
+        roots = words.get(w, np.zeros(len(model.norm))) * model.norm + model.unknown
+        return weight * ((roots * model.back[:, klass]).mean() + extra.get((w, klass), 0.0)) + own
+
+    for u in sorted({u for u, _ in pairs})[:3]:
+        total = sum(probability(u, w, before[u]) for w in words) + probability(u, 1, before[u])
+        assert math.isclose(total, 1, abs_tol=1e-5)
+
+    def score(text):
+        ws = [*(text or "").encode().lower().split(), b""]
+        first = (words.get(key(ws[0]), np.zeros(len(model.norm))) * model.norm + model.unknown) * model.back[:, 0]
+        return math.log10(first.mean() + extra.get((key(ws[0]), 0), 0.0)) + sum(
+            math.log10(probability(key(u), key(w), 1 + zlib.crc32(u[-2:]) % (P.CLASSES - 1))) for u, w in zip(ws, ws[1:]))
+
+    asked = docs + [(700, "ban " + " ".join(f"new{k} bor r{k % 300} r{k % 7}" for k in range(500)))]
+    monkeypatch.setattr(P, "FREQUENT", later)
+    found = dict((i, s) for i, s in rows_of(P.scores(make_docs(asked), model), "doc_id", "score") if i not in (None, 3))
+    expected = {i: score(x) for i, x in asked if i not in (None, 3)}
+    assert found.keys() == expected.keys() and all(math.isclose(found[i], expected[i], rel_tol=1e-5) for i in expected)
+    base = sorted((*r[:5], round(r[5], 6)) for r in rows_of(P.scores(make_docs(docs), model), "doc_id", "held_out", "n_tokens", "n_known", "train_tokens",
+                                                            "base_score") if r[0] is not None)
+    assert base == sorted(r for r in brute(docs) if r[0] is not None)
