@@ -213,3 +213,23 @@ def test_pairing_with_repeats_equals_brute_force(spark):
                                  f"authorization_code string, settlement_date timestamp_ntz, gross_value {cols}")
     pairs = sorted((r["l_id"], r["r_id"]) for r in reconcile.amount_mismatch_pairs(sales, sett).collect())
     assert pairs == _pairs_brute(left, right) and pairs.count(("P7", "A7")) >= 90
+
+
+def test_amounts_are_reduced_without_collecting_sets(spark):
+    """Sets are objects: Spark sorts all rows to aggregate them."""
+    lf = _sales(spark, [("P1", D, Decimal("10.00"), "credito")])
+    rf = _settlements(spark, [("A1", D, Decimal("10.00"), None)])
+    plan = reconcile.pos_missing_rows(lf, rf)._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" not in plan and "SortAggregate" not in plan and "HashAggregate" in plan
+
+
+def test_documented_gaps_store_only_what_pairs_and_gaps_need(spark, monkeypatch):
+    seen, real = [], reconcile.kept
+    monkeypatch.setattr(reconcile, "kept", lambda rows, name: seen.append(rows.columns) or real(rows, name))
+    sales = _sales(spark, [("P1", D, Decimal("10.00"), "credito"), ("P2", D, Decimal("50.00"), "debito")]).withColumn("note", F.lit("x"))
+    settled = _settlements(spark, [("A1", D, Decimal("11.00"), None)]).withColumn("payment_method", F.lit("credito")).withColumn("note", F.lit("x"))
+    orders = spark.createDataFrame([], "order_id string, order_date timestamp_ntz, gross_value decimal(18,2), status string")
+    got = sorted((r["gap_type"], r["transaction_id"], r["amount_brl"]) for r in reconcile.gaps_all(sales, settled, orders, mode="documented").collect())
+    assert [x[1:] for x in got] == [("P1", 1.0), ("P2", 50.0)]
+    assert [sorted(x) for x in seen] == [sorted(["transaction_id", "transaction_date", "gross_value", "day", "method", "c"]),
+                                         sorted(["authorization_code", "settlement_date", "gross_value", "day", "method", "c"])]
