@@ -92,3 +92,17 @@ def test_a_load_reads_only_the_months_it_touches(spark, tmp_path):
     plan = one._jdf.queryExecution().executedPlan().toString()
     assert "2026-04" in plan.split("PartitionFilters: [")[1][:120] and one.count() < 40
     assert all("/period=2026-" in f for f in one.inputFiles())
+
+
+def test_a_load_stores_changes_once_and_shuffles_amounts(spark, tmp_path, monkeypatch):
+    """What the rows meet is stored: cells and open amounts, no ids; the mark of a finished load has no rows of its own."""
+    from tillrec.operators import gap_book
+    seen, real = [], gap_book.kept
+    monkeypatch.setattr(gap_book, "kept", lambda rows, name: seen.append((name, sorted(rows.columns))) or real(rows, name))
+    rnd = random.Random(4)
+    book = GapBook(spark, str(tmp_path / "book"))
+    changes = book.load(spark.createDataFrame(_rows(rnd, "P", 40, range(3)), SALE), spark.createDataFrame(_rows(rnd, "A", 12, range(3)), SETTLED), 0)
+    assert seen == [("gap-cells", ["b", "d"]), ("gap-amounts", ["c", "d"]), ("gap-amounts", ["c", "d"])]
+    assert changes.count() > 0 and all("/changes_by_period/" in f for f in changes.inputFiles())
+    assert spark.read.parquet(str(tmp_path / "book" / "changes" / "load=0")).columns == ["load"]
+    assert _gap_keys(book.gaps()) == _gap_keys(changes)
